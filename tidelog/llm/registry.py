@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tidelog.llm import exact_dedup
+from tidelog.llm import decontamination, exact_dedup, packing, token_counts
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op9_decontamination": decontamination.op9_decontamination,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op9_decontamination": decontamination.OP9_SQL,
 }

@@ -72,7 +72,8 @@ class Words:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.raw = np.frombuffer(b" ".join([b"", *raw, b""]), dtype=np.uint8)
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        text_start = 1 + np.concatenate([[0], np.cumsum(sizes + 1)])
+        #: text k is raw[text_start[k] : text_start[k + 1] - 1]
+        self.text_start = text_start = 1 + np.concatenate([[0], np.cumsum(sizes + 1)])
         inside = is_word[self.raw]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.starts, self.ends = edges[0::2], edges[1::2]
