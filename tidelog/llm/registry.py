@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, exact_dedup, packing, token_counts
+from tidelog.llm import decontamination, exact_dedup, language_id, packing, pii, token_counts, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op2_pii": pii.op2_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }

@@ -84,9 +84,11 @@ class Words:
             at = np.flatnonzero(inside)
             begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             place = np.arange(len(at), dtype=np.int64) - np.repeat(begin, lengths)
-            value = _BYTE_VALUE[fold[self.raw[at]]] * powers(_ROOT, int(lengths.max()))[place]
-            self.hashes = mix(np.add.reduceat(value, begin))
+            self._value = _BYTE_VALUE[fold[self.raw[at]]] * powers(_ROOT, int(lengths.max()))[place]
+            self._begin = begin
+            self.hashes = mix(np.add.reduceat(self._value, begin))
         else:
+            self._value, self._begin = np.zeros(0, dtype=_U64), np.zeros(0, dtype=np.int64)
             self.hashes = np.zeros(0, dtype=_U64)
         self.counts = np.diff(self.first)
 
@@ -100,6 +102,14 @@ class Words:
         np.cumsum(self.hashes * powers(_WINDOW_ROOT, n), out=total[1:])
         return mix((total[width:] - total[:-width]) * powers(_WINDOW_INVERSE, n - width + 1))
 
+    def prefix_hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words of more than size bytes, hashes of their first size bytes)."""
+        at = np.flatnonzero(self.ends - self.starts > size)
+        total = np.zeros(len(at), dtype=_U64)
+        for k in range(size):
+            total += self._value[self._begin[at] + k]
+        return at, mix(total ^ _U64(size << 56))
+
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
