@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, exact_dedup, language_id, packing, pii, token_counts, toxicity
+from tidelog.llm import decontamination, exact_dedup, language_id, lm_scoring, packing, pii, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
