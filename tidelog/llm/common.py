@@ -18,6 +18,9 @@ BLOCK_BYTES = 2_000_000
 
 FOLDS = 5
 
+#: Ids of texts to look at again are broadcast up to so many (8 bytes each); beyond, they are joined.
+MOST_BROADCAST_IDS = 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -72,3 +75,19 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
     """One list of counts[k] of the values for each k."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is among ids (each id once there), with the other columns of ids. When the
+    ids are few enough, their broadcast keeps all other texts out of the join's shuffle."""
+    ids = settled(ids)
+    if ids.count() <= MOST_BROADCAST_IDS:
+        docs = docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
+    return docs.join(ids.hint("shuffle_hash"), "doc_id")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is not among ids; rows without an id stay."""
+    ids = settled(ids)
+    few = ids.count() <= MOST_BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_anti")

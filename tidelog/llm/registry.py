@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, exact_dedup, language_id, lm_scoring, packing, pii, token_counts, toxicity
+from tidelog.llm import decontamination, exact_dedup, language_id, lm_scoring, packing, pii, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_pii": pii.op2_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
 }
