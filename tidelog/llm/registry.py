@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, exact_dedup, language_id, lm_scoring, packing, pii, substring_dedup, token_counts, toxicity
+from tidelog.llm import decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, pii, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_pii": pii.op2_pii,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
