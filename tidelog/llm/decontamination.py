@@ -112,26 +112,52 @@ def _scan(shared) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatc
     return scan
 
 
-def _clean(shared, remove: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _clean(shared) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
-            texts = batch.column("text").to_pylist()
-            words = Words(texts, "alnum")
+            words = Words(batch.column("text").to_pylist(), "alnum")
+            _, items = _found(words, shared.value)
+            yield batch.filter(pa.array([k not in items for k in range(batch.num_rows)]))
+
+    return clean
+
+
+def _mark(shared, text: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the hit spans to column "spans"."""
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches, text):
+            words = Words(batch.column(text).to_pylist(), "alnum")
             hit, items = _found(words, shared.value)
-            if remove == "documents":
-                yield batch.filter(pa.array([k not in items for k in range(len(texts))]))
-                continue
-            for k in items:
+            spans = [(own or []) + (_spans(hit[words.first[k] : words.first[k + 1]]) if k in items else []) for k, own in enumerate(batch.column("spans").to_pylist())]
+            yield batch.set_column(batch.schema.get_field_index("spans"), "spans", pa.array(spans, _SPAN))
+
+    return mark
+
+
+def _cut(text: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Removes the bytes from the first to the last word of each united span."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches, text):
+            texts, marked = batch.column(text).to_pylist(), batch.column("spans").to_pylist()
+            words = Words(texts, "alnum")
+            for k, spans in enumerate(marked):
+                if not spans:
+                    continue
+                hit = np.zeros(words.counts[k], dtype=bool)
+                for span in spans:
+                    hit[span["start"] : span["end"]] = True
                 first, at, kept = words.first[k], words.text_start[k], []
-                for span in _spans(hit[first : words.first[k + 1]]):
+                for span in _spans(hit):
                     kept.append(words.raw[at : words.starts[first + span["start"]]].tobytes())
                     at = words.ends[first + span["end"] - 1]
                 kept.append(words.raw[at : words.text_start[k + 1] - 1].tobytes())
                 texts[k] = b"".join(kept).decode("utf-8", "surrogatepass")
-            at = batch.schema.get_field_index("text")
+            at = batch.schema.get_field_index(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return clean
+    return cut
 
 
 def window_sets(benchmark: DataFrame, most: int = MAX_WINDOWS) -> Iterator:
@@ -169,9 +195,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documen
     (remove="spans"); all columns stay."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
+    if remove == "documents":
+        for shared in window_sets(benchmark, most):
+            docs = docs.mapInArrow(_clean(shared), docs.schema)
+        return docs
+    # All sets mark their hits before anything is removed. Columns go by number meanwhile.
+    text = f"c{docs.columns.index('text')}"
+    marked = docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).withColumn("spans", F.lit(None).cast("array<struct<start: long, end: long>>"))
     for shared in window_sets(benchmark, most):
-        docs = docs.mapInArrow(_clean(shared, remove), docs.schema)
-    return docs
+        marked = marked.mapInArrow(_mark(shared, text), marked.schema)
+    return marked.mapInArrow(_cut(text), marked.schema).drop("spans").toDF(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
