@@ -134,14 +134,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts the smallest id."""
-    rows = docs.withColumn("normal", normalised(F.col("text")))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_digest string, _border long"])
-    heads = settled(_content_sorted(rows, *(f"`{c}`" for c in docs.columns)).mapInArrow(_heads, schema))
+    # Columns go by number meanwhile, so that no name clashes.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("doc_id", F.col(names[docs.columns.index("doc_id")]).cast("long")).withColumn("normal", normalised(F.col(names[docs.columns.index("text")])))
+    schema = ", ".join([*(f"{name} {f.dataType.simpleString()}" for name, f in zip(names, docs.schema)), "doc_id long, _digest string, _border long"])
+    heads = settled(_content_sorted(rows, *names, "doc_id").mapInArrow(_heads, schema))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_border")
     winner = heads.where("_border is not null").groupBy("_digest").agg(F.min_by("_border", order).alias("_border"))
-    columns = [f"`{c}`" for c in docs.columns]
-    inner = heads.where("_border is null").select(*columns)
-    return inner.unionByName(heads.join(F.broadcast(winner), ["_digest", "_border"]).select(*columns))
+    inner = heads.where("_border is null").select(*names)
+    return inner.unionByName(heads.join(F.broadcast(winner), ["_digest", "_border"]).select(*names)).toDF(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
