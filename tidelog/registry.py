@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.plans import eval_queries, signal_queries, text_queries
+from tidelog.plans import eval_queries, rollup_queries, signal_queries, text_queries
 
-MODULES = (text_queries, signal_queries, eval_queries)
+MODULES = (text_queries, signal_queries, eval_queries, rollup_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,4 +18,5 @@ for _module in MODULES:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["g3_hit_frequency"](spark, sf_dir)
+    """Hierarchical retrieval with reranking."""
+    return QUERIES["r14_rerank"](spark, sf_dir)
