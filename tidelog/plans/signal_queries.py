@@ -110,7 +110,7 @@ G8 = f"""WITH e AS (SELECT p_partkey AS entry_id, ['click', 'error', 'purchase',
   q AS (SELECT DISTINCT event_type || ' ' || (user_id % 20) || ' ' || (event_id % 500) AS query FROM events),
   a AS (SELECT DISTINCT query, unnest({_keyword_sql(text.SIGNAL_STOP_WORDS, '', 2, 'query')}) AS word FROM q),
   m AS (SELECT DISTINCT entry_id FROM (SELECT entry_id, query, count(*) AS n FROM w JOIN a USING (word) GROUP BY ALL) WHERE n >= 2)
-  SELECT entry_id, 0.5 AS score FROM e WHERE entry_id NOT IN (SELECT entry_id FROM m) AND (SELECT count(*) FROM events) > 10"""
+  SELECT entry_id, CAST(0.5 AS DOUBLE) AS score FROM e WHERE entry_id NOT IN (SELECT entry_id FROM m) AND (SELECT count(*) FROM events) > 10"""
 
 
 def _candidates(spark, sf):
