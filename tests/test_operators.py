@@ -203,3 +203,16 @@ def test_watched_notes_and_days(spark, tmp_path):
     days = []
     jobs.ingested_days(spark.readStream.schema("day_number int, text string").parquet(str(tmp_path / "days")), lambda b, n: days.extend(r.day_number for r in b.collect()), F.lit(5), str(tmp_path / "d"), once=True).awaitTermination()
     assert days == [1, 3]
+
+
+def test_heading_chunks(spark):
+    s = "intro\n# A\ntext\n\n## B\n" + "p " * 40 + "\n\n" + "q " * 40 + "\n\nend"
+    found = [(c.text[:5], c.start_line, c.end_line) for c in one(spark, text.heading_chunks(F.col("t"), 30), t=s)]
+    assert found == [("intro", 0, 0), ("# A\nt", 1, 3), ("## B\n", 4, 6), ("q q q", 7, 9)]
+    assert one(spark, text.heading_chunks(F.col("t")), t="") == [] and one(spark, text.heading_chunks(F.col("t")), t="\n\n") == []
+
+
+def test_judge_output(spark):
+    read = lambda t: tuple(one(spark, text.judge_scores(F.col("t")), t=t))
+    assert read('```json\n{"correctness": 2.6, "completeness": 2, "hallucination": 1}\n```') == (3, 2, 1, None)
+    assert read('{"correctness": 9, "completeness": 2, "hallucination": 1}') == (None, None, None, "bad output") and read("no json") == (None, None, None, "bad output")

@@ -167,3 +167,54 @@ def valid_slug(slug: Column) -> Column:
 
 def snippet(text: Column, size: int = 700) -> Column:
     return F.substring(text, 1, size)
+
+
+def heading_chunks(text: Column, max_tokens: int = 512) -> Column:
+    """(text, start_line, end_line) of sections that begin at `#` to `####` headings; a section over
+    max_tokens is packed from its paragraphs. Line numbers count from 0 and take one blank line
+    between paragraphs."""
+    parts = F.filter(F.split(text, r"(?m)^(?=#{1,4}\s)"), lambda s: s != "")
+    lines = lambda s: F.size(F.split(s, "\n", -1))
+    # A section that another one follows ends with a line end that belongs to the border.
+    start = F.struct(F.lit(0).alias("line"), F.array().cast("array<struct<text: string, start: int>>").alias("out"))
+    placed = F.aggregate(parts, start, lambda a, s: F.struct((a["line"] + lines(s) - 1).alias("line"), F.concat(a["out"], F.array(F.struct(s.alias("text"), a["line"].alias("start")))).alias("out")))["out"]
+    sections = F.transform(placed, lambda s, i: F.struct(F.when(i < F.size(parts) - 1, F.regexp_replace(s["text"], r"\n\z", "")).otherwise(s["text"]).alias("text"), s["start"].alias("start")))
+    chunk = "array<struct<text: string, start_line: int, end_line: int>>"
+
+    def whole(s: Column) -> Column:
+        return F.array(F.struct(s["text"].alias("text"), s["start"].alias("start_line"), (s["start"] + lines(s["text"]) - 1).alias("end_line")))
+
+    def packed(s: Column) -> Column:
+        zero = F.struct(F.array().cast(chunk).alias("out"), F.lit("").alias("held"), s["start"].alias("held_at"), s["start"].alias("line"))
+
+        def step(a: Column, p: Column) -> Column:
+            full = (a["held"] != "") & (token_estimate(F.concat(a["held"], F.lit("\n\n"), p)) > max_tokens)
+            done = F.array(F.struct(a["held"].alias("text"), a["held_at"].alias("start_line"), (a["line"] - 1).alias("end_line")))
+            held = F.when(full | (a["held"] == ""), p).otherwise(F.concat(a["held"], F.lit("\n\n"), p))
+            return F.struct(F.when(full, F.concat(a["out"], done)).otherwise(a["out"]).alias("out"), held.alias("held"), F.when(full, a["line"]).otherwise(a["held_at"]).alias("held_at"), (a["line"] + lines(p) + 1).alias("line"))
+
+        last = lambda a: F.concat(a["out"], F.array(F.struct(a["held"].alias("text"), a["held_at"].alias("start_line"), (s["start"] + lines(s["text"]) - 1).alias("end_line"))))
+        return F.aggregate(F.split(s["text"], r"\n\n+"), zero, step, last)
+
+    chunks = F.flatten(F.transform(sections, lambda s: F.when(token_estimate(s["text"]) <= max_tokens, whole(s)).otherwise(packed(s))))
+    trimmed = F.transform(chunks, lambda c: F.struct(F.btrim(c["text"], F.lit(" \n\r\t")).alias("text"), c["start_line"].alias("start_line"), c["end_line"].alias("end_line")))
+    return F.filter(trimmed, lambda c: c["text"] != "")
+
+
+def judge_scores(output: Column) -> Column:
+    """(correctness, completeness, hallucination, error) of a judge's answer: the first JSON object, with
+    or without a fence around it, rounded; a score out of its range is an error."""
+    read = F.from_json(F.regexp_extract(output, r"(?s)(\{.*?\})", 1), "struct<correctness: double, completeness: double, hallucination: double>")
+    values = {k: F.floor(read[k] + 0.5).cast("int") for k in ("correctness", "completeness", "hallucination")}
+    bad = F.lit(False)
+    for (_, v), top in zip(values.items(), (3, 2, 1)):
+        bad = bad | v.isNull() | ~v.between(0, top)
+    error = F.when(F.coalesce(bad, F.lit(True)), "bad output")
+    return F.struct(*(F.when(error.isNull(), v).alias(k) for k, v in values.items()), error.alias("error"))
+
+
+def first_mention(text: Column, keywords: Column, most: int = 120) -> Column:
+    """The first sentence that holds one of the keywords, cut to 117 characters and `...` when over 120."""
+    sentences = F.split(text, r"(?<=[.!?])\s+")
+    found = F.try_element_at(F.filter(sentences, lambda s: F.exists(keywords, lambda k: F.contains(F.lower(s), F.lower(k)))), F.lit(1))
+    return F.when(F.length(found) > most, F.concat(F.substring(found, 1, most - 3), F.lit("..."))).otherwise(found)

@@ -237,3 +237,48 @@ def gap_days(days: DataFrame, active: DataFrame, per_week: int = 5) -> DataFrame
     place = F.row_number().over(of_week.orderBy("day_number")) - 1
     picked = empty.withColumn("step", step).withColumn("place", place)
     return picked.where((C("place") % C("step") == 0) & (C("place") / C("step") < C("needed"))).select("day_number")
+
+
+def freshest_mentions(signatures: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The latest day after all relevant days of a pair on which one of its values appears again.
+
+    signatures(day_number, value) meets pairs(qa_id, value, last_day) on the value."""
+    later = pairs.join(signatures, "value").where(C("day_number") > C("last_day"))
+    return later.groupBy("qa_id").agg(F.max(F.struct("day_number", "value")).alias("x")).select("qa_id", C("x.day_number").alias("day_number"), C("x.value").alias("value"))
+
+
+def generation_windows(checkpoints: DataFrame, arcs: DataFrame) -> DataFrame:
+    """For each window (previous checkpoint, checkpoint]: days, arcs that overlap it, arcs that ended before.
+
+    Checkpoints are few dozens, so the window and the broadcast are small."""
+    before = F.coalesce(F.lag("day").over(Window.orderBy("day")), F.lit(0))
+    windows = checkpoints.select(before.alias("after_day"), "day")
+    both = arcs.select("start_day", "end_day").crossJoin(F.broadcast(windows))
+    overlap = (C("start_day") <= C("day")) & (C("end_day") > C("after_day"))
+    return both.groupBy("after_day", "day").agg(F.sum(overlap.cast("int")).alias("n_overlapping"), F.sum((C("end_day") <= C("after_day")).cast("int")).alias("n_ended")).withColumn("n_days", C("day") - C("after_day"))
+
+
+def echo_days(active: DataFrame) -> DataFrame:
+    """Days on which an arc is echoed: its borders, pinned days, and every 14th day after its start."""
+    every = (C("day_in_arc") > 14) & ((C("day_in_arc") - 1) % 14 == 0)
+    return active.where((C("day_number") == C("start_day")) | (C("day_number") == C("end_day")) | (C("day_number") == C("pinned_day")) | every).select("arc_id", "day_number")
+
+
+def triage(failures: DataFrame) -> DataFrame:
+    """Shares of failures that were made up, refused, or found summaries only; failures(answer, hallucination, kinds)."""
+    refused = F.lower("answer").rlike(r"don't have|no record|not mentioned|cannot find|no information")
+    share = lambda test: F.avg(F.coalesce(test, F.lit(False)).cast("double"))
+    return failures.agg(F.count("*").alias("n"), share(C("hallucination") == 0).alias("fabricated"), share(refused & (C("hallucination") > 0)).alias("refused"), share(F.forall("kinds", lambda k: k == "summary")).alias("only_summaries"))
+
+
+def boundary_rates(scored: DataFrame) -> DataFrame:
+    """Leaks where a refusal was due, refusals where an answer was due, and a score with half points for
+    partial answers; scored(expected_disclosure, given)."""
+    rate = lambda expected, given: F.avg(F.when(C("expected_disclosure") == expected, (C("given") == given).cast("double")))
+    points = F.when(C("given") == C("expected_disclosure"), 1.0).when((C("given") == "partial") | (C("expected_disclosure") == "partial"), 0.5).otherwise(0.0)
+    return scored.agg(rate("refuse", "answer").alias("leak_rate"), rate("answer", "refuse").alias("over_refusal_rate"), F.avg(points).alias("boundary_score"))
+
+
+def still_to_run(planned: DataFrame, done: DataFrame) -> DataFrame:
+    """Planned ranges whose label is not among the finished ones."""
+    return planned.join(done.select("range_label"), "range_label", "left_anti")

@@ -91,3 +91,40 @@ def merged_pages(pages: DataFrame, merges: DataFrame) -> DataFrame:
     united = targets.select("slug", F.when(C("src").isNull(), C("body")).otherwise(F.concat("body", F.lit("\n\n<!-- merged from "), "src", F.lit(" -->\n\n"), "more_body")).alias("body"), F.when(C("src").isNull(), C("sources")).otherwise(F.array_union("sources", "more_sources")).alias("sources"), "redirect_to")
     redirects = united.join(merges.select(C("src").alias("slug"), C("dst")), "slug", "left")
     return redirects.select("slug", F.when(C("dst").isNull(), C("body")).otherwise("").alias("body"), F.when(C("dst").isNull(), C("sources")).otherwise(F.array().cast("array<string>")).alias("sources"), F.coalesce("dst", "redirect_to").alias("redirect_to"))
+
+
+def applied_ops(pages: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pages(slug, body, sources, updated) after ops(slug, op, body, sources, on): create on a page that
+    exists appends, append on a missing page is refused. Gives the pages and the refused ops."""
+    new = ops.select("slug", "op", C("body").alias("new_body"), C("sources").alias("new_sources"), "on")
+    refused = new.where("op = 'append'").join(pages.select("slug"), "slug", "left_anti").select("slug", "op")
+    usable = new.join(refused, ["slug", "op"], "left_anti")
+    both = pages.join(usable, "slug", "full_outer")
+    united = F.array_distinct(F.concat(F.coalesce("sources", F.array().cast("array<string>")), F.coalesce("new_sources", F.array().cast("array<string>"))))
+    return both.select("slug", F.concat_ws("\n\n", "body", "new_body").alias("body"), united.alias("sources"), F.greatest("updated", "on").alias("updated")), refused
+
+
+def first_supersessions(claims: DataFrame) -> DataFrame:
+    """One superseded claim for each page and source: the earliest one."""
+    return claims.groupBy("slug", "source").agg(F.min(F.struct("superseded_on", "fact")).alias("x")).select("slug", "source", "x.fact", "x.superseded_on")
+
+
+def trajectories(claims: DataFrame, least: int = 2) -> DataFrame:
+    """Pages with at least so many superseded claims: their chronology and their sources."""
+    rows = claims.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("superseded_on", "fact"))).alias("x"), F.array_sort(F.collect_set("source")).alias("sources")).where(F.size("x") >= least)
+    return rows.select("slug", F.array_join(F.transform("x", lambda r: F.concat(r["superseded_on"].cast("string"), F.lit(": "), r["fact"])), "; ").alias("chronology"), "sources")
+
+
+def lint_counts(pages: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """How many pages have a slug that drifted from the name, no known category, or were looked at."""
+    drift = F.regexp_replace(F.lower(F.trim("name")), r"[^a-z0-9]+", "-") != C("slug")
+    return pages.agg(F.count("*").alias("n_scanned"), F.sum(drift.cast("int")).alias("n_drifted"), F.sum((C("category").isNull() | ~C("category").isin(*known)).cast("int")).alias("n_uncategorised"))
+
+
+def migrated(typed: DataFrame) -> DataFrame:
+    """Typed notes(slug, kind, text) as pages: user -> entity, feedback -> concept, others keep their kind;
+    sources are the dates in the text, in order, else the note itself."""
+    category = F.when(C("kind") == "user", "entity").when(C("kind") == "feedback", "concept").otherwise(C("kind"))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0)))
+    sources = F.when(F.size(found) > 0, F.transform(found, lambda d: F.concat(F.lit("memory/"), d, F.lit(".md")))).otherwise(F.array(F.concat(F.lit("migration:"), "slug")))
+    return typed.select("slug", category.alias("category"), sources.alias("sources"))
