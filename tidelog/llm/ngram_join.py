@@ -15,9 +15,11 @@ by hash), linked sets share a shingle among the first 1/7 of the smaller and the
 larger set. A bucket is a shingle with the sets that have it there. What is frequent is read from a
 sketch of all documents; as any order is right, its errors cost time only.
 
-Large groups of copies are contracted before their pairs are looked at: pairs of neighbours in a few
-buckets of each set are verified first, their components are found, and the trees are then searched
-for links between different components only. All such links count, so components are exact.
+Large groups of copies are contracted before their pairs are looked at. In a few rounds over a few
+buckets of each set, a tree gives each set its best partner of another component; these pairs are
+verified and the components joined. The trees of all buckets are then searched for links between
+different components only. All such links count, so components are exact, and how well the rounds
+contract changes the work alone.
 
 Defined results: a null, empty or wordless text has an empty set, links with nothing and is its own
 component; a text of one to four words has one shingle, all its words; a null id takes part and gets
@@ -54,8 +56,9 @@ CHUNKS = 64
 FREQUENT_SHARE = 1 / 5000
 FREQUENT_LEAST = 30
 
-#: Buckets of each set whose neighbours are verified first.
-FIRST_BUCKETS = 3
+#: Buckets of each set that the first rounds search, and the number of rounds.
+FIRST_BUCKETS = 4
+ROUNDS = 3
 
 #: Points in a box of an R-tree, and groups of a count vector.
 BOX = 16
@@ -214,8 +217,8 @@ class RTree:
             upper, least = np.maximum.reduceat(upper, cuts), np.minimum.reduceat(least, cuts)
             self.levels.append((upper, least))
 
-    def search(self, query: np.ndarray, n: int) -> np.ndarray:
-        """Points that may have a large enough overlap with the query."""
+    def search(self, query: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points that may have a large enough overlap with the query, and their bounds."""
         levels = [*reversed(self.levels), (self.points, self.sizes)]
         found = np.arange(len(levels[0][0]))
         for depth, (upper, least) in enumerate(levels):
@@ -223,34 +226,44 @@ class RTree:
                 found = (found[:, None] * BOX + np.arange(BOX)).ravel()
                 found = found[found < len(upper)]
             bound = np.minimum(upper[found], query).sum(axis=1)
-            found = found[(100 + PERCENT) * bound >= PERCENT * (n + least[found])]
-        return found
-
-
-def _search_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of different components from an R-tree search in each bucket."""
-    for batch in _whole_buckets(batches):
-        key, node, size, component = (batch.column(c).to_numpy() for c in ("signature", "node", "n", "component"))
-        near, raw = batch.column("near").to_numpy(zero_copy_only=False), batch.column("vector")
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        left, right = [], []
-        for a, b in zip(cuts, cuts[1:]):
-            if (component[a:b] == component[a]).all():
-                continue
-            order = a + np.lexsort((node[a:b], size[a:b]))
-            vectors = {int(k): _vector(raw[int(k)].as_py(), int(size[k])) for k in order}
-            groups = np.array([len(vectors[int(k)]) for k in order])
-            for g in np.unique(groups):
-                # Partners of a set with g groups have g or twice as many.
-                points = order[(groups == g) | (groups == 2 * g)]
-                tree = RTree(np.stack([_folded(vectors[int(k)], int(g)) for k in points]), size[points].astype(np.int64))
-                for k in order[(groups == g) & near[order]]:
-                    found = points[tree.search(vectors[int(k)], int(size[k]))]
-                    found = found[(component[found] != component[k]) & (size[found] >= size[k]) & (PERCENT * size[found].astype(np.int64) <= 100 * int(size[k]))]
-                    left += [node[k]] * len(found)
-                    right += node[found].tolist()
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            enough = (100 + PERCENT) * bound >= PERCENT * (n + least[found])
+            found, bound = found[enough], bound[enough]
+        return found, bound
+
+
+def _search_buckets(best_only: bool):
+    """Candidate pairs of different components from an R-tree search in each bucket: all of them, or
+    for each set the one with the best bound for its size."""
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_buckets(batches):
+            key, node, component = (batch.column(c).to_numpy() for c in ("signature", "node", "component"))
+            size, near, raw = batch.column("n").to_numpy().astype(np.int64), batch.column("near").to_numpy(zero_copy_only=False), batch.column("vector")
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            left, right = [], []
+            for a, b in zip(cuts, cuts[1:]):
+                if (component[a:b] == component[a]).all():
+                    continue
+                order = a + np.lexsort((node[a:b], size[a:b]))
+                vectors = {int(k): _vector(raw[int(k)].as_py(), int(size[k])) for k in order}
+                groups = np.array([len(vectors[int(k)]) for k in order])
+                for g in np.unique(groups):
+                    # Partners of a set with g groups have g or twice as many.
+                    points = order[(groups == g) | (groups == 2 * g)]
+                    tree = RTree(np.stack([_folded(vectors[int(k)], int(g)) for k in points]), size[points])
+                    for k in order[(groups == g) & near[order]]:
+                        place, bound = tree.search(vectors[int(k)], int(size[k]))
+                        found = points[place]
+                        fit = (component[found] != component[k]) & (size[found] >= size[k]) & (PERCENT * size[found] <= 100 * size[k])
+                        found, bound = found[fit], bound[fit]
+                        if best_only and len(found):
+                            found = found[[np.argmax(bound / (size[k] + size[found]))]]
+                        left += [node[k]] * len(found)
+                        right += node[found].tolist()
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return search
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
@@ -269,22 +282,13 @@ def _check(column: str, test):
     return check
 
 
-def _may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
-    x, y = _vector(x, n), _vector(y, m)
-    groups = min(len(x), len(y))
-    return (100 + PERCENT) * int(np.minimum(_folded(x, groups), _folded(y, groups)).sum()) >= PERCENT * (n + m)
-
-
 def _links(n: int, m: int, x: bytes, y: bytes) -> bool:
     common = len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), assume_unique=True))
     return 100 * common >= PERCENT * (n + m - common)
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, bounded: bool) -> DataFrame:
-    """The pairs (a, b) that link. Unless they are bounded already, count vectors are compared before
-    sets are sent."""
-    if not bounded:
-        pairs = settled(_with(pairs, vectors, "vector").mapInArrow(_check("vector", _may_link), "a long, b long"))
+def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
     return settled(_with(pairs, vectors, "members").mapInArrow(_check("members", _links), "a long, b long"))
 
 
@@ -311,19 +315,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     wanted = representative.join(buckets.select("node").distinct(), "node").where("doc_id is not null").groupBy("doc_id").agg(F.first("node").alias("node"))
     vectors = settled(of_ids(docs, wanted).dropDuplicates(["node"]).mapInArrow(_vectors, "node long, n int, vector binary, members binary"))
 
-    # Neighbours in a few buckets of each set.
-    some = buckets.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("signature"))).where(F.col("rank") <= FIRST_BUCKETS)
-    before = some.select(F.lag("node").over(Window.partitionBy("signature").orderBy("n", "node")).alias("a"), F.col("node").alias("b")).where("a is not null")
-    first = _verified(_pairs(before), vectors, bounded=False)
-    part = settled(components(first))
-
-    labelled = buckets.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("signature")
-    points = labelled.join(open_, "signature", "left_semi").join(vectors.select("node", "vector"), "node")
-    searched = points.repartition("signature").sortWithinPartitions("signature").mapInArrow(_search_buckets, "a long, b long")
-    second = _verified(settled(_pairs(searched)), vectors, bounded=True)
-
-    whole = components(part.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
+    def linked(rows: DataFrame, part: DataFrame | None, best_only: bool) -> DataFrame:
+        """Verified links between components in the buckets of these rows."""
+        labelled = rows.withColumn("component", F.col("node")) if part is None else rows.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("signature")
+        points = labelled.join(open_, "signature", "left_semi").join(vectors.select("node", "vector"), "node")
+        found = points.repartition("signature").sortWithinPartitions("signature").mapInArrow(_search_buckets(best_only), "a long, b long")
+        return _verified(settled(_pairs(found)), vectors)
+
+    def joined(part: DataFrame | None, links: DataFrame) -> DataFrame:
+        before = None if part is None else part.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return settled(components(links if before is None else before.unionByName(links)))
+
+    # A few buckets of each set; a bucket is the better the more sets it has.
+    size = buckets.groupBy("signature").agg(F.count("*").alias("sets"))
+    some = settled(buckets.join(size, "signature").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.col("sets").desc(), "signature"))).where(F.col("rank") <= FIRST_BUCKETS).drop("rank", "sets"))
+    part = None
+    for _ in range(ROUNDS):
+        part = joined(part, linked(some, part, best_only=True))
+    whole = joined(part, linked(buckets, part, best_only=False))
     member = whole.join(representative, "node").groupBy("component").agg(F.min("doc_id").alias("component_id")).join(whole, "component").select(F.col("node").alias("key"), "component_id")
     alone = representative.select(F.col("node").alias("key"), F.col("doc_id").alias("own_id"))
     smallest = alone.join(member, "key", "left").select("key", F.coalesce("component_id", "own_id").alias("component_id"))
