@@ -86,3 +86,14 @@ def patched(entries: DataFrame, patches: DataFrame, most: int = 20, budget: int
     first = joined.orderBy("ord", "title").limit(most)
     so_far = F.sum(F.length("title") + F.length("body")).over(Window.orderBy("ord", "title"))
     return first.withColumn("so_far", so_far).where(C("so_far") <= budget).select("title", "body")
+
+
+def applied_completions(work: DataFrame, completions: DataFrame) -> DataFrame:
+    """Summaries for work items(period, …) from completions(period, text, error); errors are skipped."""
+    return work.join(completions.where("error IS NULL AND text IS NOT NULL"), "period")
+
+
+def validated_promotions(rows: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """Promotions(slug, category, body, sources) with what speaks against each."""
+    problems = {"slug": ~text.valid_slug(C("slug")), "category": ~C("category").isin(*categories), "body": F.coalesce(F.trim("body"), F.lit("")) == "", "sources": F.size("sources") < 1}
+    return rows.withColumn("problems", F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(True)), F.lit(name)) for name, test in problems.items()))))
