@@ -151,6 +151,14 @@ def test_rtree_finds_all_pairs_with_a_high_enough_bound():
         assert set(tree.search(points[k], int(sizes[k]))[0]) == set(np.flatnonzero(175 * bound >= 75 * (sizes + sizes[k])))
 
 
+def test_count_vectors_survive_packing():
+    rng = np.random.default_rng(4)
+    for n in (1, 40, 500, 30_000, 2_000_000):
+        own = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        counts = ngram_join.count_vector(own)
+        assert (ngram_join.unpacked_vector(ngram_join.packed_vector(counts), len(own)) == counts).all() and counts.sum() == len(own)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 130)] + [(5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -58,11 +58,11 @@ FREQUENT_LEAST = 30
 
 #: Buckets of each set that the first rounds search, and the number of rounds.
 FIRST_BUCKETS = 4
-ROUNDS = 3
+ROUNDS = 2
 
 #: Points in a box of an R-tree, and groups of a count vector.
 BOX = 16
-FEWEST_GROUPS, MOST_GROUPS = 16, 2048
+FEWEST_GROUPS, MOST_GROUPS = 64, 8192
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -180,29 +180,43 @@ def _shared_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def groups_of(n: int) -> int:
-    """Groups of a set's count vector: a power of two near half its size."""
-    return int(min(MOST_GROUPS, max(FEWEST_GROUPS, 1 << max(0, (n // 2)).bit_length())))
+    """Groups of a set's count vector: a power of two, two to four times its size."""
+    return int(min(MOST_GROUPS, max(FEWEST_GROUPS, 1 << (2 * n).bit_length())))
 
 
 def count_vector(own: np.ndarray) -> np.ndarray:
     groups = groups_of(len(own))
-    return np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+    return np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def packed_vector(counts: np.ndarray) -> bytes:
+    """Two bits a count; after them (group, count), 16 bits each, of the few counts above three."""
+    low = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+    bits = low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6
+    high = np.flatnonzero(counts > 3)
+    return bits.tobytes() + np.stack([high, counts[high]], axis=1).astype("<u2").tobytes()
+
+
+def unpacked_vector(raw: bytes, n: int) -> np.ndarray:
+    groups = groups_of(n)
+    bits = np.frombuffer(raw, dtype=np.uint8, count=groups // 4)
+    counts = (bits[:, None] >> np.arange(0, 8, 2, dtype=np.uint8) & 3).ravel()
+    high = np.frombuffer(raw, dtype="<u2", offset=groups // 4).reshape(-1, 2)
+    if len(high):
+        counts = counts.astype(np.uint16) if high[:, 1].max() > 255 else counts
+        counts[high[:, 0]] = high[:, 1]
+    return counts
 
 
 def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_blocks(batches):
         sets = shingle_sets(batch.column("text").to_pylist())
-        vectors = [count_vector(s) for s in sets]
-        small = [v.astype(np.uint8).tobytes() if v.max() < 256 else v.tobytes() for v in vectors]
+        small = [packed_vector(count_vector(s)) for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array(small, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "vector", "members"])
 
 
-def _vector(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint8 if len(raw) == groups_of(n) else np.uint16).astype(np.int32)
-
-
 def _folded(vector: np.ndarray, groups: int) -> np.ndarray:
-    return vector if len(vector) == groups else vector.reshape(-1, groups).sum(axis=0)
+    return vector if len(vector) == groups else vector.reshape(-1, groups).sum(axis=0, dtype=np.uint16)
 
 
 class RTree:
@@ -225,7 +239,7 @@ class RTree:
             if depth:
                 found = (found[:, None] * BOX + np.arange(BOX)).ravel()
                 found = found[found < len(upper)]
-            bound = np.minimum(upper[found], query).sum(axis=1)
+            bound = np.minimum(upper[found], query).sum(axis=1, dtype=np.int64)
             enough = (100 + PERCENT) * bound >= PERCENT * (n + least[found])
             found, bound = found[enough], bound[enough]
         return found, bound
@@ -245,7 +259,7 @@ def _search_buckets(best_only: bool):
                 if (component[a:b] == component[a]).all():
                     continue
                 order = a + np.lexsort((node[a:b], size[a:b]))
-                vectors = {int(k): _vector(raw[int(k)].as_py(), int(size[k])) for k in order}
+                vectors = {int(k): unpacked_vector(raw[int(k)].as_py(), int(size[k])) for k in order}
                 groups = np.array([len(vectors[int(k)]) for k in order])
                 for g in np.unique(groups):
                     # Partners of a set with g groups have g or twice as many.
