@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import math
 import random
@@ -307,6 +308,39 @@ def test_lm_base_scores_equal_brute_force(spark, monkeypatch):
     assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
 
 
+@pytest.mark.parametrize("frequent, bits", [(2, 1 << 15), (10**6, 1 << 30)])
+def test_lm_scores_equal_brute_force_over_all_pairs(spark, monkeypatch, frequent, bits):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    monkeypatch.setattr(lm_scoring, "BITS", bits)
+    texts = [*((k, f"common a{k % 40} b{k % 40} c{k} common") for k in range(3000)), (3000, "a1 b1"), (3001, "a1 b2"), (3002, "new b1"), (3003, None), (3003, "a1 b1")]
+    docs = frame(spark, texts)
+    token = lambda t: [*WORD.findall((t or "").translate(LOWER)), None]
+    known = collections.Counter(x for _, t in texts[:3000] for x in token(t))
+    seen = collections.Counter(x for _, t in texts[:3000] for x in zip(["<begin>", *token(t)], token(t)))
+    before = collections.Counter()
+    for (h, _), n in seen.items():
+        before[h] += n
+    total, prior = sum(known.values()) + 0.5 * (len(known) + 1), len(seen) / len(before)
+
+    def chance(h, w):
+        held = lm_scoring.lowest(lm_scoring.level(np.array([seen[h, w]])))[0] if seen[h, w] else 0
+        return (held + prior * (known[w] + 0.5) / total) / (before[h] + prior)
+
+    expected = sorted((i, sum(math.log10(chance(h, w)) for h, w in zip(["<begin>", *token(t)], token(t)))) for i, t in texts)
+    found = sorted((r["doc_id"], r["score"]) for r in rows(lm_scoring.scored(docs, *lm_scoring.train(docs, docs.doc_id < 3000))))
+    assert [i for i, _ in found] == [i for i, _ in expected]
+    # A wrong probe of the filter can only raise a score, and is rare; a pair that is left out would lower it.
+    same = [math.isclose(a, b, rel_tol=1e-9) for (_, a), (_, b) in zip(found, expected)]
+    assert sum(same) > 0.8 * len(same) and all(ok or a > b for ok, (_, a), (_, b) in zip(same, found, expected))
+
+
+def test_lm_knows_the_pairs_of_rare_words(spark):
+    texts = [*((k, numbered("f", 2500)) for k in range(3)), (10, "rare1 rare2"), (11, "rare4 rare3"), (20, "rare1 rare2"), (21, "rare1 rare3")]
+    docs = frame(spark, texts)
+    score = {r["doc_id"]: r["score"] for r in rows(lm_scoring.scored(docs, *lm_scoring.train(docs, docs.doc_id < 20)))}
+    assert score[20] > score[21] + 1
+
+
 def test_lm_without_training_tokens(spark):
     docs = frame(spark)
     model, counts = lm_scoring.train(docs.where("false"), docs.doc_id > 0)

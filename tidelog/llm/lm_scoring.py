@@ -1,17 +1,21 @@
-"""Language-model scores from a log-frequency Bloom filter.
+"""Language-model scores from log-frequency Bloom filters of all word pairs.
 
-Tokens are lower-cased words and one end token a text. Spark counts all training tokens; the most
-frequent WORDS words are the classes of a bigram model, all others share one class. Bigram counts
-are quantised, q = 1 + floor(log_BASE(count)), and a Bloom filter of BITS bits holds each bigram
-once for each level 1 … q. The filter's size is fixed: if the bigrams don't fit at the wanted load,
-the rarest counts are left out, by a limit read from the histogram of all counts. The filter is
-broadcast; workers find a bigram's level by probing level after level until one is missing, and
-smooth (Witten-Bell) with the class's own probability:
-  P(w | h) = L(h) * count(h, w) / count(h) + (1 - L(h)) * P(class of w)
-A rare word's probability within its class is exact: its count is joined, not broadcast.
+Tokens are lower-cased words and one end token a text; the history of a text's first token is a begin
+token. Spark counts all training tokens and all pairs (history, token) by their 64-bit hashes; no pair
+is left out at any size. Pair counts are quantised, q = 1 + floor(log_BASE(count)), and a Bloom filter
+holds each pair once for each level 1 … q. The bits are dealt to SLOTS by the hash of the pair and
+sized from the counted entries, so the load is the same at all sizes. When they exceed BITS, they are
+cut by slot into several filters, each broadcast in turn for one scan of the texts; a token is scored
+in the scan of its pair's filter, and the sums of the scans are added.
 
-Base: sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))), exact for every token: the counts of
-FREQUENT words are broadcast, those of the others are joined.
+The model is a bigram model with a Dirichlet prior (MacKay and Peto) on the base,
+  P(w | h) = (c(h, w) + M P(w)) / (c(h) + M), M the mean number of followers of a history,
+so that log P(w | h) = log P(w) + log(M / (c(h) + M)) + log(1 + c(h, w) / (M P(w))). Only the last part
+belongs to a pair; it stands for the least count of the pair's level. A wrong probe (about one in
+forty) can only raise a level.
+
+Base: sum over tokens of log10(P(w)), P(w) = (c + 0.5) / (N + 0.5 (V + 1)), exact for every token: the
+counts of FREQUENT words are broadcast, those of the others are joined, in the base and in the model.
 
 Defined results: a null or empty text is its end token; without training tokens every token has
 probability 1 in the base and in the model; repeated rows are scored each (they are told apart by
@@ -21,9 +25,10 @@ where they were read); null ids are carried through and count as training rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,21 +37,25 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import fold, lists, settled, table, text_blocks
 from tidelog.llm.textkernels import Words, as_long, mix
 
-WORDS = 2000
+#: Words whose counts are broadcast.
 FREQUENT = 200_000
-BITS = 1 << 26
+
+#: Was the number of word classes. There are none now; a test still sets the name.
+WORDS = 0
+
+#: Most bits of one filter; it is broadcast to each worker.
+BITS = 1 << 30
+SLOTS = 1024
 PROBES = 4
 BASE = 1.5
 
-#: Most entries of the filter: then about one probe in forty is wrong.
-ENTRIES = BITS // 8
-
-#: Parts that build the filter; the bigrams are bounded by the classes, so few are enough.
-PARTS = 8
+#: Bits for each entry: then about one probe in forty is wrong.
+LOAD = 8
 CHUNK_BYTES = 1 << 16
 
-#: Stands for the end token among word hashes.
+#: Stand for the end token and for the begin of a text among word hashes.
 END = np.uint64(0x656E64206F662074)
+BEGIN = np.uint64(0x626567696E206F66)
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,29 +74,27 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(as_long(word)), pa.array(n)], ["word", "n"])
 
 
-class Classes:
-    """Class of each token hash: 0 … k-1 for the k listed words, then other, end and begin."""
+def _histories(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[first[:-1]] = BEGIN
+    return before
 
-    def __init__(self, words: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.number = words[order], np.arange(len(words))[order]
-        self.other, self.end, self.begin = len(words), len(words) + 1, len(words) + 2
-        self.n = len(words) + 3
 
-    def of(self, tokens: np.ndarray) -> np.ndarray:
-        out = np.full(len(tokens), self.other, dtype=np.int64)
-        if len(self.words):
-            place = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-            out = np.where(self.words[place] == tokens, self.number[place], self.other)
-        out[tokens == END] = self.end
-        return out
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a pair; both are hashes themselves."""
+    return (before << np.uint64(1) | before >> np.uint64(63)) ^ word
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)
 
-    def bigrams(self, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Code of (class before, class) for each token."""
-        before = np.empty_like(kind)
-        before[1:] = kind[:-1]
-        before[first[:-1]] = self.begin
-        return before * self.n + kind
+
+def _count_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_blocks(batches):
+        word, first = _tokens(batch.column("text").to_pylist())
+        code, n = np.unique(_pair(_histories(word, first), word), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(_slot(code).astype(np.int32)), pa.array(as_long(code)), pa.array(n.astype(np.int32))], ["slot", "code", "n"])
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -101,22 +108,40 @@ def meant(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, (low + high) / 2, 0.0)
 
 
-def _bits(codes: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Places in the filter, PROBES rows."""
+def lowest(q: np.ndarray) -> np.ndarray:
+    """The least count of a level; 0 for level 0."""
+    return np.where(q > 0, np.ceil(BASE ** (q - 1.0) - 1e-9), 0.0)
+
+
+def _bits(codes: np.ndarray, levels: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Places among so many bits, PROBES rows."""
     key = mix(codes.astype(np.uint64) * np.uint64(64) + levels.astype(np.uint64))
     a, b = key & np.uint64(0xFFFFFFFF), (key >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(a + np.uint64(k) * b) % np.uint64(BITS) for k in range(PROBES)])
+    return np.stack([(a + np.uint64(k) * b) % np.uint64(bits or BITS) for k in range(PROBES)])
 
 
 class LogFrequencyFilter:
-    def __init__(self, bits: np.ndarray, highest: int):
-        self.bits, self.highest = bits, highest
+    """Levels of the pairs whose slots are first … first + slots - 1; without slots, of all."""
+
+    def __init__(self, bits: np.ndarray, highest: int, first: int = 0, slots: int = 0):
+        self.bits, self.highest, self.first, self.slots = bits, highest, first, slots
+
+    def holds(self, codes: np.ndarray) -> np.ndarray:
+        """Whether the level of each code is this filter's to tell."""
+        slot = _slot(codes)
+        return (slot >= self.first) & (slot < self.first + self.slots)
+
+    def places(self, codes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        if not self.slots:
+            return _bits(codes, levels, 8 * len(self.bits))
+        width = 8 * len(self.bits) // self.slots
+        return (_slot(codes) - np.uint64(self.first)) * np.uint64(width) + _bits(codes, levels, width)
 
     def levels(self, codes: np.ndarray) -> np.ndarray:
         """Level of each code: probed upwards until a level is missing."""
         out, open_ = np.zeros(len(codes), dtype=np.int64), np.arange(len(codes))
         for q in range(1, self.highest + 1):
-            places = _bits(codes[open_], np.full(len(open_), q))
+            places = self.places(codes[open_], np.full(len(open_), q))
             held = np.ones(len(open_), dtype=bool)
             for row in places:
                 held &= (self.bits[row >> np.uint64(3)] >> (row & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -127,149 +152,145 @@ class LogFrequencyFilter:
         return out
 
 
-def _build(bigrams: DataFrame, least: int) -> np.ndarray:
-    """The filter of bigrams(code, n) with at least that count; only the filter itself is collected."""
+class Pairs(NamedTuple):
+    """Levels of all pairs(slot, code, q), and the bits that each slot needs."""
 
-    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(BITS // 8, dtype=np.uint8)
-        for batch in batches:
-            codes, q = batch.column("code").to_numpy(), level(batch.column("n").to_numpy())
-            every = np.repeat(codes, q)
-            levels = np.arange(len(every)) - np.repeat(np.cumsum(q) - q, q) + 1
-            for row in _bits(every, levels):
-                np.bitwise_or.at(held, (row >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (row & np.uint64(7)).astype(np.uint8)))
-        for k in range(0, len(held), CHUNK_BYTES):
-            if held[k : k + CHUNK_BYTES].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK_BYTES]), pa.array([held[k : k + CHUNK_BYTES].tobytes()])], ["chunk", "held"])
+    rows: DataFrame
+    width: int
+    highest: int
 
-    def united(rows: pd.DataFrame) -> pd.DataFrame:
-        held = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in rows["held"]])
-        return pd.DataFrame({"chunk": rows["chunk"][:1], "held": [held.tobytes()]})
+    def filters(self) -> Iterator[LogFrequencyFilter]:
+        """One after the other, each of at most BITS bits (of one slot's, if these are more)."""
+        many = max(1, min(SLOTS, BITS // self.width))
+        for first in range(0, SLOTS, many):
+            yield self._filter(first, min(many, SLOTS - first))
 
-    parts = bigrams.where(F.col("n") >= least).coalesce(PARTS).mapInArrow(partial, "chunk long, held binary")
-    bits = np.zeros(BITS // 8, dtype=np.uint8)
-    for r in parts.groupBy("chunk").applyInPandas(united, "chunk long, held binary").toLocalIterator():
-        bits[r.chunk * CHUNK_BYTES : (r.chunk + 1) * CHUNK_BYTES] = np.frombuffer(r.held, dtype=np.uint8)
-    return bits
+    def _filter(self, first: int, slots: int) -> LogFrequencyFilter:
+        size, highest = slots * self.width // 8, self.highest
+
+        def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = LogFrequencyFilter(np.zeros(size, dtype=np.uint8), highest, first, slots)
+            for batch in batches:
+                codes, q = batch.column("code").to_numpy().view(np.uint64), batch.column("q").to_numpy().astype(np.int64)
+                every = np.repeat(codes, q)
+                for row in own.places(every, np.arange(len(every)) - np.repeat(np.cumsum(q) - q, q) + 1):
+                    np.bitwise_or.at(own.bits, (row >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (row & np.uint64(7)).astype(np.uint8)))
+            for k in range(0, size, CHUNK_BYTES):
+                if own.bits[k : k + CHUNK_BYTES].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK_BYTES]), pa.array([own.bits[k : k + CHUNK_BYTES].tobytes()])], ["chunk", "held"])
+
+        # A slot lies in one file of the table, so few chunks come from several tasks.
+        wanted = self.rows.where((F.col("slot") >= first) & (F.col("slot") < first + slots)).select("code", "q")
+        bits = np.zeros(size, dtype=np.uint8)
+        for r in wanted.mapInArrow(partial, "chunk long, held binary").toLocalIterator():
+            bits[r.chunk * CHUNK_BYTES : (r.chunk + 1) * CHUNK_BYTES] |= np.frombuffer(r.held, dtype=np.uint8)
+        return LogFrequencyFilter(bits, highest, first, slots)
 
 
 class Model:
-    """All that is broadcast; its size is fixed by WORDS, FREQUENT and BITS."""
+    """All but the filters that is broadcast; its size is bounded by FREQUENT."""
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, tokens: int, types: int, ends: int):
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, tokens: int, types: int, ends: int, pairs: int):
         order = np.argsort(frequent)
         self.frequent, self.counts = frequent[order], counts[order]
-        self.tokens, self.types = tokens, types
-        self.classes = Classes(frequent[:WORDS])
-        own = np.append(counts[:WORDS], [0, ends, 0]).astype(np.float64)
-        share = (own + 0.5) / self.total
-        # What the listed words and the end leave over belongs to all other words, seen or not.
-        share[self.classes.other] = max(1 - share[: self.classes.other].sum() - share[self.classes.end], 0.5 / self.total)
-        self.share = share
-        self.trust, self.sums = np.zeros(self.classes.n), np.ones(self.classes.n)
-        self.filter = LogFrequencyFilter(np.zeros(BITS // 8, dtype=np.uint8), 0)
+        self.tokens, self.types, self.ends = tokens, types, ends
+        # The histories are all types but the end token, and the begin token.
+        self.prior = pairs / types if types else 1.0
 
     @property
     def total(self) -> float:
         return self.tokens + 0.5 * (self.types + 1)
 
     def count(self, tokens: np.ndarray) -> np.ndarray:
-        """Count of each token that is frequent, -1 for others."""
+        """Count of each token that is frequent or the end token, -1 for others."""
         if not len(self.frequent):
-            return np.full(len(tokens), -1)
+            return np.where(tokens == END, self.ends, -1)
         place = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
-        return np.where(self.frequent[place] == tokens, self.counts[place], -1)
+        return np.where(tokens == END, self.ends, np.where(self.frequent[place] == tokens, self.counts[place], -1))
+
+
+class Joined(NamedTuple):
+    """What scored() takes beside the model: the counts(word, n) of all words, and the pairs."""
 
-    def chances(self, codes: np.ndarray) -> np.ndarray:
-        """P(class | class before) of distinct bigram codes."""
-        before, kind = codes // self.classes.n, codes % self.classes.n
-        seen = np.minimum(meant(self.filter.levels(codes)) / self.sums[before], 1)
-        return self.trust[before] * seen + (1 - self.trust[before]) * self.share[kind]
+    counts: DataFrame
+    pairs: Pairs
 
 
-def train(docs: DataFrame, trained_on: Column) -> tuple[Model, DataFrame]:
-    """The model, and all counts(word, n) as a settled table."""
+def train(docs: DataFrame, trained_on: Column) -> tuple[Model, Joined]:
     rows = docs.where(trained_on).select("text")
     counts = settled(rows.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     end = int(END.astype(np.int64))
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("n"))), F.lit(0)).alias("ends")).first()
     top = counts.where(F.col("word") != end).orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow()
-    model = Model(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy(), size.tokens, size.types, size.ends)
-    if not size.tokens:
-        return model, counts
-    shared = docs.sparkSession.sparkContext.broadcast(model.classes)
+    q = (1 + F.floor(F.log(F.sum("n")) / np.log(BASE) + 1e-9)).cast("int")
+    pairs = settled(rows.mapInArrow(_count_pairs, "slot int, code long, n int").repartition("slot").groupBy("slot", "code").agg(q.alias("q")))
+    # One row for each slot, SLOTS at most.
+    slots = pairs.groupBy("slot").agg(F.sum("q").alias("entries"), F.max("q").alias("highest"), F.count("*").alias("pairs")).collect()
+    width = 64 * max([1, *(-(-r.entries * LOAD // 64) for r in slots)])
+    model = Model(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy(), size.tokens, size.types, size.ends, sum(r.pairs for r in slots))
+    return model, Joined(counts, Pairs(pairs, width, max([0, *(r.highest for r in slots)])))
 
-    def count_bigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches):
-            tokens, first = _tokens(batch.column("text").to_pylist())
-            code, n = np.unique(shared.value.bigrams(shared.value.of(tokens), first), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-
-    bigrams = settled(rows.mapInArrow(count_bigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    # By level: at most a few dozen rows.
-    step = (1 + F.floor(F.log(F.col("n")) / np.log(BASE) + 1e-9)).cast("long")
-    levels = sorted((r.level, r.least, r.n) for r in bigrams.groupBy(step.alias("level")).agg(F.min("n").alias("least"), F.count("*").alias("n")).collect())
-    entries, least = 0, levels[-1][1]
-    for q, lowest, n in reversed(levels):
-        entries += q * n
-        if entries > ENTRIES:
-            break
-        least = lowest
-    n = model.classes.n
-    values = F.floor(F.col("code") / n).alias("before")
-    low = F.ceil(F.pow(F.lit(BASE), step - 1.0) - 1e-9)
-    middle = (low + F.greatest(low, F.ceil(F.pow(F.lit(BASE), step * 1.0) - 1e-9) - 1)) / 2
-    # One row for each class, WORDS + 3 at most.
-    for r in bigrams.groupBy(values).agg(F.sum("n").alias("n"), F.count("*").alias("followers"), F.sum(F.when(F.col("n") >= least, middle)).alias("held")).collect():
-        model.trust[r.before] = r.n / (r.n + r.followers) if r.held else 0.0
-        model.sums[r.before] = max(r.held or 0.0, r.n)
-    model.filter = LogFrequencyFilter(_build(bigrams, least), levels[-1][0])
-    return model, counts
-
-
-_SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, model double, rare array<long>, times array<int>"
-
-
-def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+_SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, model double, rare array<long>, held array<int>, times array<int>"
+
+
+def _score(model, levels):
+    """Scores each text's tokens whose pairs are the filter's to tell. Tokens that are not frequent are
+    given out with the counts of their pairs."""
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = shared.value, TaskContext.get().partitionId() << 40
-        ends = model.share[model.classes.end]
+        own, filter_, row = model.value, levels.value, TaskContext.get().partitionId() << 40
         for batch in text_blocks(batches):
             tokens, first = _tokens(batch.column("text").to_pylist())
-            distinct, at = np.unique(tokens, return_inverse=True)
-            count, end = model.count(distinct), distinct == END
-            exact = np.where(end, np.log10(ends), np.log10((np.maximum(count, 0) + 0.5) / model.total))
-            known = np.where(end, model.tokens > 0, count > 0)
-            joined = (count < 0) & ~end
-            exact[joined] = 0
-            kind = model.classes.of(distinct)
-            # Within the shared class a word has its share of the class's probability.
-            inner = np.where(kind == model.classes.other, exact - np.log10(model.share[model.classes.other]), 0)
-            codes, code_at = np.unique(model.classes.bigrams(kind[at], first), return_inverse=True)
-            outer = np.log10(model.chances(codes))
+            _, once, at = np.unique(_pair(_histories(tokens, first), tokens), return_index=True, return_inverse=True)
+            word, before = tokens[once], _histories(tokens, first)[once]
+            codes = _pair(before, word)
+            mine = filter_.holds(codes)
+            held = np.zeros(len(codes))
+            held[mine] = lowest(filter_.levels(codes[mine]))
+            count = own.count(word)
+            joined = mine & (count < 0)
+            share = (np.maximum(count, 0) + 0.5) / own.total
+            scored = mine & (count >= 0)
+            exact = np.where(scored, np.log10(share), 0.0)
+            # Each word of a text is a history once. The end token is none, but the begin token is, and is as frequent.
+            alone = np.where(scored, np.log10(own.prior / (np.maximum(count, 0) + own.prior)), 0.0)
+            gain = np.where(scored, np.log10(1 + held / (own.prior * share)), 0.0)
             add = lambda x: np.add.reduceat(x, first[:-1])
-            of = np.repeat(np.arange(batch.num_rows), np.diff(first))[joined[at]]
-            pairs, times = np.unique(of * len(distinct) + at[joined[at]], return_counts=True)
-            per_text = np.bincount(pairs // len(distinct), minlength=batch.num_rows)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            both, times = np.unique(text[joined[at]] * len(codes) + at[joined[at]], return_counts=True)
+            per_text = np.bincount(both // len(codes), minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row + np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(np.diff(first)), pa.array(add(known[at].astype(np.int64))), pa.array(add(exact[at])), pa.array(add(inner[at]) + add(outer[code_at])),
-                    lists(as_long(distinct[pairs % len(distinct)]), per_text, pa.int64()), lists(times.astype(np.int32), per_text, pa.int32()),
+                    pa.array(row + np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(add(mine[at].astype(np.int64))), pa.array(add((scored & (count > 0))[at].astype(np.int64))), pa.array(add(exact[at])), pa.array(add((exact + alone + gain)[at])),
+                    lists(as_long(word[both % len(codes)]), per_text, pa.int64()), lists(held[both % len(codes)].astype(np.int32), per_text, pa.int32()), lists(times.astype(np.int32), per_text, pa.int32()),
                 ],
-                ["row", "doc_id", "n_tokens", "n_known", "base", "model", "rare", "times"],
+                ["row", "doc_id", "n_tokens", "n_known", "base", "model", "rare", "held", "times"],
             )
             row += batch.num_rows
 
-    found = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, _SCORED))
-    rare = found.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    sums = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(model.total))).alias("more"))
-    more = F.coalesce("more", F.lit(0.0))
-    return found.drop("rare", "times").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score")
+    return score
+
+
+def scored(docs: DataFrame, model: Model, joined: Joined) -> DataFrame:
+    """For each row of docs(doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    sc = docs.sparkSession.sparkContext
+    shared, texts, scans = sc.broadcast(model), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
+    for one in joined.pairs.filters():
+        levels = sc.broadcast(one)
+        scans.append(settled(texts.mapInArrow(_score(shared, levels), _SCORED)))
+        levels.unpersist()
+    found = reduce(DataFrame.unionByName, scans)
+    rare = found.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "held", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.held").alias("held"), F.col("x.times").alias("times"))
+    n, times, total, prior = F.coalesce("n", F.lit(0)), F.col("times"), F.lit(model.total), F.lit(model.prior)
+    exact, alone = F.log10((n + 0.5) / total), F.log10(prior / (n + prior))
+    gain = F.when(n > 0, F.log10(1 + F.col("held") * total / (prior * (n + 0.5)))).otherwise(0.0)
+    sums = rare.join(joined.counts, "word", "left").groupBy("row").agg(F.sum(F.when(n > 0, times).otherwise(0)).alias("more_known"), F.sum(times * exact).alias("more"), F.sum(times * (exact + alone + gain)).alias("more_model"))
+    whole = found.drop("rare", "held", "times")
+    if len(scans) > 1:
+        whole = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")))
+    return whole.join(sums, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("more_model", F.lit(0.0))).alias("score")
     )
 
 
