@@ -388,3 +388,15 @@ def test_decontamination_equals_brute_force(spark, most):
     assert spans[11] == "" and spans[8].split() == [*numbered("w", 120).split()[15:], "tail"] and len(spans) == docs.count()
     nothing = decontamination.contamination(docs, benchmark.where("false"), most)
     assert {len(r["items"]) for r in rows(nothing)} == {0}
+
+
+def test_decontamination_keeps_repeated_and_null_ids_apart_with_several_sets(spark):
+    benchmark = spark.createDataFrame([(1, numbered("w", 15)), (2, "ONE, two"), (3, numbered("v", 30))], "item_id long, text string")
+    same = [(None, "x " + numbered("w", 119)), (None, "y " + numbered("q", 119)), (11, "one three")]
+    docs = frame(spark, [*TEXTS, *same])
+
+    def found(most):
+        out = rows(decontamination.contamination(docs, benchmark, most))
+        return sorted((r["doc_id"] or -1, r["n_words"], sorted({x for s in r["spans"] for x in range(s["start"], s["end"])}), list(r["items"])) for r in out)
+
+    assert len(found(5)) == len(TEXTS) + len(same) and found(5) == found(10**6)

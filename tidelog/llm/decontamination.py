@@ -4,7 +4,7 @@ Benchmark texts are normalised to words (A-Z lowered; words are runs of 0-9, a-z
 beyond ASCII). Each run of 10 item words is a window; an item with fewer words, but at least one,
 is one window. Tasks hash every window of every document, look it up in the set, and compare the
 words of each hit in full. A broadcast set never holds more than MAX_WINDOWS windows: a larger
-benchmark is taken in several such sets, one scan each, and their hits are united.
+benchmark is taken in several such sets, one scan each, and each row carries its hits from scan to scan.
 
 Defined results: null or wordless documents have no hits; null or wordless items have no windows;
 items without an id are skipped; repeated items hit under each of their ids; an empty benchmark
@@ -99,15 +99,22 @@ def _spans(hit: np.ndarray) -> list[dict]:
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(shared) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(shared, last: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds what the set finds to the hits of the scans before; the last scan drops the text."""
+
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
             words = Words(batch.column("text").to_pylist(), "alnum")
-            hit, items = _found(words, shared.value)
-            spans = [_spans(hit[words.first[k] : words.first[k + 1]]) if k in items else [] for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(words.counts), pa.array(spans, _SPAN), pa.array([sorted(items.get(k, ())) for k in range(batch.num_rows)], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"]
-            )
+            hit, found = _found(words, shared.value)
+            spans = [_spans(hit[words.first[k] : words.first[k + 1]]) if k in found else [] for k in range(batch.num_rows)]
+            items = [sorted(found.get(k, ())) for k in range(batch.num_rows)]
+            if "spans" in batch.schema.names:
+                spans = [a + b for a, b in zip(batch.column("spans").to_pylist(), spans)]
+                items = [sorted({*a, *b}) for a, b in zip(batch.column("items").to_pylist(), items)]
+            columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(words.counts), "spans": pa.array(spans, _SPAN), "items": pa.array(items, pa.list_(pa.string()))}
+            if not last:
+                columns["text"] = batch.column("text")
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return scan
 
@@ -177,17 +184,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WINDOWS
     of words, end exclusive; merged within a set of windows), items found (sorted)."""
     schema = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [rows.mapInArrow(_scan(shared), schema) for shared in window_sets(benchmark, most)]
-    if not found:
-        empty = docs.sparkSession.sparkContext.broadcast(WindowSet([]))
-        return rows.mapInArrow(_scan(empty), schema)
-    if len(found) == 1:
-        return found[0]
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    united = hits.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return united
+    sets = list(window_sets(benchmark, most)) or [docs.sparkSession.sparkContext.broadcast(WindowSet([]))]
+    for shared in sets[:-1]:
+        rows = rows.mapInArrow(_scan(shared, False), f"{schema}, text string")
+    return rows.mapInArrow(_scan(sets[-1], True), schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", most: int = MAX_WINDOWS) -> DataFrame:
