@@ -105,6 +105,16 @@ def test_patches(spark):
     assert rollup.patched(entries, patches, budget=3).count() == 1
 
 
+def test_nearest_keeps_the_smallest_uris_of_equal_scores(spark):
+    rng = random.Random(5)
+    copy, query = [rng.gauss(0, 1) for _ in range(64)], [rng.gauss(0, 1) for _ in range(64)]
+    corpus = spark.createDataFrame([(f"u{k:03}", copy) for k in range(499, -1, -1)], "uri string, vector array<double>")
+    queries = spark.createDataFrame([(1, query), (2, [-x for x in query])], "query_id long, vector array<double>")
+    for parts in (1, 3):
+        found = retrieval.nearest(queries, corpus.coalesce(1) if parts == 1 else corpus.repartition(parts), 3).collect()
+        assert sorted((r.query_id, r.uri) for r in found) == [(q, u) for q in (1, 2) for u in ("u000", "u001", "u002")]
+
+
 def test_nearest_and_merge(spark):
     corpus = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(10)], "uri long, vector array<double>")
     queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<double>")
