@@ -141,6 +141,53 @@ def test_ngram_join_odd_rows(spark):
     assert rows(ngram_join.jaccard_components(frame(spark, EMPTY))) == []
 
 
+def links_of_rows(texts):
+    """(doc_id, set size, component) of each row, by comparing all pairs of rows."""
+    found = links(list(enumerate(t for _, t in texts)))
+    least = {}
+    for k, (_, root) in found.items():
+        if texts[k][0] is not None:
+            least[root] = min(texts[k][0], least.get(root, texts[k][0]))
+    return [(i, found[k][0], least.get(found[k][1], i) if found[k][0] else i) for k, (i, _) in enumerate(texts)]
+
+
+def by_row(found):
+    return sorted([-1 if x is None else x for x in r] for r in found)
+
+
+@pytest.mark.parametrize("block, frequent", [(512, 30), (4, 30), (4, -2)])
+def test_ngram_join_links_through_null_and_shared_ids(spark, monkeypatch, block, frequent):
+    # With small blocks, buckets of frequent and of other shingles are dealt into several.
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", frequent)
+    if block == 4:
+        monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+        monkeypatch.setattr(ngram_join, "CROWD", 2)
+        monkeypatch.setattr(ngram_join, "REMEMBERED", 3)
+    a, z, q = (numbered(x, 60).split() for x in "azq")
+    text = lambda w, k=0, new="n": " ".join([*w[k:], *(f"{new}{j}" for j in range(k))])
+    texts = [(1, text(q)), (2, text(q, 12)), (None, text(q, 6)), (7, text(a)), (7, text(z)), (9, text(a, 3)), (11, text(z, 3)), (None, text(z, 5, "m")), (None, None), (30, text(q[:3]))]
+    texts += [(40 + i, t) for i, t in near_copies(groups=3, copies=8)]
+    expected = links_of_rows(texts)
+    assert {c for i, _, c in expected if i in (1, 2)} == {1} and {c for i, _, c in expected if i == 11} == {7}
+    found = rows(ngram_join.jaccard_components(frame(spark, texts)))
+    assert by_row((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == by_row(expected)
+
+
+def test_near_dedup_judges_texts_of_one_id_apart(spark):
+    a, z = numbered("a", 60), numbered("z", 60)
+    docs = frame(spark, [(5, a), (7, a + " more"), (7, z), (9, z + " more"), (None, a + " end")])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in rows(ngram_join.near_dedup(docs))) == [(0, a + " end"), (5, a), (7, z)]
+
+
+def test_sets_that_share_a_key_stay_apart(spark, monkeypatch):
+    keys = ngram_join._keys
+    monkeypatch.setattr(ngram_join, "_keys", lambda own: (keys(own)[0] % 3, keys(own)[1]))
+    texts = near_copies(groups=2, copies=3)[:6]
+    found = rows(ngram_join.jaccard_components(frame(spark, texts)))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == links(texts)
+
+
 def test_rtree_finds_all_pairs_with_a_high_enough_bound():
     rng = np.random.default_rng(2)
     points = rng.integers(0, 5, (300, 16)).astype(np.int32)

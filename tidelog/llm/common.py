@@ -32,10 +32,12 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: in spark.checkpoint.dir, or in a
-    temporary folder of this machine where that setting is missing (tests, local use)."""
+    """A new folder that the driver and all executors see: in spark.checkpoint.dir. Where that setting
+    is missing, local mode takes a temporary folder of this machine; a cluster is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/tidelog-shared-{os.getuid()}"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -86,6 +88,22 @@ def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.hint("shuffle_hash"), "doc_id")
 
 
+def looked_up(rows: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key. When that table is small enough it is broadcast, so
+    rows of a frequent key stay where they are; beyond, adaptive execution splits such keys."""
+    few = settled(few)
+    return rows.join(F.broadcast(few) if few.count() <= MOST_BROADCAST_IDS else few, on, how)
+
+
+def of_ids_or_null(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is among ids, where a null among them stands for all rows without an id."""
+    ids = settled(ids.distinct())
+    named = ids.where("doc_id is not null")
+    few = ids.count() <= MOST_BROADCAST_IDS
+    found = docs.join(F.broadcast(named) if few else named.hint("shuffle_hash"), "doc_id", "left_semi")
+    return found if named.count() == ids.count() else found.unionByName(docs.where("doc_id is null"))
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id is not among ids; rows without an id stay."""
     ids = settled(ids)
