@@ -207,6 +207,27 @@ def test_count_vectors_survive_packing():
         assert (ngram_join.unpacked_vector(ngram_join.packed_vector(counts), len(own)) == counts).all() and counts.sum() == len(own)
 
 
+def test_small_units_give_the_pairs_of_the_tree():
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (30, 60, 64, 130, 500, 9000)]
+    sets = [np.unique(np.concatenate([b[: len(b) - k], rng.integers(0, 2**64, k, dtype=np.uint64)])) for b in base for k in (0, 2, 5, len(b) // 4)]
+    order = rng.permutation(len(sets))
+    sets = [sets[k] for k in order]
+    n, node = np.array([len(s) for s in sets]), np.arange(len(sets))
+    near, component = rng.random(len(sets)) < 0.7, rng.integers(0, 9, len(sets))
+    raw = [ngram_join.packed_vector(ngram_join.count_vector(s)) for s in sets]
+    starts, sizes = np.array([0, 3, 10, 12]), np.array([3, 7, 2, 12])
+    i, j, _ = ngram_join._small_units(starts, sizes, n, near, component, raw, False)
+    expected = set()
+    for a, size in zip(starts, sizes):
+        own = slice(a, a + size)
+        block = ngram_join.Block(node[own], n[own], near[own], component[own], raw[own])
+        for k in range(a, a + size):
+            found, _ = block.partners(int(n[k]), bool(near[k]), component[k], lambda k=k: block.vector(int(k - a)), False)
+            expected |= {tuple(sorted((k, int(node[own][x])))) for x in found}
+    assert set(zip(i.tolist(), j.tolist())) == expected and expected
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 130)] + [(5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -238,10 +259,9 @@ def test_exact_dedup_with_runs_over_task_borders(spark):
 # --- 5 substring dedup
 
 
-@pytest.mark.parametrize("batches, group", [(1, 500), (3, 1)])
-def test_substring_dedup_equals_brute_force(spark, monkeypatch, batches, group):
-    monkeypatch.setattr(substring_dedup, "DOCUMENTS_OF_GROUP", group)
-    monkeypatch.setattr(substring_dedup, "MOST_RUNS", 1)
+@pytest.mark.parametrize("batches, crowd", [(1, 500), (4, 500), (4, 3), (3, 0)])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, batches, crowd):
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     passage = numbered("p", 70)
     texts = dict(x for x in TEXTS if x[0])
     texts |= {200 + k: f"{numbered(f'a{k}x', 5 * k)} {passage if k % 2 else passage[:200]} {numbered(f'b{k}x', 30)}" for k in range(20)}
@@ -252,6 +272,25 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, batches, group):
     assert {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in rows(changed)} == {i: (len(words[i]) - len(w), " ".join(w)) for i, w in kept.items() if len(w) < len(words[i])}
 
 
+def test_substring_dedup_with_several_texts_under_one_id(spark):
+    p, q = numbered("p", 60), numbered("q", 55)
+    texts = [(7, p), (7, q + " " + p), (7, p), (9, "x " + q), (9, numbered("y", 70)), (12, p + " " + q + " z"), (None, p)]
+    facts, changed = substring_dedup.without_repeats(frame(spark, texts), 3)
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in rows(changed)) == [(9, 55, "x"), (12, 115, "z")]
+    assert len(rows(facts)) == len(texts)
+
+
+def test_fingerprint_index_over_batches_in_any_order(spark):
+    p = numbered("p", 60)
+    batches = [[(20, "a " + p)], [(5, p + " b")], [(30, p), (31, numbered("r", 80))], [(40, "c " + p + " d")], [(50, numbered("r", 80))]]
+    index, found, so_far = substring_dedup.FingerprintIndex(spark, buckets=3), [], []
+    for own in batches:
+        so_far += own
+        facts = substring_dedup.document_facts(frame(spark, own).select("doc_id", "text"))
+        found.append({r["doc_id"]: len(r["starts"]) for r in rows(substring_dedup.repeated_windows(index, facts, frame(spark, so_far).select("doc_id", "text")))})
+    assert found == [{}, {}, {30: 11}, {40: 11}, {50: 31}] and len(index.prints) <= substring_dedup.MOST_RUNS
+
+
 def test_substring_dedup_of_nothing(spark):
     facts, changed = substring_dedup.without_repeats(frame(spark, EMPTY))
     assert rows(facts) == [] and rows(changed) == []

@@ -2,26 +2,37 @@
 
 Every window of 50 consecutive words has a fingerprint: the least hash of the 8-word runs inside it.
 Equal windows have equal fingerprints, and neighbouring windows mostly share theirs, so a document
-gives about one fingerprint for each 22 words. The index holds (fingerprint, doc_id) in immutable
-runs sorted by fingerprint, one run for each batch of documents; when there are more than MOST_RUNS,
-they are merged into one. A batch is deduplicated in these steps:
-  1. its fingerprints are written as a new run and merged with the earlier runs by fingerprint:
-     those that a batch document shares with a smaller doc_id are candidates;
-  2. the texts that hold candidates, of the batch and of earlier batches, give the hashes of their
-     windows at these fingerprints, and only these;
-  3. rows of one fingerprint meet in order of doc_id, and a window whose hash was seen in a smaller
-     doc_id is a duplicate (verified over all its 50 words). The windows of a fingerprint that very
-     many documents share are dealt out further by window hash, so no task gets all of them.
+gives about one fingerprint for each 22 words. The index has two kinds of immutable runs, one of each
+for a batch of documents, bucketed and sorted by fingerprint:
+  fingerprint runs  (print, least, most, n): the smallest and the largest doc_id that hold a fingerprint,
+                    and how many texts do;
+  window runs       (print, doc_id, hashes): the windows at fingerprints that several documents hold,
+                    each under the smallest doc_id that has it.
+When there are MOST_RUNS of a kind, the next batch begins by compacting them into one. A batch is
+deduplicated in these steps:
+  1. its fingerprints become a run, which is merge-joined with the earlier runs, bucket by bucket:
+     those of its fingerprints that several documents hold are candidates;
+  2. the batch's texts with candidates, and earlier texts that alone held one until now, give the
+     hashes of their windows at these fingerprints; the windows of fingerprints that were shared
+     before come from the window runs, by a merge join;
+  3. a window whose hash a smaller doc_id has is a duplicate. The windows of one fingerprint meet in
+     one group; those of a fingerprint of more than CROWD documents are never brought together:
+     the smallest doc_id of each window is a combined minimum, joined back to the windows.
+Windows count as equal when their fingerprints and their 64-bit hashes over all 50 words are.
 Batches come in rising order of doc_id, so each document is judged when its batch is.
 
-Defined results: null, empty and short texts have no windows and stay whole; a row without an id
-has no smaller or larger id: it stays whole and removes nothing; repeated rows (same id, same text)
-get equal results; one doc_id is expected to stand for one text; an empty table gives no rows.
+Defined results: null, empty and short texts have no windows and stay whole; a very long text is one
+row of one task; a row without an id has no smaller or larger id: it stays whole and removes nothing;
+repeated rows (same id, same text) get equal results; of several texts under one id, none removes
+words of another, each is judged by its own words, and all of them count for larger ids; equal
+windows within one document stay (there are no other ties); columns beside doc_id and text are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,16 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import lists, of_ids, settled, shared_dir, table, text_blocks
+from tidelog.llm.common import lists, looked_up, of_ids, settled, shared_dir, table, text_blocks
 from tidelog.llm.textkernels import Words, as_long, sliding_min
 
 WIDTH = 50
 GRAM = 8
-MOST_RUNS = 4
-BATCHES = 2
+MOST_RUNS = 2
+BATCHES = 3
 
-#: Documents of one fingerprint that one group takes on; more are dealt out by window hash.
-DOCUMENTS_OF_GROUP = 500
+#: Documents of one fingerprint whose windows meet in one group.
+CROWD = 500
 
 
 def _least_grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +59,16 @@ def _least_grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, least[at]
 
 
+def _digest(text: str | None) -> str:
+    """SHA-256 of a text's words joined by one space."""
+    return hashlib.sha256(b" ".join((text or "").encode().split())).hexdigest()
+
+
+def _text_key(digest: str) -> int:
+    """Tells texts of one doc_id apart."""
+    return int.from_bytes(bytes.fromhex(digest[:16]), "big", signed=True)
+
+
 def _facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_blocks(batches):
         texts = batch.column("text").to_pylist()
@@ -62,170 +83,251 @@ def _facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(of), dtype=bool)
         new[1:] = (of[1:] != of[:-1]) | (least[1:] != least[:-1])
         of, least = of[new], least[new]
-        whole = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.counts), pa.array(whole), lists(as_long(least), np.bincount(of, minlength=len(texts)), pa.int64())], ["doc_id", "n_words", "whole_sha256", "prints"])
+        whole = [_digest(t) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([_text_key(x) for x in whole], pa.int64()), pa.array(words.counts), pa.array(whole), lists(as_long(least), np.bincount(of, minlength=len(texts)), pa.int64())],
+            ["doc_id", "text_key", "n_words", "whole_sha256", "prints"],
+        )
 
 
 def document_facts(docs: DataFrame) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, n_words, whole_sha256, prints (distinct fingerprints)."""
-    return docs.mapInArrow(_facts, "doc_id long, n_words long, whole_sha256 string, prints array<long>")
+    """For each row of docs(doc_id, text): doc_id, text_key, n_words, whole_sha256, prints (distinct fingerprints)."""
+    return docs.mapInArrow(_facts, "doc_id long, text_key long, n_words long, whole_sha256 string, prints array<long>")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (print, doc_id) in a folder that the whole cluster sees."""
+    """Immutable runs, bucketed and sorted by fingerprint, in a folder that the whole cluster sees."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    WINDOWS = "print long, doc_id long, hashes array<long>"
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None):
         self.spark, self.folder = spark, folder or shared_dir(spark)
-        self.runs: list[str] = []
-        self.written = 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.prints: list[str] = []
+        self.windows: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
-        self.written += 1
-        path = f"{self.folder}/run-{self.written:06d}"
-        rows.repartition("print").sortWithinPartitions("print", "doc_id").write.option("compression", "zstd").parquet(path)
-        return path
-
-    def add(self, facts: DataFrame) -> DataFrame:
-        """Writes a run of a batch's fingerprints and gives it back."""
-        rows = facts.where("doc_id is not null").select(F.explode("prints").alias("print"), "doc_id")
-        self.runs.append(self._write(rows))
-        run = self.read([self.runs[-1]])
-        if len(self.runs) > MOST_RUNS:
-            self.runs = [self._write(self.read(self.runs))]
-        return run
-
-    def read(self, runs: list[str] | None = None) -> DataFrame:
-        return self.spark.read.schema("print long, doc_id long").parquet(*(self.runs if runs is None else runs))
+        name = f"tidelog_run_{uuid.uuid4().hex}"
+        ordered = rows.repartition(self.buckets, "print").sortWithinPartitions("print")
+        ordered.write.format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{name}").bucketBy(self.buckets, "print").sortBy("print").saveAsTable(name)
+        return name
+
+    def add_prints(self, rows: DataFrame) -> DataFrame:
+        """Writes a run of rows(print, least, most, n) and gives it back with old_least, old_most and old_n
+        of the earlier runs, from a merge join with each."""
+        name = self._write(rows)
+        new, columns = self.spark.table(name), ("least", "most", "n")
+        old = {c: [F.lit(None).cast("long")] * 2 for c in columns}
+        for k, run in enumerate(self.prints):
+            new = new.hint("merge").join(self.spark.table(run).select("print", *(F.col(c).alias(f"{c}_{k}") for c in columns)), "print", "left")
+            for c in columns:
+                old[c].append(F.col(f"{c}_{k}"))
+        self.prints.append(name)
+        n = sum((F.coalesce(x, F.lit(0)) for x in old["n"]), F.lit(0).cast("long"))
+        return new.select("print", *columns, F.least(*old["least"]).alias("old_least"), F.greatest(*old["most"]).alias("old_most"), n.alias("old_n"))
+
+    def add_windows(self, rows: DataFrame) -> None:
+        self.windows.append(self._write(rows))
+
+    def compact(self) -> None:
+        """Merges runs into one of each kind when there are MOST_RUNS."""
+        if len(self.prints) >= MOST_RUNS:
+            self.prints = [self._write(self._united(self.prints).groupBy("print").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n")))]
+        if len(self.windows) >= MOST_RUNS:
+            self.windows = [self._write(self._united(self.windows))]
+
+    def forget(self) -> None:
+        """Takes the runs out of the session's catalog."""
+        for name in self.prints + self.windows:
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def _united(self, runs: list[str]) -> DataFrame:
+        rows = self.spark.table(runs[0])
+        for name in runs[1:]:
+            rows = rows.unionByName(self.spark.table(name))
+        return rows
+
+    def windows_at(self, prints: DataFrame) -> DataFrame:
+        """The rows (print, doc_id, hashes) of all window runs at prints(print)."""
+        out = self.spark.createDataFrame([], self.WINDOWS)
+        for name in self.windows:
+            out = out.unionByName(self.spark.table(name).hint("merge").join(prints, "print", "left_semi"))
+        return out
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window hashes of each text at its candidate fingerprints, a row for each stretch of windows
-    with one fingerprint and salt."""
+    """Window hashes of each text at its candidate fingerprints, a row for each fingerprint."""
     for batch in text_blocks(batches):
-        words = Words(batch.column("text").to_pylist(), "exact")
+        texts = batch.column("text").to_pylist()
+        words = Words(texts, "exact")
         at, least = _least_grams(words)
         if not len(at):
             continue
         hashes = words.window_hashes(WIDTH)[at]
         of = words.text_of_word()[at]
         first = np.searchsorted(of, np.arange(batch.num_rows + 1))
-        prints, salts, rows, starts, counts, taken = [], [], [], [], [], []
+        prints, rows, keys, starts, counts, taken = [], [], [], [], [], []
         for k, candidates in enumerate(batch.column("candidates").to_pylist()):
             own = least[first[k] : first[k + 1]].view(np.int64)
-            wanted = np.array([c["print"] for c in candidates], dtype=np.int64)
-            order = np.argsort(wanted)
-            wanted, parts = wanted[order], np.array([c["parts"] for c in candidates], dtype=np.uint64)[order]
+            wanted = np.sort(np.array(candidates, dtype=np.int64))
             place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
             found = np.flatnonzero(wanted[place] == own) if len(own) else np.zeros(0, dtype=np.int64)
             if not len(found):
                 continue
-            h = hashes[first[k] : first[k + 1]][found]
-            salt = (h >> np.uint64(8)) % parts[place[found]]
-            # Stretches of one fingerprint and salt; their windows need not be neighbours.
-            order = np.lexsort((found, salt, place[found]))
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(place[found][order]) != 0) | (np.diff(salt[order].astype(np.int64)) != 0)]))
-            prints.append(own[found][order][new])
-            salts.append(salt[order][new].astype(np.int64))
+            # The windows of one fingerprint need not be neighbours.
+            found = found[np.lexsort((found, place[found]))]
+            new = np.flatnonzero(np.concatenate([[True], np.diff(place[found]) != 0]))
+            prints.append(own[found][new])
             rows.append(np.full(len(new), k))
+            keys.append(np.full(len(new), _text_key(_digest(texts[k]))))
             counts.append(np.diff(np.append(new, len(found))))
-            starts.append((at[first[k] : first[k + 1]][found] - words.first[k])[order])
-            taken.append(h[order])
+            starts.append(at[first[k] : first[k + 1]][found] - words.first[k])
+            taken.append(hashes[first[k] : first[k + 1]][found])
         if rows:
-            n = np.concatenate(counts)
+            n, row = np.concatenate(counts), pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(prints)), pa.array(np.concatenate(salts).astype(np.int32)), batch.column("doc_id").take(pa.array(np.concatenate(rows))), batch.column("is_new").take(pa.array(np.concatenate(rows))), lists(np.concatenate(starts), n, pa.int32()), lists(as_long(np.concatenate(taken)), n, pa.int64())],
-                ["print", "salt", "doc_id", "is_new", "starts", "hashes"],
+                [pa.array(np.concatenate(prints)), batch.column("doc_id").take(row), pa.array(np.concatenate(keys)), batch.column("is_new").take(row), lists(np.concatenate(starts), n, pa.int32()), lists(as_long(np.concatenate(taken)), n, pa.int64())],
+                ["print", "doc_id", "text_key", "is_new", "starts", "hashes"],
             )
 
 
+_WINDOWS = "print long, doc_id long, text_key long, is_new boolean, starts array<int>, hashes array<long>"
+
+
 def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (print, salt, doc_id): word ranges of windows that a smaller doc_id holds.
-    Held are the distinct windows of one group."""
-    group, doc, seen, own = None, None, set(), set()
+    """Rows in order of (print, doc_id), at most CROWD documents a print; those without starts are from
+    the index. Gives the starts of a text's windows that a smaller doc_id holds, and, as rows with
+    hashes, the windows that the index lacks, under their smallest doc_id."""
+    group, doc, found = None, None, []
+    seen, held, own = set(), set(), set()  # of smaller documents; of this one, in the index and in its texts
+
+    def close() -> None:
+        if more := own - seen - held:
+            found.append((None, doc, None, group, sorted(more)))
+        seen.update(own, held)
+        own.clear()
+        held.clear()
+
     for batch in batches:
-        ids, lows, highs = [], [], []
-        columns = [batch.column(c).to_pylist() for c in ("print", "salt", "doc_id", "is_new", "starts", "hashes")]
-        for key, salt, doc_id, is_new, starts, hashes in zip(*columns):
-            if (key, salt) != group:
-                group, doc, seen, own = (key, salt), doc_id, set(), set()
-            elif doc_id != doc:
-                doc = doc_id
-                seen |= own
-                own = set()
+        columns = [batch.column(c).to_pylist() for c in ("print", "doc_id", "text_key", "is_new", "starts", "hashes")]
+        for key, doc_id, text_key, is_new, starts, hashes in zip(*columns):
+            if key != group or doc_id != doc:
+                close()
+                if key != group:
+                    seen.clear()
+                group, doc = key, doc_id
+            if starts is None:
+                held.update(hashes)
+                continue
             own.update(hashes)
             if is_new and seen:
-                last = None
-                for start, h in zip(starts, hashes):
-                    if h in seen:
-                        if last is not None and start <= highs[-1]:
-                            highs[-1] = start + WIDTH
-                        else:
-                            ids.append(doc_id)
-                            lows.append(start)
-                            highs.append(start + WIDTH)
-                        last = start
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], ["doc_id", "low", "high"])
-
-
-def repeated_ranges(index: FingerprintIndex, batch_facts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds a batch to the index and gives (doc_id, ranges) of its documents with repeated windows.
-    docs(doc_id, text) holds the texts of this and the earlier batches."""
-    earlier = list(index.runs)
-    new = index.add(batch_facts).select("print", "doc_id", F.lit(True).alias("is_new"))
-    everything = new if not earlier else new.unionByName(index.read(earlier).select("print", "doc_id", F.lit(False).alias("is_new")))
-    met = everything.groupBy("print").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("is_new"), F.col("doc_id"))).alias("most"), F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / DOCUMENTS_OF_GROUP).cast("long")
-    candidates = met.where(F.col("most") > F.col("least")).select("print", parts.alias("parts"))
-    wanted = everything.join(candidates, "print").groupBy("doc_id").agg(F.collect_set(F.struct("print", "parts")).alias("candidates"), F.max("is_new").alias("is_new"))
-    windows = of_ids(docs, wanted).mapInArrow(_windows, "print long, salt int, doc_id long, is_new boolean, starts array<int>, hashes array<long>")
-    ordered = windows.repartition("print", "salt").sortWithinPartitions("print", "salt", "doc_id")
-    ranges = ordered.mapInArrow(_repeats, "doc_id long, low int, high int")
-    return settled(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
-
-
-def _kept_words(words: list[bytes], ranges: list[dict]) -> list[bytes]:
+                again = [start for start, h in zip(starts, hashes) if h in seen]
+                if again:
+                    found.append((text_key, doc_id, again, None, None))
+        if found:
+            yield _found_rows(found)
+            found.clear()
+    close()
+    if found:
+        yield _found_rows(found)
+
+
+def _found_rows(found: list[tuple]) -> pa.RecordBatch:
+    keys, docs, starts, prints, hashes = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(prints, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "text_key", "starts", "print", "hashes"])
+
+
+def repeated_windows(index: FingerprintIndex, facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Adds a batch to the index and gives (doc_id, text_key, starts) of the windows of its documents
+    that a smaller doc_id holds. docs(doc_id, text) has the texts of this and the earlier batches."""
+    index.compact()
+    posts = facts.where("doc_id is not null").select("doc_id", F.explode("prints").alias("print"))
+    own = posts.groupBy("print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    shared = F.greatest("most", "old_most") > F.least("least", "old_least")
+    alone = F.coalesce(F.col("old_least") == F.col("old_most"), F.lit(False)).alias("alone")
+    met = settled(index.add_prints(own).where(shared).select("print", "old_least", "old_n", alone, (F.col("n") + F.col("old_n") > CROWD).alias("crowded")))
+
+    def texts(crowded: bool) -> DataFrame:
+        """Window rows of the texts at the candidates."""
+        candidates = met.where("crowded" if crowded else "not crowded")
+        new = (looked_up(posts, candidates.select("print"), "print") if crowded else posts.join(candidates.select("print"), "print")).select("doc_id", "print", F.lit(True).alias("is_new"))
+        lone = candidates.where("alone").select(F.col("old_least").alias("doc_id"), "print", F.lit(False).alias("is_new"))
+        wanted = new.unionByName(lone).groupBy("doc_id").agg(F.collect_set("print").alias("candidates"), F.max("is_new").alias("is_new"))
+        return of_ids(docs, wanted).mapInArrow(_windows, _WINDOWS)
+
+    def past(crowded: bool) -> DataFrame:
+        return index.windows_at(met.where("crowded" if crowded else "not crowded").where("old_n > 0 AND NOT alone").select("print"))
+
+    # Groups of few documents. A row of the index comes before the texts of its document.
+    history = past(False).select("print", "doc_id", F.lit(None).cast("long").alias("text_key"), F.lit(False).alias("is_new"), F.lit(None).cast("array<int>").alias("starts"), "hashes")
+    groups = texts(False).unionByName(history).repartition("print").sortWithinPartitions("print", "doc_id", F.col("starts").isNotNull())
+    few = settled(groups.mapInArrow(_repeats, "doc_id long, text_key long, starts array<int>, print long, hashes array<long>"))
+
+    # Large groups: the smallest doc_id of each window, joined back.
+    many = settled(texts(True).select("print", "doc_id", "text_key", "is_new", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select("print", "doc_id", "text_key", "is_new", F.col("x.starts").alias("start"), F.col("x.hashes").alias("hash")))
+    before = past(True).select("print", F.explode("hashes").alias("hash"), "doc_id", F.lit(True).alias("stored"))
+    least = settled(many.select("print", "hash", "doc_id", F.lit(False).alias("stored")).unionByName(before).groupBy("print", "hash").agg(F.min("doc_id").alias("least"), F.max("stored").alias("stored")))
+    again = looked_up(many.where("is_new"), least.select("print", "hash", "least"), ["print", "hash"]).where("doc_id > least").select("doc_id", "text_key", F.array("start").alias("starts"))
+
+    lacking = least.where("not stored").select("print", F.col("least").alias("doc_id"), F.array("hash").alias("hashes"))
+    index.add_windows(few.where("print is not null").select("print", "doc_id", "hashes").unionByName(lacking))
+    return settled(few.where("print is null").select("doc_id", "text_key", "starts").unionByName(again).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+
+
+def _kept_words(words: list[bytes], starts: list[int]) -> list[bytes]:
     cover = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(cover, [r["low"] for r in ranges], 1)
-    np.add.at(cover, [r["high"] for r in ranges], -1)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, np.asarray(starts) + WIDTH, -1)
     return [words[k] for k in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_blocks(batches):
-        out = []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
-            words = text.encode().split()
-            kept = _kept_words(words, ranges)
-            out.append((len(words) - len(kept), b" ".join(kept).decode()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], ["doc_id", "n_removed", "kept_text"])
+        ids, keys, removed, kept_texts = [], [], [], []
+        for doc_id, text, repeats in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("repeats").to_pylist()):
+            key = _text_key(_digest(text))
+            starts = [r["starts"] for r in repeats if r["text_key"] == key]
+            if starts:
+                words = text.encode().split()
+                kept = _kept_words(words, starts[0])
+                ids.append(doc_id)
+                keys.append(key)
+                removed.append(len(words) - len(kept))
+                kept_texts.append(b" ".join(kept).decode())
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_texts, pa.string())], ["doc_id", "text_key", "n_removed", "kept_text"])
 
 
 def without_repeats(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> tuple[DataFrame, DataFrame]:
-    """(facts, changed): a row of document_facts for each row of docs, and doc_id, n_removed and
-    kept_text for the documents that lose words."""
+    """(facts, changed): a row of document_facts for each row of docs, and doc_id, text_key, n_removed
+    and kept_text for the rows that lose words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = settled(document_facts(docs))
-    index = index or FingerprintIndex(docs.sparkSession)
+    kept_index, index = index, index or FingerprintIndex(docs.sparkSession)
     # Borders between batches: a few quantiles of the ids.
     borders = facts.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     borders = sorted(set(borders))
-    ranges = None
+    found = None
     for low, high in zip([None, *borders], [*borders, None]):
         own = facts if low is None else facts.where(F.col("doc_id") > low)
         so_far = docs
         if high is not None:
             own, so_far = own.where(F.col("doc_id") <= high), docs.where(F.col("doc_id") <= high)
-        found = repeated_ranges(index, own, so_far)
-        ranges = found if ranges is None else ranges.unionByName(found)
-    changed = of_ids(docs, ranges).mapInArrow(_remove, "doc_id long, n_removed long, kept_text string")
-    return facts, changed
+        repeats = repeated_windows(index, own, so_far)
+        found = repeats if found is None else found.unionByName(repeats)
+    if kept_index is None:
+        index.forget()
+    by_id = found.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "starts")).alias("repeats"))
+    return facts, of_ids(docs, by_id).mapInArrow(_remove, "doc_id long, text_key long, n_removed long, kept_text string")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, changed = without_repeats(table(spark, sf_dir, "documents"))
-    digest = changed.groupBy("doc_id").agg(F.first("n_removed").alias("n_removed"), F.first(F.sha2("kept_text", 256)).alias("changed_sha256"))
-    return facts.drop("prints").join(digest, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("changed_sha256", "whole_sha256").alias("kept_sha256"))
+    digest = changed.groupBy("doc_id", "text_key").agg(F.max("n_removed").alias("n_removed"), F.max(F.sha2("kept_text", 256)).alias("changed_sha256"))
+    told = facts.where("doc_id is not null").join(digest, ["doc_id", "text_key"], "left")
+    nameless = facts.where("doc_id is null").withColumns({"n_removed": F.lit(None).cast("long"), "changed_sha256": F.lit(None).cast("string")})
+    columns = ["doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("changed_sha256", "whole_sha256").alias("kept_sha256")]
+    return told.select(*columns).unionByName(nameless.select(*columns))
 
 
 OP5_SQL = r"""
