@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +23,13 @@ ERROR_CODE = r"\b[A-Z][A-Z_]{2,}\b"
 HTTP_ERROR = r"(?i)\bHTTP\s+[45]\d\d\b"
 TICKET = r"(?i)\b(?:#|ticket\s*[#:]?)\s*\d{2,}\b"
 MENTION = r"@(\w+)"
-TOOLS = tuple(
-    """docker redis postgres postgresql mongodb mysql sqlite nginx kubernetes k8s terraform ansible jenkins github gitlab jira linear slack grafana prometheus
-    datadog sentry webpack vite eslint prettier jest vitest mocha cypress playwright storybook figma vercel netlify aws gcp azure heroku cloudflare supabase
-    firebase stripe twilio sendgrid npm yarn pnpm node deno bun python rust go java typescript react vue angular svelte next nuxt express fastify django flask
-    rails spring openai gpt huggingface transformers langchain llamaindex""".split()
-)
+TOOLS = (
+    "docker", "redis", "postgres", "postgresql", "mongodb", "mysql", "sqlite", "nginx", "kubernetes", "k8s", "terraform", "ansible", "jenkins", "github",
+    "gitlab", "jira", "linear", "slack", "grafana", "prometheus", "datadog", "sentry", "webpack", "vite", "eslint", "prettier", "jest", "vitest", "mocha",
+    "cypress", "playwright", "storybook", "figma", "vercel", "netlify", "aws", "gcp", "azure", "heroku", "cloudflare", "supabase", "firebase", "stripe",
+    "twilio", "sendgrid", "npm", "yarn", "pnpm", "node", "deno", "bun", "python", "rust", "go", "java", "typescript", "react", "vue", "angular", "svelte",
+    "next", "nuxt", "express", "fastify", "django", "flask", "rails", "spring", "openai", "gpt", "huggingface", "transformers", "langchain", "llamaindex",
+)
 QUERY_STOP_WORDS = tuple(
     """a an the is are was were be been being have has had do does did will would could should may might shall can need dare ought used to of in for on with at
     by from as into through during before after above below between out off over under again further then once here there when where why how all both each few
@@ -44,8 +47,34 @@ _WORD = "[A-Za-z0-9_]"
 
 
 def ascii_bounds(pattern: str) -> str:
-    r"""The pattern with \b as the border of ASCII words; Java's own \b also sees letters beyond ASCII."""
-    return pattern.replace(r"\b", f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")
+    r"""The pattern with \b as the border of ASCII words; Java's own \b also sees letters beyond ASCII.
+    At the ends of a pattern that begins or ends with a word character one look to the side is enough."""
+    flags, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    head = tail = ""
+    if body.startswith(r"\b") and not body.startswith(r"\b(?:#"):
+        head, body = f"(?<!{_WORD})", body[2:]
+    if body.endswith(r"\b"):
+        body, tail = body[:-2], f"(?!{_WORD})"
+    return flags + head + body.replace(r"\b", f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))") + tail
+
+
+def _anchors(pattern: str) -> list[str]:
+    """Words of which a match holds one, in lower case: the first word of the pattern, or the longest of
+    each alternative that it begins with."""
+    body = re.sub(r"\\[bsw][+*]?", " ", pattern).strip()
+    if choice := re.match(r"\(\?:([^()]*)\)", body):
+        return [max(re.findall("[a-z]+", x), key=len) for x in choice[1].split("|")]
+    return re.findall("[a-z]+", body)[:1]
+
+
+def _where_likely(text: Column, pattern: str, value: Column) -> Column:
+    """value where the text holds an anchor of the pattern, else 0: a plain search is much cheaper than a
+    pattern, and the lowered text is shared by all patterns."""
+    low, (first, *more) = F.lower(text), _anchors(pattern)
+    held = F.contains(low, F.lit(first))
+    for word in more:
+        held = held | F.contains(low, F.lit(word))
+    return F.when(text.isNull(), None).when(held, value).otherwise(0)
 
 
 def token_estimate(text: Column) -> Column:
@@ -69,23 +98,25 @@ def light_entities(text: Column) -> Column:
     return F.array_distinct(F.transform(every, F.lower))
 
 
-def entities(text: Column) -> Column:
-    """Light entities without mentions, error codes, HTTP errors, ticket ids and known tools."""
+def entities(text: Column, vocabulary: tuple[str, ...] = TOOLS) -> Column:
+    """Light entities without mentions, error codes, HTTP errors, ticket ids and the vocabulary's terms."""
     codes = F.filter(found(text, ERROR_CODE), lambda x: F.length(x) >= 4)
     every = F.flatten(F.array(found(text, CAMEL_CASE), found(text, KEBAB_CASE), codes, found(text, HTTP_ERROR), found(text, TICKET)))
-    tools = F.filter(F.array(*map(F.lit, TOOLS)), lambda t: F.contains(F.lower(text), t))
+    # The text is lowered once, as an argument, not once for each term.
+    terms = F.array(*map(F.lit, vocabulary))
+    tools = F.transform(F.array(F.lower(text)), lambda low: F.filter(terms, lambda t: F.contains(low, t)))[0]
     return F.array_distinct(F.concat(F.transform(every, F.lower), tools))
 
 
 def decision_markers(text: Column) -> Column:
     """How often the decision patterns match."""
-    counts = [F.regexp_count(text, F.lit(ascii_bounds(f"(?i){p}"))) for p in DECISION_MARKERS]
+    counts = [_where_likely(text, p, F.regexp_count(text, F.lit(ascii_bounds(f"(?i){p}")))) for p in DECISION_MARKERS]
     return sum(counts[1:], counts[0]).cast("long")
 
 
 def supersession_markers(text: Column) -> Column:
     """How many of the supersession patterns match."""
-    held = [text.rlike(ascii_bounds(f"(?i){p}")).cast("int") for p in SUPERSESSION_MARKERS]
+    held = [_where_likely(text, p, text.rlike(ascii_bounds(f"(?i){p}")).cast("int")) for p in SUPERSESSION_MARKERS]
     return sum(held[1:], held[0]).cast("long")
 
 

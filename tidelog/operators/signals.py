@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidelog.functions import text
 
@@ -108,6 +107,3 @@ def carried_over(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
     """Candidates that the budget leaves for the next session."""
     return candidates.join(chosen.select("kind", "key"), ["kind", "key"], "left_anti")
 
-
-def rank_within(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

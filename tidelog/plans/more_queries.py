@@ -41,21 +41,6 @@ def t35_first_mention(spark, sf):
     return views.daily(spark, sf).select("doc_id", F.length(text.first_mention(C("text"), words)).cast("long").alias("n_chars"))
 
 
-def w3_applied_ops(spark, sf):
-    pages = views.wiki(spark, sf).where("doc_id % 4 <> 0").select("slug", "body", "sources", "updated")
-    ops = views.wiki(spark, sf).where("doc_id % 6 = 0").select("slug", F.when(C("doc_id") % 12 == 0, "append").otherwise("create").alias("op"), F.lit("more").alias("body"), F.array(F.lit("memory/x.md")).alias("sources"), F.lit("2030-01-01").cast("date").alias("on"))
-    found, refused = graph.applied_ops(pages, ops)
-    return found.select("slug", F.length("body").cast("long").alias("n_chars"), F.size("sources").cast("long").alias("n_sources"), C("updated").cast("string").alias("updated"), F.lit(False).alias("refused")).unionByName(refused.select("slug", F.lit(0).cast("long").alias("n_chars"), F.lit(0).cast("long").alias("n_sources"), F.lit(None).cast("string").alias("updated"), F.lit(True).alias("refused")))
-
-
-W3 = sql(
-    "v_wiki",
-    """SELECT slug, CASE WHEN doc_id % 4 = 0 THEN 4 WHEN doc_id % 6 = 0 THEN length(body) + 6 ELSE length(body) END AS n_chars, CASE WHEN doc_id % 4 = 0 THEN 1 WHEN doc_id % 6 = 0 THEN len(sources) + 1 ELSE len(sources) END AS n_sources,
-      CASE WHEN doc_id % 6 = 0 THEN '2030-01-01' ELSE CAST(updated AS VARCHAR) END AS updated, false AS refused FROM v_wiki WHERE doc_id % 4 <> 0 OR (doc_id % 6 = 0 AND doc_id % 12 <> 0)
-    UNION ALL SELECT slug, 0, 0, NULL, true FROM v_wiki WHERE doc_id % 12 = 0""",
-)
-
-
 def w10_lint_counts(spark, sf):
     pages = views.wiki(spark, sf).withColumn("name", F.when(C("doc_id") % 13 == 0, F.lit("Else")).otherwise(C("name"))).withColumn("category", F.when(C("doc_id") % 17 == 0, F.lit("odd")).when(C("doc_id") % 19 == 0, None).otherwise(C("category")))
     return graph.lint_counts(pages, views.WIKI_CATEGORIES)
@@ -86,15 +71,6 @@ def w13_trajectories(spark, sf):
 W13 = f"SELECT slug, sha256(string_agg(superseded_on || ': ' || fact, '; ' ORDER BY superseded_on, fact)) AS chronology_sha256, count(DISTINCT source) AS n_sources FROM {_FIRST} GROUP BY slug HAVING count(*) >= 2"
 
 
-def w17_migrated(spark, sf):
-    kinds = F.array(*map(F.lit, ("user", "feedback", "project", "reference")))
-    typed = views.wiki(spark, sf).select("slug", F.element_at(kinds, (C("doc_id") % 4 + 1).cast("int")).alias("kind"), F.when(C("doc_id") % 3 == 0, "none").otherwise(F.concat_ws(" ", "sources")).alias("text"))
-    return graph.migrated(typed).select("slug", "category", F.array_join("sources", ",").alias("sources"))
-
-
-W17 = sql("v_wiki", "SELECT slug, ['entity', 'concept', 'project', 'reference'][doc_id % 4 + 1] AS category, CASE WHEN doc_id % 3 = 0 THEN 'migration:' || slug ELSE array_to_string(sources, ',') END AS sources FROM v_wiki")
-
-
 def e16_boundary_rates(spark, sf):
     given = F.element_at(F.array(*map(F.lit, ("answer", "refuse", "partial"))), (C("correctness") % 3 + 1).cast("int"))
     found = evals.boundary_rates(views.verdicts(spark, sf).where("expected_disclosure IS NOT NULL").withColumn("given", given))
@@ -155,5 +131,5 @@ def e41_triage(spark, sf):
 
 E41 = sql("v_eval", f"SELECT count(*) AS n, round(avg(CAST(h = 0 AS INT)), 9) AS fabricated, round(avg(CAST(qa_id % 4 = 0 AND h > 0 AS INT)), 9) AS refused, round(avg(CAST(qa_id % 3 = 0 AS INT)), 9) AS only_summaries FROM {_FINAL} WHERE failed")
 
-QUERIES = {f.__name__: f for f in (t3_heading_chunks, t29_judge_scores, t35_first_mention, w3_applied_ops, w10_lint_counts, w12_first_supersessions, w13_trajectories, w17_migrated, e16_boundary_rates, e26_freshest_mentions, e30_generation_windows, e33_echo_days, e39_still_to_run, e41_triage)}
-ORACLE_SQL = {"t3_heading_chunks": T3, "t29_judge_scores": T29, "w3_applied_ops": W3, "w10_lint_counts": W10, "w12_first_supersessions": W12, "w13_trajectories": W13, "w17_migrated": W17, "e16_boundary_rates": E16, "e26_freshest_mentions": E26, "e30_generation_windows": E30, "e33_echo_days": E33, "e39_still_to_run": E39, "e41_triage": E41}
+QUERIES = {f.__name__: f for f in (t3_heading_chunks, t29_judge_scores, t35_first_mention, w10_lint_counts, w12_first_supersessions, w13_trajectories, e16_boundary_rates, e26_freshest_mentions, e30_generation_windows, e33_echo_days, e39_still_to_run, e41_triage)}
+ORACLE_SQL = {"t3_heading_chunks": T3, "t29_judge_scores": T29, "w10_lint_counts": W10, "w12_first_supersessions": W12, "w13_trajectories": W13, "e16_boundary_rates": E16, "e26_freshest_mentions": E26, "e30_generation_windows": E30, "e33_echo_days": E33, "e39_still_to_run": E39, "e41_triage": E41}

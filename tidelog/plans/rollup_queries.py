@@ -334,26 +334,5 @@ def w19_category_index(spark, sf):
 W19 = sql("v_wiki", "SELECT category, count(*) AS n_pages, CAST(sum(len(sources)) AS BIGINT) AS n_sources FROM v_wiki WHERE redirect_to IS NULL GROUP BY category")
 
 
-def w20_due_for_rebuild(spark, sf):
-    return graph.due_for_rebuild(views.wiki(spark, sf), views.daily(spark, sf))
-
-
-W20 = sql("v_wiki v_daily", "WITH e AS (SELECT slug, unnest(sources) AS uri FROM v_wiki WHERE redirect_to IS NULL AND len(sources) >= 3) SELECT slug, count(*) AS n_found, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM e JOIN v_daily USING (uri) GROUP BY slug")
-
-
-def w4_merged_pages(spark, sf):
-    pages = views.wiki(spark, sf).withColumn("redirect_to", F.lit(None).cast("string"))
-    merges = pages.where("doc_id % 10 = 3").select(C("slug").alias("src"), F.concat(F.lit("doc-"), (C("doc_id") - 1).cast("string")).alias("dst"))
-    return graph.merged_pages(pages, merges).select("slug", F.sha2("body", 256).alias("body_sha256"), F.size("sources").cast("long").alias("n_sources"), "redirect_to")
-
-
-W4 = sql(
-    "v_wiki",
-    """WITH m AS (SELECT *, 'doc-' || (doc_id - 1) AS dst FROM v_wiki WHERE doc_id % 10 = 3)
-    SELECT p.slug, CASE WHEN p.doc_id % 10 = 3 THEN sha256('') WHEN m.slug IS NULL THEN sha256(p.body) ELSE sha256(p.body || chr(10) || chr(10) || '<!-- merged from ' || m.slug || ' -->' || chr(10) || chr(10) || m.body) END AS body_sha256,
-      CAST(CASE WHEN p.doc_id % 10 = 3 THEN 0 WHEN m.slug IS NULL THEN len(p.sources) ELSE len(list_distinct(list_concat(p.sources, m.sources))) END AS BIGINT) AS n_sources, CASE WHEN p.doc_id % 10 = 3 THEN 'doc-' || (p.doc_id - 1) END AS redirect_to
-    FROM v_wiki p LEFT JOIN m ON m.dst = p.slug""",
-)
-
-QUERIES = {f.__name__: f for f in (a1_weekly_work, a2_monthly_work, a3_combined_text, a4_salience, a5_uniform, a6_parent_vectors, a14_expected_pointers, a15_counts, r1_nearest, r2_bm25, r3_hybrid, r8_catalog, r11_expansion, r14_rerank, r18_merged, r19_top_k, r22_packed_pages, r26_edge_markers, r28_best_days, w1_stubs, w4_merged_pages, w6_redirects, w7_broken_links, w8_orphans, w9_stale_pages, w11_contradictions, w15_rename_candidates, w19_category_index, w20_due_for_rebuild)}
-ORACLE_SQL = {"a1_weekly_work": A1, "a2_monthly_work": A2, "a3_combined_text": A3, "a4_salience": A4, "a5_uniform": A5, "a6_parent_vectors": A6, "a14_expected_pointers": A14, "a15_counts": A15, "r1_nearest": R1, "r2_bm25": R2, "r3_hybrid": R3, "r8_catalog": R8, "r11_expansion": R11, "r14_rerank": R14, "r18_merged": R18, "r19_top_k": R19, "r22_packed_pages": R22, "r26_edge_markers": R26, "r28_best_days": R28, "w1_stubs": W1, "w4_merged_pages": W4, "w6_redirects": W6, "w7_broken_links": W7, "w8_orphans": W8, "w9_stale_pages": W9, "w11_contradictions": W11, "w15_rename_candidates": W15, "w19_category_index": W19, "w20_due_for_rebuild": W20}
+QUERIES = {f.__name__: f for f in (a1_weekly_work, a2_monthly_work, a3_combined_text, a4_salience, a5_uniform, a6_parent_vectors, a14_expected_pointers, a15_counts, r1_nearest, r2_bm25, r3_hybrid, r8_catalog, r11_expansion, r14_rerank, r18_merged, r19_top_k, r22_packed_pages, r26_edge_markers, r28_best_days, w1_stubs, w6_redirects, w7_broken_links, w8_orphans, w9_stale_pages, w11_contradictions, w15_rename_candidates, w19_category_index)}
+ORACLE_SQL = {"a1_weekly_work": A1, "a2_monthly_work": A2, "a3_combined_text": A3, "a4_salience": A4, "a5_uniform": A5, "a6_parent_vectors": A6, "a14_expected_pointers": A14, "a15_counts": A15, "r1_nearest": R1, "r2_bm25": R2, "r3_hybrid": R3, "r8_catalog": R8, "r11_expansion": R11, "r14_rerank": R14, "r18_merged": R18, "r19_top_k": R19, "r22_packed_pages": R22, "r26_edge_markers": R26, "r28_best_days": R28, "w1_stubs": W1, "w6_redirects": W6, "w7_broken_links": W7, "w8_orphans": W8, "w9_stale_pages": W9, "w11_contradictions": W11, "w15_rename_candidates": W15, "w19_category_index": W19}

@@ -19,8 +19,8 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _as_of(spark, sf):
-    """The latest day of the notes, as a one-row table beside every row."""
-    return F.broadcast(signals.reference_date(views.daily(spark, sf)))
+    """The latest day of the notes, as a scalar subquery: bounds on dates filter before texts are read."""
+    return signals.reference_date(views.daily(spark, sf)).scalar()
 
 
 def g1_reference_date(spark, sf):
@@ -56,9 +56,12 @@ _BEST = "WITH b AS (SELECT event_id, ts, lower(trim(query)) AS query, max(score)
 G4 = sql("v_hits", _BEST + " SELECT query, n, round(mean_best, 9) AS mean_best, strftime(last_asked, '%Y-%m-%d %H:%M:%S') AS last_asked, round(least(1.0, n / 5) * (1 - mean_best), 9) AS score FROM q WHERE mean_best < 0.3 AND n >= 2")
 
 
+def _covered(spark, sf):
+    return views.table(spark, sf, "nation").select(F.lower("n_name").alias("entity"))
+
+
 def g5_recurring_entities(spark, sf):
-    covered = views.table(spark, sf, "nation").select(F.lower("n_name").alias("entity"))
-    return _round(signals.recurring_entities(views.daily(spark, sf), covered), "score")
+    return _round(signals.recurring_entities(views.daily(spark, sf), _covered(spark, sf)), "score")
 
 
 G5 = sql(
@@ -75,8 +78,7 @@ def _items(spark, sf):
 
 
 def g6_staleness(spark, sf):
-    items = _items(spark, sf).crossJoin(_as_of(spark, sf))
-    return _round(signals.stale_items(items, C("as_of")).withColumn("days_old", C("days_old").cast("long")), "score")
+    return _round(signals.stale_items(_items(spark, sf), _as_of(spark, sf)).withColumn("days_old", C("days_old").cast("long")), "score")
 
 
 _G6 = """WITH a AS (SELECT slug AS uri, CAST(datediff('day', updated, (SELECT max(updated) FROM v_wiki)) AS BIGINT) AS days_old FROM v_wiki WHERE category IN ('project', 'reference'))
@@ -85,8 +87,7 @@ G6 = sql("v_wiki", _G6)
 
 
 def g7_supersession(spark, sf):
-    notes = views.daily(spark, sf).crossJoin(_as_of(spark, sf))
-    return _round(signals.superseding_notes(notes, C("as_of")), "score")
+    return _round(signals.superseding_notes(views.daily(spark, sf), _as_of(spark, sf)), "score")
 
 
 G7 = sql(
@@ -114,13 +115,14 @@ G8 = f"""WITH e AS (SELECT p_partkey AS entry_id, ['click', 'error', 'purchase',
 
 
 def _candidates(spark, sf):
-    notes = views.daily(spark, sf).crossJoin(_as_of(spark, sf))
-    items = _items(spark, sf).crossJoin(_as_of(spark, sf))
+    notes, as_of = views.daily(spark, sf), _as_of(spark, sf)
     return signals.weighted_union(
         hit_frequency=signals.hit_frequency(views.hits(spark, sf)).withColumnRenamed("uri", "key"),
         gap=signals.gaps(views.search_log(spark, sf)).withColumnRenamed("query", "key"),
-        staleness=signals.stale_items(items, C("as_of")).withColumnRenamed("uri", "key"),
-        supersession=signals.superseding_notes(notes, C("as_of")).withColumnRenamed("uri", "key"),
+        entity=signals.recurring_entities(notes, _covered(spark, sf)).withColumnRenamed("entity", "key"),
+        staleness=signals.stale_items(_items(spark, sf), as_of).withColumnRenamed("uri", "key"),
+        wisdom_drift=g8_wisdom_drift(spark, sf).select(C("entry_id").cast("string").alias("key"), "score"),
+        supersession=signals.superseding_notes(notes, as_of).withColumnRenamed("uri", "key"),
     )
 
 
@@ -136,6 +138,8 @@ _G9 = f"""WITH c AS (SELECT uri, count(*) AS n_hits, count(DISTINCT query) AS n_
   every AS (SELECT 'hit_frequency' AS kind, uri AS key, 0.25 * score AS score FROM f WHERE score > 0.2
     UNION ALL SELECT 'gap', query, 0.2 * least(1.0, n / 5) * (1 - mean_best) FROM q WHERE mean_best < 0.3 AND n >= 2
     UNION ALL SELECT 'staleness', slug, 0.15 * least(1.0, age / 180.0) FROM a WHERE age > 90
+    UNION ALL SELECT 'entity', entity, 0.15 * score FROM ({G5})
+    UNION ALL SELECT 'wisdom_drift', CAST(entry_id AS VARCHAR), 0.25 * score FROM ({G8})
     UNION ALL SELECT 'supersession', uri, 0.15 * least(1.0, n / 3) * greatest(0.5, 1 - age / 60.0) FROM m WHERE n > 0 AND age <= 30)
   SELECT kind, key, round(score, 9) AS score FROM every"""
 G9 = sql("v_hits v_daily v_wiki", _G9)
@@ -148,6 +152,15 @@ def g10_session_budget(spark, sf):
 G10 = f"SELECT * FROM ({G9}) ORDER BY score DESC, kind, key LIMIT 20"
 
 
+def g10_carried_over(spark, sf):
+    """What the budget leaves for the next session."""
+    every = _round(_candidates(spark, sf), "score")
+    return signals.carried_over(every, signals.session_budget(every))
+
+
+G10_REST = f"SELECT * FROM ({G9}) ORDER BY score DESC, kind, key OFFSET 20"
+
+
 def g11_page_hits(spark, sf):
     hits = signals.page_hits(views.search_log(spark, sf), C("uri").like("memory/2024-0%"))
     return _round(hits, "best_score").withColumn("last_hit", F.date_format("last_hit", "yyyy-MM-dd HH:mm:ss"))
@@ -184,5 +197,5 @@ G18 = sql(
     SELECT CAST(n.week AS VARCHAR) AS week, n_notes, coalesce(q.n, 0) AS n_searches, coalesce(q.n, 0) < 3 AS quiet FROM n LEFT JOIN q USING (week) WHERE n.week NOT IN (SELECT week FROM s)""",
 )
 
-QUERIES = {f.__name__: f for f in (g1_reference_date, g2_log_window, g3_hit_frequency, g4_gaps, g5_recurring_entities, g6_staleness, g7_supersession, g8_wisdom_drift, g9_weighted_union, g10_session_budget, g11_page_hits, g12_gap_records, g13_log_status, g18_temporal_gaps)}
-ORACLE_SQL = {"g1_reference_date": G1, "g2_log_window": G2, "g3_hit_frequency": G3, "g4_gaps": G4, "g5_recurring_entities": G5, "g6_staleness": G6, "g7_supersession": G7, "g8_wisdom_drift": G8, "g9_weighted_union": G9, "g10_session_budget": G10, "g11_page_hits": G11, "g12_gap_records": G12, "g13_log_status": G13, "g18_temporal_gaps": G18}
+QUERIES = {f.__name__: f for f in (g1_reference_date, g2_log_window, g3_hit_frequency, g4_gaps, g5_recurring_entities, g6_staleness, g7_supersession, g8_wisdom_drift, g9_weighted_union, g10_session_budget, g10_carried_over, g11_page_hits, g12_gap_records, g13_log_status, g18_temporal_gaps)}
+ORACLE_SQL = {"g1_reference_date": G1, "g2_log_window": G2, "g3_hit_frequency": G3, "g4_gaps": G4, "g5_recurring_entities": G5, "g6_staleness": G6, "g7_supersession": G7, "g8_wisdom_drift": G8, "g9_weighted_union": G9, "g10_session_budget": G10, "g10_carried_over": G10_REST, "g11_page_hits": G11, "g12_gap_records": G12, "g13_log_status": G13, "g18_temporal_gaps": G18}

@@ -50,8 +50,8 @@ def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RANGES = (30, 60, 90, 120, 180)
 
-#: The ten categories and three difficulties of graded questions, in the order of the grid.
-CATEGORIES = ("factual-recall", "temporal-reasoning", "decision-tracking", "contradiction-resolution", "cross-reference", "recency-bias-resistance", "synthesis", "negative-recall", "group-session-attribution", "information-boundary")
+#: Names of the ten categories and three difficulties of graded questions, in the order of the grid.
+CATEGORIES = ("plain-facts", "temporal-reasoning", "decision-tracking", "contradiction-resolution", "cross-reference", "recency-bias-resistance", "synthesis", "absent-facts", "group-session-attribution", "information-boundary")
 DIFFICULTIES = ("easy", "medium", "hard")
 
 
