@@ -59,6 +59,17 @@ def calendar_date(epoch: Column, day_number: Column) -> Column:
     return F.date_add(epoch, day_number - 1)
 
 
+def with_dates(text: Column, epoch: Column) -> Column:
+    """The text with the date of day N in place of each `day N`; the words before it stay."""
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)\bday\s+(\d+)\b"), F.lit(1)))
+    return F.aggregate(numbers, text, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?i)\bday\s+"), n, F.lit(r"\b")), calendar_date(epoch, n.cast("int")).cast("string")))
+
+
+def range_series(start: Column, end: Column, step: Column) -> Column:
+    """Days of the ranges from start to end, step by step; the end always closes the series."""
+    return F.array_union(F.sequence(start, end, step), F.array(end))
+
+
 def range_days(label: Column) -> Column:
     """Days of `Nd`, `Nmo` (30 each), `Ny` (365 each) and `full` (null: no limit)."""
     n = F.regexp_extract(label, r"^(\d+)(d|mo|y)$", 1).try_cast("int")
@@ -88,6 +99,7 @@ def temporal_references(queries: DataFrame, now: Column) -> DataFrame:
         return F.regexp_extract(F.col("m"), pattern, k)
 
     num = lambda x: x.try_cast("int")
+    # The patterns of time references, in the order in which they count.
     named_day = rf"(?i)\b({_MONTH})\s+(\d{{1,2}}),?\s+(\d{{4}})\b"
     iso_day = r"\b(\d{4})-(\d{2})-(\d{2})\b"
     named_month = rf"(?i)\b({_MONTH})\s+(\d{{4}})\b"

@@ -44,14 +44,23 @@ R17 = sql(
 
 def r21_second_stage(spark, sf):
     hits = _best(spark, sf)
-    rescored = hits.where("query_id NOT LIKE 'error%'").withColumn("new_score", F.crc32(C("uri").cast("binary")).cast("double") % 997)
-    return retrieval.top(retrieval.second_stage(hits, rescored), 25, C("place")).select("query_id", "uri", C("place").cast("long").alias("place"))
+    day = F.dayofmonth(F.regexp_extract("uri", r"\d{4}-\d{2}-\d{2}", 0).cast("date"))
+    rescored = hits.where("query_id NOT LIKE 'error%'").withColumn("new_score", (day * 7 % 31).cast("double"))
+    pinned = hits.where("query_id LIKE '%7'").select("query_id").distinct()
+    return retrieval.second_stage(hits, rescored, pinned=pinned).select("query_id", "uri", C("place").cast("long").alias("place"))
+
+
+R21 = sql(
+    "v_hits",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri) AS rank FROM {_BEST})
+    SELECT query_id, uri, row_number() OVER (PARTITION BY query_id ORDER BY rank > 20, CASE WHEN rank <= 20 AND query_id NOT LIKE 'error%' AND query_id NOT LIKE '%7' THEN -(day(CAST(regexp_extract(uri, '[0-9-]{{10}}') AS DATE)) * 7 % 31) END NULLS FIRST, rank) AS place FROM r""",
+)
 
 
 def r27_timeline(spark, sf):
     pages = views.wiki(spark, sf)
     queries = views.qa(spark, sf).select(C("qa_id").alias("query_id"))
-    page_hits = queries.join(pages, F.pmod(C("doc_id"), F.lit(40)) == C("query_id")).select("query_id", C("slug").alias("uri"), (C("doc_id") % 83).cast("double").alias("score"))
+    page_hits = queries.join(pages, F.pmod(C("doc_id"), F.lit(40)) == C("query_id") % 40).select("query_id", C("slug").alias("uri"), (C("doc_id") % 83).cast("double").alias("score"))
     sources = pages.select("slug", F.explode("sources").alias("source"))
     daily = queries.join(views.daily(spark, sf), F.pmod(C("doc_id"), F.lit(20)) == C("query_id") % 20).select("query_id", "uri", C("mem_date").alias("date"), F.lit(1.0).alias("score"))
     return retrieval.timeline(page_hits, sources, daily).select("query_id", "uri")
@@ -59,7 +68,7 @@ def r27_timeline(spark, sf):
 
 R27 = sql(
     "v_wiki v_daily",
-    """WITH h AS (SELECT item_id AS query_id, slug, sources, doc_id % 83 AS score FROM benchmark JOIN v_wiki ON doc_id % 40 = item_id QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id % 83 DESC, slug) <= 5),
+    """WITH h AS (SELECT item_id AS query_id, slug, sources, doc_id % 83 AS score FROM benchmark JOIN v_wiki ON doc_id % 40 = item_id % 40 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id % 83 DESC, slug) <= 5),
     c AS (SELECT DISTINCT query_id, unnest(sources) AS uri FROM h), d AS (SELECT item_id AS query_id, uri, mem_date FROM benchmark JOIN v_daily ON doc_id % 20 = item_id % 20),
     m AS (SELECT d.*, c.uri IS NOT NULL AS cited, bool_or(c.uri IS NOT NULL) OVER (PARTITION BY d.query_id) AS any_cited FROM d LEFT JOIN c ON d.query_id = c.query_id AND d.uri = c.uri)
     SELECT query_id, uri FROM m WHERE cited OR NOT any_cited QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY mem_date, uri) <= 12""",
@@ -67,8 +76,7 @@ R27 = sql(
 
 
 def r29_context(spark, sf):
-    hits = _best(spark, sf).join(views.daily(spark, sf).select("uri", "text"), "uri")
-    found = retrieval.assembled_context(hits)
+    found = retrieval.assembled_context(_best(spark, sf), views.daily(spark, sf).select("uri", "text"))
     return found.select("query_id", F.sha2("context", 256).alias("context_sha256"), C("n_hits").cast("long").alias("n_hits"))
 
 
@@ -96,4 +104,4 @@ def a13_promotions(spark, sf):
 A13 = "SELECT CASE WHEN doc_id % 7 = 0 THEN 'DOC-' ELSE 'doc-' END || doc_id AS slug, concat_ws(',', CASE WHEN doc_id % 7 = 0 THEN 'slug' END, CASE WHEN doc_id % 5 = 0 THEN 'category' END, CASE WHEN doc_id % 11 = 0 THEN 'body' END) AS problems FROM documents"
 
 QUERIES = {f.__name__: f for f in (r13_catalog_boost, r17_recent_summaries, r21_second_stage, r27_timeline, r29_context, a10_completions, a13_promotions)}
-ORACLE_SQL = {"r13_catalog_boost": R13, "r17_recent_summaries": R17, "r27_timeline": R27, "r29_context": R29, "a10_completions": A10, "a13_promotions": A13}
+ORACLE_SQL = {"r13_catalog_boost": R13, "r17_recent_summaries": R17, "r21_second_stage": R21, "r27_timeline": R27, "r29_context": R29, "a10_completions": A10, "a13_promotions": A13}

@@ -13,16 +13,22 @@ from tidelog.sources.views import sql
 C = F.col
 
 
+_SECTIONS = "\n\n## Follow-up\nfirst line\n\nsecond\n### Small\nend"
+
+
 def t3_heading_chunks(spark, sf):
-    chunks = views.daily(spark, sf).select("doc_id", F.posexplode(text.heading_chunks(C("text"))).alias("chunk_id", "c"))
+    """Whole notes with two more headings behind them."""
+    chunks = views.daily(spark, sf).select("doc_id", F.posexplode(text.heading_chunks(F.concat("text", F.lit(_SECTIONS)))).alias("chunk_id", "c"))
     return chunks.select("doc_id", C("chunk_id").cast("long").alias("chunk_id"), F.sha2("c.text", 256).alias("text_sha256"), C("c.start_line").cast("long").alias("start_line"), C("c.end_line").cast("long").alias("end_line"))
 
 
 T3 = sql(
     "v_daily",
-    """WITH l AS (SELECT *, len(string_split(text, chr(10))) - 1 AS last, position(chr(10) || chr(10) IN text) AS cut FROM v_daily)
-    SELECT doc_id, 0 AS chunk_id, CASE WHEN length(text) <= 2048 THEN sha256(trim(text, ' ' || chr(10) || chr(9) || chr(13))) ELSE sha256(substr(text, 1, cut - 1)) END AS text_sha256, 0 AS start_line, CASE WHEN length(text) <= 2048 THEN last ELSE 1 END AS end_line FROM l
-    UNION ALL SELECT doc_id, 1, sha256(trim(substr(text, cut + 2), ' ' || chr(10) || chr(9) || chr(13))), 2, last FROM l WHERE length(text) > 2048""",
+    """WITH l AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS n, position(chr(10) || chr(10) IN text) AS cut, length(text) <= 2047 AS whole FROM v_daily)
+    SELECT doc_id, 0 AS chunk_id, CASE WHEN whole THEN sha256(trim(text, ' ' || chr(10) || chr(9) || chr(13))) ELSE sha256(substr(text, 1, cut - 1)) END AS text_sha256, 0 AS start_line, CASE WHEN whole THEN n ELSE 1 END AS end_line FROM l
+    UNION ALL SELECT doc_id, 1, sha256(trim(substr(text, cut + 2), ' ' || chr(10) || chr(9) || chr(13))), 2, n FROM l WHERE NOT whole
+    UNION ALL SELECT doc_id, CASE WHEN whole THEN 1 ELSE 2 END, sha256('## Follow-up' || chr(10) || 'first line' || chr(10) || chr(10) || 'second'), n + 1, n + 4 FROM l
+    UNION ALL SELECT doc_id, CASE WHEN whole THEN 2 ELSE 3 END, sha256('### Small' || chr(10) || 'end'), n + 5, n + 6 FROM l""",
 )
 
 
@@ -38,7 +44,15 @@ T29 = """SELECT o_orderkey, CASE WHEN ok THEN CAST(o_orderkey % 5 AS INT) END AS
 
 def t35_first_mention(spark, sf):
     words = F.array(F.lit("decided"), F.lit("budget"))
-    return views.daily(spark, sf).select("doc_id", F.length(text.first_mention(C("text"), words)).cast("long").alias("n_chars"))
+    return views.daily(spark, sf).select("doc_id", F.sha2(text.first_mention(C("text"), words), 256).alias("sentence_sha256"))
+
+
+# RE2 looks at nothing behind a match: borders are marked first.
+T35 = sql(
+    "v_daily",
+    r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: contains(lower(x), 'decided') OR contains(lower(x), 'budget'))[1] AS x FROM v_daily)
+    SELECT doc_id, sha256(CASE WHEN length(x) > 120 THEN substr(x, 1, 117) || '...' ELSE x END) AS sentence_sha256 FROM s""",
+)
 
 
 def w10_lint_counts(spark, sf):
@@ -132,4 +146,4 @@ def e41_triage(spark, sf):
 E41 = sql("v_eval", f"SELECT count(*) AS n, round(avg(CAST(h = 0 AS INT)), 9) AS fabricated, round(avg(CAST(qa_id % 4 = 0 AND h > 0 AS INT)), 9) AS refused, round(avg(CAST(qa_id % 3 = 0 AS INT)), 9) AS only_summaries FROM {_FINAL} WHERE failed")
 
 QUERIES = {f.__name__: f for f in (t3_heading_chunks, t29_judge_scores, t35_first_mention, w10_lint_counts, w12_first_supersessions, w13_trajectories, e16_boundary_rates, e26_freshest_mentions, e30_generation_windows, e33_echo_days, e39_still_to_run, e41_triage)}
-ORACLE_SQL = {"t3_heading_chunks": T3, "t29_judge_scores": T29, "w10_lint_counts": W10, "w12_first_supersessions": W12, "w13_trajectories": W13, "e16_boundary_rates": E16, "e26_freshest_mentions": E26, "e30_generation_windows": E30, "e33_echo_days": E33, "e39_still_to_run": E39, "e41_triage": E41}
+ORACLE_SQL = {"t3_heading_chunks": T3, "t29_judge_scores": T29, "t35_first_mention": T35, "w10_lint_counts": W10, "w12_first_supersessions": W12, "w13_trajectories": W13, "e16_boundary_rates": E16, "e26_freshest_mentions": E26, "e30_generation_windows": E30, "e33_echo_days": E33, "e39_still_to_run": E39, "e41_triage": E41}

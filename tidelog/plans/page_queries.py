@@ -178,12 +178,12 @@ W17 = sql("v_wiki", "SELECT CASE WHEN doc_id % 5 = 0 THEN slug || '-' || k ELSE
 
 
 def w18_themes_of_insights(spark, sf):
-    insights = views.table(spark, sf, "part").select(F.concat("p_type", F.lit(" & "), "p_brand").alias("name"), C("p_name").alias("body"), F.array(C("p_container")).alias("sources"))
+    insights = views.table(spark, sf, "part").select(F.concat("p_type", F.lit(" & "), "p_brand").alias("name"), C("p_name").alias("body"), F.array(C("p_size").cast("string")).alias("sources"))
     pages = views.table(spark, sf, "part").where("p_partkey % 5 = 0").select(F.btrim(F.regexp_replace(F.lower(F.concat("p_type", F.lit(" & "), "p_brand")), "[^a-z0-9]+", "-"), F.lit("-")).alias("slug")).distinct()
     return graph.themes_of_insights(insights.groupBy("name").agg(F.min("body").alias("body"), F.array_sort(F.flatten(F.collect_set("sources"))).alias("sources")), pages).select("slug", "category", "name", "body", F.array_join("sources", ",").alias("sources"))
 
 
-W18 = """WITH i AS (SELECT p_type || ' & ' || p_brand AS name, min(p_name) AS body, list_sort(list(DISTINCT p_container)) AS s FROM part GROUP BY 1), g AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM i)
+W18 = """WITH i AS (SELECT p_type || ' & ' || p_brand AS name, min(p_name) AS body, list_sort(list(DISTINCT CAST(p_size AS VARCHAR))) AS s FROM part GROUP BY 1), g AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM i)
   SELECT slug, 'theme' AS category, name, body, array_to_string(s, ',') AS sources FROM g WHERE slug NOT IN (SELECT trim(regexp_replace(lower(p_type || ' & ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') FROM part WHERE p_partkey % 5 = 0) QUALIFY row_number() OVER (PARTITION BY slug ORDER BY name) = 1"""
 
 

@@ -135,8 +135,7 @@ def _text_queries(spark, sf):
 
 
 def r2_bm25(spark, sf):
-    found = retrieval.bm25(_text_queries(spark, sf), _texts(spark, sf))
-    return _round(retrieval.top(_round(found, "score", to=6), 10, C("score").desc(), C("uri")), "score", to=6)
+    return retrieval.bm25(_text_queries(spark, sf), _texts(spark, sf), 10)
 
 
 _TOKENS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -150,8 +149,8 @@ R2 = _BM25 + " SELECT query_id, uri, round(score, 6) AS score FROM b QUALIFY row
 def r3_hybrid(spark, sf):
     """Vector hits of every 20th item's vector with the keyword hits of the question of that number."""
     vector_hits = retrieval.nearest(_vector_queries(spark, sf).withColumn("query_id", F.expr("query_id DIV 20")), _vectors(spark, sf), 10)
-    keyword_hits = retrieval.top(_round(retrieval.bm25(_text_queries(spark, sf), _texts(spark, sf)), "score", to=6), 10, C("score").desc(), C("uri"))
-    return _round(retrieval.hybrid(vector_hits, keyword_hits), "score", to=6)
+    keyword_hits = retrieval.bm25(_text_queries(spark, sf), _texts(spark, sf), 10)
+    return _round(retrieval.hybrid(vector_hits, keyword_hits, documents=_texts(spark, sf).count()), "score", to=6)
 
 
 R3 = sql(
@@ -261,11 +260,11 @@ R26 = sql("v_hits", "SELECT query_id, uri, CASE WHEN lo = hi THEN NULL WHEN uri
 
 
 def r28_best_days(spark, sf):
-    hits = _log_hits(spark, sf).where("j > 0")
+    hits = _log_hits(spark, sf)
     return retrieval.best_days(hits, 4).groupBy("query_id", "day").agg(F.count("*").alias("n_hits"))
 
 
-R28 = sql("v_hits", "WITH h AS (SELECT query AS query_id, regexp_extract(uri, '[0-9-]{10}') AS day, score FROM v_hits WHERE j > 0), d AS (SELECT query_id, day, max(score) AS best, count(*) AS n_hits FROM h GROUP BY ALL) SELECT query_id, day, n_hits FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY best DESC, day) <= 4")
+R28 = sql("v_hits", "WITH h AS (SELECT query AS query_id, regexp_extract(uri, '[0-9-]{10}') AS day, score FROM v_hits), d AS (SELECT query_id, day, max(score) AS best, count(*) AS n_hits FROM h GROUP BY ALL) SELECT query_id, day, n_hits FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY best DESC, day) <= 4")
 
 
 # --- page graph

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidelog.sources import memory, views
+from tidelog.sources.scratch import scratch
 from tidelog.sources.views import sql
 from tidelog.streaming import jobs
 
 C = F.col
 
 
-def scratch(spark) -> str:
-    """A new folder that the whole cluster sees."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidelog-shared-{os.getuid()}"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def s3_front_matter(spark, sf):
     head = F.concat(F.lit("---\ntype: daily\ntitle: 'Day "), C("doc_id").cast("string"), F.lit("'\nsource: memory:x\n---\n"), C("text"))
     d = views.daily(spark, sf).select("doc_id", head.alias("text"))

@@ -146,29 +146,70 @@ def t16_week_labels(spark, sf) -> DataFrame:
 T16 = sql("v_daily", f"SELECT doc_id, {_WEEK} AS week, strftime(CAST(date_trunc('week', mem_date) AS DATE) + 3, '%Y-%m') AS month FROM v_daily")
 
 
-def dated_questions(spark, sf) -> DataFrame:
-    """Questions that speak of times: one of eight phrases, by the document's number, behind its first words."""
-    phrases = F.array(*map(F.lit, ("on April 8, 2026", "in March 2024", "2025-02", "Q3 2024", "Q1 last year", "back in 2023", "3 weeks ago and yesterday", "2 months ago, originally", "now in 2021-05-06")))
-    d = views.table(spark, sf, "documents")
-    return d.select(C("doc_id").alias("query_id"), F.concat(F.lit("What was "), F.element_at(phrases, (C("doc_id") % 9 + 1).cast("int")), F.lit("?")).alias("text"))
+PHRASES = ("on April 8, 2026", "in March 2024", "2025-02", "Q3 2024", "Q1 last year", "back in 2023", "3 weeks ago and yesterday", "2 months ago, originally", "now in 2021-05-06")
+
+
+def dated_texts(spark, sf) -> DataFrame:
+    """The whole texts of the documents, each with a phrase about a time behind it, by its number."""
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (C("doc_id") % 9 + 1).cast("int"))
+    return views.table(spark, sf, "documents").select(C("doc_id").alias("query_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" What was "), phrase, F.lit("?")).alias("text"))
+
+
+_DATED = "(SELECT doc_id AS query_id, coalesce(text, '') || ' What was ' || [" + ", ".join(f"'{p}'" for p in PHRASES) + "][doc_id % 9 + 1] || '?' AS text FROM documents)"
+NOW = "2026-11-28"
 
 
 def t17_temporal_references(spark, sf) -> DataFrame:
-    found = dates.temporal_references(dated_questions(spark, sf), F.lit("2026-11-28").cast("date"))
+    found = dates.temporal_references(dated_texts(spark, sf), F.lit(NOW).cast("date"))
     return found.select("query_id", C("date").cast("string").alias("date"), C("specificity").cast("long").alias("specificity"))
 
 
-_TIMES = ((("2026-04-08", 4),), (("2024-03-15", 3), ("2024-07-01", 1)), (("2025-02-15", 3),), (("2024-08-15", 2),), (("2025-02-15", 2), ("2025-11-28", 1)), (("2023-07-01", 1),), (("2026-11-27", 4), ("2026-11-07", 2)), (("2026-09-28", 2),), (("2021-05-06", 4), ("2021-07-01", 1)))
-_T17_ROWS = ", ".join(f"({k}, '{d}', {s})" for k, own in enumerate(_TIMES) for d, s in own if not (k == 1 and s == 1))
-T17 = f"SELECT doc_id AS query_id, t.d AS date, CAST(t.s AS BIGINT) AS specificity FROM documents JOIN (VALUES {_T17_ROWS}) AS t(k, d, s) ON doc_id % 9 = t.k"
+def _references_sql() -> str:
+    """The patterns of the time references in DuckDB's dialect: (pattern, date of a match, specificity, once)."""
+    months = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+    number = "(position(lower(substr(m, 1, 3)) IN 'janfebmaraprmayjunjulaugsepoctnovdec') + 2) // 3"
+    part = lambda p, k: f"regexp_extract(m, '{p}', {k})"
+    day = lambda y, mo, d: f"TRY_CAST(lpad(CAST({y} AS VARCHAR), 4, '0') || '-' || lpad(CAST({mo} AS VARCHAR), 2, '0') || '-' || lpad(CAST({d} AS VARCHAR), 2, '0') AS DATE)"
+    now, year = f"DATE '{NOW}'", r"(\d{4})$"
+    middle = f"(CAST(substr(m, 2, 1) AS INT) - 1) * 3 + 2"
+    count = part(r"^(\d+)", 1)
+    rules = [
+        (rf"(?i)\b{months}\s+\d{{1,2}},?\s+\d{{4}}\b", day(part(year, 1), number, part(r"^[A-Za-z]+\s+(\d{1,2})", 1)), 4, False),
+        (r"\b\d{4}-\d{2}-\d{2}\b", day("substr(m, 1, 4)", "substr(m, 6, 2)", "substr(m, 9, 2)"), 4, False),
+        (rf"(?i)\b{months}\s+\d{{4}}\b", day(part(year, 1), number, "15"), 3, False),
+        (r"\b\d{4}-\d{2}\b(?:-\d{2})?", f"CASE WHEN length(m) = 7 THEN {day('substr(m, 1, 4)', 'substr(m, 6, 2)', '15')} END", 3, False),
+        (r"(?i)\bQ[1-4]\s+\d{4}\b", day(part(year, 1), middle, "15"), 2, False),
+        (r"(?i)\bQ[1-4]\s+last\s+year\b", day(f"year({now}) - 1", middle, "15"), 2, False),
+        (r"(?i)\b(?:in|back\s+in|from|during)\s+\d{4}\b", f"CASE WHEN CAST({part(year, 1)} AS INT) BETWEEN 1990 AND 2100 THEN {day(part(year, 1), 7, 1)} END", 1, False),
+        (r"\b20[12]\d\b", day("m", 7, 1), 1, False),
+        (r"(?i)\byesterday\b", f"{now} - 1", 4, True),
+        (r"(?i)\blast\s+week\b", f"{now} - 7", 2, True),
+        (r"(?i)\b\d+\s+weeks?\s+ago\b", f"{now} - 7 * TRY_CAST({count} AS INT)", 2, False),
+        (r"(?i)\blast\s+month\b", f"CAST({now} - INTERVAL 1 MONTH AS DATE)", 2, True),
+        (r"(?i)\b\d+\s+months?\s+ago\b", f"CAST({now} - to_months(TRY_CAST({count} AS INT)) AS DATE)", 2, False),
+        (r"(?i)\blast\s+year\b", f"CAST({now} - INTERVAL 12 MONTH AS DATE)", 1, True),
+        (r"(?i)\bthis\s+week\b", now, 2, True),
+        (r"(?i)\bthis\s+month\b", now, 2, True),
+    ]
+    parts = []
+    for k, (pattern, date, level, once) in enumerate(rules):
+        every = f"regexp_extract_all(text, '{pattern}')"
+        every = f"{every}[1:1]" if once else every
+        parts.append(f"SELECT query_id, {k} AS no, pos, {date} AS date, {level} AS level FROM (SELECT query_id, unnest({every}) AS m, unnest(range(0, len({every}))) AS pos FROM {_DATED})")
+    return "(SELECT query_id, date, level, no, pos FROM (SELECT *, max(CAST(no < 7 AS INT)) OVER (PARTITION BY query_id) AS earlier FROM (" + " UNION ALL ".join(parts) + ") WHERE date IS NOT NULL) WHERE no <> 7 OR earlier = 0)"
+
+
+REFERENCES = _references_sql()
+T17 = f"SELECT query_id, CAST(date AS VARCHAR) AS date, CAST(level AS BIGINT) AS specificity FROM {REFERENCES}"
 
 
 def t18_best_reference(spark, sf) -> DataFrame:
-    found = dates.best_reference(dates.temporal_references(dated_questions(spark, sf), F.lit("2026-11-28").cast("date")))
+    found = dates.best_reference(dates.temporal_references(dated_texts(spark, sf), F.lit(NOW).cast("date")))
     return found.select("query_id", C("date").cast("string").alias("date"), C("specificity").cast("long").alias("specificity"))
 
 
-T18 = f"SELECT query_id, date, specificity FROM ({T17}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY specificity DESC) = 1"
+BEST_REFERENCE = f"(SELECT query_id, date, level FROM {REFERENCES} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY level DESC, no, pos) = 1)"
+T18 = f"SELECT query_id, CAST(date AS VARCHAR) AS date, CAST(level AS BIGINT) AS specificity FROM {BEST_REFERENCE}"
 
 
 def t19_temporal_affinity(spark, sf) -> DataFrame:
@@ -179,10 +220,11 @@ T19 = sql("v_daily", "SELECT doc_id, round(exp(-abs(datediff('day', mem_date, DA
 
 
 def t20_recency_cue(spark, sf) -> DataFrame:
-    return dated_questions(spark, sf).select("query_id", dates.recency_cue(C("text")).alias("cue"))
+    return dated_texts(spark, sf).select("query_id", dates.recency_cue(C("text")).alias("cue"))
 
 
-T20 = "SELECT doc_id AS query_id, CASE doc_id % 9 WHEN 8 THEN 'latest' WHEN 7 THEN 'earliest' END AS cue FROM documents"
+CUES = f"(SELECT query_id, CASE WHEN regexp_matches(lower(text), '{dates.LATEST}') THEN 'latest' WHEN regexp_matches(lower(text), '{dates.EARLIEST}') THEN 'earliest' END AS cue FROM {_DATED})"
+T20 = f"SELECT query_id, cue FROM {CUES}"
 
 
 def t21_recency_boost(spark, sf) -> DataFrame:
@@ -211,9 +253,24 @@ T22 = sql(
 )
 
 
+def joined_questions(spark, sf) -> DataFrame:
+    """Whole questions that ask for two or three things at once."""
+    third = F.when(C("qa_id") % 3 == 0, "; how did it end for everyone?").otherwise(", and why?")
+    joined = F.concat(F.lit("What was said about "), "question", F.lit(", and what was the "), C("category"), F.lit(" of it"), third)
+    return views.qa(spark, sf).select("qa_id", joined.alias("text"))
+
+
+_JOINED = "(SELECT qa_id, 'What was said about ' || question || ', and what was the ' || category || ' of it' || CASE WHEN qa_id % 3 = 0 THEN '; how did it end for everyone?' ELSE ', and why?' END AS text FROM v_qa)"
+
+
 def t23_query_decomposition(spark, sf) -> DataFrame:
-    joined = F.concat(F.lit("What was said about "), F.substring("question", 1, 30), F.lit(", and what was the "), C("category"), F.lit(" of it?"))
-    return views.qa(spark, sf).select("qa_id", F.posexplode(text.decomposed_query(joined)).alias("no", "part")).select("qa_id", C("no").cast("long").alias("no"), "part")
+    return joined_questions(spark, sf).select("qa_id", F.posexplode(text.decomposed_query(C("text"))).alias("no", "part")).select("qa_id", C("no").cast("long").alias("no"), "part")
+
+
+# RE2 looks at nothing behind a match: the question word is marked first, then the mark is the border.
+PARTS = rf"""(SELECT qa_id, list_filter(list_transform(string_split(regexp_replace(text, '(?i)\s*(?:,\s*and|\s+and|;|,)\s+((?:what|which|who|when|how|why|where|was|were|did|do|does|is|are|the)\b)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM {_JOINED})"""
+DECOMPOSED = rf"(SELECT qa_id, unnest(range(0, least(3, len(l)))) AS no, unnest(list_slice(l, 1, 3)) AS part FROM (SELECT qa_id, p, list_filter(p, lambda x: len(regexp_split_to_array(x, '\s+')) >= 4) AS l FROM {PARTS}) WHERE len(p) >= 2 AND len(l) >= 2)"
+T23 = sql("v_qa", f"SELECT qa_id, no, part FROM {DECOMPOSED}")
 
 
 def t24_calendar(spark, sf) -> DataFrame:
@@ -225,14 +282,12 @@ T24 = sql("v_daily", "SELECT doc_id, CAST(mem_date AS VARCHAR) AS date, dayname(
 
 
 def t25_day_numbers_to_dates(spark, sf) -> DataFrame:
-    """`day N` in a text becomes the date of that day; the words before it stay."""
-    d = views.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("It was agreed on day "), (C("doc_id") % 90 + 1).cast("string"), F.lit(" and dropped by Day "), (C("doc_id") % 50 + 100).cast("string"), F.lit(".")).alias("text"))
-    numbers = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)\bday\s+(\d+)\b"), F.lit(1)))
-    rewritten = F.aggregate(numbers, C("text"), lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?i)\bday\s+"), n, F.lit(r"\b")), dates.calendar_date(F.lit("2024-01-01").cast("date"), n.cast("int")).cast("string")))
-    return d.select("doc_id", rewritten.alias("text"))
+    d = views.table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" It was agreed on day "), (C("doc_id") % 90 + 1).cast("string"), F.lit(" and dropped by Day "), (C("doc_id") % 50 + 100).cast("string"), F.lit(".")).alias("text"))
+    return d.select("doc_id", F.sha2(dates.with_dates(C("text"), F.lit("2024-01-01").cast("date")), 256).alias("text_sha256"))
 
 
-T25 = "SELECT doc_id, 'It was agreed on ' || CAST(DATE '2024-01-01' + CAST(doc_id % 90 AS INT) AS VARCHAR) || ' and dropped by ' || CAST(DATE '2024-01-01' + CAST(doc_id % 50 + 99 AS INT) AS VARCHAR) || '.' AS text FROM documents"
+T25 = r"""WITH d AS (SELECT doc_id, text || ' It was agreed on day ' || (doc_id % 90 + 1) || ' and dropped by Day ' || (doc_id % 50 + 100) || '.' AS text FROM documents)
+  SELECT doc_id, sha256(list_reduce(list_prepend(text, list_distinct(regexp_extract_all(text, '(?i)\bday\s+(\d+)\b', 1))), lambda t, n: regexp_replace(t, '(?i)\bday\s+' || n || '\b', CAST(DATE '2024-01-01' + (CAST(n AS INT) - 1) AS VARCHAR), 'g'))) AS text_sha256 FROM d"""
 
 
 def t27_slugs(spark, sf) -> DataFrame:
@@ -267,4 +322,4 @@ def t34_snippets(spark, sf) -> DataFrame:
 T34 = sql("v_daily", "SELECT doc_id, sha256(substr(text, 1, 700)) AS snippet_sha256, CAST(mem_date AS VARCHAR) AS date_label FROM v_daily")
 
 QUERIES = {f.__name__: f for f in (t1_temporal_tag, t2_token_estimate, t4_fixed_chunks, t5_line_of_offset, t6_ranged_read, t7_light_entities, t8_entity_count, t9_decision_markers, t10_supersession_markers, t11_keywords, t12_catalog_tokens, t13_signatures, t15_date_of_uri, t16_week_labels, t17_temporal_references, t18_best_reference, t19_temporal_affinity, t20_recency_cue, t21_recency_boost, t22_query_expansion, t23_query_decomposition, t24_calendar, t25_day_numbers_to_dates, t27_slugs, t28_wiki_links, t31_range_labels, t34_snippets)}
-ORACLE_SQL = {"t1_temporal_tag": T1, "t2_token_estimate": T2, "t4_fixed_chunks": T4, "t5_line_of_offset": T5, "t6_ranged_read": T6, "t7_light_entities": T7, "t8_entity_count": T8, "t9_decision_markers": T9, "t10_supersession_markers": T10, "t11_keywords": T11, "t12_catalog_tokens": T12, "t13_signatures": T13, "t15_date_of_uri": T15, "t16_week_labels": T16, "t17_temporal_references": T17, "t18_best_reference": T18, "t19_temporal_affinity": T19, "t20_recency_cue": T20, "t21_recency_boost": T21, "t22_query_expansion": T22, "t24_calendar": T24, "t25_day_numbers_to_dates": T25, "t27_slugs": T27, "t28_wiki_links": T28, "t31_range_labels": T31, "t34_snippets": T34}
+ORACLE_SQL = {"t1_temporal_tag": T1, "t2_token_estimate": T2, "t4_fixed_chunks": T4, "t5_line_of_offset": T5, "t6_ranged_read": T6, "t7_light_entities": T7, "t8_entity_count": T8, "t9_decision_markers": T9, "t10_supersession_markers": T10, "t11_keywords": T11, "t12_catalog_tokens": T12, "t13_signatures": T13, "t15_date_of_uri": T15, "t16_week_labels": T16, "t17_temporal_references": T17, "t18_best_reference": T18, "t19_temporal_affinity": T19, "t20_recency_cue": T20, "t21_recency_boost": T21, "t22_query_expansion": T22, "t23_query_decomposition": T23, "t24_calendar": T24, "t25_day_numbers_to_dates": T25, "t27_slugs": T27, "t28_wiki_links": T28, "t31_range_labels": T31, "t34_snippets": T34}
