@@ -10,13 +10,15 @@ weights. As presence says nothing of shares, a text is scored in parts of PART c
 cover all of it, and the parts' values are averaged by their lengths: of a text in two languages
 the larger one wins.
 
-Bounds (the only sampling; every text is scored whole): LABELLED texts a language, of at most
-LONGEST_LABELLED characters, taken in the order of a hash of the id; LANDMARKS of them a language;
-ALPHABET letters, the others count as one letter.
+Bounds (the only sampling; every text is scored whole): LABELLED texts a language, fewer where there
+are so many languages that MOST_LABELLED would be passed, taken in the order of a hash of the id; of a
+longer text the first LONGEST_LABELLED characters train; LANDMARKS texts a language are landmarks. All
+letters of the sample are letters of the model; letters that it doesn't have count as one.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is everything
 when nothing is labelled; rows are independent, so repeated rows and null ids are carried through
-(a null id isn't held out); an empty table gives no rows.
+(a null id isn't held out); a very long text is scored part by part; of equal scores the language that
+comes first by name wins; columns beside doc_id, text and lang are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +35,13 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import fold, table, text_blocks
 
 LABELLED = 200
+MOST_LABELLED = 4000
 LONGEST_LABELLED = 20_000
 LANDMARKS = 40
-ALPHABET = 62
+
+#: Up to so many letters, n-grams are looked up in a table of all possible ones.
+DENSE = 128
+
 RIDGE = 1e-2
 SHARPNESS = 6.0
 PART = 1024
@@ -61,25 +67,27 @@ class KernelModel:
         self.langs = sorted(set(langs))
         cut = [(p, lang) for t, lang in zip(texts, langs) for p in parts(t) if _LETTER.search(p)]
         texts, langs = [p for p, _ in cut], [lang for _, lang in cut]
-        letters = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        common = sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET]
+        letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
         # Symbol 0 is a border (anything but a letter), 1 any other letter.
-        self.symbols = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=np.uint8, count=0x110000)
-        for k, c in enumerate(common):
+        self.symbols = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=np.int32, count=0x110000)
+        for k, c in enumerate(letters):
             self.symbols[ord(c)] = k + 2
-        self.n = len(common) + 2
+        self.n = len(letters) + 2
         by_lang: Counter = Counter()
         marks = []
         for k, lang in enumerate(langs):
             by_lang[lang] += 1
             if by_lang[lang] <= LANDMARKS:
                 marks.append(k)
-        self.columns = [np.full(self.n**size, -1, dtype=np.int32) for size in (1, 2, 3)]
-        self.width = 0
-        for codes, columns in zip(self._codes([texts[k] for k in marks])[0], self.columns):
-            new = np.unique(codes)
-            columns[new] = np.arange(self.width, self.width + len(new))
-            self.width += len(new)
+        # The n-grams of the landmarks by size, sorted, and the column of the first of each size.
+        self.known = [np.unique(codes) for codes in self._codes([texts[k] for k in marks])[0]]
+        self.first = np.cumsum([0, *map(len, self.known)])
+        self.width = int(self.first[-1])
+        self.tables = []
+        if self.n <= DENSE:
+            for size, known in enumerate(self.known, 1):
+                self.tables.append(np.full(self.n**size, -1, dtype=np.int32))
+                self.tables[-1][known] = np.arange(len(known))
         whole = np.vstack([self._presence(texts[a : a + ROWS]) for a in range(0, len(texts), ROWS)])
         size = np.sqrt(np.maximum(whole.sum(axis=1), 1))
         self.landmarks = np.ascontiguousarray((whole[marks] / size[marks, None]).T)
@@ -103,7 +111,7 @@ class KernelModel:
         symbol = self.symbols[raw]
         keep = np.ones(len(symbol), dtype=bool)
         keep[1:] = (symbol[1:] != 0) | (symbol[:-1] != 0) | (of[1:] != of[:-1])
-        symbol, of = symbol[keep].astype(np.int32), of[keep]
+        symbol, of = symbol[keep].astype(np.int64), of[keep]
         pair = symbol[:-1] * self.n + symbol[1:]
         triple = pair[:-1] * self.n + symbol[2:]
         same2, same3 = of[:-1] == of[1:], of[:-2] == of[2:]
@@ -111,12 +119,20 @@ class KernelModel:
 
     def _presence(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.width), dtype=np.float32)
-        for codes, of, columns in zip(*self._codes(texts), self.columns):
-            column = columns[codes]
-            known = column >= 0
-            out[of[known], column[known]] = 1
+        for size, (codes, of) in enumerate(zip(*self._codes(texts))):
+            column = self._column(size, codes)
+            held = column >= 0
+            out[of[held], self.first[size] + column[held]] = 1
         return out
 
+    def _column(self, size: int, codes: np.ndarray) -> np.ndarray:
+        """Place of each n-gram among the known ones of its size, -1 for others."""
+        if self.tables:
+            return self.tables[size][codes]
+        known = self.known[size]
+        place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return np.where(known[place] == codes, place, -1) if len(known) else np.full(len(codes), -1)
+
     def values(self, texts: list[str]) -> np.ndarray:
         """The regressions' values, a row for each text."""
         presence = self._presence(texts)
@@ -139,10 +155,12 @@ class KernelModel:
 
 def labelled_sample(docs: DataFrame, trained_on: Column, most: int = LABELLED) -> list[tuple[str, str]]:
     """(text, lang) of at most `most` texts a language, in the order of a hash of the id."""
-    rows = docs.where(trained_on & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= LONGEST_LABELLED))
+    labelled = docs.where(trained_on & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = labelled.withColumn("text", F.substring("text", 1, LONGEST_LABELLED)).where(F.col("text").rlike(r"\p{L}"))
     counts = {r.lang: r.n for r in docs.where(trained_on & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
+    most = max(1, min(most, MOST_LABELLED // len(counts)))
     place = F.xxhash64(F.col("doc_id").cast("string"))
     share = F.lit(0.0)
     for lang, n in counts.items():
