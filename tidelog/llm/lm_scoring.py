@@ -19,7 +19,9 @@ counts of FREQUENT words are broadcast, those of the others are joined, in the b
 
 Defined results: a null or empty text is its end token; without training tokens every token has
 probability 1 in the base and in the model; repeated rows are scored each (they are told apart by
-where they were read); null ids are carried through and count as training rows.
+where they were read); null ids are carried through and count as training rows; a very long text is one
+row of one task; words of equal counts are frequent together or not at all; columns beside doc_id and
+text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,11 +39,10 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import fold, lists, settled, table, text_blocks
 from tidelog.llm.textkernels import Words, as_long, mix
 
-#: Words whose counts are broadcast.
+#: Words whose counts are broadcast: at most so many. They are the words above a count, read from a
+#: histogram in steps of a quarter of a doubling.
 FREQUENT = 200_000
-
-#: Was the number of word classes. There are none now; a test still sets the name.
-WORDS = 0
+STEPS = 4
 
 #: Most bits of one filter; it is broadcast to each worker.
 BITS = 1 << 30
@@ -221,7 +222,11 @@ def train(docs: DataFrame, trained_on: Column) -> tuple[Model, Joined]:
     counts = settled(rows.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     end = int(END.astype(np.int64))
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("n"))), F.lit(0)).alias("ends")).first()
-    top = counts.where(F.col("word") != end).orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow()
+    step = F.floor(F.log2("n") * STEPS + 1e-9)
+    words = counts.where(F.col("word") != end)
+    sizes = sorted(((r.step, r.words) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    above = [s for (s, _), n in zip(sizes, np.cumsum([n for _, n in sizes])) if n <= FREQUENT]
+    top = (words.where(step >= above[-1]) if above else words.where("false")).toArrow()
     q = (1 + F.floor(F.log(F.sum("n")) / np.log(BASE) + 1e-9)).cast("int")
     pairs = settled(rows.mapInArrow(_count_pairs, "slot int, code long, n int").repartition("slot").groupBy("slot", "code").agg(q.alias("q")))
     # One row for each slot, SLOTS at most.
