@@ -4,11 +4,14 @@ Benchmark texts are normalised to words (A-Z lowered; words are runs of 0-9, a-z
 beyond ASCII). Each run of 10 item words is a window; an item with fewer words, but at least one,
 is one window. Tasks hash every window of every document, look it up in the set, and compare the
 words of each hit in full. A broadcast set never holds more than MAX_WINDOWS windows: a larger
-benchmark is taken in several such sets, one scan each, and each row carries its hits from scan to scan.
+benchmark is taken in several such sets, one scan each, and each row carries its hits from scan to scan;
+between scans the rows are written to a table and the set is released.
 
 Defined results: null or wordless documents have no hits; null or wordless items have no windows;
 items without an id are skipped; repeated items hit under each of their ids; an empty benchmark
-finds nothing; repeated documents each get their row.
+finds nothing; repeated documents each get their row; a very long text is one row of one task; nothing
+depends on order, so there are no ties; columns beside doc_id and text are not read by contamination(),
+and may have any names in decontaminated().
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table, text_blocks
+from tidelog.llm.common import settled, table, text_blocks
 from tidelog.llm.textkernels import Words
 
 WIDTH = 10
@@ -99,8 +102,8 @@ def _spans(hit: np.ndarray) -> list[dict]:
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(shared, last: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds what the set finds to the hits of the scans before; the last scan drops the text."""
+def _scan(shared) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds what the set finds to the hits of the scans before."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
@@ -111,18 +114,15 @@ def _scan(shared, last: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
             if "spans" in batch.schema.names:
                 spans = [a + b for a, b in zip(batch.column("spans").to_pylist(), spans)]
                 items = [sorted({*a, *b}) for a, b in zip(batch.column("items").to_pylist(), items)]
-            columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(words.counts), "spans": pa.array(spans, _SPAN), "items": pa.array(items, pa.list_(pa.string()))}
-            if not last:
-                columns["text"] = batch.column("text")
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.counts), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string())), batch.column("text")], ["doc_id", "n_words", "spans", "items", "text"])
 
     return scan
 
 
-def _clean(shared) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _clean(shared, text: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches):
-            words = Words(batch.column("text").to_pylist(), "alnum")
+        for batch in text_blocks(batches, text):
+            words = Words(batch.column(text).to_pylist(), "alnum")
             _, items = _found(words, shared.value)
             yield batch.filter(pa.array([k not in items for k in range(batch.num_rows)]))
 
@@ -167,27 +167,29 @@ def _cut(text: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBa
     return cut
 
 
-def window_sets(benchmark: DataFrame, most: int = MAX_WINDOWS) -> Iterator:
-    """Broadcasts the test windows of benchmark(item_id, text), at most `most` at a time."""
+def _scanned(rows: DataFrame, benchmark: DataFrame, most: int, scan: Callable, schema) -> DataFrame:
+    """rows after one scan(set) for each set of at most `most` test windows of benchmark(item_id, text)."""
     spark = benchmark.sparkSession
     named = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     windows = named.mapInArrow(_windows, "item_id string, window string, width int")
-    parts = -(-windows.count() // most)
+    parts = max(1, -(-windows.count() // most))
     for part in range(parts):
         # Equal windows go to one part, so that each part is a whole answer for its windows.
         own = windows if parts == 1 else windows.where((F.pmod(F.xxhash64("window"), F.lit(parts)) == part))
-        yield spark.sparkContext.broadcast(WindowSet([(r.item_id, r.window) for r in own.select("item_id", "window").collect()]))
+        shared = spark.sparkContext.broadcast(WindowSet([(r.item_id, r.window) for r in own.select("item_id", "window").collect()]))
+        rows = rows.mapInArrow(scan(shared), schema)
+        if part < parts - 1:
+            rows = settled(rows)
+            shared.unpersist()
+    return rows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WINDOWS) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_words, spans of hit words (start, end: numbers
     of words, end exclusive; merged within a set of windows), items found (sorted)."""
-    schema = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+    schema = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>, text string"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = list(window_sets(benchmark, most)) or [docs.sparkSession.sparkContext.broadcast(WindowSet([]))]
-    for shared in sets[:-1]:
-        rows = rows.mapInArrow(_scan(shared, False), f"{schema}, text string")
-    return rows.mapInArrow(_scan(sets[-1], True), schema)
+    return _scanned(rows, benchmark, most, _scan, schema).drop("text")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", most: int = MAX_WINDOWS) -> DataFrame:
@@ -195,15 +197,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documen
     (remove="spans"); all columns stay."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
+    # Columns go by number meanwhile.
+    text, rows = f"c{docs.columns.index('text')}", docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     if remove == "documents":
-        for shared in window_sets(benchmark, most):
-            docs = docs.mapInArrow(_clean(shared), docs.schema)
-        return docs
-    # All sets mark their hits before anything is removed. Columns go by number meanwhile.
-    text = f"c{docs.columns.index('text')}"
-    marked = docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).withColumn("spans", F.lit(None).cast("array<struct<start: long, end: long>>"))
-    for shared in window_sets(benchmark, most):
-        marked = marked.mapInArrow(_mark(shared, text), marked.schema)
+        return _scanned(rows, benchmark, most, lambda shared: _clean(shared, text), rows.schema).toDF(*docs.columns)
+    # All sets mark their hits before anything is removed.
+    marked = rows.withColumn("spans", F.lit(None).cast("array<struct<start: long, end: long>>"))
+    marked = _scanned(marked, benchmark, most, lambda shared: _mark(shared, text), marked.schema)
     return marked.mapInArrow(_cut(text), marked.schema).drop("spans").toDF(*docs.columns)
 
 
