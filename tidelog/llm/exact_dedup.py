@@ -3,13 +3,14 @@
 Sampled splitters range-partition the normalised texts, each task sorts its range (Spark's
 external sort, which spills), equal texts become neighbours, and one pass over the sorted rows
 compares each text with the one before it in full. The splitters look at the first characters, a
-hash and the id: they stay small, and a text that a third of all rows share is spread over as
+hash, the id and, for ties of these, a seeded number: they stay small, and a text that a third of all rows share is spread over as
 many tasks as it needs. A run of equal texts that crosses a border between two tasks shows up as
 their last and first run; those few (two a task at most) are put together by their digest.
 
 Defined results: a null text counts as empty; a row with a null doc_id sorts after all ids and
-stays only when no equal text has an id; of repeated rows (same id, same text) exactly one stays;
-an empty table gives an empty result; other columns are not looked at.
+stays only when no equal text has an id; of repeated rows (same id, same text) exactly one stays; a
+very long text is one row, of which the splitters see the begin and a hash; an empty table gives an
+empty result; other columns are not looked at, and may have any names.
 """
 
 from __future__ import annotations
@@ -115,7 +116,9 @@ def _content_sorted(docs: DataFrame, *carried: str) -> DataFrame:
     """Rows in content order: equal texts are neighbours, of these the smallest id comes first."""
     normal = F.col("normal")
     order = [F.substring(normal, 1, SPLITTER_CHARS), F.col("_hash")]
-    ranged = docs.withColumn("_hash", F.xxhash64("normal")).repartitionByRange(*order, F.col("doc_id").asc_nulls_last())
+    # Rows that are equal in text and id, or have no id, are told apart by a seeded number of their own.
+    told = docs.withColumns({"_hash": F.xxhash64("normal"), "_tie": F.rand(5)})
+    ranged = told.repartitionByRange(*order, F.col("doc_id").asc_nulls_last(), "_tie")
     return ranged.sortWithinPartitions(*order, normal, F.col("doc_id").asc_nulls_last()).select(*carried, "normal")
 
 
