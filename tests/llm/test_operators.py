@@ -376,7 +376,6 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
 
 def test_lm_base_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FREQUENT", 40)
-    monkeypatch.setattr(lm_scoring, "WORDS", 10)
     texts = [*TEXTS, *((300 + k, numbered("w", k % 17) + " tail") for k in range(60))]
     docs = frame(spark, texts)
     known = counted(texts)
@@ -486,3 +485,99 @@ def test_decontamination_keeps_repeated_and_null_ids_apart_with_several_sets(spa
         return sorted((r["doc_id"] or -1, r["n_words"], sorted({x for s in r["spans"] for x in range(s["start"], s["end"])}), list(r["items"])) for r in out)
 
     assert len(found(5)) == len(TEXTS) + len(same) and found(5) == found(10**6)
+
+
+# --- the queries' own columns
+
+
+def tables(spark, folder, texts, labels=None):
+    """A folder with documents, and labels, for the queries."""
+    frame(spark, texts).withColumn("lang", _lang()).write.parquet(f"{folder}/documents.parquet")
+    if labels:
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def _lang():
+    from pyspark.sql import functions as F
+
+    return F.when(F.col("doc_id") % 2 == 0, "aa").when(F.col("doc_id") % 3 == 0, None).otherwise("bb")
+
+
+def is_held_out(doc_id, fold):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == fold
+
+
+def two_languages(n=120, seed=8):
+    rng = random.Random(seed)
+    words = ["kal mor tin sev dul".split(), "ösch ung keit berg 日本".split()]
+    return [(k, " ".join(rng.choice(words[k % 2]) for _ in range(rng.randint(3, 40)))) for k in range(n)]
+
+
+def test_language_id_query_folds(spark, tmp_path):
+    texts = [*two_languages(), *[(i, t) for i, t in TEXTS if i is None]]
+    found = rows(language_id.op1_language_id(spark, tables(spark, tmp_path, texts)))
+    assert list(found[0]) == ["doc_id", "held_out", "lang_pred", "score"] and len(found) == len(texts)
+    assert all(r["held_out"] == is_held_out(r["doc_id"], 0) for r in found)
+    assert all(r["lang_pred"] == ("aa" if r["doc_id"] % 2 == 0 else "bb") for r in found if r["doc_id"] is not None)
+
+
+def test_language_id_tells_scripts_with_many_letters_apart(spark):
+    rng = random.Random(3)
+    # Two languages whose letters are all among hundreds of rare ones.
+    data = [(k, "".join(chr((0x4E00, 0x5200)[k % 2] + rng.randrange(300)) for _ in range(60)), ("xx", "yy")[k % 2]) for k in range(160)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    sample = language_id.labelled_sample(docs, docs.doc_id < 100)
+    found = {r["doc_id"]: r["lang_pred"] for r in rows(language_id.languages(docs, sample))}
+    assert sum(found[i] == lang for i, _, lang in data if i >= 100) >= 58
+    long = spark.createDataFrame([(k, t * 500, lang) for k, t, lang in data[:20]], "doc_id long, text string, lang string")
+    assert {lang for _, lang in language_id.labelled_sample(long, long.doc_id >= 0)} == {"xx", "yy"}
+
+
+def test_personal_data_query_digests(spark, tmp_path):
+    texts = [*TEXTS, (90, "a.b@c.de and 10.0.0.1, 4539 1488 0343 6467 or +49 170 1234567"), (91, "x@y.z x@y.z 300.1.1.1 999.1.1.1")]
+    found = rows(pii.op2_pii(spark, tables(spark, tmp_path, texts)))
+    assert len(found) == len(texts)
+    of = {}
+    for i, t in texts:
+        spans = base_spans(t or "")
+        told = ",".join(f"{pii.KINDS[kind]}:{a}:{b}" for a, kind, b in spans)
+        of.setdefault(i, []).append((*(sum(pii.KINDS[kind] == name for _, kind, _ in spans) for name in ("email", "ip", "card", "phone")), hashlib.sha256(told.encode()).hexdigest()))
+    for i in of:
+        assert sorted((r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in found if r["doc_id"] == i) == sorted(of[i])
+
+
+def test_toxicity_query_folds_and_threshold(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [(k, " ".join([*(rng.choice("alpha beta gamma delta".split()) for _ in range(20)), *(["zzvile"] * (k % 7 == 0))])) for k in range(420)]
+    found = rows(toxicity.op7_toxicity(spark, tables(spark, tmp_path, [*texts, (None, "alpha")], [(k, 1, int(k % 7 == 0)) for k, _ in texts])))
+    assert len(found) == len(texts) + 1
+    assert all(r["held_out"] == is_held_out(r["doc_id"], 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)
+    held = [r for r in found if r["held_out"]]
+    assert sum(r["predicted"] == int(r["doc_id"] % 7 == 0) for r in held) >= 0.97 * len(held)
+
+
+def test_lm_query_folds_and_counts(spark, tmp_path):
+    texts = [*((k, f"one two word{k % 9} {'rare' + str(k)}") for k in range(60)), (None, "one"), (70, None)]
+    found = rows(lm_scoring.op8_lm_scoring(spark, tables(spark, tmp_path, texts)))
+    known = counted([(i, t) for i, t in texts if not is_held_out(i, 1)])
+    total, types = sum(known.values()), len(known)
+    assert len(found) == len(texts) and {r["train_tokens"] for r in found} == {total}
+    by_id = {r["doc_id"]: r for r in found}
+    for i, t in texts:
+        own, r = [*WORD.findall((t or "").translate(LOWER)), None], by_id[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"]) == (is_held_out(i, 1), len(own), sum(known[w] > 0 for w in own))
+        assert math.isclose(r["base_score"], sum(math.log10((known[w] + 0.5) / (total + 0.5 * (types + 1))) for w in own), rel_tol=1e-9)
+
+
+def test_packing_leaves_most_documents_whole(spark):
+    rng = random.Random(9)
+    texts = [(k, numbered(f"t{k}", rng.choice([5, 30, 80, 150]))) for k in range(1500)]
+    found = rows(packing.packed(frame(spark, texts).coalesce(1)))
+    pieces = collections.Counter(r["doc_id"] for r in found if r["doc_tokens"] < packing.CAPACITY)
+    assert sum(n == 1 for n in pieces.values()) > 0.9 * len(pieces)
+    filled = collections.Counter()
+    for r in found:
+        filled[r["sequence_id"]] += r["length"]
+    padding = sum(packing.CAPACITY - n for n in filled.values() if n & (n - 1))
+    assert padding < 0.01 * sum(filled.values())
