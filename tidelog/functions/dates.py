@@ -65,6 +65,36 @@ def with_dates(text: Column, epoch: Column) -> Column:
     return F.aggregate(numbers, text, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?i)\bday\s+"), n, F.lit(r"\b")), calendar_date(epoch, n.cast("int")).cast("string")))
 
 
+#: Vague times that are given a date.
+VAGUE_TIMES = {
+    "weekend": r"(?i)\b(?:the|that|this)\s+weekend(?:\s+(?:quiet|stabilization)\s+days?)?\b",
+    "weekday": r"(?i)\b(?:the|that|this)\s+weekday(?:\s+(?:morning|rush))?\b",
+    "part": r"(?i)\b(?:the|that|this)\s+(?:morning|evening|afternoon)\b",
+}
+
+
+def anchored_times(text: Column, days: Column, epoch: Column) -> Column:
+    """The text with a date behind each vague time: a named weekday gets the first of the relevant day
+    numbers that is one, `the weekend` the first and last relevant weekend days, `that weekday` the
+    first relevant weekday, parts of a day the first relevant day; without such a day the first
+    relevant day counts. A text with an ISO date, or without relevant days, stays as it is."""
+    date = lambda d: calendar_date(epoch, d)
+    iso = lambda d: date(d).cast("string")
+    first = iso(days[0])
+    ends = F.array_sort(F.filter(days, lambda d: F.weekday(date(d)) >= 5))
+    work = F.array_sort(F.filter(days, lambda d: F.weekday(date(d)) < 5))
+    weekend = F.when(F.size(ends) >= 2, F.concat(iso(ends[0]), F.lit(" to "), iso(F.element_at(ends, -1)))).when(F.size(ends) == 1, iso(ends[0])).otherwise(first)
+    weekday = F.when(F.size(work) > 0, iso(F.try_element_at(work, F.lit(1)))).otherwise(first)
+    out = text
+    for name in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"):
+        own = F.filter(days, lambda d, name=name: F.date_format(date(d), "EEEE") == name)
+        anchor = F.when(F.size(own) > 0, iso(F.try_element_at(own, F.lit(1)))).otherwise(first)
+        out = F.regexp_replace(out, F.lit(ascii_bounds(rf"(?i)\b({name})\b")), F.concat(F.lit("$1 ("), anchor, F.lit(")")))
+    for name, anchor in (("weekend", weekend), ("weekday", weekday), ("part", first)):
+        out = F.regexp_replace(out, F.lit(ascii_bounds(VAGUE_TIMES[name])), F.concat(F.lit("$0 ("), anchor, F.lit(")")))
+    return F.when((F.size(days) > 0) & ~text.rlike(ascii_bounds(r"\b20\d{2}-\d{2}-\d{2}\b")), out).otherwise(text)
+
+
 def range_series(start: Column, end: Column, step: Column) -> Column:
     """Days of the ranges from start to end, step by step; the end always closes the series."""
     return F.array_union(F.sequence(start, end, step), F.array(end))

@@ -165,6 +165,98 @@ def signatures(text: Column) -> Column:
     return F.flatten(F.array(*(_kinds(kind, found(text, p)) for kind, p in SIGNATURES.items())))
 
 
+#: Fixed value: a phrase of two to four capitalised words.
+TITLE_CASE = r"\b(?:[A-Z][a-z]+\s+){1,3}[A-Z][a-z]+(?:,?\s+Inc\.?)?\b"
+
+
+def named_signatures(text: Column) -> Column:
+    """signatures and, last, (name, phrase) of capitalised phrases."""
+    return F.concat(signatures(text), _kinds("name", found(text, TITLE_CASE)))
+
+
+#: Words that stand capitalised at the begin of a sentence without being part of a name,
+#: and words that say nothing about a passage.
+SENTENCE_STARTERS = (
+    "Did", "Does", "Do", "Has", "Have", "Had", "Was", "Were", "Is", "Are", "Will", "Would", "Could", "Should", "Can", "What", "Which", "Who", "Whom", "Whose", "When", "Where", "Why", "How", "From", "After",
+    "Before", "Across", "During", "By", "In", "On", "Through", "Between", "Among", "Around", "Over", "Under", "About", "With", "Without", "Within", "Throughout", "At", "Until", "Since", "Toward", "Towards", "Upon",
+)
+VAGUE_ANCHORS = ("which", "where", "answer", "should", "across", "always", "later", "first", "after", "before", "without", "memory", "based")
+
+
+def proper_nouns(text: Column) -> Column:
+    """Distinct capitalised phrases; a first word that begins a sentence is no part of one."""
+    first = F.regexp_extract(text, r"^([^ ]+) ", 1)
+    scanned = F.when(first.isin(*SENTENCE_STARTERS), F.concat(F.repeat(F.lit(" "), F.length(first)), F.substr(text, F.length(first) + 1))).otherwise(text)
+    return F.array_distinct(found(scanned, TITLE_CASE))
+
+
+def passage_words(text: Column) -> Column:
+    """Words of three letters or more without stop words: the third keyword variant."""
+    stop = F.array(*map(F.lit, QUERY_STOP_WORDS))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z'-]+"), F.lit(0))
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+
+
+def anchor_words(text: Column, most: int = 8) -> Column:
+    """The first distinct words of five letters or more that can point to a passage."""
+    vague = F.array(*map(F.lit, VAGUE_ANCHORS))
+    words = found(F.lower(text), r"\b[a-z]{5,}\b")
+    return F.slice(F.array_distinct(F.filter(words, lambda w: ~F.array_contains(vague, w))), 1, most)
+
+
+def links_with_offsets(body: Column) -> Column:
+    """(target, offset) of every link in a body, offsets in characters from 0."""
+    whole = found(body, r"\[\[[^\]|]+(?:\|[^\]]*)?\]\]")
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<target: string, offset: int>>").alias("out"))
+
+    def step(a: Column, link: Column) -> Column:
+        # Each link is looked for behind the one before it.
+        at = F.position(link, body, a["at"])
+        target = F.regexp_replace(F.trim(F.regexp_extract(link, r"^\[\[([^\]|]+)", 1)), r"^[A-Za-z0-9_-]+:", "")
+        return F.struct((at + F.length(link)).alias("at"), F.concat(a["out"], F.array(F.struct(target.alias("target"), (at - 1).alias("offset")))).alias("out"))
+
+    return F.aggregate(whole, start, step, lambda a: a["out"])
+
+
+def wisdom_entries(text: Column) -> Column:
+    """(title, body) of the entries that lines beginning with a bold title open."""
+    parts = F.slice(F.split(F.concat(F.lit("\n"), text), r"\n(?=\*\*.+?\*\*)"), 2, 1 << 20)
+    body = lambda p: F.regexp_replace(p, r"\A[^\n]*\n?", "")
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"\A\*\*(.+?)\*\*", 1).alias("title"), body(p).alias("body")))
+
+
+def stub_body(category: Column, lede: Column, why: Column, how: Column, where: Column, when: Column, extra: Column) -> Column:
+    """(body, error) of a new page: concepts and projects need a reason and a way to apply it, references
+    may say where and when, themes can't be stubs."""
+    given = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    line = lambda head, c: F.concat(F.lit(head), given(c))
+    parts = F.when(category.isin("concept", "project"), F.array(line("**Why:** ", why), line("**How to apply:** ", how))).when(category == "reference", F.array(line("## Where to find it\n", where), line("## When to use it\n", when))).otherwise(F.array().cast("array<string>"))
+    body = F.concat(F.array_join(F.array_compact(F.concat(F.array(F.trim(lede)), parts, F.array(given(extra)))), "\n\n"), F.lit("\n"))
+    lacking = category.isin("concept", "project") & (F.coalesce(why, F.lit("")).eqNullSafe("") | F.coalesce(how, F.lit("")).eqNullSafe(""))
+    error = F.when(category == "theme", "themes can't be stubs").when(~category.isin("entity", "concept", "project", "reference"), "unknown category").when(lacking, "why and how are needed")
+    return F.struct(F.when(error.isNull(), body).alias("body"), error.alias("error"))
+
+
+def salvaged_objects(text: Column) -> Column:
+    """The complete objects of a JSON array that a model wrote, in order, when its end is missing: the text
+    is walked once from the first bracket with the depth of braces and whether it is within a string."""
+    from_bracket = F.regexp_extract(text, r"(?s)(\[.*)", 1)
+    # Strings, braces and what lies between them, each one piece.
+    pieces = F.regexp_extract_all(from_bracket, F.lit(r'(?s)"(?:[^"\\]|\\.)*+"?|[{}]|[^"{}]+'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("held"), F.array().cast("array<string>").alias("out"), F.lit(False).alias("stop"))
+
+    def step(a: Column, p: Column) -> Column:
+        depth = a["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0)
+        held = F.when((a["depth"] > 0) | (p == "{"), F.concat(a["held"], p)).otherwise("")
+        closed = (p == "}") & (a["depth"] == 1)
+        # Between objects only commas and white space go on; a bracket ends the array.
+        stop = a["stop"] | ((a["depth"] == 0) & (p != "{") & ~p.rlike(r"\A(?:\[)?[,\s]*\z"))
+        out = F.when(closed & ~stop, F.concat(a["out"], F.array(held))).otherwise(a["out"])
+        return F.struct(F.when(stop, a["depth"]).otherwise(depth).alias("depth"), F.when(closed, "").otherwise(held).alias("held"), out.alias("out"), stop.alias("stop"))
+
+    return F.aggregate(pieces, start, step, lambda a: a["out"])
+
+
 def _kinds(kind: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelog.functions import text
+from tidelog.sources.scratch import settled
+
 C = F.col
 
 #: Categories that only group personas are asked.
@@ -154,13 +157,21 @@ def applied_fixes(qa: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 def validated(rows: DataFrame, first_id: int) -> DataFrame:
-    """Reasons against each new pair, and ids in order for those without any. New pairs are few, so
-    the running number may come from one window."""
+    """Reasons against each new pair, and ids in order of qa_id for those without any."""
     problems = {"no question": F.trim("question") == "", "unknown difficulty": ~C("difficulty").isin("easy", "medium", "hard"), "no relevant day": F.size("relevant_days") == 0, "day below 1": F.exists("relevant_days", lambda d: d < 1)}
     reasons = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in problems.items())))
     checked = rows.withColumn("reasons", reasons).withColumn("ok", F.size("reasons") == 0)
-    number = F.row_number().over(Window.partitionBy("ok").orderBy("qa_id"))
-    return checked.withColumn("new_id", F.when(C("ok"), number + first_id))
+    numbers = numbered(checked.where("ok").select("qa_id"), "qa_id", "new_id")
+    return checked.join(numbers.withColumn("new_id", C("new_id") + first_id), "qa_id", "left")
+
+
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows with their places 1, 2, … in order of a column: ranges are sorted apart, and the counts of the
+    ranges before, one row each, are added."""
+    ranged = settled(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("range", F.spark_partition_id()))
+    before = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(by))
+    return ranged.withColumn("place", place).join(F.broadcast(before), "range").withColumn(name, C("before") + C("place")).drop("range", "place", "before")
 
 
 def quartile_drift(scored: DataFrame) -> DataFrame:
@@ -247,10 +258,11 @@ def freshest_mentions(signatures: DataFrame, pairs: DataFrame) -> DataFrame:
     return later.groupBy("qa_id").agg(F.max(F.struct("day_number", "value")).alias("x")).select("qa_id", C("x.day_number").alias("day_number"), C("x.value").alias("value"))
 
 
-def generation_windows(checkpoints: DataFrame, arcs: DataFrame) -> DataFrame:
-    """For each window (previous checkpoint, checkpoint]: days, arcs that overlap it, arcs that ended before.
-
-    Checkpoints are few dozens, so the window and the broadcast are small."""
+def generation_windows(checkpoints: DataFrame, arcs: DataFrame, last_day: int | None = None) -> DataFrame:
+    """For each window (previous checkpoint, checkpoint], the last day closing the schedule: days, arcs that
+    overlap it, arcs that ended before. Checkpoints are few dozens, so the window and the broadcast are small."""
+    if last_day is not None:
+        checkpoints = checkpoints.where(C("day") < last_day).unionByName(checkpoints.limit(1).select(F.lit(last_day).alias("day")))
     before = F.coalesce(F.lag("day").over(Window.orderBy("day")), F.lit(0))
     windows = checkpoints.select(before.alias("after_day"), "day")
     both = arcs.select("start_day", "end_day").crossJoin(F.broadcast(windows))
@@ -282,3 +294,112 @@ def boundary_rates(scored: DataFrame) -> DataFrame:
 def still_to_run(planned: DataFrame, done: DataFrame) -> DataFrame:
     """Planned ranges whose label is not among the finished ones."""
     return planned.join(done.select("range_label"), "range_label", "left_anti")
+
+
+def recomputed(scored: DataFrame, dropped: DataFrame, recorded: DataFrame) -> DataFrame:
+    """range_summary without the dropped(qa_id) pairs; recorded(persona, range_days, mean_score,
+    hallucination_rate, n, n_failed) ranges that have no rows of their own pass through."""
+    own = range_summary(scored.join(dropped.select("qa_id").distinct(), "qa_id", "left_anti")).drop("mean_latency_ms")
+    detailed = scored.select("persona", "range_days").distinct()
+    return own.unionByName(recorded.join(detailed, ["persona", "range_days"], "left_anti").select(*own.columns))
+
+
+def marked_cells(cells: DataFrame, eligible_pairs: DataFrame, groups: bool) -> DataFrame:
+    """cells(category, range_days, score) with a state: scored, or, where nothing was scored, open or
+    ineligible as no pair was eligible. Without groups the gated categories are left out."""
+    n = eligible_pairs.groupBy("category", "range_days").agg(F.count("*").alias("n_eligible"))
+    state = F.when(C("score").isNotNull(), "scored").when(F.coalesce("n_eligible", F.lit(0)) == 0, "ineligible").otherwise("open")
+    return ungated(cells, groups).join(n, ["category", "range_days"], "left").select("category", "range_days", "score", state.alias("state"))
+
+
+def audit(pairs: DataFrame, days: DataFrame, epoch: str) -> DataFrame:
+    """Codes of what is wrong with each of pairs(qa_id, question, answer, relevant_days) against the texts
+    of its relevant days(day_number, text), each with its date before it."""
+    wanted = pairs.select("qa_id", F.explode(F.array_distinct("relevant_days")).alias("day_number"))
+    date = F.date_add(F.lit(epoch).cast("date"), C("day_number") - 1).cast("string")
+    found = wanted.join(days, "day_number", "left")
+    held = F.array_sort(F.collect_list(F.when(C("text").isNotNull(), F.struct("day_number", F.concat(F.lit("\n"), date, F.lit("\n"), "text").alias("t")))))
+    blobs = found.groupBy("qa_id").agg(F.sum(C("text").isNull().cast("int")).alias("n_missing"), F.array_join(F.transform(held, lambda r: r["t"]), "").alias("blob"))
+    joined = pairs.join(blobs, "qa_id", "left").withColumns({"blob": F.coalesce("blob", F.lit("")), "n_missing": F.coalesce("n_missing", F.lit(0))})
+    there, words = C("blob") != "", F.array_distinct(text.passage_words(C("answer")))
+    codes = {
+        "empty days": F.size("relevant_days") == 0,
+        "missing day": C("n_missing") > 0,
+        "missing value": there & F.exists(F.transform(text.signatures(C("answer")), lambda s: s["value"]), lambda v: ~F.contains("blob", v)),
+        "missing entity": there & F.exists(text.proper_nouns(C("question")), lambda v: ~F.contains("blob", v)),
+        "no common word": there & (F.size(words) > 0) & ~F.arrays_overlap(words, text.passage_words(C("blob"))),
+    }
+    return joined.select("qa_id", F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in codes.items()))).alias("codes"))
+
+
+def revision_candidates(pairs: DataFrame, days: DataFrame, around: int = 80) -> DataFrame:
+    """Later days(day_number, text) that may revise one of pairs(qa_id, answer, relevant_days): near one of
+    the answer's anchor words, as a whole word, stands a value of the same kind as one of the answer's,
+    but another one. The pairs meet the days by an index of the anchor words."""
+    wanted = pairs.where(F.size("relevant_days") > 0).select("qa_id", F.array_max("relevant_days").alias("last_day"), F.array_distinct(text.signatures(C("answer"))).alias("own"), F.explode(text.anchor_words(C("answer"))).alias("anchor")).where(F.size("own") > 0)
+    position = days.select("day_number", "text", F.explode(F.array_distinct(text.found(F.lower("text"), r"\b[a-z]{5,}\b"))).alias("anchor"))
+    met = position.join(wanted.select("anchor").distinct(), "anchor", "left_semi")
+    # The windows around each occurrence of an anchor: what stands before and behind the cuts at it.
+    cuts = F.split(F.lower("text"), F.concat(F.lit(r"(?<![a-z0-9_])"), "anchor", F.lit(r"(?![a-z0-9_])")), -1)
+    starts = F.aggregate(F.slice(cuts, 1, F.size(cuts) - 1), F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p) + F.length("anchor"))))
+    window = lambda at: F.substr("text", F.greatest(at - F.length("anchor") - around, F.lit(0)) + 1, F.least(at - F.length("anchor"), F.lit(around)) + F.length("anchor") + around)
+    values = F.array_distinct(F.flatten(F.transform(F.slice(starts, 2, 1 << 20), lambda at: text.signatures(window(at)))))
+    index = met.select("anchor", "day_number", values.alias("near")).where(F.size("near") > 0)
+    both = wanted.join(index, "anchor").where(C("day_number") > C("last_day"))
+    each = both.select("qa_id", "day_number", "near", F.explode("own").alias("o")).select("qa_id", "day_number", C("o.kind").alias("kind"), C("o.value").alias("value"), F.explode("near").alias("x")).where("x.kind = kind AND x.value <> value")
+    return each.groupBy("qa_id", "day_number", "kind", "value").agg(F.min("x.value").alias("other"))
+
+
+def session_windows(sessions: DataFrame, parts: DataFrame, checkpoints: DataFrame, covered: DataFrame, interval: int) -> DataFrame:
+    """Windows of each of sessions(session, first_day, last_day) before each checkpoint(day) that isn't
+    covered(session, day) yet, with the days of parts(day, session, …) in them; windows without any are
+    left out. Checkpoints are a few dozens."""
+    done = covered.groupBy("session").agg(F.max("day").alias("covered_to"))
+    last = parts.agg(F.max("day").alias("last_available"))
+    each = sessions.join(done, "session", "left").crossJoin(F.broadcast(checkpoints.select(C("day").alias("checkpoint")))).crossJoin(F.broadcast(last))
+    first = F.greatest(F.lit(1), F.coalesce("first_day", F.lit(1)))
+    windows = each.where((C("checkpoint") > F.coalesce("covered_to", F.lit(0))) & (C("checkpoint") >= first)).select("session", "checkpoint", F.greatest(first, C("checkpoint") - interval + 1).alias("from_day"), F.least("checkpoint", F.coalesce("last_day", "last_available"), "last_available").alias("to_day"))
+    unfolded = windows.where("to_day >= from_day").withColumn("day", F.explode(F.sequence("from_day", "to_day")))
+    return unfolded.join(parts.select("day", "session"), ["day", "session"], "left_semi").groupBy("session", "checkpoint").agg(F.min("from_day").alias("from_day"), F.min("to_day").alias("to_day"), F.count("*").alias("n_days"))
+
+
+def directives(arcs: DataFrame, days: DataFrame) -> DataFrame:
+    """Directives of arcs(arc_id, directives: day and event) that fall on one of days(day_number)."""
+    each = arcs.select("arc_id", F.explode("directives").alias("d")).select("arc_id", C("d.day").alias("day_number"), C("d.event").alias("event"))
+    return each.join(days.select("day_number"), "day_number", "left_semi")
+
+
+def correction_states(arcs: DataFrame, days: DataFrame) -> DataFrame:
+    """What is believed on each day of arcs(arc_id, type, start_day, end_day, corrected_day, wrong, right) of
+    type correction: wrong before the day of the correction, on it and after it the right belief too."""
+    own = arcs.where("type = 'correction' AND wrong IS NOT NULL AND corrected_day IS NOT NULL")
+    each = own.withColumn("day_number", F.explode(F.sequence("start_day", "end_day"))).join(days.select("day_number"), "day_number", "left_semi")
+    phase = F.when(C("day_number") < C("corrected_day"), "wrong_belief").when(C("day_number") == C("corrected_day"), "correction_day").otherwise("post_correction")
+    return each.select("arc_id", "day_number", phase.alias("phase"), C("wrong").alias("belief"), F.when(C("day_number") >= C("corrected_day"), C("right")).alias("corrected"))
+
+
+def merged_sessions(sessions: DataFrame, story: DataFrame) -> DataFrame:
+    """sessions(session, first_day, last_day) with the life of the story where it knows them, even when
+    that is null."""
+    own = story.select("session", C("first_day").alias("f"), C("last_day").alias("l"), F.lit(True).alias("known"))
+    joined = sessions.join(own, "session", "left")
+    return joined.select("session", F.when(C("known"), C("f")).otherwise(C("first_day")).alias("first_day"), F.when(C("known"), C("l")).otherwise(C("last_day")).alias("last_day"))
+
+
+def active_sessions(active: DataFrame, echoes: DataFrame, order: DataFrame) -> DataFrame:
+    """Sessions of each day in order: those of active(arc_id, day_number, primary_session, referenced) and,
+    on days when the arc is among echoes(arc_id, day_number), the referenced ones. `principal` comes
+    first, then the order(session, place), then unknown ones."""
+    primary = active.select("day_number", C("primary_session").alias("session"))
+    referenced = active.join(echoes, ["arc_id", "day_number"], "left_semi").select("day_number", F.explode("referenced").alias("session"))
+    every = primary.unionByName(referenced).where("session IS NOT NULL").distinct().join(F.broadcast(order), "session", "left")
+    place = F.when(C("session") == "principal", -1).otherwise(F.coalesce("place", F.lit(1 << 30)))
+    rows = every.groupBy("day_number").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "session"))).alias("x"))
+    return rows.select("day_number", F.transform("x", lambda r: r["session"]).alias("sessions"))
+
+
+def resumed(planned: DataFrame, done: DataFrame, qa: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges that are left to run, and the pairs that count as seen, because they were eligible at the
+    largest finished range."""
+    last = done.join(planned, "range_label").agg(F.max("range_days").alias("range_days"))
+    return still_to_run(planned, done), eligible(qa, last).select("qa_id")

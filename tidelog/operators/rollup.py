@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions import dates, text
+from tidelog.sources import memory
 
 C = F.col
 
@@ -74,8 +75,44 @@ def expected_pointers(weeks: DataFrame, notes: DataFrame) -> DataFrame:
     return each.join(held, "mem_date", "left").select("parent", F.concat(F.lit("memory/"), C("mem_date").cast("string"), F.lit(".md")).alias("uri"), F.coalesce("present", F.lit(False)).alias("present"))
 
 
-def counts_by_type(memory: DataFrame) -> DataFrame:
-    return memory.groupBy("content_type").agg(F.count("*").alias("n"))
+def expected_weeks(months: DataFrame, weeks: DataFrame) -> DataFrame:
+    """The weeks whose Thursday lies in each month(month: its first day): parent, week, whether weeks(week_start)
+    has it."""
+    last = F.last_day("month")
+    each = months.select(F.date_format("month", "yyyy-MM").alias("parent"), F.explode(F.sequence(F.trunc("month", "week"), F.trunc(last, "week"), F.expr("INTERVAL 7 DAYS"))).alias("week_start"))
+    own = each.where(dates.week_month(C("week_start")) == C("parent"))
+    held = weeks.select("week_start", F.lit(True).alias("present")).distinct()
+    return own.join(held, "week_start", "left").select("parent", dates.iso_week(C("week_start")).alias("week"), F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def parent_rows(parents: DataFrame, vectors: DataFrame, kind: str) -> DataFrame:
+    """Two index rows for each of parents(parent, text, vector): its summary under its own vector, and the
+    aggregate of its children from vectors(parent, vector, n_children), where there is one."""
+    meta = [F.lit(kind).alias("content_type"), C("parent").alias("period")]
+    summary = parents.select(F.concat("parent", F.lit("#summary")).alias("uri"), *meta, F.lit("summary").alias("embedding_type"), C("text"), "vector")
+    aggregate = parents.select("parent").join(vectors, "parent").select(F.concat("parent", F.lit("#agg")).alias("uri"), *meta, F.lit("agg").alias("embedding_type"), F.lit("").alias("text"), "vector")
+    return summary.unionByName(aggregate)
+
+
+def typed_memories(output: DataFrame, kinds: tuple[str, ...] = ("user", "feedback", "project", "reference")) -> tuple[DataFrame, DataFrame]:
+    """Typed notes of model output(id, text), a JSON list of file and content: id, file, name, kind, body.
+    Notes whose head names no kind that is known, even after plain values are quoted, are given apart."""
+    each = output.select("id", F.explode(F.from_json("text", "array<struct<file: string, content: string>>")).alias("m")).select("id", "m.file", "m.content")
+    front = memory.front_matter(C("content"))
+    read = each.select("id", "file", front["name"].alias("name"), front["type"].alias("kind"), F.trim(memory.body(C("content"))).alias("body"))
+    good = F.coalesce(C("kind").isin(*kinds) & (C("name") != "") & C("file").rlike(r"^[^/]+\.md$"), F.lit(False))
+    return read.where(good), read.where(~good)
+
+
+def wisdom_input(typed: DataFrame, pages: DataFrame, months: DataFrame) -> DataFrame:
+    """What wisdom is distilled from, in order: typed notes, pages that are no redirects, the latest month."""
+    latest = months.orderBy(C("period").desc()).limit(1)
+    parts = [typed.select(F.lit("typed").alias("part"), C("slug").alias("name"), "text"), pages.where("redirect_to IS NULL").select(F.lit("wiki").alias("part"), C("slug").alias("name"), C("body").alias("text")), latest.select(F.lit("month").alias("part"), C("period").alias("name"), "text")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def counts_by_type(notes: DataFrame) -> DataFrame:
+    return notes.groupBy("content_type").agg(F.count("*").alias("n"))
 
 
 def patched(entries: DataFrame, patches: DataFrame, most: int = 20, budget: int = 4000) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelog.functions import text
 
@@ -107,3 +108,60 @@ def carried_over(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
     """Candidates that the budget leaves for the next session."""
     return candidates.join(chosen.select("kind", "key"), ["kind", "key"], "left_anti")
 
+
+def page_quality(events: DataFrame) -> DataFrame:
+    """events(slug, event) of pages that were hit and then followed, discarded or overridden: how often each,
+    and followed - 0.5 discarded - 2 overridden, as shares of the hits, between -1 and 1."""
+    count = lambda kind: F.sum((C("event") == kind).cast("int"))
+    rows = events.groupBy("slug").agg(*(count(kind).alias(kind) for kind in ("hit", "followed", "discarded", "overridden"))).where("hit > 0")
+    score = (C("followed") - 0.5 * C("discarded") - 2 * C("overridden")) / C("hit")
+    return rows.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
+
+
+def followed_hits(log: DataFrame) -> DataFrame:
+    """log(session, seq, kind, uri, cited) with `followed` for page hits whose next call in the session reads
+    a note that the page cites."""
+    order = Window.partitionBy("session").orderBy("seq")
+    after = F.when(F.lead("kind").over(order) == "read", F.lead("uri").over(order))
+    return log.withColumn("followed", (C("kind") == "page") & F.coalesce(F.array_contains("cited", after), F.lit(False))).where("kind = 'page'")
+
+
+#: Phrases by which an answer hedges, and values that it may state.
+HEDGES = r"(?i)couldn't find|no record of|not surfaced|closest match|I checked memory and didn't"
+STATED = r"\$\d[\d,.]*[KMB]?|\d+(?:\.\d+)?%|\d+(?:\.\d+)?x"
+
+
+def answer_flags(answers: DataFrame) -> DataFrame:
+    """answers(id, question, answer, trace: read uris) that need a second look: a value is stated and only
+    pages were read; the question names a day whose note wasn't read; the answer hedges."""
+    only_pages = (F.size("trace") > 0) & F.forall("trace", lambda u: u.startswith("memory/wiki/"))
+    day = F.regexp_extract("question", r"(?i)(?:as of|on|recorded on) (\d{4}-\d{2}-\d{2})", 1)
+    unread = (day != "") & ~F.array_contains("trace", F.concat(F.lit("memory/"), day, F.lit(".md")))
+    flags = {"value without a note": C("answer").rlike(STATED) & only_pages, "pinned date not read": unread, "hedging": C("answer").rlike(HEDGES)}
+    return answers.select("id", F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in flags.items()))).alias("flags"))
+
+
+def uncovered_promotions(promotions: DataFrame, typed: DataFrame) -> DataFrame:
+    """promotions(file, name, …) that no typed item(file, name) covers by its file or its name."""
+    return promotions.join(typed.select("file").distinct(), "file", "left_anti").join(typed.select("name").distinct(), "name", "left_anti").select(*promotions.columns)
+
+
+def session_totals(items: DataFrame, examined: DataFrame) -> DataFrame:
+    """Diary line of each session: how many items(session, kind) of each kind, and candidates that were
+    examined(session, examined) out of all."""
+    kinds = ("insight", "promotion", "contradiction", "gap", "op")
+    counts = items.groupBy("session").agg(*(F.sum((C("kind") == k).cast("int")).alias(f"n_{k}") for k in kinds))
+    seen = examined.groupBy("session").agg(F.sum(C("examined").cast("int")).alias("n_examined"), F.count("*").alias("n_candidates"))
+    joined = counts.join(seen, "session", "full_outer")
+    return joined.fillna(0)
+
+
+def candidate_context(candidates: DataFrame, notes: DataFrame, edges: DataFrame, parents: DataFrame) -> DataFrame:
+    """What a model gets with each of candidates(candidate_id, uris): the notes(uri, mem_date, text), those of
+    the days beside them, and the summaries parents(uri, text) that edges(parent, child) give them."""
+    own = candidates.select("candidate_id", F.explode(F.array_distinct("uris")).alias("uri")).join(notes.select("uri", "mem_date"), "uri")
+    days = own.select("candidate_id", F.explode(F.array(*(F.date_add("mem_date", k) for k in (-1, 0, 1)))).alias("mem_date")).distinct()
+    texts = days.join(notes, "mem_date").select("candidate_id", F.lit(0).alias("part"), "uri", "text")
+    above = own.join(edges.select(C("child").alias("uri"), "parent"), "uri").select("candidate_id", C("parent").alias("uri")).distinct().join(parents, "uri").select("candidate_id", F.lit(1).alias("part"), "uri", "text")
+    rows = texts.unionByName(above).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("part", "uri", "text"))).alias("x"))
+    return rows.select("candidate_id", F.size("x").alias("n_parts"), F.array_join(F.transform("x", lambda r: F.concat(F.lit("["), r["uri"], F.lit("]\n"), r["text"])), "\n\n").alias("context"))

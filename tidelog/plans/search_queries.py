@@ -1,0 +1,333 @@
+"""Queries of the whole search: metadata filters, branches, modes, fusion, budgets, headers, preambles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidelog.functions import dates, text
+from tidelog.operators import retrieval
+from tidelog.plans.rollup_queries import _BM25, _PARENT, _keyword_sql, _parents, _text_queries, _texts
+from tidelog.plans.text_queries import _WEEK, BEST_REFERENCE, CUES, DECOMPOSED, NOW, dated_texts, joined_questions
+from tidelog.sources import views
+from tidelog.sources.views import sql
+
+C = F.col
+KINDS = ("daily", "daily", "typed", "wisdom", "wiki")
+
+
+def _index(spark, sf):
+    """The vectors as an index: own vectors of notes and pages, aggregates of weeks and months, and
+    summaries of weeks."""
+    e, i = views.edges(spark, sf), C("vec_id")
+    none = F.lit(None).cast("date")
+    doubles = F.col("embedding").cast("array<double>")
+    own = e.select(F.concat(F.lit("v-"), i.cast("string")).alias("uri"), F.element_at(F.array(*map(F.lit, KINDS)), (i % 5 + 1).cast("int")).alias("content_type"), F.lit("own").alias("embedding_type"), doubles.alias("vector"), views.day(i).alias("date"))
+    summary = e.where("vec_id < 50").select(F.concat(F.lit("week-"), i.cast("string"), F.lit("#summary")).alias("uri"), F.lit("weekly").alias("content_type"), F.lit("summary").alias("embedding_type"), doubles.alias("vector"), none.alias("date"))
+    out = own.unionByName(summary)
+    for parent in ("week", "month"):
+        rows = _parents(spark, sf, parent).select(F.concat(F.lit(f"{parent}-"), C("parent").cast("string"), F.lit("#agg")).alias("uri"), F.lit(f"{parent}ly").alias("content_type"), F.lit("agg").alias("embedding_type"), "vector", none.alias("date"))
+        out = out.unionByName(rows)
+    return out
+
+
+def _queries(spark, sf):
+    """Every vector whose id is divisible by 20."""
+    return views.edges(spark, sf).where("vec_id % 20 = 0").select(C("vec_id").alias("query_id"), C("embedding").cast("array<double>").alias("vector"))
+
+
+def _pointers(spark, sf):
+    e = views.edges(spark, sf)
+    week = F.concat(F.lit("week-"), C("week").cast("string"))
+    weeks = e.select(week.alias("parent"), F.concat(F.lit("v-"), C("vec_id").cast("string")).alias("child"))
+    months = e.select(F.concat(F.lit("month-"), C("month").cast("string")).alias("parent"), week.alias("child")).distinct()
+    return retrieval.day_pointers(weeks, months)
+
+
+_DOUBLES = "CAST(embedding AS DOUBLE[])"
+_AGG = "SELECT '{p}-' || parent || '#agg' AS uri, '{p}ly' AS content_type, 'agg' AS embedding_type, list(x ORDER BY i) AS v, CAST(NULL AS DATE) AS date FROM " + _PARENT + " GROUP BY parent"
+_IDX = f"""idx AS (SELECT 'v-' || vec_id AS uri, {list(KINDS)}[vec_id % 5 + 1] AS content_type, 'own' AS embedding_type, {_DOUBLES} AS v, DATE '2024-01-01' + CAST(vec_id AS INT) AS date FROM v_edges
+    UNION ALL SELECT 'week-' || vec_id || '#summary', 'weekly', 'summary', {_DOUBLES}, NULL FROM v_edges WHERE vec_id < 50 UNION ALL {_AGG.format(p='week')} UNION ALL {_AGG.format(p='month')}),
+  qs AS (SELECT vec_id AS query_id, {_DOUBLES} AS q FROM v_edges WHERE vec_id % 20 = 0),
+  br AS (SELECT CASE WHEN embedding_type <> 'own' THEN 'parents' WHEN content_type = 'wiki' THEN 'pages' ELSE 'raw' END AS branch, query_id, uri, list_dot_product(q, v) AS score FROM qs, idx),
+  bh AS (SELECT * FROM br QUALIFY row_number() OVER (PARTITION BY query_id, branch ORDER BY score DESC, uri) <= CASE branch WHEN 'parents' THEN 10 ELSE 20 END)"""
+
+
+def r4_metadata_filter(spark, sf):
+    found = retrieval.where_metadata(_index(spark, sf), embedding_type=("agg", "summary", "own"), content_type="weekly")
+    return found.groupBy("content_type", "embedding_type").agg(F.count("*").alias("n"), F.min("uri").alias("first_uri"))
+
+
+R4 = sql("v_edges", f"WITH {_IDX} SELECT content_type, embedding_type, count(*) AS n, min(uri) AS first_uri FROM idx WHERE content_type = 'weekly' GROUP BY ALL")
+
+
+def r9_branches(spark, sf):
+    return retrieval.branches(_queries(spark, sf), _index(spark, sf)).select("branch", "query_id", "uri", F.round("score", 6).alias("score"))
+
+
+R9 = sql("v_edges", f"WITH {_IDX} SELECT branch, query_id, uri, round(score, 6) AS score FROM bh")
+
+
+def r10_parent_scores(spark, sf):
+    found = retrieval.branches(_queries(spark, sf), _index(spark, sf)).where("branch = 'parents'")
+    return retrieval.parent_scores(found).select("query_id", "parent", F.round("score", 6).alias("score"))
+
+
+_PS = "ps AS (SELECT query_id, regexp_replace(uri, '#(agg|summary)$', '') AS parent, max(score) AS score FROM bh WHERE branch = 'parents' GROUP BY ALL)"
+R10 = sql("v_edges", f"WITH {_IDX}, {_PS} SELECT query_id, parent, round(score, 6) AS score FROM ps")
+
+
+def r11_two_levels(spark, sf):
+    """Months expand to the days of their weeks."""
+    return _pointers(spark, sf)
+
+
+_PT = "pt AS (SELECT 'week-' || week AS parent, 'v-' || vec_id AS child FROM v_edges UNION SELECT 'month-' || m.month, 'v-' || d.vec_id FROM (SELECT DISTINCT month, week FROM v_edges) m JOIN v_edges d USING (week))"
+R11 = sql("v_edges", f"WITH {_PT} SELECT parent, child FROM pt")
+
+
+def _catalog(spark, sf):
+    """Catalog hits of the queries: every query against the notes of its own week."""
+    e = views.edges(spark, sf)
+    q = e.where("vec_id % 20 = 0").select(C("vec_id").alias("query_id"), "week")
+    return q.join(e.select("week", C("vec_id").alias("v")), "week").select("query_id", F.concat(F.lit("v-"), C("v").cast("string")).alias("uri"), ((C("v") * 7 % 100) / 100.0).alias("score"))
+
+
+def _references(spark, sf):
+    found = dates.best_reference(dates.temporal_references(dated_texts(spark, sf), F.lit(NOW).cast("date")))
+    return found.select("query_id", "date")
+
+
+def _cues(spark, sf):
+    return dated_texts(spark, sf).select("query_id", dates.recency_cue(C("text")).alias("cue"))
+
+
+def _recent(spark, sf):
+    return views.daily(spark, sf).select(F.concat(F.lit("weekly/"), dates.iso_week(C("mem_date"))).alias("uri")).distinct().orderBy(C("uri").desc()).limit(2)
+
+
+def _found(spark, sf, mode, **more):
+    hits = retrieval.search(_queries(spark, sf), _index(spark, sf), _pointers(spark, sf), mode, **more)
+    return hits.select("query_id", "uri", "score", F.round("base", 6).alias("base"), F.round("parent_score", 6).alias("parent_score"))
+
+
+def r16_search(spark, sf):
+    """The whole search: branches, catalog, pointers, summaries, time references and cues of the texts."""
+    return _found(spark, sf, "hierarchical", catalog=_catalog(spark, sf), references=_references(spark, sf), cues=_cues(spark, sf), recent=_recent(spark, sf))
+
+
+_DIRECT = "di AS (SELECT query_id, uri, max(score) AS score FROM bh WHERE branch IN ({b}) GROUP BY ALL)"
+_TAKEN = """ct AS (SELECT q.vec_id AS query_id, 'v-' || e.vec_id AS uri, 1.2 * (e.vec_id * 7 % 100) / 100.0 AS score FROM v_edges q JOIN v_edges e USING (week) WHERE q.vec_id % 20 = 0),
+  dc AS (SELECT query_id, uri, max(score) AS score FROM (SELECT * FROM di UNION ALL SELECT * FROM ct) GROUP BY ALL)"""
+_EXPANDED = """xp AS (SELECT query_id, child AS uri, 0.8 * max(ps.score) AS score, max(ps.score) AS parent_score FROM ps JOIN pt USING (parent) GROUP BY ALL),
+  ev AS (SELECT query_id, uri, score, 0.0 AS parent_score FROM {d} UNION ALL SELECT x.* FROM xp x ANTI JOIN {d} USING (query_id, uri) UNION ALL SELECT query_id, parent || '#summary', score, score FROM ps),
+  ab AS (SELECT DISTINCT uri, date, content_type FROM idx)"""
+_RANKED = "SELECT query_id, uri, round(final, 6) AS score, round(score, 6) AS base, round(parent_score, 6) AS parent_score FROM fi QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(final, 6) DESC, uri) <= 5"
+R16 = sql(
+    "v_edges v_daily",
+    f"""WITH {_IDX}, {_PS}, {_PT}, {_DIRECT.format(b="'raw', 'pages'")}, {_TAKEN}, {_EXPANDED.format(d='dc')},
+  rf AS (SELECT query_id, date AS about FROM {BEST_REFERENCE}), cu AS (SELECT query_id, cue FROM {CUES}),
+  sp AS (SELECT ev.*, ab.date, content_type, about, cue, min(ab.date) OVER w AS lo, max(ab.date) OVER w AS hi FROM ev LEFT JOIN ab USING (uri) LEFT JOIN rf USING (query_id) LEFT JOIN cu USING (query_id) WINDOW w AS (PARTITION BY ev.query_id)),
+  tt AS (SELECT *, greatest(0.0, least(1.0, datediff('day', lo, date) / nullif(datediff('day', lo, hi), 0))) AS t FROM sp),
+  fi AS (SELECT *, (0.8 * score + 0.2 * parent_score) * CASE WHEN content_type = 'wiki' THEN 0.9 ELSE 1.0 END * CASE WHEN about IS NOT NULL AND date IS NOT NULL THEN exp(-abs(datediff('day', about, date)) / 30.0) ELSE 1.0 END
+    * CASE WHEN date IS NULL OR cue IS NULL OR t IS NULL THEN 1.0 WHEN cue = 'latest' THEN 0.85 + 0.4 * t ELSE 1.25 - 0.4 * t END AS final FROM tt),
+  re AS (SELECT DISTINCT 'weekly/' || {_WEEK} AS uri FROM v_daily ORDER BY 1 DESC LIMIT 2),
+  al AS (SELECT * FROM ({_RANKED}) UNION ALL SELECT query_id, uri, 0.3, 0.3, 0.0 FROM qs, re)
+  SELECT query_id, uri, score, base, parent_score FROM al QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri) <= 5""",
+)
+
+
+def r24_without_pages(spark, sf):
+    return _found(spark, sf, "no_pages")
+
+
+R24N = sql("v_edges", f"WITH {_IDX}, {_PS}, {_PT}, {_DIRECT.format(b=repr('raw'))}, {_EXPANDED.format(d='di')}, fi AS (SELECT ev.*, 0.8 * score + 0.2 * parent_score AS final FROM ev LEFT JOIN ab USING (uri) WHERE true), fj AS (SELECT fi.query_id, fi.uri, fi.score, fi.parent_score, fi.final * CASE WHEN content_type = 'wiki' THEN 0.9 ELSE 1.0 END AS final FROM fi LEFT JOIN ab USING (uri)) {_RANKED.replace('FROM fi', 'FROM fj')}")
+
+
+def r24_flat(spark, sf):
+    return _found(spark, sf, "flat", catalog=_catalog(spark, sf))
+
+
+R24F = sql("v_edges", f"WITH {_IDX}, {_DIRECT.format(b=repr('raw'))}, {_TAKEN}, fi AS (SELECT query_id, uri, score, score AS final, CAST(0 AS DOUBLE) AS parent_score FROM dc) {_RANKED}")
+
+
+def r24_pages_only(spark, sf):
+    return _found(spark, sf, "pages")
+
+
+R24P = sql("v_edges", f"WITH {_IDX}, {_DIRECT.format(b=repr('pages'))}, fi AS (SELECT query_id, uri, score, score AS final, CAST(0 AS DOUBLE) AS parent_score FROM di) {_RANKED}")
+
+
+def r25_partitioned(spark, sf):
+    """Notes and pages with a budget each."""
+    found = retrieval.branches(_queries(spark, sf), _index(spark, sf)).where("branch <> 'parents'")
+    hits = found.select("query_id", "uri", F.round("score", 6).alias("score"), C("branch").alias("corpus"))
+    return retrieval.partitioned(hits, {"raw": 5, "pages": 2})
+
+
+R25 = sql("v_edges", f"WITH {_IDX} SELECT query_id, uri, round(score, 6) AS score, branch AS corpus, row_number() OVER (PARTITION BY query_id, branch ORDER BY round(score, 6) DESC, uri) AS place FROM bh WHERE branch <> 'parents' QUALIFY place <= CASE branch WHEN 'raw' THEN 5 ELSE 2 END")
+
+
+def _chunk_hits(spark, sf):
+    """Chunks of the events' hits: three chunks of each note, with lines and whole texts."""
+    h = views.hits(spark, sf).groupBy(C("query").alias("query_id"), "uri", C("j").alias("chunk_id")).agg(F.max("score").alias("score"))
+    texts = views.daily(spark, sf).select("uri", "text")
+    line = C("chunk_id") * 10 + 1
+    return h.join(texts, "uri").select("query_id", "uri", "chunk_id", "score", line.alias("first_line"), (line + 9).alias("last_line"), F.concat(F.substring("text", 1, 40), C("chunk_id").cast("string")).alias("text"))
+
+
+_CHUNKS = "ch AS (SELECT query AS query_id, uri, j AS chunk_id, max(score) AS score, any_value(substr(text, 1, 40)) || j AS text FROM v_hits JOIN v_daily USING (uri) GROUP BY query, uri, j)"
+
+
+def r5_document_hits(spark, sf):
+    found = retrieval.document_hits(_chunk_hits(spark, sf), 4, 2)
+    return found.select("query_id", "uri", F.round("score", 9).alias("score"), C("first_line").cast("long").alias("first_line"), C("last_line").cast("long").alias("last_line"), "text", C("n_sections").cast("long").alias("n_sections"))
+
+
+R5 = sql(
+    "v_hits v_daily",
+    f"""WITH {_CHUNKS}, b AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri, chunk_id) <= 8),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id, uri ORDER BY score DESC, chunk_id) AS place FROM b),
+    d AS (SELECT query_id, uri, max(score) AS score, min(chunk_id) * 10 + 1 AS first_line, max(chunk_id) * 10 + 10 AS last_line, string_agg(text, chr(10) || chr(10) || '...' || chr(10) || chr(10) ORDER BY chunk_id) FILTER (place <= 2) AS text, count(*) FILTER (place <= 2) AS n_sections FROM p GROUP BY ALL)
+    SELECT query_id, uri, round(score, 9) AS score, CAST(first_line AS BIGINT) AS first_line, CAST(last_line AS BIGINT) AS last_line, text, n_sections FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d.score DESC, uri) <= 4""",
+)
+
+
+def r6_best_chunks(spark, sf):
+    return retrieval.best_chunks(_chunk_hits(spark, sf), 5).select("query_id", "uri", "chunk_id", F.round("score", 9).alias("score"))
+
+
+R6 = sql(
+    "v_hits v_daily",
+    f"""WITH {_CHUNKS}, b AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri, chunk_id) <= 20),
+    p AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, uri ORDER BY score DESC, chunk_id) = 1)
+    SELECT query_id, uri, chunk_id, round(score, 9) AS score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p.score DESC, uri) <= 5""",
+)
+
+
+def r8_without_redirects(spark, sf):
+    entries = views.table(spark, sf, "part").select(C("p_partkey").alias("uri"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.when(C("p_partkey") % 6 == 0, "x").alias("redirect_to"))
+    queries = entries.where("uri % 20 = 0").select(C("uri").alias("query_id"), "text")
+    return retrieval.catalog_hits(queries, entries, text.catalog_tokens, 5)
+
+
+R8 = f"""WITH e AS (SELECT p_partkey AS uri, p_name || ' ' || p_type AS text FROM part), q AS (SELECT uri AS query_id, {_keyword_sql((), ' ', 1, 'text')} AS w FROM e WHERE uri % 20 = 0),
+  a AS (SELECT query_id, len(w) AS n, unnest(w) AS term FROM q), h AS (SELECT DISTINCT uri, unnest({_keyword_sql((), ' ', 1, 'text')}) AS term FROM e WHERE uri % 6 <> 0),
+  s AS (SELECT query_id, uri, round(count(*) / n, 9) AS score FROM a JOIN h USING (term) GROUP BY query_id, uri, n)
+  SELECT query_id, uri, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri) <= 5"""
+
+
+def r20_fusion(spark, sf):
+    """Each question with its expansions, searched by keywords and merged."""
+    q = _text_queries(spark, sf).select("query_id", F.posexplode(text.expanded_queries(C("text"))).alias("no", "text"))
+    variants = q.select("query_id", (C("query_id") * 10 + C("no")).alias("variant_id"), "text")
+    hits = retrieval.bm25(variants.select(C("variant_id").alias("query_id"), "text"), _texts(spark, sf), 5)
+    return retrieval.fused(variants, hits)
+
+
+_KW = _keyword_sql(text.QUERY_STOP_WORDS, " ", 1)
+_VARIANTS = f"""vk AS (SELECT qa_id, question, {_KW} AS k FROM v_qa),
+  vv AS (SELECT qa_id, list_concat([question], list_concat(CASE WHEN len(k) >= 2 AND array_to_string(k, ' ') <> lower(question) THEN [array_to_string(k, ' ')] ELSE [] END, CASE WHEN len(k) > 3 THEN [array_to_string(list_slice(k, 1, 4), ' ')] ELSE [] END)) AS v FROM vk),
+  va AS (SELECT qa_id * 10 + unnest(range(0, len(v))) AS variant_id, unnest(v) AS text FROM vv)"""
+_TOKENS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+R20 = sql(
+    "v_qa",
+    f"WITH {_VARIANTS}, " + _BM25.removeprefix("WITH ").replace(f"q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark)", f"q AS (SELECT DISTINCT variant_id AS query_id, unnest({_TOKENS}) AS term FROM va)")
+    + """, h AS (SELECT query_id, uri, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, uri) <= 5), fu AS (SELECT query_id // 10 AS query_id, uri, max(score) AS score FROM h GROUP BY ALL)
+    SELECT query_id, uri, score FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri) <= 5""",
+)
+
+
+def r31_sub_queries(spark, sf):
+    """Three hits for each part of a question that asks for several things."""
+    parts = joined_questions(spark, sf).select("qa_id", F.posexplode(text.decomposed_query(C("text"))).alias("no", "text"))
+    return retrieval.bm25(parts.select((C("qa_id") * 10 + C("no")).alias("query_id"), "text"), _texts(spark, sf), 3)
+
+
+R31 = sql(
+    "v_qa",
+    _BM25.replace(f"q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark)", f"q AS (SELECT DISTINCT qa_id * 10 + no AS query_id, unnest({_TOKENS.replace('text', 'part')}) AS term FROM {DECOMPOSED})")
+    + " SELECT query_id, uri, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, uri) <= 3",
+)
+
+
+def r23_page_headers(spark, sf):
+    w, i = views.wiki(spark, sf), C("doc_id")
+    sources = F.transform("sources", lambda s, k: F.struct(s.alias("uri"), F.when(k % 2 == 0, k + 1).alias("first"), F.lit(5).alias("lines")))
+    claims = F.when(i % 4 == 0, F.array(F.struct(F.when(i % 8 == 0, F.concat(F.lit("fact "), i.cast("string"))).alias("fact"), F.lit("memory/x.md").alias("source"), C("updated").alias("on"))))
+    related = F.when(i % 3 == 0, F.array(F.lit("a"), F.lit("b")))
+    header = retrieval.page_header(C("slug"), C("updated"), C("name"), sources, claims, related, C("redirect_to"))
+    return w.select("slug", header.alias("header"))
+
+
+R23 = sql(
+    "v_wiki",
+    """SELECT slug, concat_ws(chr(10), '=== Wiki: ' || slug || ' (updated ' || updated || ') ===', name, chr(10) || 'Cited dailies (' || len(sources) || '):' || chr(10) || array_to_string(list_transform(sources, lambda s, k: '- ' || s || CASE WHEN k % 2 = 1 THEN '[' || k || '..' || (k + 4) || ']' ELSE '' END), chr(10)),
+      CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Superseded claims:' || chr(10) || '- ' || CASE WHEN doc_id % 8 = 0 THEN '"fact ' || doc_id || '"' ELSE '(prior claim)' END || ' (was in memory/x.md, superseded ' || updated || ')' END,
+      CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Related: [[a]], [[b]]' END, CASE WHEN redirect_to IS NOT NULL THEN chr(10) || 'Redirects to: [[' || redirect_to || ']]' END) || chr(10) || chr(10) || '--- body ---' || chr(10) AS header FROM v_wiki""",
+)
+
+
+def r28_day_rollup(spark, sf):
+    hits = views.hits(spark, sf).select(C("query").alias("query_id"), F.regexp_extract("uri", r"\d{4}-\d{2}-\d{2}", 0).alias("day"), "uri", "score", "event_id")
+    chunks = hits.join(views.daily(spark, sf).select("uri", "text"), "uri").select("query_id", "day", F.concat("uri", F.lit("#"), (C("event_id") % 40).cast("string")).alias("uri"), "score", F.concat((C("event_id") % 40 % 30).cast("string"), F.lit(" "), "text").alias("text"))
+    return retrieval.day_rollup(hits, chunks).select("query_id", "day", "uri", F.round("score", 9).alias("score"))
+
+
+R28 = sql(
+    "v_hits v_daily",
+    """WITH h AS (SELECT query AS query_id, regexp_extract(uri, '[0-9-]{10}') AS day, uri || '#' || (event_id % 40) AS uri, score, substr((event_id % 40 % 30) || ' ' || text, 1, 120) AS beginning FROM v_hits JOIN v_daily USING (uri)),
+    a AS (SELECT query AS query_id, regexp_extract(uri, '[0-9-]{10}') AS day, max(score) AS best FROM v_hits GROUP BY ALL), d AS (SELECT query_id, day FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY best DESC, day) <= 4),
+    o AS (SELECT h.* FROM h JOIN d USING (query_id, day) QUALIFY row_number() OVER (PARTITION BY query_id, day, beginning ORDER BY score DESC, uri DESC) = 1)
+    SELECT query_id, day, uri, round(score, 9) AS score FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o.score DESC, uri, day) <= 50""",
+)
+
+
+def r30_preambles(spark, sf):
+    w = views.wiki(spark, sf)
+    hits = w.where("redirect_to IS NULL").select((C("doc_id") % 40).alias("query_id"), C("slug").alias("uri"), (C("doc_id") % 83 / 83.0).alias("score"))
+    best = retrieval.top(hits, 3, C("score").desc(), C("uri"))
+    claims = w.where("doc_id % 4 = 0").select(C("slug").alias("uri"), F.posexplode(F.sequence(F.lit(1), (C("doc_id") % 7).cast("int"))).alias("pos", "n")).where("n > 0")
+    told = claims.select("uri", (C("pos") + 1).alias("pos"), F.when(C("n") % 2 == 1, F.concat(F.lit("fact "), C("n").cast("string"))).alias("fact"), F.concat(F.lit("memory/"), C("n").cast("string")).alias("source"))
+    found = retrieval.page_preambles(best, w.select(C("slug").alias("uri"), "sources"), views.daily(spark, sf).select("uri", "text"), told)
+    return found.select("query_id", "uri", "cited", F.sha2("snippets", 256).alias("snippets_sha256"), "superseded")
+
+
+R30 = sql(
+    "v_wiki v_daily",
+    r"""WITH h AS (SELECT doc_id % 40 AS query_id, slug, doc_id, sources FROM v_wiki WHERE redirect_to IS NULL QUALIFY row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id % 83 DESC, slug) <= 3),
+    e AS (SELECT query_id, slug, unnest(sources) AS source FROM h), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, slug ORDER BY source DESC) AS place FROM e),
+    s AS (SELECT n.*, '[' || source || ']' || chr(10) || substr(trim(text, ' ' || chr(10) || chr(13) || chr(9)), 1, 700) AS snippet FROM n LEFT JOIN v_daily d ON d.uri = n.source AND place <= 2 WHERE place <= 6)
+    SELECT h.query_id, h.slug AS uri, string_agg(source, ', ' ORDER BY place) AS cited, sha256(coalesce(string_agg(snippet, chr(10) || chr(10) ORDER BY place) FILTER (place <= 2), '')) AS snippets_sha256,
+      CASE WHEN any_value(h.doc_id) % 4 = 0 THEN array_to_string(list_transform(range(1, CAST(least(4, CASE any_value(h.doc_id) % 7 WHEN 0 THEN 1 ELSE any_value(h.doc_id) % 7 END) + 1 AS BIGINT)), lambda k: CASE WHEN k % 2 = 1 THEN 'fact ' || k || ' (was in memory/' || k || ')' ELSE 'prior claim in memory/' || k END), '; ') ELSE '' END AS superseded
+    FROM h JOIN s ON h.query_id = s.query_id AND h.slug = s.slug GROUP BY h.query_id, h.slug""",
+)
+
+
+def u1_embeddings(spark, sf):
+    """The default vectors of the whole texts: how many places they use and their largest share."""
+    found = retrieval.embedded(_texts(spark, sf))
+    return found.select("uri", F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("n_places"), F.round(F.array_max("vector"), 6).alias("largest"))
+
+
+U1 = rf"""WITH w AS (SELECT doc_id AS uri, unnest({_TOKENS}) AS word FROM documents), c AS (SELECT uri, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS slot, count(*) AS n FROM w GROUP BY ALL), v AS (SELECT uri, count(*) AS n_places, round(max(n) / sqrt(sum(n * n)), 6) AS largest FROM c GROUP BY uri)
+  SELECT doc_id AS uri, coalesce(n_places, 0) AS n_places, coalesce(largest, 0) AS largest FROM documents LEFT JOIN v ON v.uri = doc_id"""
+
+
+def u2_reranker(spark, sf):
+    """The default reranker behind the keyword search."""
+    queries, texts = _text_queries(spark, sf), _texts(spark, sf)
+    hits = retrieval.bm25(queries, texts, 10)
+    pairs = hits.join(queries.select("query_id", C("text").alias("query")), "query_id").join(texts, "uri")
+    return retrieval.second_stage(hits, retrieval.overlap_scores(pairs).withColumn("new_score", F.round("new_score", 9)), 5).select("query_id", "uri", C("place").cast("long").alias("place"))
+
+
+U2 = (
+    _BM25
+    + f""", h AS (SELECT query_id, uri, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, uri) AS rank FROM b QUALIFY rank <= 10),
+  qt AS (SELECT item_id AS query_id, list_distinct({_TOKENS}) AS qw FROM benchmark), dt AS (SELECT doc_id AS uri, {_TOKENS} AS dw FROM documents),
+  n AS (SELECT h.*, round(len(list_filter(qw, lambda x: list_contains(dw, x))) / len(qw), 9) AS s FROM h JOIN qt USING (query_id) JOIN dt USING (uri))
+  SELECT query_id, uri, row_number() OVER (PARTITION BY query_id ORDER BY rank > 5, CASE WHEN rank <= 5 THEN -s END, rank) AS place FROM n"""
+)
+
+QUERIES = {f.__name__: f for f in (r4_metadata_filter, r5_document_hits, r6_best_chunks, r8_without_redirects, r9_branches, r10_parent_scores, r11_two_levels, r16_search, r20_fusion, r23_page_headers, r24_without_pages, r24_flat, r24_pages_only, r25_partitioned, r28_day_rollup, r30_preambles, r31_sub_queries, u1_embeddings, u2_reranker)}
+ORACLE_SQL = {"r4_metadata_filter": R4, "r5_document_hits": R5, "r6_best_chunks": R6, "r8_without_redirects": R8, "r9_branches": R9, "r10_parent_scores": R10, "r11_two_levels": R11, "r16_search": R16, "r20_fusion": R20, "r23_page_headers": R23, "r24_without_pages": R24N, "r24_flat": R24F, "r24_pages_only": R24P, "r25_partitioned": R25, "r28_day_rollup": R28, "r30_preambles": R30, "r31_sub_queries": R31, "u1_embeddings": U1, "u2_reranker": U2}

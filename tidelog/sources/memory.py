@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelog.functions.text import temporal_tag
+
 C = F.col
 
 _HEAD = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
@@ -104,6 +106,39 @@ def stitched(progress: DataFrame) -> DataFrame:
     return newest.withColumn("number", F.row_number().over(Window.orderBy("days")))
 
 
+def stitched_totals(checkpoints: DataFrame) -> DataFrame:
+    """The totals of a run from its stitched checkpoints: mean scores weighted by questions."""
+    weighted = lambda c: F.sum(C(c) * C("questionsEvaluated")) / F.sum("questionsEvaluated")
+    return checkpoints.agg(F.count("*").alias("n_checkpoints"), F.sum("questionsEvaluated").alias("n_questions"), weighted("overallScore").alias("overall"), weighted("hallucinationRate").alias("hallucination_rate"))
+
+
+QA_SCHEMA = "id string, question string, answer string, category string, difficulty string, relevant_days array<int>, irrelevant_after int, forbidden_sessions array<string>, expected_disclosure string"
+
+
+def read_qa(spark: SparkSession, path: str) -> DataFrame:
+    """Graded questions, one JSON object a line; what a row lacks is null, lists are empty."""
+    rows = spark.read.schema(QA_SCHEMA).json(path).where("id IS NOT NULL")
+    return rows.withColumns({"relevant_days": F.coalesce("relevant_days", F.array().cast("array<int>")), "forbidden_sessions": F.coalesce("forbidden_sessions", F.array().cast("array<string>")), "difficulty": F.coalesce("difficulty", F.lit("medium"))})
+
+
+def report_rows(lines: DataFrame) -> DataFrame:
+    """Rows of text reports: lines(file, line_no, text). A line `== name ==` heads a section, a line
+    `label: value` is a row of it; other lines say nothing. Headers are carried down within a file."""
+    head = F.regexp_extract("text", r"^==+\s*(.*?)\s*==+\s*$", 1)
+    own = lines.withColumn("head", F.when(head != "", head))
+    section = F.last("head", ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    label, value = F.regexp_extract("text", r"^\s*([^:=]+?)\s*:\s*(-?\d+(?:\.\d+)?)\s*%?\s*$", 1), F.regexp_extract("text", r"^\s*([^:=]+?)\s*:\s*(-?\d+(?:\.\d+)?)\s*%?\s*$", 2)
+    return own.select("file", "line_no", section.alias("section"), label.alias("label"), value.try_cast("double").alias("value")).where("label <> ''")
+
+
+def write_results(cells: DataFrame, folder: str) -> None:
+    """A run's results for others: the cells(category, range_label, score, n) as JSON lines, and one summary
+    row for each category as Parquet."""
+    cells.write.mode("overwrite").json(f"{folder}/cells")
+    summary = cells.groupBy("category").agg(F.count("*").alias("n_ranges"), F.sum("n").alias("n_questions"), (F.sum(C("score") * C("n")) / F.sum("n")).alias("mean_score"))
+    summary.write.mode("overwrite").parquet(f"{folder}/summary")
+
+
 def tool_calls(output: DataFrame) -> DataFrame:
     """Calls in model output(id, text): id, pos, session, content; others than memorySave are left out."""
     calls = F.from_json("text", "struct<calls: array<struct<tool: string, session: string, content: string>>>")["calls"]
@@ -132,6 +167,29 @@ def upserted(corpus: DataFrame, changes: DataFrame) -> DataFrame:
     return corpus.join(changes.select("uri"), "uri", "left_anti").unionByName(changes)
 
 
+def without(corpus: DataFrame, uris: DataFrame) -> DataFrame:
+    """corpus(uri, …) without the given uris."""
+    return corpus.join(uris.select("uri").distinct(), "uri", "left_anti")
+
+
+def holds(corpus: DataFrame, uris: DataFrame) -> DataFrame:
+    """uris(uri) and whether the corpus has each."""
+    there = corpus.select("uri").distinct().withColumn("held", F.lit(True))
+    return uris.join(there, "uri", "left").select("uri", F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def corpus_stats(chunks: DataFrame) -> DataFrame:
+    """How many documents and chunks a corpus of chunks(uri, …) has."""
+    return chunks.agg(F.countDistinct("uri").alias("n_documents"), F.count("*").alias("n_chunks"))
+
+
+def tagged(notes: DataFrame, date: Column, **kinds: bool) -> DataFrame:
+    """notes(uri, content_type, text) as they go into the index: classes with kinds[class] true get their
+    date in front of the text."""
+    wanted = [k for k, on in kinds.items() if on]
+    return notes.withColumn("text", F.when(C("content_type").isin(*wanted), temporal_tag(C("text"), date)).otherwise(C("text")))
+
+
 def synced(corpus: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     """What a sync of corpus(uri, hash) with files(uri, text) has to do: changed rows and removed uris."""
     hashed = files.withColumn("hash", F.xxhash64("text"))

@@ -47,3 +47,18 @@ def ingested_days(days: DataFrame, ingest, last: Column, checkpoint: str, once:
         ingest(batch.where(C("day_number") <= last).dropDuplicates(["day_number"]).orderBy("day_number"), batch_id)
 
     return _trigger(days.writeStream.foreachBatch(ordered).option("checkpointLocation", checkpoint), once, "10 seconds").start()
+
+
+def rolling_gaps(log: DataFrame, folder: str, checkpoint: str, days: int = 30, late: str = "1 day", once: bool = False) -> StreamingQuery:
+    """How often each query of log(ts, query, scores) was asked, and its mean best score, in windows of
+    `days` days that move by one day. Rows later than `late` are dropped."""
+    best = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    windows = log.withWatermark("ts", late).groupBy(F.window("ts", f"{days} days", "1 day"), F.lower(F.trim("query")).alias("query")).agg(F.count("*").alias("n"), F.avg(best).alias("mean_best"))
+    rows = windows.select(C("window.start").alias("start"), "query", "n", "mean_best")
+    return _trigger(rows.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint), once, "1 minute").start()
+
+
+def signal_pass(log: DataFrame, collect, checkpoint: str) -> StreamingQuery:
+    """One scheduled pass over what the log has gained since the last one: collect(batch, batch_id). Run it
+    by a timer; the checkpoint remembers how far it came."""
+    return log.writeStream.foreachBatch(collect).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
