@@ -73,6 +73,10 @@ VAGUE_TIMES = {
 }
 
 
+def _falls_on(epoch: Column, weekday: str):
+    return lambda d: F.date_format(calendar_date(epoch, d), "EEEE") == weekday
+
+
 def anchored_times(text: Column, days: Column, epoch: Column) -> Column:
     """The text with a date behind each vague time: a named weekday gets the first of the relevant day
     numbers that is one, `the weekend` the first and last relevant weekend days, `that weekday` the
@@ -87,7 +91,7 @@ def anchored_times(text: Column, days: Column, epoch: Column) -> Column:
     weekday = F.when(F.size(work) > 0, iso(F.try_element_at(work, F.lit(1)))).otherwise(first)
     out = text
     for name in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"):
-        own = F.filter(days, lambda d, name=name: F.date_format(date(d), "EEEE") == name)
+        own = F.filter(days, _falls_on(epoch, name))
         anchor = F.when(F.size(own) > 0, iso(F.try_element_at(own, F.lit(1)))).otherwise(first)
         out = F.regexp_replace(out, F.lit(ascii_bounds(rf"(?i)\b({name})\b")), F.concat(F.lit("$1 ("), anchor, F.lit(")")))
     for name, anchor in (("weekend", weekend), ("weekday", weekday), ("part", first)):

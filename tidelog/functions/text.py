@@ -204,6 +204,36 @@ def anchor_words(text: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.filter(words, lambda w: ~F.array_contains(vague, w))), 1, most)
 
 
+#: A word that the border of a passage cuts is completed by up to so many characters.
+WORD_REST = 60
+
+
+def signature_contexts(text: Column, around: int) -> Column:
+    """(kind, value, near) of every signature: near are the distinct words of five letters or more, lower-cased,
+    that begin up to `around` characters behind its begin and end up to `around` before its end."""
+    return F.flatten(F.array(*(_contexts(text, kind, ascii_bounds(p), around) for kind, p in SIGNATURES.items())))
+
+
+def _contexts(text: Column, kind: str, pattern: str, around: int) -> Column:
+    values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value: string, start: int>>").alias("out"))
+
+    def placed(a: Column, r: Column) -> Column:
+        begin = a["at"] + F.length(between[r["i"]])
+        return F.struct((begin + F.length(r["v"])).alias("at"), F.concat(a["out"], F.array(F.struct(r["v"].alias("value"), begin.alias("start")))).alias("out"))
+
+    def near(r: Column) -> Column:
+        first, last = F.greatest(r["start"] + F.length(r["value"]) - around, F.lit(0)), r["start"] + around
+        rest = F.greatest(first - WORD_REST, F.lit(0))
+        left = F.regexp_extract(F.substr(text, rest + 1, first - rest), rf"{_WORD}*\z", 0)
+        right = F.regexp_extract(F.substr(text, last + 1, F.lit(WORD_REST)), rf"\A{_WORD}*", 0)
+        passage = F.lower(F.concat(left, F.substr(text, first + 1, last - first), right))
+        return F.struct(F.lit(kind).alias("kind"), r["value"].alias("value"), F.array_distinct(found(passage, r"\b[a-z]{5,}\b")).alias("near"))
+
+    numbered = F.transform(values, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+    return F.transform(F.aggregate(numbered, start, placed, lambda a: a["out"]), near)
+
+
 def links_with_offsets(body: Column) -> Column:
     """(target, offset) of every link in a body, offsets in characters from 0."""
     whole = found(body, r"\[\[[^\]|]+(?:\|[^\]]*)?\]\]")
@@ -221,7 +251,7 @@ def links_with_offsets(body: Column) -> Column:
 def wisdom_entries(text: Column) -> Column:
     """(title, body) of the entries that lines beginning with a bold title open."""
     parts = F.slice(F.split(F.concat(F.lit("\n"), text), r"\n(?=\*\*.+?\*\*)"), 2, 1 << 20)
-    body = lambda p: F.regexp_replace(p, r"\A[^\n]*\n?", "")
+    body = lambda p: F.when(F.contains(p, F.lit("\n")), F.concat(F.regexp_replace(p, r"\A[^\n]*\n", ""), F.lit("\n"))).otherwise("")
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"\A\*\*(.+?)\*\*", 1).alias("title"), body(p).alias("body")))
 
 

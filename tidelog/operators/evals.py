@@ -333,21 +333,16 @@ def audit(pairs: DataFrame, days: DataFrame, epoch: str) -> DataFrame:
 
 
 def revision_candidates(pairs: DataFrame, days: DataFrame, around: int = 80) -> DataFrame:
-    """Later days(day_number, text) that may revise one of pairs(qa_id, answer, relevant_days): near one of
-    the answer's anchor words, as a whole word, stands a value of the same kind as one of the answer's,
-    but another one. The pairs meet the days by an index of the anchor words."""
-    wanted = pairs.where(F.size("relevant_days") > 0).select("qa_id", F.array_max("relevant_days").alias("last_day"), F.array_distinct(text.signatures(C("answer"))).alias("own"), F.explode(text.anchor_words(C("answer"))).alias("anchor")).where(F.size("own") > 0)
-    position = days.select("day_number", "text", F.explode(F.array_distinct(text.found(F.lower("text"), r"\b[a-z]{5,}\b"))).alias("anchor"))
-    met = position.join(wanted.select("anchor").distinct(), "anchor", "left_semi")
-    # The windows around each occurrence of an anchor: what stands before and behind the cuts at it.
-    cuts = F.split(F.lower("text"), F.concat(F.lit(r"(?<![a-z0-9_])"), "anchor", F.lit(r"(?![a-z0-9_])")), -1)
-    starts = F.aggregate(F.slice(cuts, 1, F.size(cuts) - 1), F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p) + F.length("anchor"))))
-    window = lambda at: F.substr("text", F.greatest(at - F.length("anchor") - around, F.lit(0)) + 1, F.least(at - F.length("anchor"), F.lit(around)) + F.length("anchor") + around)
-    values = F.array_distinct(F.flatten(F.transform(F.slice(starts, 2, 1 << 20), lambda at: text.signatures(window(at)))))
-    index = met.select("anchor", "day_number", values.alias("near")).where(F.size("near") > 0)
-    both = wanted.join(index, "anchor").where(C("day_number") > C("last_day"))
-    each = both.select("qa_id", "day_number", "near", F.explode("own").alias("o")).select("qa_id", "day_number", C("o.kind").alias("kind"), C("o.value").alias("value"), F.explode("near").alias("x")).where("x.kind = kind AND x.value <> value")
-    return each.groupBy("qa_id", "day_number", "kind", "value").agg(F.min("x.value").alias("other"))
+    """Later days(day_number, text) that may revise one of pairs(qa_id, answer, relevant_days): within
+    `around` characters of one of the answer's anchor words, as a whole word, stands a value of the same
+    kind as one of the answer's, but another one. Each day's values are found once, with the words around
+    them; the pairs meet them by an index of these words."""
+    values = F.array_distinct(text.signatures(C("answer")))
+    wanted = pairs.where(F.size("relevant_days") > 0).select("qa_id", F.array_max("relevant_days").alias("last_day"), F.explode(text.anchor_words(C("answer"))).alias("anchor"), values.alias("own")).select("qa_id", "last_day", "anchor", F.explode("own").alias("o")).select("qa_id", "last_day", "anchor", "o.kind", "o.value")
+    each = days.select("day_number", F.explode(text.signature_contexts(C("text"), around)).alias("x"))
+    index = each.select("day_number", "x.kind", C("x.value").alias("other"), F.explode("x.near").alias("anchor")).distinct()
+    both = wanted.join(index, ["anchor", "kind"]).where((C("day_number") > C("last_day")) & (C("other") != C("value")))
+    return both.groupBy("qa_id", "day_number", "kind", "value").agg(F.min("other").alias("other"))
 
 
 def session_windows(sessions: DataFrame, parts: DataFrame, checkpoints: DataFrame, covered: DataFrame, interval: int) -> DataFrame:
@@ -401,5 +396,5 @@ def active_sessions(active: DataFrame, echoes: DataFrame, order: DataFrame) -> D
 def resumed(planned: DataFrame, done: DataFrame, qa: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ranges that are left to run, and the pairs that count as seen, because they were eligible at the
     largest finished range."""
-    last = done.join(planned, "range_label").agg(F.max("range_days").alias("range_days"))
+    last = done.select("range_label").join(planned, "range_label").agg(F.max("range_days").alias("range_days"))
     return still_to_run(planned, done), eligible(qa, last).select("qa_id")

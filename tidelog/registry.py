@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.plans import context_queries, eval_queries, more_queries, page_queries, search_queries, rollup_queries, signal_queries, source_queries, text_queries
+from tidelog.plans import audit_queries, context_queries, eval_queries, more_queries, page_queries, search_queries, rollup_queries, signal_queries, source_queries, text_queries
 
-MODULES = (text_queries, signal_queries, eval_queries, rollup_queries, source_queries, more_queries, context_queries, page_queries, search_queries)
+MODULES = (text_queries, signal_queries, eval_queries, rollup_queries, source_queries, more_queries, context_queries, page_queries, search_queries, audit_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
