@@ -72,15 +72,23 @@ def mutual_contradictions(pages: DataFrame) -> DataFrame:
 def rename_candidates(pages: DataFrame, least_sources: int = 3, least_share: float = 0.5) -> DataFrame:
     """Pairs of pages with so many sources each whose source sets overlap: a, b, jaccard.
 
-    An equi-join on the source finds common sources; pages that share the same whole source set are
-    one row in it, so a set that very many pages have does not multiply."""
+    Pages that share the same whole source set are one row, so a set that very many pages have does not
+    multiply. With the sources of each set in order of how many sets hold them, sets that overlap enough
+    share one of their first n - ceil(share n) + 1: only these meet in a join, so a source that very
+    many sets hold meets hardly any. The pairs are verified on the whole sets."""
     sets = pages.where(C("redirect_to").isNull() & (F.size(F.array_distinct("sources")) >= least_sources)).select("slug", F.array_sort(F.array_distinct("sources")).alias("sources"))
-    groups = sets.groupBy("sources").agg(F.min("slug").alias("slug"), F.count("*").alias("n_pages"))
-    each = groups.select("slug", "n_pages", F.size("sources").alias("n"), F.explode("sources").alias("source"))
-    left, right = each.select(C("slug").alias("a"), C("n").alias("n_a"), "source"), each.select(C("slug").alias("b"), C("n").alias("n_b"), "source")
-    common = left.join(right, "source").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
-    share = C("c") / (C("n_a") + C("n_b") - C("c"))
-    return common.where(share >= least_share).select("a", "b", share.alias("jaccard"))
+    groups = sets.groupBy("sources").agg(F.min("slug").alias("slug"))
+    each = groups.select("slug", F.explode("sources").alias("source"))
+    held = each.groupBy("source").agg(F.count("*").alias("n_sets"))
+    ordered = each.join(held, "source").groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("n_sets", "source"))).alias("x"))
+    prefix = F.slice(F.transform("x", lambda r: r["source"]), 1, F.size("x") - F.ceil(F.lit(least_share) * F.size("x")).cast("int") + 1)
+    first = ordered.select("slug", F.transform("x", lambda r: r["source"]).alias("all"), F.explode(prefix).alias("source"))
+    left, right = first.select(C("slug").alias("a"), C("all").alias("all_a"), "source"), first.select(C("slug").alias("b"), C("all").alias("all_b"), "source")
+    fitting = (F.size("all_a") >= least_share * F.size("all_b")) & (F.size("all_b") >= least_share * F.size("all_a"))
+    pairs = left.join(right, "source").where((C("a") < C("b")) & fitting).dropDuplicates(["a", "b"])
+    common = F.size(F.array_intersect("all_a", "all_b"))
+    share = common / (F.size("all_a") + F.size("all_b") - common)
+    return pairs.select("a", "b", share.alias("jaccard")).where(C("jaccard") >= least_share)
 
 
 def category_index(pages: DataFrame) -> DataFrame:

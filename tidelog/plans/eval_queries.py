@@ -69,6 +69,16 @@ def e4_stratified_sample(spark, sf):
     return evals.stratified_sample(pairs, 7).select("qa_id", "range_days", "is_new")
 
 
+_SAMPLED = f"""WITH p AS (SELECT *, range_days = min(range_days) OVER (PARTITION BY qa_id) AS is_new FROM {_ELIGIBLE}),
+    n AS (SELECT range_days, category, count(*) AS n, min(cat_order) AS o FROM p JOIN v_categories USING (category) WHERE NOT is_new GROUP BY ALL),
+    b AS (SELECT *, sum(n) OVER (PARTITION BY range_days) AS total FROM n), f AS (SELECT *, CAST(n * 7 // total AS BIGINT) AS base, (n * 7) % total AS rest FROM b),
+    s AS (SELECT *, 7 - sum(base) OVER (PARTITION BY range_days) AS seats, row_number() OVER (PARTITION BY range_days ORDER BY rest DESC, n DESC, o) AS place FROM f),
+    t AS (SELECT range_days, category, CASE WHEN total <= 7 THEN n ELSE base + CASE WHEN place <= seats THEN 1 ELSE 0 END END AS quota FROM s),
+    d AS (SELECT qa_id, range_days, category, row_number() OVER (PARTITION BY range_days, category ORDER BY md5(concat_ws(':', '1', qa_id, range_days)), qa_id) AS place FROM p WHERE NOT is_new)
+    SELECT qa_id, range_days, is_new FROM p WHERE is_new UNION ALL SELECT qa_id, d.range_days, false FROM d JOIN t ON t.range_days = d.range_days AND t.category = d.category WHERE place <= quota"""
+E4S = sql("v_qa v_ranges v_categories", _SAMPLED)
+
+
 def e5_seeded_order(spark, sf):
     from pyspark.sql.window import Window
 
@@ -76,6 +86,9 @@ def e5_seeded_order(spark, sf):
     return _eligible(spark, sf).select("qa_id", "range_days", place.alias("place"))
 
 
+E5 = sql("v_qa v_ranges", f"SELECT qa_id, range_days, row_number() OVER (PARTITION BY range_days ORDER BY md5(concat_ws(':', '7', qa_id, range_days)), qa_id) AS place FROM {_ELIGIBLE}")
+
+
 def e8_final_scores(spark, sf):
     return _final(spark, sf).select("qa_id", "range_days", C("composite").cast("long").alias("composite"), "failed")
 
@@ -112,12 +125,12 @@ E13 = sql("v_eval", f"WITH c AS (SELECT persona, range_days, category, avg(compo
 
 
 def e14_grid(spark, sf):
-    cells = evals.category_means(_final(spark, sf).where("category <> 'synthesis'"), views.categories(spark), views.ranges(spark)).withColumnRenamed("mean_score", "score")
+    cells = evals.category_means(evals.ungated(_final(spark, sf)), views.categories(spark), views.ranges(spark)).withColumnRenamed("mean_score", "score")
     return _round(evals.grid(cells, views.RANGES), *(f"d{d}" for d in views.RANGES))
 
 
 _PIVOT = ", ".join(f"round(avg(CASE WHEN range_days = {d} THEN composite END), 9) AS d{d}" for d in views.RANGES)
-E14 = sql("v_eval v_categories", f"SELECT c.category, {_PIVOT} FROM v_categories c LEFT JOIN {_FINAL} f ON f.category = c.category AND f.category <> 'synthesis' GROUP BY c.category")
+E14 = sql("v_eval v_categories", f"SELECT c.category, {_PIVOT} FROM v_categories c LEFT JOIN {_FINAL} f ON f.category = c.category AND f.category NOT IN ('group-session-attribution', 'information-boundary') GROUP BY c.category")
 
 
 def e15_disclosure(spark, sf):
@@ -145,7 +158,7 @@ E17D = sql("v_eval", f"SELECT coalesce(a.category, b.category) AS category, coal
 
 def _gappy(spark, sf):
     """Cells of which some have no score, and some were never eligible."""
-    scored = _final(spark, sf).where("(qa_id + range_days) % 3 <> 0")
+    scored = _final(spark, sf)
     means = evals.category_means(scored, views.categories(spark), views.ranges(spark))
     asked = evals.ungated(_eligible(spark, sf)).select("category", "range_days").distinct().withColumn("asked", F.lit(True))
     missing = (C("n") == 0) | ((F.length("category") + C("range_days")) % 4 == 0)
@@ -156,7 +169,7 @@ def e18_filled_gaps(spark, sf):
     return _round(evals.filled_gaps(_gappy(spark, sf)), "score")
 
 
-_GAPPY = f"""WITH m AS (SELECT r.range_days, c.category, avg(composite) AS s, count(composite) AS n FROM v_ranges r CROSS JOIN v_categories c LEFT JOIN {_FINAL} f ON f.range_days = r.range_days AND f.category = c.category AND (qa_id + f.range_days) % 3 <> 0 GROUP BY ALL),
+_GAPPY = f"""WITH m AS (SELECT r.range_days, c.category, avg(composite) AS s, count(composite) AS n FROM v_ranges r CROSS JOIN v_categories c LEFT JOIN {_FINAL} f ON f.range_days = r.range_days AND f.category = c.category GROUP BY ALL),
   e AS (SELECT DISTINCT category, range_days FROM {_ELIGIBLE} WHERE category NOT IN ('group-session-attribution', 'information-boundary')),
   g AS (SELECT m.category, m.range_days, e.category IS NOT NULL AS eligible, CASE WHEN e.category IS NOT NULL AND n > 0 AND (length(m.category) + m.range_days) % 4 <> 0 THEN s END AS score FROM m LEFT JOIN e ON m.category = e.category AND m.range_days = e.range_days),
   l AS (SELECT max(range_days) AS last_days FROM g WHERE eligible AND score IS NOT NULL),
@@ -249,12 +262,12 @@ E32 = sql("v_arcs", f"SELECT day_number, arc_id, day_in_arc, phase FROM {_ACTIVE
 
 def e35_density(spark, sf):
     days = _calendar(spark, sf)
-    return evals.density(days, evals.active_arcs(days, views.arcs(spark, sf).where("arc_id % 40 = 0")))
+    return evals.density(days, evals.active_arcs(days, views.arcs(spark, sf)))
 
 
 E35 = sql(
     "v_arcs",
-    f"""WITH a AS (SELECT * FROM {_ACTIVE} WHERE arc_id % 40 = 0), n AS (SELECT day_number, count(*) AS n_arcs, max(CAST(type = 'incident' AS INT)) AS incident, sum(CAST(pinned_day = day_number AS INT)) AS n_pinned, max(CAST(day_in_arc = 1 OR phase = 'concluding' AS INT)) AS border FROM a GROUP BY 1),
+    f"""WITH a AS (SELECT * FROM {_ACTIVE}), n AS (SELECT day_number, count(*) AS n_arcs, max(CAST(type = 'incident' AS INT)) AS incident, sum(CAST(pinned_day = day_number AS INT)) AS n_pinned, max(CAST(day_in_arc = 1 OR phase = 'concluding' AS INT)) AS border FROM a GROUP BY 1),
     d AS (SELECT doc_id + 1 AS day_number, isodow(DATE '2024-01-01' + CAST(doc_id AS INT)) >= 6 AS weekend, coalesce(n_arcs, 0) AS n_arcs, coalesce(incident, 0) AS incident, coalesce(n_pinned, 0) AS n_pinned, coalesce(border, 0) AS border FROM documents LEFT JOIN n ON n.day_number = doc_id + 1)
     SELECT day_number, n_arcs, CASE WHEN weekend AND incident = 0 THEN 'quiet' WHEN n_pinned >= 2 AND n_arcs >= 3 THEN 'dense' WHEN incident = 1 OR n_pinned >= 1 OR border = 1 THEN 'busy' WHEN n_arcs >= 3 THEN 'busy' WHEN n_arcs = 0 THEN 'quiet' ELSE 'normal' END AS density FROM d""",
 )
@@ -273,13 +286,13 @@ E36 = sql("v_arcs", _ARC_DAYS + " SELECT arc_id, day_number FROM chosen")
 
 
 def e37_gap_days(spark, sf):
-    return evals.gap_days(_calendar(spark, sf), evals.arc_days(views.arcs(spark, sf).where("arc_id % 97 = 0"), views.EPOCH))
+    return evals.gap_days(_calendar(spark, sf), evals.arc_days(views.arcs(spark, sf), views.EPOCH))
 
 
 E37 = sql(
     "v_arcs",
     _ARC_DAYS
-    + """, a AS (SELECT DISTINCT day_number FROM chosen WHERE arc_id % 97 = 0), d AS (SELECT doc_id + 1 AS day_number, DATE '2024-01-01' + CAST(doc_id AS INT) AS day_date FROM documents),
+    + """, a AS (SELECT DISTINCT day_number FROM chosen), d AS (SELECT doc_id + 1 AS day_number, DATE '2024-01-01' + CAST(doc_id AS INT) AS day_date FROM documents),
   y AS (SELECT d.day_number, date_trunc('week', day_date) AS week, a.day_number IS NOT NULL AS active FROM d LEFT JOIN a ON a.day_number = d.day_number WHERE isodow(day_date) < 6),
   g AS (SELECT *, greatest(0, least(5, count(*) OVER (PARTITION BY week)) - count(*) FILTER (active) OVER (PARTITION BY week)) AS needed FROM y),
   e AS (SELECT *, greatest(1, count(*) OVER (PARTITION BY week) // needed) AS step, row_number() OVER (PARTITION BY week ORDER BY day_number) - 1 AS place FROM g WHERE NOT active AND needed > 0)
@@ -301,4 +314,4 @@ def e42_calibration(spark, sf):
 E42 = sql("v_eval", "WITH f AS (SELECT range_days, coalesce(app_correctness + app_completeness + app_hallucination >= 4 AND app_hallucination > 0 AND app_correctness > 0, false) AS o FROM v_eval WHERE correctness + completeness + hallucination < 4 OR hallucination = 0 OR correctness = 0) SELECT range_days, count(*) AS n_failed, CAST(sum(CAST(o AS INT)) AS BIGINT) AS n_overturned, round(avg(CAST(o AS DOUBLE)), 9) AS share FROM f GROUP BY range_days")
 
 QUERIES = {f.__name__: f for f in (e1_eligible, e2_new_or_earlier, e3_gated, e4_quotas, e4_stratified_sample, e5_seeded_order, e8_final_scores, e9_category_means, e10_difficulty_means, e12_range_summary, e13_heatmap, e14_grid, e15_disclosure, e17_totals, e17_run_delta, e18_filled_gaps, e20_overall, e21_dropped_pairs, e22_changed_pairs, e23_evidence, e27_applied_fixes, e28_validated, e29_distribution, e32_active_arcs, e35_density, e36_arc_days, e37_gap_days, e40_quartile_drift, e42_calibration)}
-ORACLE_SQL = {"e1_eligible": E1, "e2_new_or_earlier": E2, "e3_gated": E3, "e4_quotas": E4, "e8_final_scores": E8, "e9_category_means": E9, "e10_difficulty_means": E10, "e12_range_summary": E12, "e13_heatmap": E13, "e14_grid": E14, "e15_disclosure": E15, "e17_totals": E17, "e17_run_delta": E17D, "e18_filled_gaps": E18, "e20_overall": E20, "e21_dropped_pairs": E21, "e22_changed_pairs": E22, "e23_evidence": E23, "e27_applied_fixes": E27, "e28_validated": E28, "e29_distribution": E29, "e32_active_arcs": E32, "e35_density": E35, "e36_arc_days": E36, "e37_gap_days": E37, "e40_quartile_drift": E40, "e42_calibration": E42}
+ORACLE_SQL = {"e1_eligible": E1, "e2_new_or_earlier": E2, "e3_gated": E3, "e4_quotas": E4, "e4_stratified_sample": E4S, "e5_seeded_order": E5, "e8_final_scores": E8, "e9_category_means": E9, "e10_difficulty_means": E10, "e12_range_summary": E12, "e13_heatmap": E13, "e14_grid": E14, "e15_disclosure": E15, "e17_totals": E17, "e17_run_delta": E17D, "e18_filled_gaps": E18, "e20_overall": E20, "e21_dropped_pairs": E21, "e22_changed_pairs": E22, "e23_evidence": E23, "e27_applied_fixes": E27, "e28_validated": E28, "e29_distribution": E29, "e32_active_arcs": E32, "e35_density": E35, "e36_arc_days": E36, "e37_gap_days": E37, "e40_quartile_drift": E40, "e42_calibration": E42}

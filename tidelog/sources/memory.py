@@ -46,7 +46,11 @@ def repaired_head(head: Column) -> Column:
 
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     """All notes below a folder: uri, content_type, period, front, body."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select("value", C("_metadata.file_path").alias("uri"))
+    return notes_of(spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select("value", C("_metadata.file_path").alias("uri")))
+
+
+def notes_of(files: DataFrame) -> DataFrame:
+    """files(uri, value) as notes, by the class that their names give them; other files are left out."""
     kind = content_type(C("uri"))
     period = F.when(kind.isin("daily", "weekly", "monthly"), F.regexp_extract("uri", r"([^/]+)\.md$", 1))
     return files.select("uri", kind.alias("content_type"), period.alias("period"), front_matter(C("value")).alias("front"), body(C("value")).alias("body")).where("content_type IS NOT NULL")
@@ -68,7 +72,12 @@ def day_text(entries: DataFrame) -> DataFrame:
 
 
 def persona_days(spark: SparkSession, folder: str, epoch: str) -> DataFrame:
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select("value", C("_metadata.file_path").alias("uri"))
+    """The days of a persona's folder: day_number, day_date, content."""
+    return days_of(spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select("value", C("_metadata.file_path").alias("uri")), epoch)
+
+
+def days_of(files: DataFrame, epoch: str) -> DataFrame:
+    """files(uri, value) named day-NNNN; day 1 is the epoch."""
     number = F.regexp_extract("uri", r"day-(\d{4})", 1).try_cast("int")
     return files.select(number.alias("day_number"), C("value").alias("content")).where("day_number IS NOT NULL").withColumn("day_date", F.date_add(F.lit(epoch).cast("date"), C("day_number") - 1))
 
