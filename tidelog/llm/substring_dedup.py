@@ -2,12 +2,13 @@
 
 Every window of 50 consecutive words has a fingerprint: the least hash of the 8-word runs inside it.
 Equal windows have equal fingerprints, and neighbouring windows mostly share theirs, so a document
-gives about one fingerprint for each 22 words. The index has two kinds of immutable runs, one of each
-for a batch of documents, bucketed and sorted by fingerprint:
+gives about one fingerprint for each 22 words. The index has three kinds of immutable runs, one of each
+for a batch of documents, bucketed and sorted by their keys:
   fingerprint runs  (print, least, most, n): the smallest and the largest doc_id that hold a fingerprint,
                     and how many texts do;
   window runs       (print, doc_id, hashes): the windows at fingerprints that several documents hold,
-                    each under the smallest doc_id that has it.
+                    each under the smallest doc_id that has it;
+  crowd runs        (hash, print, least, most): the windows at fingerprints of more than CROWD documents.
 When there are MOST_RUNS of a kind, the next batch begins by compacting them into one. A batch is
 deduplicated in these steps:
   1. its fingerprints become a run, which is merge-joined with the earlier runs, bucket by bucket:
@@ -16,8 +17,10 @@ deduplicated in these steps:
      hashes of their windows at these fingerprints; the windows of fingerprints that were shared
      before come from the window runs, by a merge join;
   3. a window whose hash a smaller doc_id has is a duplicate. The windows of one fingerprint meet in
-     one group; those of a fingerprint of more than CROWD documents are never brought together:
-     the smallest doc_id of each window is a combined minimum, joined back to the windows.
+     one group; those of a fingerprint of more than CROWD documents are never brought together: the
+     smallest doc_id of each window is a combined minimum, merge-joined with the crowd runs, and the
+     windows of several documents go out in broadcast sets of at most SET_WINDOWS, one scan of the
+     texts that hold them for each set.
 Windows count as equal when their fingerprints and their 64-bit hashes over all 50 words are.
 Batches come in rising order of doc_id, so each document is judged when its batch is.
 
@@ -51,6 +54,9 @@ BATCHES = 3
 #: Documents of one fingerprint whose windows meet in one group.
 CROWD = 500
 
+#: Windows in one broadcast set (24 bytes each).
+SET_WINDOWS = 1_000_000
+
 
 def _least_grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(first word, fingerprint) of each window that lies within one text."""
@@ -96,49 +102,58 @@ def document_facts(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Immutable runs, bucketed and sorted by fingerprint, in a folder that the whole cluster sees."""
-
-    WINDOWS = "print long, doc_id long, hashes array<long>"
+    """Immutable runs, bucketed and sorted by their keys, in a folder that the whole cluster sees."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None):
         self.spark, self.folder = spark, folder or shared_dir(spark)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.prints: list[str] = []
         self.windows: list[str] = []
+        self.crowds: list[str] = []
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, key: str) -> str:
         name = f"tidelog_run_{uuid.uuid4().hex}"
-        ordered = rows.repartition(self.buckets, "print").sortWithinPartitions("print")
-        ordered.write.format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{name}").bucketBy(self.buckets, "print").sortBy("print").saveAsTable(name)
+        ordered = rows.repartition(self.buckets, key).sortWithinPartitions(key)
+        ordered.write.format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{name}").bucketBy(self.buckets, key).sortBy(key).saveAsTable(name)
         return name
 
-    def add_prints(self, rows: DataFrame) -> DataFrame:
-        """Writes a run of rows(print, least, most, n) and gives it back with old_least, old_most and old_n
-        of the earlier runs, from a merge join with each."""
-        name = self._write(rows)
-        new, columns = self.spark.table(name), ("least", "most", "n")
-        old = {c: [F.lit(None).cast("long")] * 2 for c in columns}
-        for k, run in enumerate(self.prints):
-            new = new.hint("merge").join(self.spark.table(run).select("print", *(F.col(c).alias(f"{c}_{k}") for c in columns)), "print", "left")
+    def _merged(self, runs: list[str], rows: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
+        """Writes a run and gives it back with old_… of the columns of the earlier runs, from a merge join
+        with each: their least, most and sum."""
+        name = self._write(rows, keys[0])
+        new, old = self.spark.table(name), {c: [F.lit(None).cast("long")] * 2 for c in columns}
+        for k, run in enumerate(runs):
+            new = new.hint("merge").join(self.spark.table(run).select(*keys, *(F.col(c).alias(f"{c}_{k}") for c in columns)), keys, "left")
             for c in columns:
                 old[c].append(F.col(f"{c}_{k}"))
-        self.prints.append(name)
-        n = sum((F.coalesce(x, F.lit(0)) for x in old["n"]), F.lit(0).cast("long"))
-        return new.select("print", *columns, F.least(*old["least"]).alias("old_least"), F.greatest(*old["most"]).alias("old_most"), n.alias("old_n"))
+        runs.append(name)
+        how = {"least": lambda x: F.least(*x), "most": lambda x: F.greatest(*x), "n": lambda x: sum((F.coalesce(y, F.lit(0)) for y in x), F.lit(0).cast("long"))}
+        return new.select(*keys, *columns, *(how[c](old[c]).alias(f"old_{c}") for c in columns))
+
+    def add_prints(self, rows: DataFrame) -> DataFrame:
+        """Adds a run of rows(print, least, most, n), one a print, and looks up the earlier ones."""
+        return self._merged(self.prints, rows, ["print"], ("least", "most", "n"))
+
+    def add_crowds(self, rows: DataFrame) -> DataFrame:
+        """Adds a run of rows(hash, print, least, most), one a window, and looks up the earlier ones."""
+        return self._merged(self.crowds, rows, ["hash", "print"], ("least", "most"))
 
     def add_windows(self, rows: DataFrame) -> None:
-        self.windows.append(self._write(rows))
+        self.windows.append(self._write(rows, "print"))
 
     def compact(self) -> None:
-        """Merges runs into one of each kind when there are MOST_RUNS."""
+        """Merges the runs of each kind into one when there are MOST_RUNS."""
+        ends = (F.min("least").alias("least"), F.max("most").alias("most"))
         if len(self.prints) >= MOST_RUNS:
-            self.prints = [self._write(self._united(self.prints).groupBy("print").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n")))]
+            self.prints = [self._write(self._united(self.prints).groupBy("print").agg(*ends, F.sum("n").alias("n")), "print")]
+        if len(self.crowds) >= MOST_RUNS:
+            self.crowds = [self._write(self._united(self.crowds).groupBy("hash", "print").agg(*ends), "hash")]
         if len(self.windows) >= MOST_RUNS:
-            self.windows = [self._write(self._united(self.windows))]
+            self.windows = [self._write(self._united(self.windows), "print")]
 
     def forget(self) -> None:
         """Takes the runs out of the session's catalog."""
-        for name in self.prints + self.windows:
+        for name in self.prints + self.windows + self.crowds:
             self.spark.sql(f"DROP TABLE {name}")
 
     def _united(self, runs: list[str]) -> DataFrame:
@@ -149,44 +164,51 @@ class FingerprintIndex:
 
     def windows_at(self, prints: DataFrame) -> DataFrame:
         """The rows (print, doc_id, hashes) of all window runs at prints(print)."""
-        out = self.spark.createDataFrame([], self.WINDOWS)
+        out = self.spark.createDataFrame([], "print long, doc_id long, hashes array<long>")
         for name in self.windows:
             out = out.unionByName(self.spark.table(name).hint("merge").join(prints, "print", "left_semi"))
         return out
 
 
-def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window hashes of each text at its candidate fingerprints, a row for each fingerprint."""
-    for batch in text_blocks(batches):
-        texts = batch.column("text").to_pylist()
-        words = Words(texts, "exact")
-        at, least = _least_grams(words)
-        if not len(at):
+def _candidate_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, text key, starts, fingerprints, hashes) of the windows at each text's candidates, in order
+    of fingerprint."""
+    texts = batch.column("text").to_pylist()
+    words = Words(texts, "exact")
+    at, least = _least_grams(words)
+    if not len(at):
+        return
+    hashes = words.window_hashes(WIDTH)[at]
+    first = np.searchsorted(words.text_of_word()[at], np.arange(batch.num_rows + 1))
+    for k, candidates in enumerate(batch.column("candidates").to_pylist()):
+        own = least[first[k] : first[k + 1]].view(np.int64)
+        wanted = np.sort(np.array(candidates, dtype=np.int64))
+        if not len(own) or not len(wanted):
             continue
-        hashes = words.window_hashes(WIDTH)[at]
-        of = words.text_of_word()[at]
-        first = np.searchsorted(of, np.arange(batch.num_rows + 1))
-        prints, rows, keys, starts, counts, taken = [], [], [], [], [], []
-        for k, candidates in enumerate(batch.column("candidates").to_pylist()):
-            own = least[first[k] : first[k + 1]].view(np.int64)
-            wanted = np.sort(np.array(candidates, dtype=np.int64))
-            place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-            found = np.flatnonzero(wanted[place] == own) if len(own) else np.zeros(0, dtype=np.int64)
-            if not len(found):
-                continue
+        place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+        found = np.flatnonzero(wanted[place] == own)
+        if len(found):
             # The windows of one fingerprint need not be neighbours.
             found = found[np.lexsort((found, place[found]))]
-            new = np.flatnonzero(np.concatenate([[True], np.diff(place[found]) != 0]))
-            prints.append(own[found][new])
+            yield k, _text_key(_digest(texts[k])), at[first[k] : first[k + 1]][found] - words.first[k], own[found], as_long(hashes[first[k] : first[k + 1]][found])
+
+
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each fingerprint of each text."""
+    for batch in text_blocks(batches):
+        prints, rows, keys, starts, counts, taken = [], [], [], [], [], []
+        for k, key, at, own, hashes in _candidate_windows(batch):
+            new = np.flatnonzero(np.concatenate([[True], np.diff(own) != 0]))
+            prints.append(own[new])
             rows.append(np.full(len(new), k))
-            keys.append(np.full(len(new), _text_key(_digest(texts[k]))))
-            counts.append(np.diff(np.append(new, len(found))))
-            starts.append(at[first[k] : first[k + 1]][found] - words.first[k])
-            taken.append(hashes[first[k] : first[k + 1]][found])
+            keys.append(np.full(len(new), key))
+            counts.append(np.diff(np.append(new, len(own))))
+            starts.append(at)
+            taken.append(hashes)
         if rows:
             n, row = np.concatenate(counts), pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(prints)), batch.column("doc_id").take(row), pa.array(np.concatenate(keys)), batch.column("is_new").take(row), lists(np.concatenate(starts), n, pa.int32()), lists(as_long(np.concatenate(taken)), n, pa.int64())],
+                [pa.array(np.concatenate(prints)), batch.column("doc_id").take(row), pa.array(np.concatenate(keys)), batch.column("is_new").take(row), lists(np.concatenate(starts), n, pa.int32()), lists(np.concatenate(taken), n, pa.int64())],
                 ["print", "doc_id", "text_key", "is_new", "starts", "hashes"],
             )
 
@@ -194,6 +216,46 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _WINDOWS = "print long, doc_id long, text_key long, is_new boolean, starts array<int>, hashes array<long>"
 
 
+def _window_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest and the largest doc_id of each window in a batch."""
+    for batch in text_blocks(batches):
+        ids, found = batch.column("doc_id").to_numpy(), list(_candidate_windows(batch))
+        if found:
+            own, hashes = np.concatenate([x[3] for x in found]), np.concatenate([x[4] for x in found])
+            doc = np.repeat(ids[[x[0] for x in found]], [len(x[3]) for x in found])
+            order = np.lexsort((doc, own, hashes))
+            own, hashes, doc = own[order], hashes[order], doc[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(hashes) != 0)]))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[new]), pa.array(own[new]), pa.array(doc[new]), pa.array(doc[np.append(new[1:], len(doc)) - 1])], ["hash", "print", "least", "most"])
+
+
+def _held_windows(shared):
+    """The starts of each new text's windows that a smaller doc_id has, by a broadcast set of windows."""
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, prints, least = shared.value
+        for batch in text_blocks(batches):
+            ids, new, out = batch.column("doc_id").to_pylist(), batch.column("is_new").to_pylist(), []
+            for k, key, at, own, mine in _candidate_windows(batch) if len(hashes) else ():
+                place = np.searchsorted(hashes, mine)
+                again = np.zeros(len(mine), dtype=bool)
+                # Windows with equal hashes and other fingerprints stand together.
+                while True:
+                    inside = place < len(hashes)
+                    same = inside & (hashes[np.minimum(place, len(hashes) - 1)] == mine)
+                    if not same.any():
+                        break
+                    at_place = np.minimum(place, len(hashes) - 1)
+                    again |= same & (prints[at_place] == own) & (least[at_place] < ids[k])
+                    place = np.where(same, place + 1, len(hashes))
+                if new[k] and again.any():
+                    out.append((ids[k], key, at[again].tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["doc_id", "text_key", "starts"])
+
+    return held
+
+
 def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (print, doc_id), at most CROWD documents a print; those without starts are from
     the index. Gives the starts of a text's windows that a smaller doc_id holds, and, as rows with
@@ -248,30 +310,36 @@ def repeated_windows(index: FingerprintIndex, facts: DataFrame, docs: DataFrame)
     met = settled(index.add_prints(own).where(shared).select("print", "old_least", "old_n", alone, (F.col("n") + F.col("old_n") > CROWD).alias("crowded")))
 
     def texts(crowded: bool) -> DataFrame:
-        """Window rows of the texts at the candidates."""
+        """The texts at the candidates, with their candidates: those of the batch, and earlier ones that
+        were alone."""
         candidates = met.where("crowded" if crowded else "not crowded")
         new = (looked_up(posts, candidates.select("print"), "print") if crowded else posts.join(candidates.select("print"), "print")).select("doc_id", "print", F.lit(True).alias("is_new"))
         lone = candidates.where("alone").select(F.col("old_least").alias("doc_id"), "print", F.lit(False).alias("is_new"))
         wanted = new.unionByName(lone).groupBy("doc_id").agg(F.collect_set("print").alias("candidates"), F.max("is_new").alias("is_new"))
-        return of_ids(docs, wanted).mapInArrow(_windows, _WINDOWS)
+        return of_ids(docs, wanted)
 
     def past(crowded: bool) -> DataFrame:
         return index.windows_at(met.where("crowded" if crowded else "not crowded").where("old_n > 0 AND NOT alone").select("print"))
 
     # Groups of few documents. A row of the index comes before the texts of its document.
     history = past(False).select("print", "doc_id", F.lit(None).cast("long").alias("text_key"), F.lit(False).alias("is_new"), F.lit(None).cast("array<int>").alias("starts"), "hashes")
-    groups = texts(False).unionByName(history).repartition("print").sortWithinPartitions("print", "doc_id", F.col("starts").isNotNull())
+    groups = texts(False).mapInArrow(_windows, _WINDOWS).unionByName(history).repartition("print").sortWithinPartitions("print", "doc_id", F.col("starts").isNotNull())
     few = settled(groups.mapInArrow(_repeats, "doc_id long, text_key long, starts array<int>, print long, hashes array<long>"))
-
-    # Large groups: the smallest doc_id of each window, joined back.
-    many = settled(texts(True).select("print", "doc_id", "text_key", "is_new", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select("print", "doc_id", "text_key", "is_new", F.col("x.starts").alias("start"), F.col("x.hashes").alias("hash")))
-    before = past(True).select("print", F.explode("hashes").alias("hash"), "doc_id", F.lit(True).alias("stored"))
-    least = settled(many.select("print", "hash", "doc_id", F.lit(False).alias("stored")).unionByName(before).groupBy("print", "hash").agg(F.min("doc_id").alias("least"), F.max("stored").alias("stored")))
-    again = looked_up(many.where("is_new"), least.select("print", "hash", "least"), ["print", "hash"]).where("doc_id > least").select("doc_id", "text_key", F.array("start").alias("starts"))
-
-    lacking = least.where("not stored").select("print", F.col("least").alias("doc_id"), F.array("hash").alias("hashes"))
-    index.add_windows(few.where("print is not null").select("print", "doc_id", "hashes").unionByName(lacking))
-    return settled(few.where("print is null").select("doc_id", "text_key", "starts").unionByName(again).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    index.add_windows(few.where("print is not null").select("print", "doc_id", "hashes"))
+    found = few.where("print is null").select("doc_id", "text_key", "starts")
+
+    # Crowds: the smallest doc_id of each window, and a scan with the windows of several documents.
+    crowded = texts(True)
+    before = past(True).select(F.explode("hashes").alias("hash"), "print", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"))
+    ends = crowded.mapInArrow(_window_ends, "hash long, print long, least long, most long").unionByName(before).groupBy("hash", "print").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    several = settled(index.add_crowds(ends).where(F.col("most") > F.least("least", "old_least")).select("hash", "print", F.least("least", "old_least").alias("least")))
+    parts = -(-several.count() // SET_WINDOWS)
+    for part in range(parts):
+        rows = several.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == part).orderBy("hash").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("hash", "print", "least")))
+        found = found.unionByName(settled(crowded.mapInArrow(_held_windows(shared), "doc_id long, text_key long, starts array<int>")))
+        shared.unpersist()
+    return settled(found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts")))
 
 
 def _kept_words(words: list[bytes], starts: list[int]) -> list[bytes]:
