@@ -67,7 +67,7 @@ ROUNDS = 2
 FIRST_BUCKETS = 2
 
 #: Sets of a bucket that one task indexes at a time, and shares that a frequent bucket is cut into.
-BLOCK = 512
+BLOCK = 128
 SALTS = 1024
 
 #: Copies of a set that are joined to their answer without a shuffle.
@@ -80,6 +80,9 @@ REMEMBERED = 500_000
 BOX = 16
 FEWEST_GROUPS, MOST_GROUPS = 64, 8192
 
+#: Counts that are compared at once.
+COMPARED = 1 << 24
+
 #: What a row of a bucket is.
 NEAR, FIRST, LATE = 1, 2, 4
 BOTH, POINT, QUERY = 0, 1, 2
@@ -326,6 +329,62 @@ def _member_form(own: np.ndarray) -> bytes:
     return own.tobytes()
 
 
+def unpacked_vectors(raw: list[bytes], groups: int) -> np.ndarray:
+    """A row for each of several vectors of so many groups."""
+    width = groups // 4
+    bits = np.frombuffer(b"".join([r[:width] for r in raw]), dtype=np.uint8)
+    counts = (bits[:, None] >> np.arange(0, 8, 2, dtype=np.uint8) & 3).reshape(len(raw), groups)
+    for k, r in enumerate(raw):
+        if len(r) > width:
+            high = np.frombuffer(r, dtype="<u2", offset=width).reshape(-1, 2)
+            if high[:, 1].max() > np.iinfo(counts.dtype).max:
+                counts = counts.astype(np.uint16)
+            counts[k, high[:, 0]] = high[:, 1]
+    return counts
+
+
+def _fits(n: np.ndarray, near: np.ndarray, component: np.ndarray, m, near_m, component_m, any_bucket: bool) -> np.ndarray:
+    """Whether sets of sizes n and m of different components may link in this bucket: the smaller one has
+    the shingle early enough, or, in any_bucket, anywhere."""
+    fit = (component != component_m) & (PERCENT * n <= 100 * m) & (PERCENT * m <= 100 * n)
+    return fit if any_bucket else fit & np.where(n < m, near, np.where(n > m, near_m, near | near_m))
+
+
+def _small_units(starts: np.ndarray, sizes: np.ndarray, n: np.ndarray, near: np.ndarray, component: np.ndarray, raw: list[bytes], any_bucket: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (i, j, bound) of different components with a high enough bound in units of at most BOX
+    rows, one box of a tree each, compared many at a time."""
+    pairs = []
+    for size in np.unique(sizes):
+        i, j = np.triu_indices(size, 1)
+        first = starts[sizes == size][:, None]
+        pairs.append(np.stack([(first + i).ravel(), (first + j).ravel()]))
+    i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
+    fit = _fits(n[i], near[i], component[i], n[j], near[j], component[j], any_bucket)
+    i, j = i[fit], j[fit]
+    rows = np.unique(np.concatenate([i, j]))
+    group, place, matrix = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64), {}
+    group[rows] = [groups_of(x) for x in n[rows].tolist()]
+    for g in np.unique(group[rows]).tolist():
+        own = rows[group[rows] == g]
+        place[own] = np.arange(len(own))
+        matrix[g] = unpacked_vectors([raw[k] for k in own], g)
+    # The one with fewer groups first; sets that can link have at most twice as many.
+    few, many = np.where(group[i] <= group[j], i, j), np.where(group[i] <= group[j], j, i)
+    bound = np.zeros(len(i), dtype=np.int64)
+    for g in matrix:
+        for h in (g, 2 * g):
+            at = np.flatnonzero((group[few] == g) & (group[many] == h))
+            for some in np.split(at, range(COMPARED // h, len(at), COMPARED // h)):
+                if not len(some):
+                    continue
+                left, right = matrix[g][place[few[some]]], matrix[h][place[many[some]]]
+                if h != g:
+                    right = right.reshape(len(some), -1, g).sum(axis=1, dtype=np.uint16)
+                bound[some] = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+    enough = (100 + PERCENT) * bound >= PERCENT * (n[i] + n[j])
+    return i[enough], j[enough], bound[enough]
+
+
 def _folded(vector: np.ndarray, groups: int) -> np.ndarray:
     return vector if len(vector) == groups else vector.reshape(-1, groups).sum(axis=0, dtype=np.uint16)
 
@@ -383,9 +442,7 @@ class Block:
     def partners(self, n: int, near: bool, component: int, vector: Callable[[], np.ndarray], any_bucket: bool) -> tuple[np.ndarray, np.ndarray]:
         """Points of other components that may link with a set, and their bounds. In any_bucket, the
         shingle of the bucket may stand anywhere in both."""
-        fit = (self.component != component) & (PERCENT * self.n <= 100 * n) & (PERCENT * n <= 100 * self.n)
-        if not any_bucket:
-            fit &= np.where(self.n > n, near, np.where(self.n < n, self.near, self.near | near))
+        fit = _fits(self.n, self.near, self.component, n, near, component, any_bucket)
         if not fit.any():
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         query, found, bounds = vector(), [], []
@@ -435,7 +492,24 @@ def _search(best_only: bool):
             new = (key[1:] != key[:-1]) | (where[1:] != where[:-1]) | (role[1:] != role[:-1])
             cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(key)]
             left, right = [], []
-            for a, b in zip(cuts, cuts[1:]):
+            # Small units that lie within the batch are compared together.
+            begin, size = np.array(cuts[:-1]), np.diff(cuts)
+            small = (size <= BOX) & (role[begin] == BOTH)
+            small[0] &= (key[0], where[0]) != unit
+            small[-1] = False
+            if small.any():
+                i, j, bound = _small_units(begin[small], size[small], n, near, component, raw.to_pylist(), best_only)
+                if best_only and len(i):
+                    # The best partner of each row.
+                    x, y, share = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(bound / (n[i] + n[j]), 2)
+                    order = np.lexsort((-share, x))
+                    first = order[np.concatenate([[True], np.diff(x[order]) != 0])]
+                    i, j = x[first], y[first]
+                left += node[i].tolist()
+                right += node[j].tolist()
+            for a, b, done in zip(cuts, cuts[1:], small.tolist()):
+                if done:
+                    continue
                 if (key[a], where[a]) != unit:
                     if held and block is None:
                         whole = taken()
