@@ -1,6 +1,8 @@
 """Hand-made edge rows for the operators."""
 
+import collections
 import datetime
+import math
 import random
 
 import pytest
@@ -226,3 +228,110 @@ def test_judge_output(spark):
     read = lambda t: tuple(one(spark, text.judge_scores(F.col("t")), t=t))
     assert read('```json\n{"correctness": 2.6, "completeness": 2, "hallucination": 1}\n```') == (3, 2, 1, None)
     assert read('{"correctness": 9, "completeness": 2, "hallucination": 1}') == (None, None, None, "bad output") and read("no json") == (None, None, None, "bad output")
+
+
+PAGE = "slug string, body string, sources array<string>, updated date, redirect_to string"
+
+
+def pages(spark, *rows):
+    return spark.createDataFrame([(s, b, list(src), D(2024, 1, 1), None) for s, b, src in rows], PAGE)
+
+
+def test_merges_follow_chains_and_leave_cycles_out(spark):
+    p = pages(spark, ("a", "A", "1"), ("b", "B", "2"), ("c", "C", "31"), ("d", "D", "4"), ("x", "X", ""), ("y", "Y", ""))
+    merges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "c"), ("x", "y"), ("y", "x"), ("c", "c"), ("a", "nowhere"), ("lost", "c")], "src string, dst string")
+    found = {r.slug: r for r in graph.merged_pages(p, merges).collect()}
+    assert len(found) == 6
+    assert found["c"].body == "C\n\n<!-- merged from b -->\n\nB\n\n<!-- merged from d -->\n\nD\n\n<!-- merged from a -->\n\nA" and found["c"].sources == ["3", "1", "2", "4"]
+    assert (found["a"].redirect_to, found["b"].redirect_to, found["a"].body) == ("b", "c", "") and found["x"].body == "X" and found["x"].redirect_to is None
+    assert graph.merged_pages(p, merges.where("false")).count() == 6
+
+
+def test_ops_on_one_page_apply_in_order(spark):
+    schema = "slug string, seq int, op string, body string, sources array<string>, on date"
+    on = D(2025, 1, 1)
+    ops = spark.createDataFrame([("new", 2, "append", "second", ["s"], on), ("new", 1, "create", "first", ["r", "s"], on), ("new", 0, "append", "too early", None, on), ("old", 1, "append", "x", None, on), ("old", 2, "append", None, ["t"], on), ("none", 1, "append", "y", [], on)], schema)
+    found, refused = graph.applied_ops(pages(spark, ("old", "O", "t"), ("same", "S", "")), ops)
+    rows = {r.slug: (r.body, r.sources, r.updated) for r in found.collect()}
+    assert rows == {"new": ("first\n\nsecond", ["r", "s"], on), "old": ("O\n\nx", ["t"], on), "same": ("S", [], D(2024, 1, 1))}
+    assert sorted((r.slug, r.seq) for r in refused.collect()) == [("new", 0), ("none", 1)]
+
+
+def test_renames_are_refused_with_a_reason(spark):
+    renames = spark.createDataFrame([("a", "z"), ("b", "z"), ("c", "a"), ("c", "q"), ("lost", "l")], "slug string, new_slug string")
+    found, refused = graph.renamed(pages(spark, ("a", "A", ""), ("b", "B", ""), ("c", "C", "")), renames)
+    assert sorted((r.slug, r.new_slug, r.reason) for r in refused.collect()) == [("b", "z", "taken"), ("c", "a", "taken"), ("c", "q", "taken"), ("lost", "l", "no such page")]
+    assert sorted((r.slug, r.redirect_to) for r in found.select("slug", "redirect_to").collect()) == [("a", "z"), ("b", None), ("c", None), ("z", None)]
+
+
+def test_nearest_over_batches_leaves_odd_vectors_out(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = [(k, [float(k % 5), 1.0]) for k in range(40)] + [(50, None), (51, [9.0, 9.0, 9.0])]
+    corpus = spark.createDataFrame(rows, "uri int, vector array<double>")
+    found = retrieval.nearest(spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id int, vector array<double>"), corpus, 4).orderBy("query_id", F.col("score").desc(), "uri").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.query_id, r.uri, r.score) for r in found] == [(1, 4, 4.0), (1, 9, 4.0), (1, 14, 4.0), (1, 19, 4.0)]
+    assert retrieval.nearest(corpus.selectExpr("uri AS query_id", "vector").where("false"), corpus, 4).count() == 0
+
+
+def test_keyword_search_equals_scores_of_all_documents(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(k, " ".join(rng.choice(words[: rng.choice([3, 10, 40])]) for _ in range(rng.randint(0, 30)))) for k in range(300)]
+    asked = [(k, " ".join(rng.sample(words, rng.randint(1, 8)))) for k in range(25)] + [(90, ""), (91, "unknown words"), (92, "w0 w1 w2")]
+    found = retrieval.bm25(spark.createDataFrame(asked, "query_id int, text string"), spark.createDataFrame(docs, "uri int, text string"), 6).collect()
+    tf = {i: collections.Counter(t.split()) for i, t in docs}
+    df = collections.Counter(w for c in tf.values() for w in c)
+    mean = sum(sum(c.values()) for c in tf.values()) / len(docs)
+    for q, t in asked:
+        scores = {}
+        for i, c in tf.items():
+            s = sum(math.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in set(t.split()) if c[w])
+            if s:
+                scores[i] = round(s, 6)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:6]
+        assert {r.uri: r.score for r in found if r.query_id == q} == pytest.approx(dict(best), abs=2e-6)
+
+
+def test_hooks_take_models(spark):
+    texts = spark.createDataFrame([(1, "one two"), (2, ""), (3, None)], "uri int, text string")
+    found = {r.uri: r.vector for r in retrieval.embedded(texts).collect()}
+    assert sum(x * x for x in found[1]) == pytest.approx(1) and set(found[2]) == set(found[3]) == {0.0} and len(found[1]) == 64
+    own = {r.uri: r.vector for r in retrieval.embedded(texts.where("text is not null"), model=lambda t: t.map(lambda x: [float(len(x))])).collect()}
+    assert own == {1: [7.0], 2: [0.0]}
+    pairs = spark.createDataFrame([(1, 1, "a b", "b c"), (1, 2, "", "x")], "query_id int, uri int, query string, text string")
+    assert sorted(r.new_score for r in retrieval.overlap_scores(pairs).collect()) == [0.0, 0.5]
+    assert sorted(r.new_score for r in retrieval.model_scores(pairs, lambda q, t: (q.str.len() + t.str.len()) * 1.0).collect()) == [1.0, 6.0]
+
+
+@pytest.mark.parametrize(
+    "output, expected",
+    [('[{"a": 1}, {"b": "}"}, {"c', ['{"a": 1}', '{"b": "}"}']), ("none", []), ("[]", []), ('[ {"a": "\\"{"} ] tail {"x": 1}', ['{"a": "\\"{"}']), ('[1, {"a": 2}]', []), ('x [{"a": {"b": [{"c": 1}]}},', ['{"a": {"b": [{"c": 1}]}}']), (None, None)],
+)
+def test_salvage_of_broken_arrays(spark, output, expected):
+    row = spark.createDataFrame([(output,)], "t string").select(text.salvaged_objects(F.col("t"))).first()[0]
+    assert row == expected
+
+
+def test_wisdom_entries_and_stub_bodies(spark):
+    found = one(spark, text.wisdom_entries(F.col("t")), t="x\n**A** b\nc\n\n**B**\n**C**\nd")
+    assert [(r.title, r.body) for r in found] == [("A", "c\n\n"), ("B", ""), ("C", "d\n")]
+    stub = lambda c, **k: one(spark, text.stub_body(F.lit(c), *(F.lit(k.get(x)) for x in ("lede", "why", "how", "where", "when", "extra"))), t="")
+    assert stub("concept", lede="L", why="w", how="h").body == "L\n\n**Why:** w\n\n**How to apply:** h\n" and stub("concept", lede="L", why="w").error == "why and how are needed"
+    assert stub("theme", lede="L").error and stub("reference", lede="L", when="now").body == "L\n\n## When to use it\nnow\n"
+
+
+def test_numbers_run_through_ranges(spark):
+    rows = spark.createDataFrame([(k * 3,) for k in random.Random(2).sample(range(500), 500)], "qa_id long").repartition(7)
+    assert [r.n for r in evals.numbered(rows, "qa_id", "n").orderBy("qa_id").collect()] == list(range(1, 501))
+    assert evals.numbered(rows.where("false"), "qa_id", "n").count() == 0
+
+
+def test_search_modes(spark):
+    index = spark.createDataFrame([("n1", "daily", "own", [1.0, 0.0], D(2024, 1, 1)), ("p1", "wiki", "own", [0.9, 0.1], None), ("w#agg", "weekly", "agg", [0.5, 0.5], None), ("n2", "daily", "own", [0.0, 1.0], D(2024, 2, 1))], "uri string, content_type string, embedding_type string, vector array<double>, date date")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    pointers = spark.createDataFrame([("w", "n3")], "parent string, child string")
+    uris = lambda mode: [r.uri for r in retrieval.search(queries, index, pointers, mode).orderBy(F.col("score").desc(), "uri").collect()]
+    assert uris("hierarchical") == ["n1", "p1", "w#summary", "n3", "n2"] and uris("pages") == ["p1"] and uris("flat") == ["n1", "n2"] and "p1" not in uris("no_pages")
+    with pytest.raises(ValueError):
+        retrieval.search(queries, index, pointers, "other")

@@ -229,7 +229,7 @@ def arc_days(arcs: DataFrame, epoch: str) -> DataFrame:
     length = C("end_day") - C("start_day") + 1
     every = F.when(length < 15, 2).when(length < 100, 3).otherwise(5)
     each = arcs.select("arc_id", "type", "start_day", "end_day", "pinned_day", every.alias("k"), F.explode(F.sequence("start_day", "end_day")).alias("day_number"))
-    each = each.withColumn("pinned", C("day_number").isin(0) | (C("day_number") == C("start_day")) | (C("day_number") == C("end_day")) | (C("day_number") == C("pinned_day")))
+    each = each.withColumn("pinned", (C("day_number") == C("start_day")) | (C("day_number") == C("end_day")) | (C("day_number") == C("pinned_day")))
     counts = (F.weekday(F.date_add(F.lit(epoch).cast("date"), C("day_number") - 1)) < 5) | (C("type") == "incident")
     order = Window.partitionBy("arc_id").orderBy("day_number")
     walked = each.withColumn("counts", counts).withColumn("stretch", F.sum((C("pinned") & C("counts")).cast("int")).over(order))

@@ -19,6 +19,14 @@ def stubs(pages: DataFrame) -> DataFrame:
     return pages.where(F.size("sources") <= 1)
 
 
+def listed(pages: DataFrame, category: str | None = None, wiki: str | None = None, stubs_only: bool = False) -> DataFrame:
+    """Pages of one category and one wiki, or of all; all of them or the stubs among them."""
+    for column, wanted in (("category", category), ("wiki", wiki)):
+        if wanted is not None:
+            pages = pages.where(C(column) == wanted)
+    return stubs(pages) if stubs_only else pages
+
+
 def body_links(pages: DataFrame) -> DataFrame:
     """slug, target of the links in page bodies."""
     return pages.select("slug", F.explode(text.links(C("body"))).alias("target"))

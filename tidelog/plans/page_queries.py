@@ -27,6 +27,16 @@ def w2_federation(spark, sf):
 W2 = "SELECT 'private' AS wiki, count(*) AS n, true AS done FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT 'shared', count(*), false FROM documents WHERE doc_id % 3 < 2"
 
 
+def w1_listed(spark, sf):
+    w = views.wiki(spark, sf)
+    pages = graph.federated(private=w.where("doc_id % 3 > 0"), shared=w.where("doc_id % 3 < 2"))
+    stubs = graph.listed(pages, category="entity", wiki="shared", stubs_only=True).select("slug", "wiki", F.lit(True).alias("stub"))
+    return stubs.unionByName(graph.listed(pages, category="theme", wiki="private").select("slug", "wiki", F.lit(False).alias("stub")))
+
+
+W1L = sql("v_wiki", "SELECT slug, 'shared' AS wiki, true AS stub FROM v_wiki WHERE doc_id % 3 < 2 AND category = 'entity' AND len(sources) <= 1 UNION ALL SELECT slug, 'private', false FROM v_wiki WHERE doc_id % 3 > 0 AND category = 'theme'")
+
+
 def _ops(spark, sf):
     """Two ops for every second page and three for every sixth; a quarter of the pages isn't there."""
     w = views.wiki(spark, sf)
@@ -253,5 +263,5 @@ W25 = """WITH s AS (SELECT n_nationkey AS n, list_transform(range(n_nationkey %
   SELECT CAST(o_orderkey AS VARCHAR) AS uri, 's' || a.n AS silo, 's' || b.n AS reader, a.n = b.n OR (a.n % 7 <> 0 AND a.n % 5 <> 0 AND len(list_intersect(a.p, b.p)) / len(a.p) >= 0.5) AS allowed
   FROM orders JOIN s a ON a.n = o_custkey % 25 JOIN s b ON b.n = o_orderkey % 25"""
 
-QUERIES = {f.__name__: f for f in (w2_federation, w3_applied_ops, w4_merged_pages, w5_renamed, w8_orphans_with_related, w10_unknown_wikis, w14_create_or_update, w16_applied_batch, w17_migrated, w18_themes_of_insights, w20_due_for_rebuild, w21_grounding, w22_federated_hits, w23_promotion_gates, w24_retracted, w25_drill_down)}
-ORACLE_SQL = {"w2_federation": W2, "w3_applied_ops": W3, "w4_merged_pages": W4, "w5_renamed": W5, "w8_orphans_with_related": W8R, "w10_unknown_wikis": W10U, "w14_create_or_update": W14, "w16_applied_batch": W16, "w17_migrated": W17, "w18_themes_of_insights": W18, "w20_due_for_rebuild": W20, "w21_grounding": W21, "w22_federated_hits": W22, "w23_promotion_gates": W23, "w24_retracted": W24, "w25_drill_down": W25}
+QUERIES = {f.__name__: f for f in (w1_listed, w2_federation, w3_applied_ops, w4_merged_pages, w5_renamed, w8_orphans_with_related, w10_unknown_wikis, w14_create_or_update, w16_applied_batch, w17_migrated, w18_themes_of_insights, w20_due_for_rebuild, w21_grounding, w22_federated_hits, w23_promotion_gates, w24_retracted, w25_drill_down)}
+ORACLE_SQL = {"w1_listed": W1L, "w2_federation": W2, "w3_applied_ops": W3, "w4_merged_pages": W4, "w5_renamed": W5, "w8_orphans_with_related": W8R, "w10_unknown_wikis": W10U, "w14_create_or_update": W14, "w16_applied_batch": W16, "w17_migrated": W17, "w18_themes_of_insights": W18, "w20_due_for_rebuild": W20, "w21_grounding": W21, "w22_federated_hits": W22, "w23_promotion_gates": W23, "w24_retracted": W24, "w25_drill_down": W25}
