@@ -64,15 +64,6 @@ def text_blocks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterat
                 yield batch.slice(a, b - a)
 
 
-def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    """A record batch of the given columns in the order and types of schema."""
-    arrays = []
-    for field in schema:
-        x = columns[field.name]
-        arrays.append(x.cast(field.type) if isinstance(x, pa.Array) else pa.array(x, type=field.type))
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """One list of counts[k] of the values for each k."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
