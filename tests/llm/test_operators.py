@@ -263,6 +263,7 @@ def test_exact_dedup_with_runs_over_task_borders(spark):
 def test_substring_dedup_equals_brute_force(spark, monkeypatch, batches, crowd):
     monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     monkeypatch.setattr(substring_dedup, "SET_WINDOWS", 50)
+    monkeypatch.setattr(substring_dedup, "UNITED", 5)
     passage = numbered("p", 70)
     texts = dict(x for x in TEXTS if x[0])
     texts |= {200 + k: f"{numbered(f'a{k}x', 5 * k)} {passage if k % 2 else passage[:200]} {numbered(f'b{k}x', 30)}" for k in range(20)}

@@ -40,6 +40,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,9 @@ BATCHES = 3
 #: Documents of one fingerprint whose windows meet in one group.
 CROWD = 500
 
+#: Documents whose windows at one crowded fingerprint are united in one group, before the runs.
+UNITED = 20 * CROWD
+
 #: Windows in one broadcast set (24 bytes each).
 SET_WINDOWS = 1_000_000
 
@@ -170,9 +174,9 @@ class FingerprintIndex:
         return out
 
 
-def _candidate_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, text key, starts, fingerprints, hashes) of the windows at each text's candidates, in order
-    of fingerprint."""
+def _candidate_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, text key, starts, fingerprints, hashes, parts) of the windows at each text's candidates
+    (print, parts), in order of fingerprint."""
     texts = batch.column("text").to_pylist()
     words = Words(texts, "exact")
     at, least = _least_grams(words)
@@ -182,7 +186,9 @@ def _candidate_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.nda
     first = np.searchsorted(words.text_of_word()[at], np.arange(batch.num_rows + 1))
     for k, candidates in enumerate(batch.column("candidates").to_pylist()):
         own = least[first[k] : first[k + 1]].view(np.int64)
-        wanted = np.sort(np.array(candidates, dtype=np.int64))
+        wanted, parts = np.array([(c["print"], c["parts"]) for c in candidates], dtype=np.int64).reshape(-1, 2).T
+        order = np.argsort(wanted)
+        wanted, parts = wanted[order], parts[order]
         if not len(own) or not len(wanted):
             continue
         place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
@@ -190,14 +196,14 @@ def _candidate_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.nda
         if len(found):
             # The windows of one fingerprint need not be neighbours.
             found = found[np.lexsort((found, place[found]))]
-            yield k, _text_key(_digest(texts[k])), at[first[k] : first[k + 1]][found] - words.first[k], own[found], as_long(hashes[first[k] : first[k + 1]][found])
+            yield k, _text_key(_digest(texts[k])), at[first[k] : first[k + 1]][found] - words.first[k], own[found], as_long(hashes[first[k] : first[k + 1]][found]), parts[place[found]]
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each fingerprint of each text."""
     for batch in text_blocks(batches):
         prints, rows, keys, starts, counts, taken = [], [], [], [], [], []
-        for k, key, at, own, hashes in _candidate_windows(batch):
+        for k, key, at, own, hashes, _ in _candidate_windows(batch):
             new = np.flatnonzero(np.concatenate([[True], np.diff(own) != 0]))
             prints.append(own[new])
             rows.append(np.full(len(new), k))
@@ -216,17 +222,61 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _WINDOWS = "print long, doc_id long, text_key long, is_new boolean, starts array<int>, hashes array<long>"
 
 
+_ENDS = "print long, part long, hashes array<long>, least array<long>, most array<long>"
+
+
 def _window_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The smallest and the largest doc_id of each window in a batch."""
+    """The smallest and the largest doc_id of each window in a batch, a row for each fingerprint and part;
+    windows are dealt to the parts of a fingerprint by their hash."""
     for batch in text_blocks(batches):
         ids, found = batch.column("doc_id").to_numpy(), list(_candidate_windows(batch))
         if found:
-            own, hashes = np.concatenate([x[3] for x in found]), np.concatenate([x[4] for x in found])
+            own, hashes, parts = (np.concatenate([x[k] for x in found]) for k in (3, 4, 5))
             doc = np.repeat(ids[[x[0] for x in found]], [len(x[3]) for x in found])
-            order = np.lexsort((doc, own, hashes))
-            own, hashes, doc = own[order], hashes[order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(hashes) != 0)]))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[new]), pa.array(own[new]), pa.array(doc[new]), pa.array(doc[np.append(new[1:], len(doc)) - 1])], ["hash", "print", "least", "most"])
+            yield from _united_ends(own, ((hashes.view(np.uint64) >> np.uint64(8)) % parts.astype(np.uint64)).astype(np.int64), hashes, doc, doc)
+
+
+def _united_ends(own: np.ndarray, part: np.ndarray, hashes: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each (fingerprint, part) with its distinct windows, their least and their most."""
+    order = np.lexsort((hashes, part, own))
+    own, part, hashes, least, most = (x[order] for x in (own, part, hashes, least, most))
+    new = np.concatenate([[True], (np.diff(own) != 0) | (np.diff(part) != 0) | (np.diff(hashes) != 0)])
+    at = np.flatnonzero(new)
+    least, most = np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+    own, part, hashes = own[at], part[at], hashes[at]
+    row = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(part) != 0)]))
+    sizes = np.diff(np.append(row, len(own)))
+    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(part[row]), *(lists(x, sizes, pa.int64()) for x in (hashes, least, most))], ["print", "part", "hashes", "least", "most"])
+
+
+def _all_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _window_ends in order of (print, part), united."""
+    held: list[pa.RecordBatch] = []
+
+    def united() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        sizes = pc.list_value_length(rows.column("hashes").combine_chunks()).to_numpy()
+        flat = [rows.column(c).combine_chunks().flatten().to_numpy() for c in ("hashes", "least", "most")]
+        yield from _united_ends(np.repeat(rows.column("print").to_numpy(), sizes), np.repeat(rows.column("part").to_numpy(), sizes), *flat)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own, part = batch.column("print").to_numpy(), batch.column("part").to_numpy()
+        cut = int(np.flatnonzero((own == own[-1]) & (part == part[-1]))[0])
+        same = held and (held[0].column("print")[0].as_py(), held[0].column("part")[0].as_py()) == (own[-1], part[-1])
+        if not same:
+            held.append(batch.slice(0, cut))
+            if sum(h.num_rows for h in held):
+                yield from united()
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+            # A group of many rows is united as it comes.
+            if len(held) > 8:
+                held = list(united())
+    if held:
+        yield from united()
 
 
 def _held_windows(shared):
@@ -236,7 +286,7 @@ def _held_windows(shared):
         hashes, prints, least = shared.value
         for batch in text_blocks(batches):
             ids, new, out = batch.column("doc_id").to_pylist(), batch.column("is_new").to_pylist(), []
-            for k, key, at, own, mine in _candidate_windows(batch) if len(hashes) else ():
+            for k, key, at, own, mine, _ in _candidate_windows(batch) if len(hashes) else ():
                 place = np.searchsorted(hashes, mine)
                 again = np.zeros(len(mine), dtype=bool)
                 # Windows with equal hashes and other fingerprints stand together.
@@ -307,15 +357,16 @@ def repeated_windows(index: FingerprintIndex, facts: DataFrame, docs: DataFrame)
     own = posts.groupBy("print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
     shared = F.greatest("most", "old_most") > F.least("least", "old_least")
     alone = F.coalesce(F.col("old_least") == F.col("old_most"), F.lit(False)).alias("alone")
-    met = settled(index.add_prints(own).where(shared).select("print", "old_least", "old_n", alone, (F.col("n") + F.col("old_n") > CROWD).alias("crowded")))
+    met = settled(index.add_prints(own).where(shared).select("print", "old_least", "old_n", alone, (F.col("n") + F.col("old_n") > CROWD).alias("crowded"), F.ceil((F.col("n") + F.col("old_n")) / UNITED).alias("parts")))
 
     def texts(crowded: bool) -> DataFrame:
         """The texts at the candidates, with their candidates: those of the batch, and earlier ones that
         were alone."""
         candidates = met.where("crowded" if crowded else "not crowded")
-        new = (looked_up(posts, candidates.select("print"), "print") if crowded else posts.join(candidates.select("print"), "print")).select("doc_id", "print", F.lit(True).alias("is_new"))
-        lone = candidates.where("alone").select(F.col("old_least").alias("doc_id"), "print", F.lit(False).alias("is_new"))
-        wanted = new.unionByName(lone).groupBy("doc_id").agg(F.collect_set("print").alias("candidates"), F.max("is_new").alias("is_new"))
+        one = candidates.select("print", "parts")
+        new = (looked_up(posts, one, "print") if crowded else posts.join(one, "print")).select("doc_id", "print", "parts", F.lit(True).alias("is_new"))
+        lone = candidates.where("alone").select(F.col("old_least").alias("doc_id"), "print", "parts", F.lit(False).alias("is_new"))
+        wanted = new.unionByName(lone).groupBy("doc_id").agg(F.collect_set(F.struct("print", "parts")).alias("candidates"), F.max("is_new").alias("is_new"))
         return of_ids(docs, wanted)
 
     def past(crowded: bool) -> DataFrame:
@@ -331,7 +382,9 @@ def repeated_windows(index: FingerprintIndex, facts: DataFrame, docs: DataFrame)
     # Crowds: the smallest doc_id of each window, and a scan with the windows of several documents.
     crowded = texts(True)
     before = past(True).select(F.explode("hashes").alias("hash"), "print", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"))
-    ends = crowded.mapInArrow(_window_ends, "hash long, print long, least long, most long").unionByName(before).groupBy("hash", "print").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    united = crowded.mapInArrow(_window_ends, _ENDS).repartition("print", "part").sortWithinPartitions("print", "part").mapInArrow(_all_ends, _ENDS)
+    one = united.select("print", F.explode(F.arrays_zip("hashes", "least", "most")).alias("x")).select(F.col("x.hashes").alias("hash"), "print", F.col("x.least").alias("least"), F.col("x.most").alias("most"))
+    ends = one.unionByName(before).groupBy("hash", "print").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     several = settled(index.add_crowds(ends).where(F.col("most") > F.least("least", "old_least")).select("hash", "print", F.least("least", "old_least").alias("least")))
     parts = -(-several.count() // SET_WINDOWS)
     for part in range(parts):
