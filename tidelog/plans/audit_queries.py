@@ -403,10 +403,10 @@ G19 = sql(
 def a7_own_or_aggregate(spark, sf):
     e = views.edges(spark, sf).select(C("vec_id").alias("uri"), C("embedding")[0].alias("vector"))
     children = e.where("uri % 7 <> 0").select("uri").unionByName(e.select((C("uri") + 1_000_000).alias("uri")).where("uri % 11 = 0"))
-    return rollup.own_or_aggregate(children, e.where("uri % 3 = 0").withColumn("vector", C("vector") + 1), e.where("uri % 5 <> 0")).select("uri", F.round(C("vector").cast("double"), 3).alias("vector"))
+    return rollup.own_or_aggregate(children, e.where("uri % 3 = 0").withColumn("vector", C("vector") + 1), e.where("uri % 5 <> 0")).select("uri", (F.round(C("vector").cast("double"), 3) + 0.0).alias("vector"))
 
 
-A7 = sql("v_edges", "SELECT vec_id AS uri, round(CAST(CASE WHEN vec_id % 3 = 0 THEN embedding[1] + CAST(1 AS FLOAT) ELSE embedding[1] END AS DOUBLE), 3) AS vector FROM v_edges WHERE vec_id % 7 <> 0 AND (vec_id % 3 = 0 OR vec_id % 5 <> 0)")
+A7 = sql("v_edges", "SELECT vec_id AS uri, round(CAST(CASE WHEN vec_id % 3 = 0 THEN embedding[1] + CAST(1 AS FLOAT) ELSE embedding[1] END AS DOUBLE), 3) + 0.0 AS vector FROM v_edges WHERE vec_id % 7 <> 0 AND (vec_id % 3 = 0 OR vec_id % 5 <> 0)")
 
 
 def a8_parent_rows(spark, sf):

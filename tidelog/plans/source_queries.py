@@ -356,10 +356,10 @@ def x5_rolling_gaps(spark, sf):
     jobs.rolling_gaps(stream, f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
     ahead.write.mode("append").parquet(f"{folder}/in")
     jobs.rolling_gaps(stream, f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
-    return spark.read.schema("start timestamp, query string, n long, mean_best double").parquet(f"{folder}/out").select(C("start").cast("date").cast("string").alias("start"), "query", "n", F.round("mean_best", 6).alias("mean_best"))
+    return spark.read.schema("start timestamp, query string, n long, mean_best double").parquet(f"{folder}/out").select(C("start").cast("date").cast("string").alias("start"), "query", "n", F.round(C("mean_best") * C("n"), 4).alias("sum_best"))
 
 
-X5G = sql("v_hits", "WITH e AS (SELECT event_id, ts, lower(trim(query)) AS query, max(score) AS best FROM v_hits GROUP BY ALL), w AS (SELECT CAST(ts AS DATE) - CAST(k AS INT) AS start, query, best FROM e, (SELECT unnest(range(0, 30)) AS k)) SELECT CAST(start AS VARCHAR) AS start, query, count(*) AS n, round(avg(best), 6) AS mean_best FROM w GROUP BY ALL")
+X5G = sql("v_hits", "WITH e AS (SELECT event_id, ts, lower(trim(query)) AS query, max(score) AS best FROM v_hits GROUP BY ALL), w AS (SELECT CAST(ts AS DATE) - CAST(k AS INT) AS start, query, best FROM e, (SELECT unnest(range(0, 30)) AS k)) SELECT CAST(start AS VARCHAR) AS start, query, count(*) AS n, round(sum(best), 4) AS sum_best FROM w GROUP BY ALL")
 
 QUERIES = {f.__name__: f for f in (s1_tree, s2_periods, s3_front_matter, s4_repaired_heads, s5_pointers, s6_day_texts, s7_persona_days, s8_qa_round_trip, s9_log_round_trip, s10_appended_log, s11_rotated_log, s12_run_progress, s13_stitched, s14_report_rows, s15_tool_calls, s16_conversation_turns, s17_session_parts, s18_upsert, s18_corpus, s19_sync, s19_tagged_classes, s20_result_sinks, x1_watched_notes, x2_captured_log, x3_signal_pass, x4_ingested_days, x5_rolling_hits, x5_rolling_gaps)}
 ORACLE_SQL = {"s1_tree": S1, "s2_periods": S2, "s3_front_matter": S3, "s4_repaired_heads": S4, "s5_pointers": S5, "s6_day_texts": S6, "s7_persona_days": S7, "s8_qa_round_trip": S8, "s9_log_round_trip": S9, "s10_appended_log": S10, "s11_rotated_log": S11, "s12_run_progress": S12, "s13_stitched": S13, "s14_report_rows": S14, "s15_tool_calls": S15, "s16_conversation_turns": S16, "s17_session_parts": sql("v_daily", S17), "s18_upsert": S18, "s18_corpus": S18C, "s19_sync": S19, "s19_tagged_classes": S19T, "s20_result_sinks": S20, "x1_watched_notes": X1, "x2_captured_log": X2, "x3_signal_pass": X3, "x4_ingested_days": X4, "x5_rolling_hits": X5, "x5_rolling_gaps": X5G}
