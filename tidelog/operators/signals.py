@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions import text
+from tidelog.sources.scratch import settled
 
 C = F.col
 
@@ -64,10 +65,18 @@ def superseding_notes(notes: DataFrame, as_of: Column, window: int = 30) -> Data
 def drifting_entries(entries: DataFrame, queries: DataFrame, log_rows: DataFrame, shared: int = 2, least_log: int = 10) -> DataFrame:
     """Entries(entry_id, text) that no query shares so many keywords with, when the log is long enough.
 
-    Keywords of an entry count as often as they occur, those of a query once."""
+    Keywords of an entry count as often as they occur, those of a query once. Whoever shares several
+    keywords with an entry shares one beside the entry's commonest one, so entries and queries meet on
+    the others only (on all where fewer are wanted, or the commonest one counts for enough)."""
+    asked = settled(queries.select("query").distinct().select("query", F.array_distinct(text.signal_keywords(C("query"))).alias("words")))
+    common = asked.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n_queries"))
     words = entries.select("entry_id", F.explode(text.signal_keywords(C("text"))).alias("word")).groupBy("entry_id", "word").agg(F.count("*").alias("n"))
-    asked = queries.select("query").distinct().select("query", F.explode(F.array_distinct(text.signal_keywords(C("query")))).alias("word"))
-    matched = words.join(asked, "word").groupBy("entry_id", "query").agg(F.sum("n").alias("n")).where(C("n") >= shared).select("entry_id").distinct()
+    known = words.join(common, "word").groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("n_queries", "word", "n"))).alias("x"))
+    last = F.element_at("x", -1)
+    rare = F.when((last["n"] >= shared) | F.lit(shared < 2), C("x")).otherwise(F.slice("x", 1, F.size("x") - 1))
+    met = known.select("entry_id", "x", F.explode(rare).alias("r")).select("entry_id", "x", C("r.word").alias("word")).join(asked.select("query", "words", F.explode("words").alias("word")), "word")
+    held = F.aggregate("x", F.lit(0).cast("long"), lambda t, r: t + F.when(F.array_contains("words", r["word"]), r["n"]).otherwise(0))
+    matched = met.where(held >= shared).select("entry_id").distinct()
     long_enough = log_rows.agg((F.count("*") > least_log).alias("enough"))
     return entries.join(matched, "entry_id", "left_anti").crossJoin(F.broadcast(long_enough)).where("enough").select("entry_id", F.lit(0.5).alias("score"))
 
