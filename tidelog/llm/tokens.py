@@ -29,12 +29,15 @@ class Remembered(dict):
 
     def __missing__(self, unit: str):
         value = self.encode(unit)
+        self.add(unit, value)
+        return value
+
+    def add(self, unit: str, value) -> None:
         if len(unit) <= LONGEST:
             if len(self) - len(self.known) >= REMEMBERED:
                 self.clear()
                 self.update(self.known)
             self[unit] = value
-        return value
 
 
 class ByteBpe:
