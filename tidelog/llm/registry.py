@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import byte_bpe, decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, pii, substring_dedup, token_counts, toxicity
+from tidelog.llm import byte_bpe, conversation_repair, decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, pii, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 
 ORACLE_SQL = {
