@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import byte_bpe, conversation_repair, decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, pii, substring_dedup, token_counts, toxicity
+from tidelog.llm import byte_bpe, conversation_repair, decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, pii, substring_dedup, token_counts, toxicity, variant_grouping
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_variant_grouping": variant_grouping.op13_variant_grouping,
 }
 
 ORACLE_SQL = {
