@@ -24,11 +24,15 @@ def recency_cue(query: Column) -> Column:
     return F.when(text.rlike(ascii_bounds(LATEST)), "latest").when(text.rlike(ascii_bounds(EARLIEST)), "earliest")
 
 
+#: The largest recency boost.
+HIGHEST_RECENCY = 1.25
+
+
 def recency_boost(date: Column, cue: Column, first: Column, last: Column) -> Column:
-    """0.85 … 1.25 by where the date lies between first and last; 1 without a cue or a span."""
+    """0.85 … HIGHEST_RECENCY by where the date lies between first and last; 1 without a cue or a span."""
     span = F.datediff(last, first)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.datediff(date, first) / span))
-    return F.when(cue.isNull() | (span <= 0), 1.0).when(cue == "latest", 0.85 + 0.4 * t).otherwise(1.25 - 0.4 * t)
+    return F.when(cue.isNull() | (span <= 0), 1.0).when(cue == "latest", 0.85 + 0.4 * t).otherwise(HIGHEST_RECENCY - 0.4 * t)
 
 
 def iso_week(date: Column) -> Column:

@@ -8,6 +8,7 @@ from tidelog.functions import dates, text
 from tidelog.operators import graph, retrieval, rollup
 from tidelog.plans.text_queries import _DECISIONS, _ENTITIES, _WEEK, _keyword_sql
 from tidelog.sources import views
+from tidelog.sources.scratch import settled
 from tidelog.sources.views import sql
 
 C = F.col
@@ -197,13 +198,18 @@ R11 = sql("v_edges", _EXPANDED + " SELECT query_id, uri, round(score, 6) AS scor
 def r14_rerank(spark, sf):
     pointers = views.edges(spark, sf).select(C("week").alias("parent"), C("vec_id").alias("child"))
     direct = retrieval.nearest(_vector_queries(spark, sf), _vectors(spark, sf), 20)
-    hits = retrieval.expanded(_parent_hits(spark, sf), pointers, direct).withColumn("date", views.day(C("uri")))
-    hits = retrieval.corpus_span(hits, "date")
+    parents = settled(_parent_hits(spark, sf))
+    spans = settled(retrieval.candidate_spans(direct.select("query_id", views.day(C("uri")).alias("date")), parents, pointers.withColumn("date", views.day(C("child")))))
     cue = F.when(C("query_id") % 3 == 0, "latest").when(C("query_id") % 3 == 1, "earliest")
-    affinity = dates.temporal_affinity(C("date"), views.day(C("query_id")))
     boost = F.when(C("uri") % 5 == 0, retrieval.WIKI_BOOST).otherwise(1.0)
-    final = retrieval.reranked(hits, affinity, dates.recency_boost(C("date"), cue, C("span_start"), C("span_end")), boost)
-    return retrieval.top(final.select("query_id", "uri", F.round("final", 6).alias("final")), 5, C("final").desc(), C("uri"))
+
+    def final(hits):
+        hits = hits.join(spans, "query_id").withColumn("date", views.day(C("uri")))
+        recency = dates.recency_boost(C("date"), cue, C("span_start"), C("span_end"))
+        found = retrieval.reranked(hits, dates.temporal_affinity(C("date"), views.day(C("query_id"))), recency, boost)
+        return found.select("query_id", "uri", "score", "parent_score", F.round("final", 6).alias("final"))
+
+    return retrieval.best_with_children(parents, pointers, direct, final, 5, dates.HIGHEST_RECENCY).select("query_id", "uri", "final")
 
 
 R14 = sql(

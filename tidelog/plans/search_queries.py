@@ -22,7 +22,7 @@ def _index(spark, sf):
     none = F.lit(None).cast("date")
     doubles = F.col("embedding").cast("array<double>")
     own = e.select(F.concat(F.lit("v-"), i.cast("string")).alias("uri"), F.element_at(F.array(*map(F.lit, KINDS)), (i % 5 + 1).cast("int")).alias("content_type"), F.lit("own").alias("embedding_type"), doubles.alias("vector"), views.day(i).alias("date"))
-    summary = e.where("vec_id < 50").select(F.concat(F.lit("week-"), i.cast("string"), F.lit("#summary")).alias("uri"), F.lit("weekly").alias("content_type"), F.lit("summary").alias("embedding_type"), doubles.alias("vector"), none.alias("date"))
+    summary = e.where("vec_id % 28 = 0").select(F.concat(F.lit("week-"), C("week").cast("string"), F.lit("#summary")).alias("uri"), F.lit("weekly").alias("content_type"), F.lit("summary").alias("embedding_type"), doubles.alias("vector"), none.alias("date"))
     out = own.unionByName(summary)
     for parent in ("week", "month"):
         rows = _parents(spark, sf, parent).select(F.concat(F.lit(f"{parent}-"), C("parent").cast("string"), F.lit("#agg")).alias("uri"), F.lit(f"{parent}ly").alias("content_type"), F.lit("agg").alias("embedding_type"), "vector", none.alias("date"))
@@ -46,7 +46,7 @@ def _pointers(spark, sf):
 _DOUBLES = "CAST(embedding AS DOUBLE[])"
 _AGG = "SELECT '{p}-' || parent || '#agg' AS uri, '{p}ly' AS content_type, 'agg' AS embedding_type, list(x ORDER BY i) AS v, CAST(NULL AS DATE) AS date FROM " + _PARENT + " GROUP BY parent"
 _IDX = f"""idx AS (SELECT 'v-' || vec_id AS uri, {list(KINDS)}[vec_id % 5 + 1] AS content_type, 'own' AS embedding_type, {_DOUBLES} AS v, DATE '2024-01-01' + CAST(vec_id AS INT) AS date FROM v_edges
-    UNION ALL SELECT 'week-' || vec_id || '#summary', 'weekly', 'summary', {_DOUBLES}, NULL FROM v_edges WHERE vec_id < 50 UNION ALL {_AGG.format(p='week')} UNION ALL {_AGG.format(p='month')}),
+    UNION ALL SELECT 'week-' || week || '#summary', 'weekly', 'summary', {_DOUBLES}, NULL FROM v_edges WHERE vec_id % 28 = 0 UNION ALL {_AGG.format(p='week')} UNION ALL {_AGG.format(p='month')}),
   qs AS (SELECT vec_id AS query_id, {_DOUBLES} AS q FROM v_edges WHERE vec_id % 20 = 0),
   br AS (SELECT CASE WHEN embedding_type <> 'own' THEN 'parents' WHEN content_type = 'wiki' THEN 'pages' ELSE 'raw' END AS branch, query_id, uri, list_dot_product(q, v) AS score FROM qs, idx),
   bh AS (SELECT * FROM br QUALIFY row_number() OVER (PARTITION BY query_id, branch ORDER BY score DESC, uri) <= CASE branch WHEN 'parents' THEN 10 ELSE 20 END)"""

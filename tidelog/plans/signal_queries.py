@@ -36,7 +36,7 @@ def g2_log_window(spark, sf):
     return signals.in_window(log.crossJoin(F.broadcast(last)), "ts", C("as_of"), 7).groupBy("query").agg(F.count("*").alias("n"))
 
 
-G2 = "SELECT event_type || ' ' || (user_id % 20) AS query, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1"
+G2 = "SELECT event_type || ' ' || (user_id % 20 + 20 * (event_id // 2000)) AS query, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1"
 
 
 def g3_hit_frequency(spark, sf):
@@ -108,7 +108,7 @@ def g8_wisdom_drift(spark, sf):
 
 G8 = f"""WITH e AS (SELECT p_partkey AS entry_id, ['click', 'error', 'purchase', 'other'][p_partkey % 4 + 1] || ' signal ' || (p_partkey % 700) || ' ' || p_name AS text FROM part),
   w AS (SELECT entry_id, unnest({_keyword_sql(text.SIGNAL_STOP_WORDS, '', 2, 'text')}) AS word FROM e),
-  q AS (SELECT DISTINCT event_type || ' ' || (user_id % 20) || ' ' || (event_id % 500) AS query FROM events),
+  q AS (SELECT DISTINCT event_type || ' ' || (user_id % 20 + 20 * (event_id // 2000)) || ' ' || (event_id % 500) AS query FROM events),
   a AS (SELECT DISTINCT query, unnest({_keyword_sql(text.SIGNAL_STOP_WORDS, '', 2, 'query')}) AS word FROM q),
   m AS (SELECT DISTINCT entry_id FROM (SELECT entry_id, query, count(*) AS n FROM w JOIN a USING (word) GROUP BY ALL) WHERE n >= 2)
   SELECT entry_id, CAST(0.5 AS DOUBLE) AS score FROM e WHERE entry_id NOT IN (SELECT entry_id FROM m) AND (SELECT count(*) FROM events) > 10"""

@@ -267,7 +267,7 @@ def x2_captured_log(spark, sf):
     return spark.read.parquet(f"{folder}/out").groupBy(C("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("query").alias("n_queries"))
 
 
-X2 = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT event_type || ' ' || (user_id % 20)) AS n_queries FROM events GROUP BY 1"
+X2 = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT event_type || ' ' || (user_id % 20 + 20 * (event_id // 2000))) AS n_queries FROM events GROUP BY 1"
 
 
 def x5_rolling_hits(spark, sf):

@@ -33,12 +33,14 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three search results for each event: event_id, ts, j, query, uri, score."""
+    """Three search results for each event: event_id, ts, j, query, uri, score. Every 2,000 events bring
+    some hundred new queries and 200 new notes."""
     events = table(spark, sf_dir, "events").withColumn("j", F.explode(F.array(*map(F.lit, range(3)))))
     kind = F.col("user_id") % 20
     score = ((F.col("event_id") * 7 + F.col("j") * 13) % 100).cast("double") / 100 * F.when(kind < 3, 0.2).otherwise(1.0)
-    uri = memory_uri(day((F.col("event_id") * (F.col("j") + 1)) % 200))
-    return events.select("event_id", "ts", "j", F.concat("event_type", F.lit(" "), kind.cast("string")).alias("query"), uri.alias("uri"), score.alias("score"))
+    block = F.floor(F.col("event_id") / 2000)
+    uri = memory_uri(day((F.col("event_id") * (F.col("j") + 1)) % 200 + 200 * block))
+    return events.select("event_id", "ts", "j", F.concat("event_type", F.lit(" "), (kind + 20 * block).cast("string")).alias("query"), uri.alias("uri"), score.alias("score"))
 
 
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +123,10 @@ WIKI_CATEGORIES = ("entity", "concept", "project", "reference", "theme")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Children with their week and month parents: vec_id, week, month."""
-    v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(v.cast("long").alias("vec_id"), (v % 50).cast("long").alias("week"), (v % 10).cast("long").alias("month"), "embedding")
+    """Children with their week and month parents: vec_id, week, month. Four a day, and months of four
+    weeks, so parents grow in number and not in size."""
+    v = F.col("vec_id").cast("long")
+    return table(spark, sf_dir, "embeddings").select(v.alias("vec_id"), F.floor(v / 28).alias("week"), F.floor(v / 112).alias("month"), "embedding")
 
 
 def _list(values: tuple) -> str:
@@ -134,7 +137,7 @@ def _list(values: tuple) -> str:
 SQL = {
     "v_daily": """SELECT doc_id, DATE '2024-01-01' + CAST(doc_id AS INT) AS mem_date, 'memory/' || CAST(DATE '2024-01-01' + CAST(doc_id AS INT) AS VARCHAR) || '.md' AS uri,
       '# session: s' || (doc_id % 3) || chr(10) || chr(10) || text || CASE doc_id % 7 WHEN 0 THEN ' We decided to use RedisCache.' WHEN 3 THEN ' Switched from api-v1-old. Corrected.' ELSE '' END || ' Budget $' || (doc_id % 50) || 'M.' AS text FROM documents""",
-    "v_hits": """SELECT event_id, ts, j, event_type || ' ' || (user_id % 20) AS query, 'memory/' || CAST(DATE '2024-01-01' + CAST((event_id * (j + 1)) % 200 AS INT) AS VARCHAR) || '.md' AS uri,
+    "v_hits": """SELECT event_id, ts, j, event_type || ' ' || (user_id % 20 + 20 * (event_id // 2000)) AS query, 'memory/' || CAST(DATE '2024-01-01' + CAST((event_id * (j + 1)) % 200 + 200 * (event_id // 2000) AS INT) AS VARCHAR) || '.md' AS uri,
       CAST((event_id * 7 + j * 13) % 100 AS DOUBLE) / 100 * CASE WHEN user_id % 20 < 3 THEN 0.2 ELSE 1.0 END AS score FROM events, (SELECT unnest([0, 1, 2]) AS j)""",
     "v_ranges": "SELECT d || 'd' AS range_label, d AS range_days FROM (SELECT unnest([30, 60, 90, 120, 180]) AS d)",
     "v_categories": f"SELECT i - 1 AS cat_order, {_list(CATEGORIES)}[i] AS category FROM (SELECT unnest(range(1, 11)) AS i)",
@@ -150,7 +153,7 @@ SQL = {
       list_transform(range(0, doc_id % 5 + 1), lambda k: 'memory/' || CAST(DATE '2024-01-01' + CAST(doc_id + k AS INT) AS VARCHAR) || '.md') AS sources,
       CASE WHEN doc_id % 29 = 0 AND doc_id > 0 THEN 'doc-' || (doc_id - 1) END AS redirect_to, CASE doc_id % 31 WHEN 0 THEN 'doc-' || (doc_id + 1) WHEN 1 THEN 'doc-' || (doc_id - 1) END AS contradicts,
       DATE '2024-01-01' + CAST(doc_id AS INT) AS updated, 'See [[doc-' || ((doc_id * 3) % 1500) || ']] and [[wiki:doc-' || ((doc_id * 7 + 1) % 900) || '|more]].' AS body FROM documents""",
-    "v_edges": "SELECT vec_id, vec_id % 50 AS week, vec_id % 10 AS month, embedding FROM embeddings",
+    "v_edges": "SELECT vec_id, vec_id // 28 AS week, vec_id // 112 AS month, embedding FROM embeddings",
 }
 _NEEDS = {"v_eval": ("v_qa", "v_ranges")}
 
