@@ -192,16 +192,17 @@ def _ranges(codes: Iterable[int]) -> str:
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
 
 
-class Codec:
-    """Encodes and decodes with one file of ranks."""
+def read_ranks(name: str) -> dict[bytes, int]:
+    with open(public_tokenizers.path(name), "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+class Encoder:
+    """Encodes with one file of ranks."""
 
     def __init__(self, ranks_name: str = RANKS):
-        with open(public_tokenizers.path(ranks_name), "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = read_ranks(ranks_name)
         self.longest = max(map(len, self.ranks))
-        self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.bytes_of[rank] = token
         self.usual = regex.compile(public_tokenizers.PATTERN)
         self.odd, self.exact = _library_classes(self.usual)
         self.many = ManyMatches(self.ranks)
@@ -216,9 +217,9 @@ class Codec:
 
     def learn(self, texts: list[str | None]) -> None:
         """Merges the new short matches of many texts together; encode() then finds their ids."""
-        words = set().union(*(t.split() for t in texts if t)) - self.spaced.keys()
-        words = {w for w in words if len(w) < SHORT}
-        new = {x: piece for x in set(self._matches(" " + " ".join(words))) - self.match_ids.keys() if len(piece := x.encode("utf-8", "surrogatepass")) <= SHORT and piece not in self.ranks}
+        words = [w for w in set().union(*(t.split() for t in texts if t)) if w not in self.spaced and len(w) < SHORT]
+        matches = [x for x in set(self._matches(" " + " ".join(words))) if x not in self.match_ids]
+        new = {x: piece for x in matches if len(piece := x.encode("utf-8", "surrogatepass")) <= SHORT and piece not in self.ranks}
         for width in (8, 16, SHORT):
             some = [x for x, piece in new.items() if width // 2 < len(piece) <= width or width == 8 and len(piece) <= 4]
             for k in range(0, len(some), TOGETHER):
@@ -248,7 +249,17 @@ class Codec:
             out.append(opening[words[0]] + b"".join(map(spaced, words[1:])))
         return opening["\n"].join(out)
 
-    def decode(self, ids: bytes) -> bytes | None:
+
+class Decoder:
+    """Decodes with one file of ranks."""
+
+    def __init__(self, ranks_name: str = RANKS):
+        ranks = read_ranks(ranks_name)
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+
+    def decode(self, ids: bytes | None) -> bytes | None:
         """The bytes of ids; None when one of them is outside the vocabulary."""
         try:
             tokens = list(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
@@ -276,12 +287,17 @@ def _library_classes(usual: regex.Pattern) -> tuple[re.Pattern, re.Pattern]:
 
 
 @cache
-def codec(ranks_name: str = RANKS) -> Codec:
-    return Codec(ranks_name)
+def encoder(ranks_name: str = RANKS) -> Encoder:
+    return Encoder(ranks_name)
+
+
+@cache
+def decoder(ranks_name: str = RANKS) -> Decoder:
+    return Decoder(ranks_name)
 
 
 def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = codec()
+    own = encoder()
     for batch in text_blocks(batches):
         texts = batch.column("text").to_pylist()
         own.learn(texts)
@@ -296,7 +312,7 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 
 def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    decode = codec().decode
+    decode = decoder().decode
     for batch in text_blocks(batches, "ids"):
         texts = [decode(ids) for ids in batch.column("ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
