@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelog.functions.scan import matches, pattern
 from tidelog.functions.text import ascii_bounds
 
 _MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -115,8 +116,11 @@ def range_days(label: Column) -> Column:
     return F.when(unit == "d", n).when(unit == "mo", n * 30).when(unit == "y", n * 365)
 
 
+_MONTHS_SHORT = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
 def _month_number(name: Column) -> Column:
-    names = F.lit("janfebmaraprmayjunjulaugsepoctnovdec")
+    names = F.lit("".join(_MONTHS_SHORT))
     return ((F.position(F.lower(F.substring(name, 1, 3)), names) + 2) / 3).cast("int")
 
 
@@ -164,10 +168,11 @@ def temporal_references(queries: DataFrame, now: Column) -> DataFrame:
         (r"(?i)\bthis\s+week\b", now, 2),
         (r"(?i)\bthis\s+month\b", now, 2),
     ]
-    once = {8, 9, 11, 13, 14, 15}  # counted once, however often they occur
-    every = [F.regexp_extract_all(q, F.lit(ascii_bounds(p)), F.lit(0)) for p, _, _ in rules]
-    matches = [F.transform(F.slice(m, 1, 1) if k in once else m, _match(k)) for k, m in enumerate(every)]
-    each = queries.select("query_id", F.explode(F.flatten(F.array(*matches))).alias("x")).select("query_id", F.col("x.k").alias("pattern_no"), F.col("x.pos").alias("pos"), F.col("x.m").alias("m"))
+    once = frozenset({8, 9, 11, 13, 14, 15})  # counted once, however often they occur
+    months_named = _MONTHS_SHORT
+    anchors = [months_named, ("-",), months_named, ("-",), ("q",), ("q",), ("in", "from", "during"), ("20",), ("yesterday",), ("last",), ("ago",), ("last",), ("ago",), ("last",), ("this",), ("this",)]
+    scan = matches([pattern(p, *a) for (p, _, _), a in zip(rules, anchors)], once)
+    each = queries.select("query_id", F.explode(scan(q)).alias("x")).select("query_id", F.col("x.k").alias("pattern_no"), F.col("x.pos").alias("pos"), F.col("x.m").alias("m"))
     date, level = F.lit(None).cast("date"), F.lit(None).cast("int")
     for k, (_, value, specificity) in enumerate(rules):
         date, level = F.when(F.col("pattern_no") == k, value).otherwise(date), F.when(F.col("pattern_no") == k, specificity).otherwise(level)
@@ -176,10 +181,6 @@ def temporal_references(queries: DataFrame, now: Column) -> DataFrame:
     return dated.withColumn("earlier", earlier).where((F.col("pattern_no") != 7) | (F.col("earlier") == 0)).drop("earlier")
 
 
-def _match(k: int):
-    return lambda m, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), m.alias("m"))
-
-
 def best_reference(references: DataFrame) -> DataFrame:
     """The most specific reference of each query, of equals the first found."""
     order = Window.partitionBy("query_id").orderBy(F.col("specificity").desc(), "pattern_no", "pos")

@@ -1,4 +1,5 @@
-"""Column functions over text: entities, markers, keywords, signatures, chunks. All stay in the JVM."""
+"""Column functions over text: entities, markers, keywords, signatures, chunks. All stay in the JVM, but for those
+of many patterns over whole texts, which take one Arrow pass (see scan)."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidelog.functions.scan import counted, held, pattern, terms
+
 # Marker patterns, entity patterns, tool vocabulary, stop words.
 DECISION_MARKERS = (
     r"\bdecided\s+to\b", r"\bswitched\s+to\b", r"\bchose\s+(\w+\s+)?over\b", r"\bgoing\s+with\b", r"\bconcluded\s+that\b", r"\bwent\s+with\b",
@@ -67,16 +70,6 @@ def _anchors(pattern: str) -> list[str]:
     return re.findall("[a-z]+", body)[:1]
 
 
-def _where_likely(text: Column, pattern: str, value: Column) -> Column:
-    """value where the text holds an anchor of the pattern, else 0: a plain search is much cheaper than a
-    pattern, and the lowered text is shared by all patterns."""
-    low, (first, *more) = F.lower(text), _anchors(pattern)
-    held = F.contains(low, F.lit(first))
-    for word in more:
-        held = held | F.contains(low, F.lit(word))
-    return F.when(text.isNull(), None).when(held, value).otherwise(0)
-
-
 def token_estimate(text: Column) -> Column:
     """One token for each four characters, rounded up."""
     return F.ceil(F.length(text) / 4).cast("long")
@@ -92,32 +85,29 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(ascii_bounds(pattern)), F.lit(group))
 
 
+_CAMEL, _KEBAB, _CODE = pattern(CAMEL_CASE), pattern(KEBAB_CASE, "-"), pattern(ERROR_CODE)
+_HTTP, _TICKET, _MENTION = pattern(HTTP_ERROR, "http"), pattern(TICKET, "#", "ticket"), pattern(MENTION, "@")
+
+
 def light_entities(text: Column) -> Column:
     """Distinct lower-cased CamelCase names, kebab-case names of three parts or more, and mentions."""
-    every = F.flatten(F.array(found(text, CAMEL_CASE), found(text, KEBAB_CASE), found(text, MENTION, 1)))
-    return F.array_distinct(F.transform(every, F.lower))
+    return terms([_CAMEL, _KEBAB, _MENTION], group=lambda m: m[m.re.groups])(text)
 
 
 def entities(text: Column, vocabulary: tuple[str, ...] = TOOLS) -> Column:
     """Light entities without mentions, error codes, HTTP errors, ticket ids and the vocabulary's terms."""
-    codes = F.filter(found(text, ERROR_CODE), lambda x: F.length(x) >= 4)
-    every = F.flatten(F.array(found(text, CAMEL_CASE), found(text, KEBAB_CASE), codes, found(text, HTTP_ERROR), found(text, TICKET)))
-    # The text is lowered once, as an argument, not once for each term.
-    terms = F.array(*map(F.lit, vocabulary))
-    tools = F.transform(F.array(F.lower(text)), lambda low: F.filter(terms, lambda t: F.contains(low, t)))[0]
-    return F.array_distinct(F.concat(F.transform(every, F.lower), tools))
+    long_code = lambda m: None if m.re is _CODE.compiled and len(m[0]) < 4 else m[0]
+    return terms([_CAMEL, _KEBAB, _CODE, _HTTP, _TICKET], vocabulary, long_code)(text)
 
 
 def decision_markers(text: Column) -> Column:
     """How often the decision patterns match."""
-    counts = [_where_likely(text, p, F.regexp_count(text, F.lit(ascii_bounds(f"(?i){p}")))) for p in DECISION_MARKERS]
-    return sum(counts[1:], counts[0]).cast("long")
+    return counted([pattern(p, *_anchors(p), ignore_case=True) for p in DECISION_MARKERS])(text)
 
 
 def supersession_markers(text: Column) -> Column:
     """How many of the supersession patterns match."""
-    held = [_where_likely(text, p, text.rlike(ascii_bounds(f"(?i){p}")).cast("int")) for p in SUPERSESSION_MARKERS]
-    return sum(held[1:], held[0]).cast("long")
+    return held([pattern(p, *_anchors(p), ignore_case=True) for p in SUPERSESSION_MARKERS])(text)
 
 
 def _words(text: Column, gap: str) -> Column:
