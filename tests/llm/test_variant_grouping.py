@@ -72,7 +72,7 @@ def found(df):
 
 
 @pytest.mark.parametrize("frequent", [2, 8, 40])
-def test_bound_covers_every_edit(frequent):
+def test_changed_grams_cover_every_edit(frequent):
     words = sorted(vocabulary(1, 150, 7))
     parts = Counter(g for w in words for size in (2, 3) for m in [variants.BEGIN + w + variants.END] for g in (m[k : k + size] for k in range(len(m) - size + 1)))
     grams = variants.Grams({g: n for g, n in parts.items() if n > frequent}, 4)
@@ -83,18 +83,18 @@ def test_bound_covers_every_edit(frequent):
 
     for a in words[:120]:
         marked, own = placed(a)
-        bound, last = grams.bound(marked, own), 0
-        assert all(x < y and s < t for (s, x), (t, y) in zip(own, own[1:])) and bound < len(own)
+        ranges = grams.changed(marked, own)
+        assert all(x < y and s < t for (s, x), (t, y) in zip(own, own[1:])) and max(end - first for first, end in ranges) < len(own)
         for k in range(len(a) + 1):
             for b in {a[:k] + c + a[k:] for c in "abé"} | {a[:k] + a[k + 1 :]} | {a[:k] + c + a[k + 1 :] for c in "abé"}:
                 if b == a:
                     continue
                 other, theirs = placed(b)
                 shift = len(b) - len(a)
-                left = {(s, marked[s:e]) for s, e in own if e <= k + 1} & {(s, other[s:e]) for s, e in theirs}
-                right = {(s, marked[s:e]) for s, e in own if s >= k + 1} & {(s - shift, other[s:e]) for s, e in theirs}
-                last = max(last, len(own) - len(left | right))
-        assert last <= bound
+                left = {s for s, e in own if e <= k + 1 and (s, e) in theirs and marked[s:e] == other[s:e]}
+                right = {s for s, e in own if s >= k + 1 and (s + shift, e + shift) in theirs and marked[s:e] == other[s + shift : e + shift]}
+                lost = {n for n, (s, _) in enumerate(own) if s not in left | right}
+                assert any(lost <= set(range(first, end)) for first, end in ranges), (a, b)
 
 
 def test_shortened_words_meet_when_one_edit_apart():
