@@ -257,6 +257,21 @@ def test_ops_on_one_page_apply_in_order(spark):
     assert sorted((r.slug, r.seq) for r in refused.collect()) == [("new", 0), ("none", 1)]
 
 
+def test_create_of_a_page_that_is_there_is_refused(spark):
+    on = D(2025, 1, 1)
+    ops = spark.createDataFrame([("old", 1, "create", "again", ["t"], on), ("new", 1, "create", "first", ["r"], on), ("new", 2, "create", "second", ["s"], on)], "slug string, seq int, op string, body string, sources array<string>, on date")
+    found, refused = graph.applied_ops(pages(spark, ("old", "O", "u")), ops)
+    assert {r.slug: (r.body, r.sources) for r in found.collect()} == {"old": ("O", ["u"]), "new": ("first", ["r"])}
+    assert sorted((r.slug, r.seq) for r in refused.collect()) == [("new", 2), ("old", 1)]
+
+
+def test_pages_of_one_source_set_are_a_class(spark):
+    sets = {"a": "123", "b": "321", "c": "1234", "d": "1234", "e": "789", "f": "12", "g": "7891"}
+    rows = [(slug, list(s), None) for slug, s in sets.items()] + [("z", list("123"), "a")]
+    found = graph.rename_candidates(spark.createDataFrame(rows, "slug string, sources array<string>, redirect_to string")).collect()
+    assert sorted((r.a, r.b, round(r.jaccard, 6)) for r in found) == [("a", "b", 1.0), ("a", "c", 0.75), ("c", "d", 1.0), ("e", "g", 0.75)]
+
+
 def test_renames_are_refused_with_a_reason(spark):
     renames = spark.createDataFrame([("a", "z"), ("b", "z"), ("c", "a"), ("c", "q"), ("lost", "l")], "slug string, new_slug string")
     found, refused = graph.renamed(pages(spark, ("a", "A", ""), ("b", "B", ""), ("c", "C", "")), renames)

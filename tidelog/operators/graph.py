@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import text
+from tidelog.sources.scratch import settled
 
 C = F.col
 
@@ -78,14 +79,19 @@ def mutual_contradictions(pages: DataFrame) -> DataFrame:
 
 
 def rename_candidates(pages: DataFrame, least_sources: int = 3, least_share: float = 0.5) -> DataFrame:
-    """Pairs of pages with so many sources each whose source sets overlap: a, b, jaccard.
+    """Pages with so many sources each whose source sets overlap: a, b, jaccard.
 
-    Pages that share the same whole source set are one row, so a set that very many pages have does not
-    multiply. With the sources of each set in order of how many sets hold them, sets that overlap enough
+    Pages of one whole source set are a class, and the smallest slug stands for it: each other member
+    comes as a pair with it, of share 1, and classes that overlap come as one pair of those that stand for
+    them. So two pages overlap when their classes are one, or a pair; nothing is lost, and a set that
+    very many pages have does not multiply. With the sources of each set in order of how many sets hold them, sets that overlap enough
     share one of their first n - ceil(share n) + 1: only these meet in a join, so a source that very
     many sets hold meets hardly any. The pairs are verified on the whole sets."""
     sets = pages.where(C("redirect_to").isNull() & (F.size(F.array_distinct("sources")) >= least_sources)).select("slug", F.array_sort(F.array_distinct("sources")).alias("sources"))
-    groups = sets.groupBy("sources").agg(F.min("slug").alias("slug"))
+    sets = sets.withColumn("class", F.sha2(F.to_json("sources"), 256))
+    groups = settled(sets.groupBy("class").agg(F.min("slug").alias("slug"), F.any_value("sources").alias("sources")))
+    few = groups.select("class", C("slug").alias("a"))
+    members = sets.select("class", C("slug").alias("b")).join(few, "class").where("b <> a").select("a", "b", F.lit(1.0).alias("jaccard"))
     each = groups.select("slug", F.explode("sources").alias("source"))
     held = each.groupBy("source").agg(F.count("*").alias("n_sets"))
     ordered = each.join(held, "source").groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("n_sets", "source"))).alias("x"))
@@ -96,7 +102,7 @@ def rename_candidates(pages: DataFrame, least_sources: int = 3, least_share: flo
     pairs = left.join(right, "source").where((C("a") < C("b")) & fitting).dropDuplicates(["a", "b"])
     common = F.size(F.array_intersect("all_a", "all_b"))
     share = common / (F.size("all_a") + F.size("all_b") - common)
-    return pairs.select("a", "b", share.alias("jaccard")).where(C("jaccard") >= least_share)
+    return pairs.select("a", "b", share.alias("jaccard")).where(C("jaccard") >= least_share).unionByName(members)
 
 
 def category_index(pages: DataFrame) -> DataFrame:
@@ -139,12 +145,13 @@ def _folded(pages: DataFrame, usable: DataFrame) -> DataFrame:
 
 def applied_ops(pages: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """pages(slug, body, sources, updated) after ops(slug, seq, op, body, sources, on), in order of seq for
-    each slug: create on a page that exists appends, append on a page that neither exists nor was
-    created before is refused. Gives the pages and the refused ops."""
+    each slug: create of a page that exists or was created before is refused, as is append on one that neither
+    exists nor was created before. Gives the pages and the refused ops."""
     born = ops.where("op = 'create'").groupBy("slug").agg(F.min("seq").alias("born"))
     known = pages.select("slug", F.lit(True).alias("known"))
     judged = ops.join(born, "slug", "left").join(known, "slug", "left")
-    refused = F.coalesce((C("op") == "append") & C("known").isNull() & (C("born").isNull() | (C("seq") < C("born"))), F.lit(False))
+    there = F.coalesce(C("known") | (C("born") < C("seq")), F.lit(False))
+    refused = F.coalesce((C("op") == "create") == there, F.lit(False))
     judged = judged.withColumn("refused", refused)
     return _folded(pages, judged.where("NOT refused")), judged.where("refused").select("slug", "seq", "op")
 

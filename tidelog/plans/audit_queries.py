@@ -410,12 +410,12 @@ A7 = sql("v_edges", "SELECT vec_id AS uri, round(CAST(CASE WHEN vec_id % 3 = 0 T
 
 
 def a8_parent_rows(spark, sf):
-    parents = views.edges(spark, sf).where("vec_id < 60").select(C("vec_id").alias("parent"), F.lit("summary").alias("text"), C("embedding").cast("array<double>").alias("vector"))
+    parents = views.edges(spark, sf).select(C("vec_id").alias("parent"), F.lit("summary").alias("text"), C("embedding").cast("array<double>").alias("vector"))
     found = rollup.parent_rows(parents, _parents(spark, sf, "week"), "weekly")
     return found.select("uri", "content_type", "embedding_type", "text", C("period").cast("long").alias("period"), F.round(C("vector")[0], 6).alias("first"))
 
 
-A8 = sql("v_edges", f"SELECT vec_id || '#summary' AS uri, 'weekly' AS content_type, 'summary' AS embedding_type, 'summary' AS text, vec_id AS period, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM v_edges WHERE vec_id < 60 UNION ALL SELECT parent || '#agg', 'weekly', 'agg', '', parent, round(x, 6) FROM {_PARENT.format(p='week')} WHERE i = 0")
+A8 = sql("v_edges", f"SELECT vec_id || '#summary' AS uri, 'weekly' AS content_type, 'summary' AS embedding_type, 'summary' AS text, vec_id AS period, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM v_edges UNION ALL SELECT parent || '#agg', 'weekly', 'agg', '', parent, round(x, 6) FROM {_PARENT.format(p='week')} WHERE i = 0")
 
 
 def a11_typed_memories(spark, sf):

@@ -49,7 +49,7 @@ def _ops(spark, sf):
 _OPS = """o AS (SELECT doc_id, slug, seq, ['append', 'create', 'append'][(doc_id + seq) % 3 + 1] AS op, 'more ' || seq AS body, ['memory/x.md', 'memory/' || seq] AS sources FROM v_wiki, (SELECT unnest([1, 2, 3]) AS seq)
     WHERE seq <= CASE WHEN doc_id % 6 = 0 THEN 3 WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END),
   c AS (SELECT slug, min(seq) AS born FROM o WHERE op = 'create' GROUP BY slug),
-  j AS (SELECT o.*, op = 'append' AND o.doc_id % 4 = 0 AND (born IS NULL OR seq < born) AS refused FROM o LEFT JOIN c ON o.slug = c.slug)"""
+  j AS (SELECT o.*, (op = 'create') = (o.doc_id % 4 <> 0 OR coalesce(born < seq, false)) AS refused FROM o LEFT JOIN c ON o.slug = c.slug)"""
 
 
 def w3_applied_ops(spark, sf):
@@ -130,10 +130,12 @@ W10U = "SELECT 'doc-' || doc_id AS slug, 'team' || (doc_id % 3) AS wiki FROM doc
 
 
 def w14_create_or_update(spark, sf):
-    """Candidate pages are the vectors whose id is divisible by 20; the pages are all others."""
+    """Candidate pages are the vectors whose id is divisible by 20; the pages are all vectors but the
+    candidate's own. The second best is taken where the best is the candidate itself."""
     v = views.edges(spark, sf).select(C("vec_id"), _unit(C("embedding")).alias("vector"))
     candidates = v.where("vec_id % 20 = 0").select(C("vec_id").alias("query_id"), "vector")
-    near = retrieval.nearest(candidates, v.where("vec_id % 20 <> 0").select(C("vec_id").alias("uri"), "vector"), 1)
+    near = retrieval.nearest(candidates, v.select(C("vec_id").alias("uri"), "vector"), 2).where("uri <> query_id")
+    near = retrieval.top(near, 1, C("score").desc(), C("uri"))
     return graph.create_or_update(candidates.select("query_id"), near.withColumn("score", F.round("score", 6)))
 
 
@@ -144,7 +146,7 @@ def _unit(v):
 
 W14 = sql(
     "v_edges",
-    """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM v_edges), s AS (SELECT q.vec_id AS query_id, c.vec_id AS page, round(list_dot_product(q.v, c.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(c.v, c.v)), 6) AS score FROM u q, u c WHERE q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) / sqrt(list_dot_product(c.v, c.v)) DESC, c.vec_id) = 1)
+    """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM v_edges), s AS (SELECT q.vec_id AS query_id, c.vec_id AS page, round(list_dot_product(q.v, c.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(c.v, c.v)), 6) AS score FROM u q, u c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) / sqrt(list_dot_product(c.v, c.v)) DESC, c.vec_id) = 1)
     SELECT query_id, CASE WHEN score >= 0.8 THEN page END AS page, CASE WHEN score >= 0.8 THEN 'update' ELSE 'create' END AS op FROM s""",
 )
 

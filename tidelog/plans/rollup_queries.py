@@ -322,13 +322,20 @@ W11 = sql("v_wiki", "SELECT x.slug AS a, y.slug AS b FROM v_wiki x JOIN v_wiki y
 
 
 def w15_rename_candidates(spark, sf):
-    return _round(graph.rename_candidates(views.wiki(spark, sf)), "jaccard")
+    """Of seven pages, the second to the fourth have the sources of the first, and the fifth has all but its last."""
+    own = C("doc_id") - F.when(C("doc_id") % 7 < 5, C("doc_id") % 7).otherwise(0)
+    n = F.when(C("doc_id") % 7 == 4, own % 5).otherwise(own % 5 + 1)
+    sources = F.transform(F.sequence(F.lit(0), n.cast("int")), lambda k: views.memory_uri(views.day(own + k)))
+    return _round(graph.rename_candidates(views.wiki(spark, sf).withColumn("sources", sources)), "jaccard")
 
 
 W15 = sql(
     "v_wiki",
-    """WITH e AS (SELECT slug, len(sources) AS n, unnest(sources) AS s FROM v_wiki WHERE redirect_to IS NULL AND len(sources) >= 3), c AS (SELECT x.slug AS a, y.slug AS b, x.n AS n, y.n AS m, count(*) AS c FROM e x JOIN e y ON x.s = y.s AND x.slug < y.slug GROUP BY ALL)
-    SELECT a, b, round(c / (n + m - c), 9) AS jaccard FROM c WHERE c / (n + m - c) >= 0.5""",
+    """WITH o AS (SELECT slug, doc_id % 7 AS m, CASE WHEN doc_id % 7 < 5 THEN doc_id - doc_id % 7 ELSE doc_id END AS own FROM v_wiki WHERE redirect_to IS NULL),
+    p AS (SELECT slug, list_transform(range(0, own % 5 + CASE m WHEN 4 THEN 1 ELSE 2 END), lambda k: 'memory/' || CAST(DATE '2024-01-01' + CAST(own + k AS INT) AS VARCHAR) || '.md') AS sources FROM o),
+    g AS (SELECT slug, sources, min(slug) OVER (PARTITION BY sources) AS a FROM p WHERE len(sources) >= 3),
+    e AS (SELECT slug, len(sources) AS n, unnest(sources) AS s FROM g WHERE slug = a), c AS (SELECT x.slug AS a, y.slug AS b, x.n AS n, y.n AS m, count(*) AS c FROM e x JOIN e y ON x.s = y.s AND x.slug < y.slug GROUP BY ALL)
+    SELECT a, b, round(c / (n + m - c), 9) AS jaccard FROM c WHERE c / (n + m - c) >= 0.5 UNION ALL SELECT a, slug, 1.0 FROM g WHERE slug <> a""",
 )
 
 
