@@ -7,11 +7,13 @@ word takes the longest gram of the dictionary, and leaves out those that lie wit
 
 One edit at a place can change only the grams that hold the place, and those beside it whose
 choice looked over it: to the left, if a frequent gram runs up to the place from where the gram starts or
-before; to the right, if the end of a frequent gram runs on from the place to beyond the gram. The
-largest number over all places is the word's bound. Two words that are one edit apart share all
-others, so among the bound + 1 rarest grams of each there is one that both have, at the same distance
-from the begin, or shifted by one in the longer word. Only these lists are merged, split by place
-and length, and the merged pairs are verified. With most_gram = (least length + 1) // 2 at least one gram
+before; to the right, if the end of a frequent gram runs on from the place to beyond the gram. They
+follow each other, so each word has, for each gram, the last one that an edit can change with it. Two
+words that are one edit apart share all other grams, at one distance from the begin, or shifted by one
+in the longer word. Of these the rarest stands behind grams that the edit changed, all of them in each of
+the two words. So a word is looked up by its rarest grams up to the first that no edit can change
+together with all before it, and no pair is missed. Only these lists are merged, split by place and
+length, and the merged pairs are verified. With most_gram = (least length + 1) // 2 at least one gram
 survives any edit, so no word lacks a list.
 
 A list of more than LONG_LIST entries isn't merged: its words get the hash of each string that one
@@ -28,9 +30,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +55,7 @@ FREQUENT_SHARE = 5000
 LEAST_FREQUENT = 8
 
 #: Entries of a list that is merged as it is.
-LONG_LIST = 200
+LONG_LIST = 1000
 
 BEGIN, END = "\x01", "\x02"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,33 +117,28 @@ class Grams:
                 last = end
         return out
 
-    def bound(self, marked: str, grams: list[tuple[int, int]]) -> int:
-        """The most grams that one edit inside the word can change."""
+    def changed(self, marked: str, grams: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """For each edit inside the word, (first, end) of the numbers of the grams that it can change."""
         n, count, ends, most = len(marked), self.count, self.ends, self.most
-        # reach_left[i]: a gram that ends at i or before may change when what follows i changes, if it
-        # starts there or later; -> least such start is what matters, so the least p with a frequent gram p..i.
-        left = [next((p for p in range(max(0, i - most + 1), i - 1) if marked[p:i] in count), n) for i in range(n + 1)]
-        # right[i]: a gram that starts at i or later may change when what comes before i changes, if it
-        # ends there or before; the largest e whose i..e-1 ends a frequent gram.
-        right = [next((e for e in range(min(n, i + most - 1), i + 1, -1) if marked[i : e - 1] in ends), 0) for i in range(n + 1)]
-        worst = first = 0
+        starts, stops = [a for a, _ in grams], [b for _, b in grams]
+        out = []
+        # The character at place `at` changes or goes (after = at + 1); one comes in front of it (after = at).
         for at in range(1, n):
-            # The character at place `at` changes or goes (after = at + 1); one comes in front of it (after = at).
+            first = bisect_right(stops, at)
+            for p in range(max(0, at - most + 1), at - 1):
+                if marked[p:at] in count:
+                    # What starts here looked at the place, and could cover all that starts later.
+                    first = min(first, bisect_left(starts, p))
+                    break
             for after in (at, at + 1) if at < n - 1 else (at,):
-                changed, k = 0, first
-                while k < len(grams) and grams[k][0] < after + most:
-                    start, end = grams[k]
-                    if end <= at:
-                        changed += start >= left[at]
-                    elif start >= after:
-                        changed += end <= right[after]
-                    else:
-                        changed += 1
-                    k += 1
-                worst = max(worst, changed)
-            while first < len(grams) and grams[first][1] <= at - most:
-                first += 1
-        return worst
+                end = bisect_left(starts, after)
+                for e in range(min(n, after + most - 1), after + 1, -1):
+                    if marked[after : e - 1] in ends:
+                        # What ends here may come to start before the place, and cover all that ends earlier.
+                        end = max(end, bisect_right(stops, e))
+                        break
+                out.append((first, end))
+        return out
 
     def rarity(self, gram: str) -> tuple[int, str]:
         """A fixed order of all grams, rare ones first: counts of the frequent ones; of others, what the
@@ -152,11 +150,23 @@ class Grams:
         return known, gram
 
     def lists(self, word: str) -> list[tuple[str, int]]:
-        """(gram, place) of the lists in which the word is looked up."""
+        """(gram, place) of the lists in which the word is looked up: its rarest grams up to the first that no
+        edit can change together with all before it."""
         marked = BEGIN + word + END
         grams = self.decomposed(marked)
-        ordered = sorted((*self.rarity(marked[a:b]), a) for a, b in grams)
-        return [(gram, place) for _, gram, place in ordered[: self.bound(marked, grams) + 1]]
+        # far[k]: one more than the last gram that one edit can change together with gram k.
+        far = [0] * len(grams)
+        for first, end in self.changed(marked, grams):
+            if first < end and far[first] < end:
+                far[first] = end
+        far = list(accumulate(far, max))
+        out, low, high = [], len(grams), -1
+        for _, gram, place, k in sorted((*self.rarity(marked[a:b]), a, k) for k, (a, b) in enumerate(grams)):
+            out.append((gram, place))
+            low, high = min(low, k), max(high, k)
+            if high >= far[low]:
+                break
+        return out
 
 
 def _gram_counts(longest: int):
@@ -273,11 +283,6 @@ def _verified(left: DataFrame, right: DataFrame, on: list[str], out) -> DataFram
 # --- forms and roots
 
 
-class Variants(NamedTuple):
-    words: DataFrame
-    pairs: DataFrame
-
-
 def grouped(words: DataFrame, least_length: int = LEAST_LENGTH, times: int = TIMES, long_list: int = LONG_LIST) -> DataFrame:
     """For each row of words(word, n): word, n, n_near (near words), form (the near word of largest n, if
     that is at least times the word's), form_n, and root, where following forms ends."""
