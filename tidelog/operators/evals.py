@@ -157,11 +157,31 @@ def applied_fixes(qa: DataFrame, fixes: DataFrame) -> DataFrame:
     return joined.select("qa_id", F.coalesce("new_answer", "answer").alias("answer"), F.coalesce("obsolete_after", "irrelevant_after").alias("irrelevant_after"), (C("new_answer").isNotNull() | C("obsolete_after").isNotNull()).alias("changed"))
 
 
-def validated(rows: DataFrame, first_id: int) -> DataFrame:
-    """Reasons against each new pair, and ids in order of qa_id for those without any."""
-    problems = {"no question": F.trim("question") == "", "unknown difficulty": ~C("difficulty").isin("easy", "medium", "hard"), "no relevant day": F.size("relevant_days") == 0, "day below 1": F.exists("relevant_days", lambda d: d < 1)}
-    reasons = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in problems.items())))
-    checked = rows.withColumn("reasons", reasons).withColumn("ok", F.size("reasons") == 0)
+def validated(rows: DataFrame, first_id: int, categories: tuple[str, ...], checkpoint: Column | int | None = None) -> DataFrame:
+    """New pairs(qa_id, question, answer, category, difficulty, relevant_days, query_session, forbidden_sessions,
+    expected_disclosure) with the reasons against each, and ids in order of qa_id for those without any.
+
+    What is missing or blank counts against a pair, as do unknown values, days below 1 and days past the
+    checkpoint. Texts are trimmed, days sorted, and unknown disclosures and empty sessions dropped; a pair
+    on an information boundary needs forbidden sessions, and is refused and asked by the principal unless
+    it says otherwise."""
+    boundary = C("category") == "information-boundary"
+    days = F.array_sort(F.filter("relevant_days", lambda d: d.isNotNull()))
+    clean = rows.withColumns(
+        {
+            "question": F.trim("question"), "answer": F.trim("answer"), "relevant_days": days,
+            "forbidden_sessions": F.filter("forbidden_sessions", lambda s: s.isNotNull() & (s != "")),
+            "query_session": F.when(C("query_session") != "", C("query_session")).when(boundary, "principal"),
+            "expected_disclosure": F.when(C("expected_disclosure").isin("refuse", "partial", "answer"), C("expected_disclosure")).when(boundary, "refuse"),
+        }
+    )
+    problems = {
+        "no question": C("question") == "", "no answer": C("answer") == "", "unknown category": ~C("category").isin(*categories), "unknown difficulty": ~C("difficulty").isin("easy", "medium", "hard"),
+        "no relevant day": F.size("relevant_days") < 1, "day past checkpoint": F.exists(F.coalesce("relevant_days", F.array().cast("array<int>")), lambda d: d > (F.lit(1 << 30) if checkpoint is None else checkpoint)),
+        "day below 1": F.exists(F.coalesce("relevant_days", F.array().cast("array<int>")), lambda d: d < 1), "no forbidden session": boundary & F.coalesce(F.size("forbidden_sessions") < 1, F.lit(True)),
+    }
+    reasons = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(name != "no forbidden session")), F.lit(name)) for name, test in problems.items())))
+    checked = clean.withColumn("reasons", reasons).withColumn("ok", F.size("reasons") == 0)
     numbers = numbered(checked.where("ok").select("qa_id"), "qa_id", "new_id")
     return checked.join(numbers.withColumn("new_id", C("new_id") + first_id), "qa_id", "left")
 
@@ -176,10 +196,11 @@ def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
 
 
 def quartile_drift(scored: DataFrame) -> DataFrame:
-    """Mean of the first and the last quarter of a persona's ranges, and their spread."""
+    """Mean of the first and the last quarter of a persona's ranges, and their least, middle and largest mean.
+    A persona's ranges are few, so the median is exact."""
     by_range = scored.groupBy("persona", "range_days").agg(F.avg("composite").alias("mean_score"))
     quarter = F.ntile(4).over(Window.partitionBy("persona").orderBy("range_days"))
-    return by_range.withColumn("quarter", quarter).groupBy("persona").agg(F.avg(F.when(C("quarter") == 1, C("mean_score"))).alias("first"), F.avg(F.when(C("quarter") == 4, C("mean_score"))).alias("last"), F.min("mean_score").alias("low"), F.max("mean_score").alias("high"))
+    return by_range.withColumn("quarter", quarter).groupBy("persona").agg(F.avg(F.when(C("quarter") == 1, C("mean_score"))).alias("first"), F.avg(F.when(C("quarter") == 4, C("mean_score"))).alias("last"), F.min("mean_score").alias("low"), F.median("mean_score").alias("middle"), F.max("mean_score").alias("high"))
 
 
 def calibration(verdicts: DataFrame) -> DataFrame:

@@ -115,14 +115,21 @@ def counts_by_type(notes: DataFrame) -> DataFrame:
     return notes.groupBy("content_type").agg(F.count("*").alias("n"))
 
 
-def patched(entries: DataFrame, patches: DataFrame, most: int = 20, budget: int = 4000) -> DataFrame:
+def patched(entries: DataFrame, patches: DataFrame, most: int = 20, budget: int = 4000, by: str | None = None) -> DataFrame:
     """entries(title, body, ord) after patches(title, op, body): removed, updated or added, then cut to
-    `most` entries and `budget` characters in order. Entries are few (most), so one window orders them."""
-    joined = entries.join(patches.select("title", "op", C("body").alias("new_body")), "title", "full_outer").where("op IS NULL OR op <> 'remove'")
-    joined = joined.select("title", F.coalesce("new_body", "body").alias("body"), F.coalesce("ord", F.lit(1 << 30)).alias("ord"))
-    first = joined.orderBy("ord", "title").limit(most)
-    so_far = F.sum(F.length("title") + F.length("body")).over(Window.orderBy("ord", "title"))
-    return first.withColumn("so_far", so_far).where(C("so_far") <= budget).select("title", "body")
+    `most` entries and `budget` characters in order. A patch keep_all leaves the entries as they are, whatever
+    else is asked. With `by`, a column of both, there is one list for each of its values."""
+    key = by or "_list"
+    if by is None:
+        entries, patches = (x.withColumn(key, F.lit(0)) for x in (entries, patches))
+    kept = patches.where("op = 'keep_all'").select(key).distinct()
+    asked = patches.where("op <> 'keep_all'").join(kept, key, "left_anti").select(key, "title", "op", C("body").alias("new_body"))
+    joined = entries.join(asked, [key, "title"], "full_outer").where("op IS NULL OR op <> 'remove'")
+    joined = joined.select(key, "title", F.coalesce("new_body", "body").alias("body"), F.coalesce("ord", F.lit(1 << 30)).alias("ord"))
+    order = Window.partitionBy(key).orderBy("ord", "title")
+    first = joined.withColumn("place", F.row_number().over(order)).where(C("place") <= most)
+    so_far = F.sum(F.length("title") + F.length("body")).over(order)
+    return first.withColumn("so_far", so_far).where(C("so_far") <= budget).select(*([by] if by else []), "title", "body")
 
 
 def applied_completions(work: DataFrame, completions: DataFrame) -> DataFrame:
@@ -130,6 +137,25 @@ def applied_completions(work: DataFrame, completions: DataFrame) -> DataFrame:
     return work.join(completions.where("error IS NULL AND text IS NOT NULL"), "period")
 
 
+#: What model output of a distillation holds. Sources are texts or objects with a uri: an object comes as its text.
+_DISTILLED = "wisdom string, {k} array<struct<slug: string, category: string, name: string, description: string, body: string, sources: array<string>, related: array<string>>>"
+
+
+def parsed_promotions(outputs: DataFrame) -> DataFrame:
+    """Promotions in model outputs(id, text), a JSON object that may stand in a code fence: id, pos, slug, category,
+    name (else the slug), description, body, sources (uris), related (valid slugs). An output that can't be
+    read, or says no wisdom, gives none."""
+    inner = F.regexp_replace(F.regexp_replace(F.trim("text"), r"\A```(?:json)?\s*\n", ""), r"\n```\s*\z", "")
+    read = outputs.select("id", *(F.from_json(inner, _DISTILLED.format(k=k)).alias(k) for k in ("wiki_promotions", "wikiPromotions")))
+    read = read.where(F.coalesce(F.trim("wiki_promotions.wisdom"), F.lit("")) != "")
+    each = read.select("id", F.posexplode(F.coalesce("wiki_promotions.wiki_promotions", "wikiPromotions.wikiPromotions")).alias("pos", "p"))
+    uri = lambda s: F.when(s.startswith("{"), F.get_json_object(s, "$.uri")).otherwise(s)
+    sources = F.filter(F.transform("p.sources", uri), lambda s: s.isNotNull() & (s != ""))
+    slug = F.trim("p.slug")
+    name = F.when(F.coalesce("p.name", F.lit("")) != "", C("p.name")).otherwise(slug)
+    return each.where("p IS NOT NULL").select("id", "pos", slug.alias("slug"), "p.category", name.alias("name"), F.coalesce("p.description", F.lit("")).alias("description"), "p.body", sources.alias("sources"), F.filter("p.related", text.valid_slug).alias("related"))
+
+
 def validated_promotions(rows: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     """Promotions(slug, category, body, sources) with what speaks against each."""
     problems = {"slug": ~text.valid_slug(C("slug")), "category": ~C("category").isin(*categories), "body": F.coalesce(F.trim("body"), F.lit("")) == "", "sources": F.size("sources") < 1}

@@ -454,16 +454,22 @@ A14 = sql(
 
 
 def a16_patched_wisdom(spark, sf):
-    """Entries of one list, patched by every op."""
-    entries = views.table(spark, sf, "nation").select(C("n_name").alias("title"), F.repeat(F.lit("word "), (C("n_nationkey") * 3).cast("int")).alias("body"), C("n_nationkey").alias("ord"))
-    k = C("n_nationkey")
-    patches = views.table(spark, sf, "nation").where("n_nationkey % 4 < 3").select(F.when(k % 4 == 2, F.concat(F.lit("New "), "n_name")).otherwise(C("n_name")).alias("title"), _pick(k % 4, "update", "remove", "add").alias("op"), F.when(k % 4 != 1, "changed").alias("body"))
-    return rollup.patched(entries, patches).select("title", F.length("body").cast("long").alias("n_chars"))
-
-
-A16 = """WITH e AS (SELECT n_name AS title, n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN 7 ELSE 5 * n_nationkey * 3 END AS n FROM nation WHERE n_nationkey % 4 <> 1), a AS (SELECT title, k AS ord, n FROM e UNION ALL SELECT 'New ' || n_name, 1073741824, 7 FROM nation WHERE n_nationkey % 4 = 2),
-  f AS (SELECT * FROM a ORDER BY ord, title LIMIT 20), s AS (SELECT *, sum(length(title) + n) OVER (ORDER BY ord, title ROWS UNBOUNDED PRECEDING) AS so_far FROM f)
-  SELECT title, CAST(n AS BIGINT) AS n_chars FROM s WHERE so_far <= 4000"""
+    """Lists of thirty parts, patched by every op; every fifth list is kept as it is."""
+    part = views.table(spark, sf, "part")
+    k, of = C("p_partkey"), F.floor(C("p_partkey") / 30).alias("list_id")
+    entries = part.select(of, C("p_name").alias("title"), F.repeat(F.lit("word "), (k % 30 * 3).cast("int")).alias("body"), k.cast("int").alias("ord")).groupBy("list_id", "title").agg(F.min_by("body", "ord").alias("body"), F.min("ord").alias("ord"))
+    patches = part.where("p_partkey % 4 < 3").select(of, F.when(k % 4 == 2, F.concat(F.lit("New "), k.cast("string"))).otherwise(C("p_name")).alias("title"), _pick(k % 4, "update", "remove", "add").alias("op"), F.when(k % 4 != 1, "changed").alias("body"))
+    first = patches.groupBy("list_id", "title").agg(F.min(F.struct("op", "body")).alias("x")).select("list_id", "title", "x.op", "x.body")
+    kept = part.where("p_partkey % 150 = 0").select(of, F.lit(None).cast("string").alias("title"), F.lit("keep_all").alias("op"), F.lit(None).cast("string").alias("body"))
+    return rollup.patched(entries, first.unionByName(kept), by="list_id").select("list_id", "title", F.length("body").cast("long").alias("n_chars"))
+
+
+A16 = """WITH e AS (SELECT p_partkey // 30 AS l, p_name AS title, min(p_partkey) AS k FROM part GROUP BY ALL),
+  r AS (SELECT p_partkey // 30 AS l, CASE WHEN p_partkey % 4 = 2 THEN 'New ' || p_partkey ELSE p_name END AS title, min(['update', 'remove', 'add'][p_partkey % 4 + 1]) AS op FROM part WHERE p_partkey % 4 < 3 GROUP BY ALL),
+  q AS (SELECT * FROM r WHERE l NOT IN (SELECT p_partkey // 30 FROM part WHERE p_partkey % 150 = 0)),
+  a AS (SELECT coalesce(e.l, q.l) AS l, coalesce(e.title, q.title) AS title, coalesce(e.k, 1073741824) AS ord, CASE WHEN q.op IS NOT NULL THEN 7 ELSE 5 * (e.k % 30) * 3 END AS n FROM e FULL JOIN q ON e.l = q.l AND e.title = q.title WHERE q.op IS NULL OR q.op <> 'remove'),
+  f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY l ORDER BY ord, title) <= 20), s AS (SELECT *, sum(length(title) + n) OVER (PARTITION BY l ORDER BY ord, title ROWS UNBOUNDED PRECEDING) AS so_far FROM f)
+  SELECT l AS list_id, title, CAST(n AS BIGINT) AS n_chars FROM s WHERE so_far <= 4000"""
 
 QUERIES = {f.__name__: f for f in (t11_passage_words, t13_named_signatures, t14_proper_nouns, t26_anchored_times, t28_link_offsets, t30_salvaged, t31_range_series, t32_wisdom_entries, t33_stub_bodies, e19_marked_cells, e21_recomputed, e24_audit, e25_revisions, e30_closed_schedule, e31_session_windows, e33_active_sessions, e34_directives, e34_correction_states, e38_merged_sessions, e39_resumed, g14_page_quality, g14_followed_hits, g15_answer_flags, g16_uncovered_promotions, g17_session_totals, g19_candidate_context, a7_own_or_aggregate, a8_parent_rows, a11_typed_memories, a12_wisdom_input, a14_expected_weeks, a16_patched_wisdom)}
 ORACLE_SQL = {"t11_passage_words": T11, "t13_named_signatures": T13, "t14_proper_nouns": T14, "t26_anchored_times": T26, "t28_link_offsets": T28, "t30_salvaged": T30, "t31_range_series": T31, "t32_wisdom_entries": T32, "t33_stub_bodies": T33, "e19_marked_cells": E19, "e21_recomputed": E21, "e24_audit": E24, "e25_revisions": E25, "e30_closed_schedule": E30, "e31_session_windows": E31, "e33_active_sessions": E33, "e34_directives": E34, "e34_correction_states": E34C, "e38_merged_sessions": E38, "e39_resumed": E39, "g14_page_quality": G14, "g14_followed_hits": G14F, "g15_answer_flags": G15, "g16_uncovered_promotions": G16, "g17_session_totals": G17, "g19_candidate_context": G19, "a7_own_or_aggregate": A7, "a8_parent_rows": A8, "a11_typed_memories": A11, "a12_wisdom_input": A12, "a14_expected_weeks": A14, "a16_patched_wisdom": A16}

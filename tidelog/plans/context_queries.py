@@ -97,11 +97,26 @@ A10 = sql("v_daily", f"SELECT {_WEEK} AS period, count(*) AS n_days, 'Summary of
 
 
 def a13_promotions(spark, sf):
-    rows = views.wiki(spark, sf).select(F.when(C("doc_id") % 7 == 0, F.upper("slug")).otherwise(C("slug")).alias("slug"), F.when(C("doc_id") % 5 == 0, "odd").otherwise(C("category")).alias("category"), F.when(C("doc_id") % 11 == 0, " ").otherwise(C("body")).alias("body"), "sources")
-    return rollup.validated_promotions(rows, views.WIKI_CATEGORIES).select("slug", F.array_join("problems", ",").alias("problems"))
-
-
-A13 = "SELECT CASE WHEN doc_id % 7 = 0 THEN 'DOC-' ELSE 'doc-' END || doc_id AS slug, concat_ws(',', CASE WHEN doc_id % 7 = 0 THEN 'slug' END, CASE WHEN doc_id % 5 = 0 THEN 'category' END, CASE WHEN doc_id % 11 = 0 THEN 'body' END) AS problems FROM documents"
+    """One model output for each page: every second one in a fence, every third with sources as objects, some
+    broken, some without wisdom or with the other spelling of the list."""
+    i = C("doc_id")
+    uris = lambda f: F.array_join(F.transform("sources", f), ",")
+    quoted = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
+    sources = F.when(i % 6 == 1, uris(lambda s: F.concat(F.lit('{"uri":"'), s, F.lit('","lines":3}')))).when(i % 6 == 4, '{"from":1},""').otherwise(uris(quoted))
+    field = lambda name, value: F.concat(F.lit(f'"{name}":'), quoted(value), F.lit(","))
+    slug = F.when(i % 7 == 0, F.upper("slug")).otherwise(F.concat(F.lit(" "), "slug", F.lit(" ")))
+    one = F.concat(F.lit("{"), field("slug", slug), F.when(i % 9 > 0, field("category", F.when(i % 5 == 0, "odd").otherwise(C("category")))).otherwise(""), field("body", F.when(i % 11 == 0, " ").otherwise("see")), F.when(i % 2 == 0, field("name", C("name"))).otherwise(""), F.lit('"related":["ok-1","Not"],"sources":['), sources, F.lit("]}"))
+    whole = F.concat(F.lit('{"wisdom":'), F.when(i % 17 == 0, '" "').otherwise('"w"'), F.when(i % 4 == 0, ',"wikiPromotions":[').otherwise(',"wiki_promotions":['), one, F.lit("]"), F.when(i % 19 == 0, "").otherwise("}"))
+    outputs = views.wiki(spark, sf).select(i.alias("id"), F.when(i % 2 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole).alias("text"))
+    found = rollup.validated_promotions(rollup.parsed_promotions(outputs), views.WIKI_CATEGORIES)
+    return found.select("id", "slug", "name", F.array_join("sources", ",").alias("sources"), F.array_join("related", ",").alias("related"), F.array_join("problems", ",").alias("problems"))
+
+
+A13 = sql(
+    "v_wiki",
+    """SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN upper(slug) ELSE slug END AS slug, CASE WHEN doc_id % 2 = 0 THEN name WHEN doc_id % 7 = 0 THEN upper(slug) ELSE slug END AS name, CASE WHEN doc_id % 6 = 4 THEN '' ELSE array_to_string(sources, ',') END AS sources, 'ok-1' AS related,
+      concat_ws(',', CASE WHEN doc_id % 7 = 0 THEN 'slug' END, CASE WHEN doc_id % 5 = 0 OR doc_id % 9 = 0 THEN 'category' END, CASE WHEN doc_id % 11 = 0 THEN 'body' END, CASE WHEN doc_id % 6 = 4 THEN 'sources' END) AS problems FROM v_wiki WHERE doc_id % 17 <> 0 AND doc_id % 19 <> 0""",
+)
 
 QUERIES = {f.__name__: f for f in (r13_catalog_boost, r17_recent_summaries, r21_second_stage, r27_timeline, r29_context, a10_completions, a13_promotions)}
 ORACLE_SQL = {"r13_catalog_boost": R13, "r17_recent_summaries": R17, "r21_second_stage": R21, "r27_timeline": R27, "r29_context": R29, "a10_completions": A10, "a13_promotions": A13}

@@ -229,14 +229,27 @@ E27 = sql("v_qa", "SELECT qa_id, CASE WHEN qa_id % 8 = 1 THEN 'rewritten' ELSE q
 
 
 def e28_validated(spark, sf):
-    rows = views.qa(spark, sf).withColumns({"difficulty": F.when(C("qa_id") % 7 == 0, "odd").otherwise(C("difficulty")), "relevant_days": F.when(C("qa_id") % 5 == 0, F.array().cast("array<int>")).when(C("qa_id") % 5 == 1, F.array(F.lit(0))).otherwise(C("relevant_days"))})
-    return evals.validated(rows, 1000).select("qa_id", F.array_join("reasons", ", ").alias("reasons"), C("new_id").cast("long").alias("new_id"))
+    i = C("qa_id")
+    boundary = i % 10 == 9
+    rows = views.qa(spark, sf).withColumns({
+        "answer": F.when(i % 13 == 0, " ").when(i % 13 == 6, None).otherwise(F.concat(F.lit(" answer "), i.cast("string"))),
+        "category": F.when(i % 11 == 0, "odd").otherwise(C("category")), "difficulty": F.when(i % 7 == 0, "odd").otherwise(C("difficulty")),
+        "relevant_days": F.when(i % 5 == 0, F.array().cast("array<int>")).when(i % 5 == 1, F.array(F.lit(9), F.lit(0))).otherwise(F.reverse("relevant_days")),
+        "query_session": F.when(i % 6 == 3, "s2").otherwise(""), "forbidden_sessions": F.when(i % 20 == 9, F.array(F.lit("s1"), F.lit(""))).when(boundary, F.array(F.lit(""))),
+        "expected_disclosure": F.when(i % 4 == 1, "odd").otherwise(C("expected_disclosure")),
+    })
+    found = evals.validated(rows, 1000, views.CATEGORIES, 500)
+    return found.select("qa_id", F.array_join("reasons", ", ").alias("reasons"), C("new_id").cast("long").alias("new_id"), "answer", F.array_join(F.transform("relevant_days", lambda d: d.cast("string")), ",").alias("days"), "query_session", F.array_join("forbidden_sessions", ",").alias("forbidden"), "expected_disclosure")
 
 
 E28 = sql(
     "v_qa",
-    """WITH r AS (SELECT qa_id, array_to_string(list_filter([CASE WHEN qa_id % 7 = 0 THEN 'unknown difficulty' END, CASE WHEN qa_id % 5 = 0 THEN 'no relevant day' END, CASE WHEN qa_id % 5 = 1 THEN 'day below 1' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM v_qa)
-    SELECT qa_id, reasons, CASE WHEN reasons = '' THEN 1000 + row_number() OVER (PARTITION BY reasons = '' ORDER BY qa_id) END AS new_id FROM r""",
+    """WITH q AS (SELECT qa_id, CASE WHEN qa_id % 13 IN (0, 6) THEN NULL ELSE 'answer ' || qa_id END AS good, CASE WHEN qa_id % 13 = 0 THEN '' WHEN qa_id % 13 = 6 THEN NULL ELSE 'answer ' || qa_id END AS answer, qa_id % 11 <> 0 AND qa_id % 10 = 9 AS boundary,
+      CASE qa_id % 5 WHEN 0 THEN [] WHEN 1 THEN [0, 9] ELSE list_sort(relevant_days) END AS days, expected_disclosure FROM v_qa),
+    r AS (SELECT *, array_to_string(list_filter([CASE WHEN good IS NULL THEN 'no answer' END, CASE WHEN qa_id % 11 = 0 THEN 'unknown category' END, CASE WHEN qa_id % 7 = 0 THEN 'unknown difficulty' END, CASE WHEN qa_id % 5 = 0 THEN 'no relevant day' END,
+      CASE WHEN list_max(days) > 500 THEN 'day past checkpoint' END, CASE WHEN qa_id % 5 = 1 THEN 'day below 1' END, CASE WHEN boundary AND qa_id % 20 <> 9 THEN 'no forbidden session' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM q)
+    SELECT qa_id, reasons, CASE WHEN reasons = '' THEN 1000 + row_number() OVER (PARTITION BY reasons = '' ORDER BY qa_id) END AS new_id, answer, array_to_string(days, ',') AS days, CASE WHEN qa_id % 6 = 3 THEN 's2' WHEN boundary THEN 'principal' END AS query_session,
+      CASE WHEN qa_id % 20 = 9 THEN 's1' WHEN qa_id % 10 = 9 THEN '' END AS forbidden, CASE WHEN qa_id % 4 <> 1 AND expected_disclosure IS NOT NULL THEN expected_disclosure WHEN boundary THEN 'refuse' END AS expected_disclosure FROM r""",
 )
 
 
@@ -301,10 +314,10 @@ E37 = sql(
 
 
 def e40_quartile_drift(spark, sf):
-    return _round(evals.quartile_drift(_final(spark, sf)), "first", "last", "low", "high")
+    return _round(evals.quartile_drift(_final(spark, sf)), "first", "last", "low", "middle", "high")
 
 
-E40 = sql("v_eval", f"WITH r AS (SELECT persona, range_days, avg(composite) AS s FROM {_FINAL} GROUP BY ALL), q AS (SELECT *, ntile(4) OVER (PARTITION BY persona ORDER BY range_days) AS quarter FROM r) SELECT persona, round(avg(CASE WHEN quarter = 1 THEN s END), 9) AS first, round(avg(CASE WHEN quarter = 4 THEN s END), 9) AS last, round(min(s), 9) AS low, round(max(s), 9) AS high FROM q GROUP BY persona")
+E40 = sql("v_eval", f"WITH r AS (SELECT persona, range_days, avg(composite) AS s FROM {_FINAL} GROUP BY ALL), q AS (SELECT *, ntile(4) OVER (PARTITION BY persona ORDER BY range_days) AS quarter FROM r) SELECT persona, round(avg(CASE WHEN quarter = 1 THEN s END), 9) AS first, round(avg(CASE WHEN quarter = 4 THEN s END), 9) AS last, round(min(s), 9) AS low, round(median(s), 9) AS middle, round(max(s), 9) AS high FROM q GROUP BY persona")
 
 
 def e42_calibration(spark, sf):

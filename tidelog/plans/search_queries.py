@@ -168,14 +168,15 @@ R25 = sql("v_edges", f"WITH {_IDX} SELECT query_id, uri, round(score, 6) AS scor
 
 
 def _chunk_hits(spark, sf):
-    """Chunks of the events' hits: three chunks of each note, with lines and whole texts."""
+    """Chunks of the events' hits: the three thirds of each note, with lines and whole texts."""
     h = views.hits(spark, sf).groupBy(C("query").alias("query_id"), "uri", C("j").alias("chunk_id")).agg(F.max("score").alias("score"))
     texts = views.daily(spark, sf).select("uri", "text")
-    line = C("chunk_id") * 10 + 1
-    return h.join(texts, "uri").select("query_id", "uri", "chunk_id", "score", line.alias("first_line"), (line + 9).alias("last_line"), F.concat(F.substring("text", 1, 40), C("chunk_id").cast("string")).alias("text"))
+    line, size = C("chunk_id") * 10 + 1, F.ceil(F.length("text") / 3).cast("int")
+    third = F.substr("text", C("chunk_id") * size + 1, size)
+    return h.join(texts, "uri").select("query_id", "uri", "chunk_id", "score", line.alias("first_line"), (line + 9).alias("last_line"), third.alias("text"))
 
 
-_CHUNKS = "ch AS (SELECT query AS query_id, uri, j AS chunk_id, max(score) AS score, any_value(substr(text, 1, 40)) || j AS text FROM v_hits JOIN v_daily USING (uri) GROUP BY query, uri, j)"
+_CHUNKS = "ch AS (SELECT query AS query_id, uri, j AS chunk_id, max(score) AS score, any_value(substr(text, CAST(j * ceil(length(text) / 3) + 1 AS BIGINT), CAST(ceil(length(text) / 3) AS BIGINT))) AS text FROM v_hits JOIN v_daily USING (uri) GROUP BY query, uri, j)"
 
 
 def r5_document_hits(spark, sf):
@@ -269,7 +270,8 @@ R23 = sql(
 
 def r28_day_rollup(spark, sf):
     hits = views.hits(spark, sf).select(C("query").alias("query_id"), F.regexp_extract("uri", r"\d{4}-\d{2}-\d{2}", 0).alias("day"), "uri", "score", "event_id")
-    chunks = hits.join(views.daily(spark, sf).select("uri", "text"), "uri").select("query_id", "day", F.concat("uri", F.lit("#"), (C("event_id") % 40).cast("string")).alias("uri"), "score", F.concat((C("event_id") % 40 % 30).cast("string"), F.lit(" "), "text").alias("text"))
+    begins = views.daily(spark, sf).select("uri", F.substring("text", 1, 120).alias("text"))
+    chunks = hits.join(begins, "uri").select("query_id", "day", F.concat("uri", F.lit("#"), (C("event_id") % 40).cast("string")).alias("uri"), "score", F.concat((C("event_id") % 40 % 30).cast("string"), F.lit(" "), "text").alias("text"))
     return retrieval.day_rollup(hits, chunks).select("query_id", "day", "uri", F.round("score", 9).alias("score"))
 
 
