@@ -11,13 +11,13 @@ cover all of it, and the parts' values are averaged by their lengths: of a text
 the larger one wins.
 
 Bounds (the only sampling; every text is scored whole): LABELLED texts a language, fewer where there
-are so many languages that MOST_LABELLED would be passed, taken in the order of a hash of the id; of a
+are so many languages that MOST_LABELLED would be passed, taken in the order of a hash of id and text; of a
 longer text the first LONGEST_LABELLED characters train; LANDMARKS texts a language are landmarks. All
 letters of the sample are letters of the model; letters that it doesn't have count as one.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is everything
 when nothing is labelled; rows are independent, so repeated rows and null ids are carried through
-(a null id isn't held out); a very long text is scored part by part; of equal scores the language that
+(a null id isn't held out, and trains nothing); a very long text is scored part by part; of equal scores the language that
 comes first by name wins; columns beside doc_id, text and lang are not read; an empty table gives no rows.
 """
 
@@ -50,7 +50,12 @@ UNKNOWN = "und"
 #: Parts in one matrix product.
 ROWS = 256
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LIKELY = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter; characters like `½` or `Ⅷ` are numbers, which the pattern also finds."""
+    return any(m[0].isalpha() for m in _LIKELY.finditer(text))
 
 
 def parts(text: str) -> list[str]:
@@ -65,7 +70,7 @@ class KernelModel:
 
     def __init__(self, texts: list[str], langs: list[str]):
         self.langs = sorted(set(langs))
-        cut = [(p, lang) for t, lang in zip(texts, langs) for p in parts(t) if _LETTER.search(p)]
+        cut = [(p, lang) for t, lang in zip(texts, langs) for p in parts(t) if has_letter(p)]
         texts, langs = [p for p, _ in cut], [lang for _, lang in cut]
         letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
         # Symbol 0 is a border (anything but a letter), 1 any other letter.
@@ -154,26 +159,28 @@ class KernelModel:
 
 
 def labelled_sample(docs: DataFrame, trained_on: Column, most: int = LABELLED) -> list[tuple[str, str]]:
-    """(text, lang) of at most `most` texts a language, in the order of a hash of the id."""
-    labelled = docs.where(trained_on & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = labelled.withColumn("text", F.substring("text", 1, LONGEST_LABELLED)).where(F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in docs.where(trained_on & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """(text, lang) of at most `most` different rows a language, in the order of a hash of id and text. Rows
+    without an id are none of them. Only hashes of about three times as many rows and the texts taken come to
+    the driver, whatever repeats in the ids or the texts."""
+    labelled = docs.where(trained_on & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    place = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    rows = labelled.where(F.col("text").rlike(r"\p{L}")).select("lang", place.alias("place"), F.substring("text", 1, LONGEST_LABELLED).alias("text"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).collect()}
     if not counts:
         return []
     most = max(1, min(most, MOST_LABELLED // len(counts)))
-    place = F.xxhash64(F.col("doc_id").cast("string"))
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 3 * most / n))).otherwise(share)
-    few = rows.where(F.pmod(place, F.lit(1_000_000)) < share * 1_000_000)
-    found = sorted(few.select(F.pmod(place, F.lit(1_000_000)).alias("part"), place.alias("place"), "text", "lang").collect())
-    taken: Counter = Counter()
-    out = []
-    for r in found:
-        taken[r.lang] += 1
-        if taken[r.lang] <= most:
-            out.append((r.text, r.lang))
-    return out
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 3 * most / max(1, n)))).otherwise(share)
+    part = F.pmod("place", F.lit(1_000_000))
+    few = rows.where(part < share * 1_000_000)
+    taken: dict[str, list[int]] = {}
+    for r in sorted(few.select("lang", part.alias("part"), "place").distinct().collect()):
+        if len(own := taken.setdefault(r.lang, [])) < most:
+            own.append(r.place)
+    chosen = docs.sparkSession.createDataFrame([(lang, p) for lang, own in taken.items() for p in own], "lang string, place long")
+    found = few.join(F.broadcast(chosen), ["lang", "place"], "left_semi").groupBy("lang", "place").agg(F.any_value("text").alias("text")).collect()
+    return [(r.text, r.lang) for r in sorted(found, key=lambda r: (r.place % 1_000_000, r.place, r.lang))]
 
 
 def languages(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
@@ -186,7 +193,7 @@ def languages(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
         for batch in text_blocks(batches):
             texts = batch.column("text").to_pylist()
             lang, value = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            told = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+            told = [k for k, t in enumerate(texts) if t and has_letter(t)] if model else []
             if told:
                 best, value[told] = model.predict([texts[k] for k in told])
                 for k, b in zip(told, best):
@@ -200,5 +207,5 @@ def languages(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold() == 0, F.lit(False))
-    found = languages(docs, labelled_sample(docs, ~held_out))
+    found = languages(docs, labelled_sample(docs, fold() != 0))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
