@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidelog.functions.scan import matches, pattern
 from tidelog.functions.text import ascii_bounds
+from tidelog.sources.scratch import spread
 
 _MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 
@@ -172,7 +173,7 @@ def temporal_references(queries: DataFrame, now: Column) -> DataFrame:
     months_named = _MONTHS_SHORT
     anchors = [months_named, ("-",), months_named, ("-",), ("q",), ("q",), ("in", "from", "during"), ("20",), ("yesterday",), ("last",), ("ago",), ("last",), ("ago",), ("last",), ("this",), ("this",)]
     scan = matches([pattern(p, *a) for (p, _, _), a in zip(rules, anchors)], once)
-    each = queries.select("query_id", F.explode(scan(q)).alias("x")).select("query_id", F.col("x.k").alias("pattern_no"), F.col("x.pos").alias("pos"), F.col("x.m").alias("m"))
+    each = spread(queries.select("query_id", "text")).select("query_id", F.explode(scan(q)).alias("x")).select("query_id", F.col("x.k").alias("pattern_no"), F.col("x.pos").alias("pos"), F.col("x.m").alias("m"))
     date, level = F.lit(None).cast("date"), F.lit(None).cast("int")
     for k, (_, value, specificity) in enumerate(rules):
         date, level = F.when(F.col("pattern_no") == k, value).otherwise(date), F.when(F.col("pattern_no") == k, specificity).otherwise(level)

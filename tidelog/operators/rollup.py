@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions import dates, text
+from tidelog.sources.scratch import spread
 from tidelog.sources import memory
 
 C = F.col
@@ -36,7 +37,7 @@ def combined_text(notes: DataFrame, parent: Column, separator: str = "\n\n---\n\
 
 def salience(notes: DataFrame, parent: Column) -> DataFrame:
     """Weights of each parent's children, which sum to 1: parent, uri, weight."""
-    counted = notes.select(parent.alias("parent"), "uri", text.token_estimate(C("text")).alias("tokens"), F.size(text.entities(C("text"))).alias("entities"), text.decision_markers(C("text")).alias("decisions"))
+    counted = spread(notes.select(parent.alias("parent"), "uri", "text")).select("parent", "uri", text.token_estimate(C("text")).alias("tokens"), F.size(text.entities(C("text"))).alias("entities"), text.decision_markers(C("text")).alias("decisions"))
     of_parent = Window.partitionBy("parent")
 
     def share(column: str) -> Column:

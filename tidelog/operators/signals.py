@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions import text
+from tidelog.sources.scratch import spread
 from tidelog.sources.scratch import settled
 
 C = F.col
@@ -43,7 +44,7 @@ def gaps(log: DataFrame, below: float = 0.3, least: int = 2) -> DataFrame:
 
 def recurring_entities(notes: DataFrame, covered: DataFrame, least_days: int = 3) -> DataFrame:
     """Entities of at least so many days that covered(entity) does not hold: entity, n_days, score."""
-    each = notes.select("mem_date", F.explode(text.light_entities(C("text"))).alias("entity"))
+    each = spread(notes.select("mem_date", "text")).select("mem_date", F.explode(text.light_entities(C("text"))).alias("entity"))
     days = each.groupBy("entity").agg(F.countDistinct("mem_date").alias("n_days")).where(C("n_days") >= least_days)
     return days.join(covered, "entity", "left_anti").withColumn("score", F.least(F.lit(1.0), C("n_days") / (3.0 * least_days)))
 

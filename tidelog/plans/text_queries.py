@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import dates, text
 from tidelog.sources import views
+from tidelog.sources.scratch import spread
 from tidelog.sources.views import sql
 
 C = F.col
@@ -65,7 +66,7 @@ T6 = sql(
 
 
 def t7_light_entities(spark, sf) -> DataFrame:
-    return views.daily(spark, sf).select("doc_id", F.explode(text.light_entities(C("text"))).alias("entity"))
+    return spread(views.daily(spark, sf).select("doc_id", "text")).select("doc_id", F.explode(text.light_entities(C("text"))).alias("entity"))
 
 
 _LIGHT = r"list_concat(list_concat(regexp_extract_all(text, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b'), regexp_extract_all(text, '\b[a-z][a-z0-9]*(?:-[a-z0-9]+){2,}\b')), {more})"
@@ -73,7 +74,7 @@ T7 = sql("v_daily", "SELECT DISTINCT doc_id, lower(unnest(" + _LIGHT.replace("{m
 
 
 def t8_entity_count(spark, sf) -> DataFrame:
-    return views.daily(spark, sf).select("doc_id", F.size(text.entities(C("text"))).cast("long").alias("n_entities"))
+    return spread(views.daily(spark, sf).select("doc_id", "text")).select("doc_id", F.size(text.entities(C("text"))).cast("long").alias("n_entities"))
 
 
 _MORE = r"list_concat(list_filter(regexp_extract_all(text, '\b[A-Z][A-Z_]{2,}\b'), lambda x: length(x) >= 4), list_concat(regexp_extract_all(text, '(?i)\bHTTP\s+[45]\d\d\b'), regexp_extract_all(text, '(?i)\b(?:#|ticket\s*[#:]?)\s*\d{2,}\b')))"
@@ -82,7 +83,7 @@ T8 = sql("v_daily", f"SELECT doc_id, CAST(len({_ENTITIES}) AS BIGINT) AS n_entit
 
 
 def t9_decision_markers(spark, sf) -> DataFrame:
-    return views.daily(spark, sf).select("doc_id", text.decision_markers(C("text")).alias("n_decisions"))
+    return spread(views.daily(spark, sf).select("doc_id", "text")).select("doc_id", text.decision_markers(C("text")).alias("n_decisions"))
 
 
 _DECISIONS = " + ".join(f"len(regexp_extract_all(text, '(?i){p}'))" for p in _alternatives(text.DECISION_MARKERS))
@@ -90,7 +91,7 @@ T9 = sql("v_daily", f"SELECT doc_id, CAST({_DECISIONS} AS BIGINT) AS n_decisions
 
 
 def t10_supersession_markers(spark, sf) -> DataFrame:
-    return views.daily(spark, sf).select("doc_id", text.supersession_markers(C("text")).alias("n_markers"))
+    return spread(views.daily(spark, sf).select("doc_id", "text")).select("doc_id", text.supersession_markers(C("text")).alias("n_markers"))
 
 
 _SUPERSESSIONS = " + ".join(f"CAST(regexp_matches(text, '(?i){p}') AS INT)" for p in _alternatives(text.SUPERSESSION_MARKERS))

@@ -26,3 +26,10 @@ def settled(df: DataFrame) -> DataFrame:
     where = scratch(df.sparkSession)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores when its scan has fewer splits than there are cores, as with a small
+    file of one row group; a larger table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
