@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidelog.sources import memory, views
 from tidelog.sources.scratch import scratch
+from tidelog.sources.versions import VersionedTable
 from tidelog.sources.views import sql
 from tidelog.streaming import jobs
 
@@ -287,25 +288,26 @@ X5 = sql("v_hits", "WITH w AS (SELECT CAST(ts AS DATE) - CAST(k AS INT) AS start
 
 
 def x1_watched_notes(spark, sf):
-    """Notes that come as files in two turns; each batch is upserted, and changed notes come again."""
+    """Notes that come as files in two turns; each batch is written twice as after a failure, and changed
+    notes come again. The second turn finds the state from its folder."""
     folder = scratch(spark)
-    d, state = views.daily(spark, sf).select("uri", "text"), {}
+    d = views.daily(spark, sf).select("uri", "text")
+
+    def notes():
+        return VersionedTable(spark, f"{folder}/notes", "uri string, text string, modified timestamp", "uri", "modified")
 
     def upsert(batch, batch_id):
         own = batch.select(F.regexp_extract("text", r"\A([^\n]*)\n", 1).alias("uri"), F.regexp_replace("text", r"\A[^\n]*\n", "").alias("text"), "modified")
-        newest = own.groupBy("uri").agg(F.max_by("text", "modified").alias("text"))
-        if "path" in state:
-            newest = memory.upserted(spark.read.parquet(state["path"]), newest)
-        path = f"{folder}/state-{batch_id}"
-        newest.write.mode("overwrite").parquet(path)
-        state["path"] = path
+        for _ in range(2):
+            notes().write(own, batch_id)
 
     changed = d.where(F.md5("uri") < "4").withColumn("text", F.concat("text", F.lit(" again")))
     for turn in (d, changed):
         # One file a note, as a folder of notes has; the first line is the note's name.
         turn.select(F.concat("uri", F.lit("\n"), "text").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(f"{folder}/in")
         jobs.watched_notes(spark, f"{folder}/in", upsert, f"{folder}/checkpoint", once=True).awaitTermination()
-    return spark.read.parquet(state["path"]).select("uri", F.sha2(F.btrim("text", F.lit("\n")), 256).alias("text_sha256"))
+    notes().compact()
+    return notes().read().select("uri", F.sha2(F.btrim("text", F.lit("\n")), 256).alias("text_sha256"))
 
 
 X1 = sql("v_daily", "SELECT uri, sha256(trim(text || CASE WHEN md5(uri) < '4' THEN ' again' ELSE '' END, chr(10))) AS text_sha256 FROM v_daily")
