@@ -312,11 +312,11 @@ def test_hooks_take_models(spark):
     texts = spark.createDataFrame([(1, "one two"), (2, ""), (3, None)], "uri int, text string")
     found = {r.uri: r.vector for r in retrieval.embedded(texts).collect()}
     assert sum(x * x for x in found[1]) == pytest.approx(1) and set(found[2]) == set(found[3]) == {0.0} and len(found[1]) == 64
-    own = {r.uri: r.vector for r in retrieval.embedded(texts.where("text is not null"), model=lambda t: t.map(lambda x: [float(len(x))])).collect()}
+    own = {r.uri: r.vector for r in retrieval.embedded(texts.where("text is not null"), load=lambda: lambda t: t.map(lambda x: [float(len(x))])).collect()}
     assert own == {1: [7.0], 2: [0.0]}
     pairs = spark.createDataFrame([(1, 1, "a b", "b c"), (1, 2, "", "x")], "query_id int, uri int, query string, text string")
     assert sorted(r.new_score for r in retrieval.overlap_scores(pairs).collect()) == [0.0, 0.5]
-    assert sorted(r.new_score for r in retrieval.model_scores(pairs, lambda q, t: (q.str.len() + t.str.len()) * 1.0).collect()) == [1.0, 6.0]
+    assert sorted(r.new_score for r in retrieval.model_scores(pairs, lambda: lambda q, t: (q.str.len() + t.str.len()) * 1.0).collect()) == [1.0, 6.0]
 
 
 @pytest.mark.parametrize(
@@ -350,3 +350,33 @@ def test_search_modes(spark):
     assert uris("hierarchical") == ["n1", "p1", "w#summary", "n3", "n2"] and uris("pages") == ["p1"] and uris("flat") == ["n1", "n2"] and "p1" not in uris("no_pages")
     with pytest.raises(ValueError):
         retrieval.search(queries, index, pointers, "other")
+
+
+def test_models_load_once_a_task(spark, tmp_path):
+    texts = spark.range(0, 400, 1, 3).selectExpr("id AS uri", "repeat('x', int(id % 5)) AS text", "id AS query_id", "'q' AS query")
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return lambda *columns: columns[-1].str.len() * 1.0
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    assert retrieval.model_scores(texts, load).count() == 400
+    total = retrieval.model_scores(texts, load).agg(F.sum("new_score")).first()[0]
+    vectors = retrieval.embedded(texts, load=lambda: lambda t, one=load(): one(t).map(lambda x: [x])).agg(F.sum(F.col("vector")[0])).first()[0]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert total == vectors == 800.0
+    # Three tasks for each of the runs, whatever the number of batches; a count needs no model.
+    assert len(list(tmp_path.iterdir())) in (6, 7)
+
+
+def test_points_within_ranges_of_all_lengths(spark):
+    rng = random.Random(8)
+    ranges = [(k, s, s + rng.choice([0, 0, 1, 3, 30, 1000, -1])) for k, s in enumerate(rng.choices(range(-40, 400), k=60))] + [(99, None, 5)]
+    points = [(p,) for p in rng.sample(range(-50, 1500), 80)]
+    found = evals.within(spark.createDataFrame(points, "p int"), spark.createDataFrame(ranges, "k int, a int, b int"), "p", "a", "b").collect()
+    assert sorted((r.p, r.k) for r in found) == sorted((p, k) for (p,) in points for k, a, b in ranges if a is not None and a <= p <= b)
+    assert evals.within(spark.createDataFrame(points, "p int"), spark.createDataFrame([], "k int, a int, b int"), "p", "a", "b").count() == 0

@@ -216,14 +216,28 @@ def calibration(verdicts: DataFrame) -> DataFrame:
 # --- schedules
 
 
+def within(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str) -> DataFrame:
+    """Each row of points with each of ranges whose start … end (whole numbers) holds its point.
+
+    A range goes into buckets about as wide as itself, two at most, and a point into one bucket of each
+    width that a range has: widths are powers of two, so these are few. Rows that are shuffled are twice
+    the ranges and the points by widths, however long ranges are; ranges that end before they start, or have
+    no border, hold nothing."""
+    level = F.ceil(F.log2(C(end) - C(start) + 1)).cast("int")
+    sized = ranges.where(C(start) <= C(end)).withColumn("_level", level)
+    levels = [r[0] for r in sized.select("_level").distinct().collect()]
+    at = lambda x: F.floor(x / F.pow(F.lit(2.0), C("_level")))
+    left = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bucket", at(C(point)))
+    right = sized.withColumn("_bucket", F.explode(F.sequence(at(C(start)), at(C(end)))))
+    return left.join(right, ["_level", "_bucket"]).where((C(start) <= C(point)) & (C(point) <= C(end))).drop("_level", "_bucket")
+
+
 def active_arcs(days: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(day_number, arc) of every day of each arc, with its place and phase. Arcs unfold to their days,
-    so this is an equi-join, however many arcs and days there are."""
-    each = arcs.select("*", F.explode(F.sequence("start_day", "end_day")).alias("day_number"))
+    """(day_number, arc) of every day of each arc, with its place and phase."""
     place, length = C("day_number") - C("start_day") + 1, C("end_day") - C("start_day") + 1
     share = place / length
     phase = F.when(share < 0.15, "early").when(share <= 0.75, "mid").when(share <= 0.90, "late").otherwise("concluding")
-    return days.join(each, "day_number").withColumns({"day_in_arc": place, "phase": phase})
+    return within(days, arcs, "day_number", "start_day", "end_day").withColumns({"day_in_arc": place, "phase": phase})
 
 
 def density(days: DataFrame, active: DataFrame) -> DataFrame:

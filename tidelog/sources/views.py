@@ -96,11 +96,11 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Story arcs from parts: arc_id, type, start_day, end_day, pinned_day."""
-    k, n = F.col("p_partkey"), F.col("p_size")
+    """Story arcs from parts: arc_id, type, start_day, end_day, pinned_day. Every hundredth is long."""
+    k, size = F.col("p_partkey"), F.col("p_size")
     # Some three arcs run on two days, at any scale.
-    start = k * 17 + 1
-    return table(spark, sf_dir, "part").select(k.cast("long").alias("arc_id"), F.when(n % 9 == 0, "incident").otherwise("project").alias("type"), start.cast("int").alias("start_day"), (start + n).cast("int").alias("end_day"), (start + F.floor(n / 2)).cast("int").alias("pinned_day"))
+    start, n = k * 17 + 1, size * F.when(k % 100 == 0, 40).otherwise(1)
+    return table(spark, sf_dir, "part").select(k.cast("long").alias("arc_id"), F.when(size % 9 == 0, "incident").otherwise("project").alias("type"), start.cast("int").alias("start_day"), (start + n).cast("int").alias("end_day"), (start + F.floor(n / 2)).cast("int").alias("pinned_day"))
 
 
 def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ SQL = {
       (qa_id * 7 + range_days) % 4 AS correctness, (qa_id + range_days) % 3 AS completeness, CASE WHEN (qa_id * range_days) % 11 = 0 THEN 0 ELSE 1 END AS hallucination,
       CASE WHEN qa_id % 5 = 0 THEN (qa_id + range_days) % 4 END AS app_correctness, CASE WHEN qa_id % 5 = 0 THEN (qa_id * 3 + range_days) % 3 END AS app_completeness, CASE WHEN qa_id % 5 = 0 THEN (qa_id + 1) % 2 END AS app_hallucination,
       (qa_id * 37 + range_days * 11) % 5000 AS latency_ms FROM v_qa, v_ranges""",
-    "v_arcs": "SELECT p_partkey AS arc_id, CASE WHEN p_size % 9 = 0 THEN 'incident' ELSE 'project' END AS type, p_partkey * 17 + 1 AS start_day, p_partkey * 17 + 1 + p_size AS end_day, p_partkey * 17 + 1 + p_size // 2 AS pinned_day FROM part",
+    "v_arcs": "SELECT p_partkey AS arc_id, CASE WHEN p_size % 9 = 0 THEN 'incident' ELSE 'project' END AS type, p_partkey * 17 + 1 AS start_day, p_partkey * 17 + 1 + n AS end_day, p_partkey * 17 + 1 + n // 2 AS pinned_day FROM (SELECT *, p_size * CASE WHEN p_partkey % 100 = 0 THEN 40 ELSE 1 END AS n FROM part)",
     "v_wiki": f"""SELECT doc_id, 'doc-' || doc_id AS slug, 'Doc ' || doc_id AS name, {_list(WIKI_CATEGORIES)}[doc_id % 5 + 1] AS category,
       list_transform(range(0, doc_id % 5 + 1), lambda k: 'memory/' || CAST(DATE '2024-01-01' + CAST(doc_id + k AS INT) AS VARCHAR) || '.md') AS sources,
       CASE WHEN doc_id % 29 = 0 AND doc_id > 0 THEN 'doc-' || (doc_id - 1) END AS redirect_to, CASE doc_id % 31 WHEN 0 THEN 'doc-' || (doc_id + 1) WHEN 1 THEN 'doc-' || (doc_id - 1) END AS contradicts,
