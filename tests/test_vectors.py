@@ -48,3 +48,12 @@ def test_odd_rows(spark):
     queries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0])], "query_id string, vector array<double>")
     assert sorted((r.query_id, r.uri, r.score) for r in vectors.vector_index(corpus, probes=9).search(queries, 2).collect()) == [("a", 1, 1.0), ("a", 5, 0.5)]
     assert vectors.vector_index(corpus.where("false")).search(queries, 2).count() == 0
+
+
+def test_recall_on_the_given_vectors(spark):
+    from tidelog.plans import rollup_queries, search_queries
+
+    folder = "/root/testdata/sf0.01"
+    wanted = {(r.query_id, r.uri) for r in rollup_queries.r1_nearest(spark, folder).collect()}
+    found = {(r.query_id, r.uri) for r in search_queries.r1_approximate(spark, folder).collect()}
+    assert len(found & wanted) >= 0.9 * len(wanted)

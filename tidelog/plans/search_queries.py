@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.functions import dates, text
-from tidelog.operators import retrieval
+from tidelog.operators import retrieval, vectors
 from tidelog.plans.rollup_queries import _BM25, _PARENT, _keyword_sql, _parents, _text_queries, _texts
 from tidelog.plans.text_queries import _WEEK, BEST_REFERENCE, CUES, DECOMPOSED, NOW, dated_texts, joined_questions
 from tidelog.sources import views
@@ -67,6 +67,13 @@ def r9_branches(spark, sf):
 R9 = sql("v_edges", f"WITH {_IDX} SELECT branch, query_id, uri, round(score, 6) AS score FROM bh")
 
 
+def r1_approximate(spark, sf):
+    """The ten nearest of all vectors by the inverted file, which is tuned against the exact search. No SQL can
+    say which of the hits it finds; the tests measure its recall."""
+    e = views.edges(spark, sf).select(C("vec_id").alias("uri"), C("embedding").alias("vector"))
+    return vectors.approximate(_queries(spark, sf), e, 10).select("query_id", "uri", F.round("score", 6).alias("score"))
+
+
 def r10_parent_scores(spark, sf):
     found = retrieval.branches(_queries(spark, sf), _index(spark, sf)).where("branch = 'parents'")
     return retrieval.parent_scores(found).select("query_id", "parent", F.round("score", 6).alias("score"))
@@ -331,5 +338,5 @@ U2 = (
   SELECT query_id, uri, row_number() OVER (PARTITION BY query_id ORDER BY rank > 5, CASE WHEN rank <= 5 THEN -s END, rank) AS place FROM n"""
 )
 
-QUERIES = {f.__name__: f for f in (r4_metadata_filter, r5_document_hits, r6_best_chunks, r8_without_redirects, r9_branches, r10_parent_scores, r11_two_levels, r16_search, r20_fusion, r23_page_headers, r24_without_pages, r24_flat, r24_pages_only, r25_partitioned, r28_day_rollup, r30_preambles, r31_sub_queries, u1_embeddings, u2_reranker)}
+QUERIES = {f.__name__: f for f in (r1_approximate, r4_metadata_filter, r5_document_hits, r6_best_chunks, r8_without_redirects, r9_branches, r10_parent_scores, r11_two_levels, r16_search, r20_fusion, r23_page_headers, r24_without_pages, r24_flat, r24_pages_only, r25_partitioned, r28_day_rollup, r30_preambles, r31_sub_queries, u1_embeddings, u2_reranker)}
 ORACLE_SQL = {"r4_metadata_filter": R4, "r5_document_hits": R5, "r6_best_chunks": R6, "r8_without_redirects": R8, "r9_branches": R9, "r10_parent_scores": R10, "r11_two_levels": R11, "r16_search": R16, "r20_fusion": R20, "r23_page_headers": R23, "r24_without_pages": R24N, "r24_flat": R24F, "r24_pages_only": R24P, "r25_partitioned": R25, "r28_day_rollup": R28, "r30_preambles": R30, "r31_sub_queries": R31, "u1_embeddings": U1, "u2_reranker": U2}

@@ -281,10 +281,10 @@ def x5_rolling_hits(spark, sf):
     jobs.rolling_hits(stream, f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
     ahead.write.mode("append").parquet(f"{folder}/in")
     jobs.rolling_hits(stream, f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
-    return spark.read.schema("start timestamp, end timestamp, uri string, n_hits long, n_queries long").parquet(f"{folder}/out").select(C("start").cast("date").cast("string").alias("start"), "uri", "n_hits")
+    return spark.read.schema("start timestamp, end timestamp, uri string, n_hits long, n_queries long").parquet(f"{folder}/out").select(C("start").cast("date").cast("string").alias("start"), "uri", "n_hits", "n_queries")
 
 
-X5 = sql("v_hits", "WITH w AS (SELECT CAST(ts AS DATE) - CAST(k AS INT) AS start, uri FROM v_hits, (SELECT unnest(range(0, 30)) AS k)) SELECT CAST(start AS VARCHAR) AS start, uri, count(*) AS n_hits FROM w GROUP BY ALL")
+X5 = sql("v_hits", "WITH w AS (SELECT CAST(ts AS DATE) - CAST(k AS INT) AS start, uri, query FROM v_hits, (SELECT unnest(range(0, 30)) AS k)) SELECT CAST(start AS VARCHAR) AS start, uri, count(*) AS n_hits, count(DISTINCT query) AS n_queries FROM w GROUP BY ALL")
 
 
 def x1_watched_notes(spark, sf):

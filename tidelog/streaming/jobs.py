@@ -33,10 +33,16 @@ def captured_log(log: DataFrame, folder: str, checkpoint: str, once: bool = Fals
 
 
 def rolling_hits(hits: DataFrame, folder: str, checkpoint: str, days: int = 30, late: str = "1 day", once: bool = False) -> StreamingQuery:
-    """Hits and different queries (approximate, as exact ones can't be merged) of each uri in windows of
-    `days` days that move by one day. Rows later than `late` are dropped."""
-    windows = hits.withWatermark("ts", late).groupBy(F.window("ts", f"{days} days", "1 day"), "uri").agg(F.count("*").alias("n_hits"), F.approx_count_distinct("query").alias("n_queries"))
-    rows = windows.select(C("window.start").alias("start"), C("window.end").alias("end"), "uri", "n_hits", "n_queries")
+    """Hits and different queries of each uri in windows of `days` days that move by one day. Rows later than
+    `late` are dropped.
+
+    Both numbers are exact. Hits are first counted by day, uri and query; only these counts, one for
+    each query of a day however often it hit, are copied to the windows that the day is in, where each
+    query is put together and then counted."""
+    by_day = hits.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("day"), "uri", "query").agg(F.count("*").alias("n"))
+    by_query = by_day.groupBy(F.window("day", f"{days} days", "1 day").alias("window"), "uri", "query").agg(F.sum("n").alias("n"))
+    by_uri = by_query.groupBy("window", "uri").agg(F.sum("n").alias("n_hits"), F.count("*").alias("n_queries"))
+    rows = by_uri.select(C("window.start").alias("start"), C("window.end").alias("end"), "uri", "n_hits", "n_queries")
     return _trigger(rows.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint), once, "1 minute").start()
 
 
