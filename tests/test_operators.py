@@ -380,3 +380,15 @@ def test_points_within_ranges_of_all_lengths(spark):
     found = evals.within(spark.createDataFrame(points, "p int"), spark.createDataFrame(ranges, "k int, a int, b int"), "p", "a", "b").collect()
     assert sorted((r.p, r.k) for r in found) == sorted((p, k) for (p,) in points for k, a, b in ranges if a is not None and a <= p <= b)
     assert evals.within(spark.createDataFrame(points, "p int"), spark.createDataFrame([], "k int, a int, b int"), "p", "a", "b").count() == 0
+
+
+def test_settled_tables_are_forgotten(spark):
+    import os
+
+    from tidelog.sources import scratch
+
+    scratch.forget(spark)
+    found = scratch.settled(spark.range(5))
+    folder = scratch._SETTLED[-1].removeprefix("file://")
+    assert found.count() == 5 and os.path.isdir(folder)
+    assert scratch.forget(spark) == 1 and not os.path.exists(folder)

@@ -60,16 +60,18 @@ R21 = sql(
 def r27_timeline(spark, sf):
     pages = views.wiki(spark, sf)
     queries = views.qa(spark, sf).select(C("qa_id").alias("query_id"))
-    page_hits = queries.join(pages, F.pmod(C("doc_id"), F.lit(40)) == C("query_id") % 40).select("query_id", C("slug").alias("uri"), (C("doc_id") % 83).cast("double").alias("score"))
+    # 25 notes and pages a question; every seventh question has no page.
+    of = F.floor(C("doc_id") / 25).alias("query_id")
+    page_hits = queries.where("query_id % 7 <> 0").join(pages.select("*", of), "query_id").select("query_id", C("slug").alias("uri"), (C("doc_id") % 83).cast("double").alias("score"))
     sources = pages.select("slug", F.explode("sources").alias("source"))
-    daily = queries.join(views.daily(spark, sf), F.pmod(C("doc_id"), F.lit(20)) == C("query_id") % 20).select("query_id", "uri", C("mem_date").alias("date"), F.lit(1.0).alias("score"))
+    daily = queries.join(views.daily(spark, sf).select("uri", "mem_date", of), "query_id").select("query_id", "uri", C("mem_date").alias("date"), F.lit(1.0).alias("score"))
     return retrieval.timeline(page_hits, sources, daily).select("query_id", "uri")
 
 
 R27 = sql(
     "v_wiki v_daily",
-    """WITH h AS (SELECT item_id AS query_id, slug, sources, doc_id % 83 AS score FROM benchmark JOIN v_wiki ON doc_id % 40 = item_id % 40 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id % 83 DESC, slug) <= 5),
-    c AS (SELECT DISTINCT query_id, unnest(sources) AS uri FROM h), d AS (SELECT item_id AS query_id, uri, mem_date FROM benchmark JOIN v_daily ON doc_id % 20 = item_id % 20),
+    """WITH h AS (SELECT item_id AS query_id, slug, sources, doc_id % 83 AS score FROM benchmark JOIN v_wiki ON doc_id // 25 = item_id WHERE item_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id % 83 DESC, slug) <= 5),
+    c AS (SELECT DISTINCT query_id, unnest(sources) AS uri FROM h), d AS (SELECT item_id AS query_id, uri, mem_date FROM benchmark JOIN v_daily ON doc_id // 25 = item_id),
     m AS (SELECT d.*, c.uri IS NOT NULL AS cited, bool_or(c.uri IS NOT NULL) OVER (PARTITION BY d.query_id) AS any_cited FROM d LEFT JOIN c ON d.query_id = c.query_id AND d.uri = c.uri)
     SELECT query_id, uri FROM m WHERE cited OR NOT any_cited QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY mem_date, uri) <= 12""",
 )

@@ -20,10 +20,25 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: What this process has settled and not forgotten.
+_SETTLED: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that this process has settled so far, and tells how many. Call it when the results
+    that read them are written."""
+    n = len(_SETTLED)
+    while _SETTLED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows read back from a table: later steps neither compute them again nor depend on the
     executors that made them."""
     where = scratch(df.sparkSession)
+    _SETTLED.append(where)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
