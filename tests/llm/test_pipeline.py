@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tests.llm.helpers import ALNUM, LOWER, links
+from tests.llm.helpers import ALNUM, LOWER, TEXTS, frame, links, numbered
 from tidelog.llm import registry, toxicity
 from tidelog.llm.common import settled, table
 from tidelog.llm.tokens import byte_bpe
@@ -76,3 +76,23 @@ def test_query_equals_its_sql(spark, name):
     found = registry.QUERIES[name](spark, SF_DIR)
     assert sorted(found.columns) == sorted(columns)
     assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == sorted(answer.fetchall())
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([*((i, 1, int(i == 13)) for i in range(1, 15)), (1, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, numbered("q", 9)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for rows in (TEXTS, []):
+        docs = frame(spark, rows)
+        for name, stage in corpus_pipeline.STAGES:
+            after = settled(stage(spark, docs, folder))
+            if name != "packing":
+                assert after.columns == docs.columns and after.count() <= docs.count()
+                docs = after
+        kept = {r.doc_id for r in docs.collect()}
+        if not rows:
+            assert not kept and after.count() == 0
+        else:
+            # The first of equal and of similar texts stays, a text with a benchmark passage (13) goes.
+            assert kept == {1, 3, 5, 6, 7, 9, 10, 11, 14, None}
+            assert {r.doc_id for r in after.collect()} == kept
