@@ -6,6 +6,11 @@
   decontamination       documents with passages of the benchmark go
   packing               the rest becomes sequences of at most 2048 tokens
 
+Defined results: null and empty texts are equal to each other, not toxic without evidence, near to nothing and clean; the
+first of them stays and is packed as its end token. Of repeated rows one stays. A row without an id comes after all ids and
+stays only where no equal or similar text has one. Other columns, whatever their names, are carried along to the packing,
+which doesn't read them. An empty table gives no rows at each stage; without labels nothing is toxic.
+
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of documents. ORACLE_SQL is None: SQL can express neither the trained toxicity
 model nor packing; the tests compare the stages with brute force instead.
