@@ -289,8 +289,10 @@ def gap_days(days: DataFrame, active: DataFrame, per_week: int = 5) -> DataFrame
 def freshest_mentions(signatures: DataFrame, pairs: DataFrame) -> DataFrame:
     """The latest day after all relevant days of a pair on which one of its values appears again.
 
-    signatures(day_number, value) meets pairs(qa_id, value, last_day) on the value."""
-    later = pairs.join(signatures, "value").where(C("day_number") > C("last_day"))
+    signatures(day_number, value) meets pairs(qa_id, value, last_day) on the value. A day after last_day that is
+    the latest one is the value's latest day of all, so each value meets its pairs with that day only."""
+    latest = signatures.groupBy("value").agg(F.max("day_number").alias("day_number"))
+    later = pairs.join(latest, "value").where(C("day_number") > C("last_day"))
     return later.groupBy("qa_id").agg(F.max(F.struct("day_number", "value")).alias("x")).select("qa_id", C("x.day_number").alias("day_number"), C("x.value").alias("value"))
 
 

@@ -100,7 +100,7 @@ E16 = sql(
 
 
 def e26_freshest_mentions(spark, sf):
-    found = views.daily(spark, sf).select((C("doc_id") + 1).alias("day_number"), F.explode(text.signatures(C("text"))).alias("s")).select("day_number", C("s.value").alias("value")).distinct()
+    found = views.daily(spark, sf).select((C("doc_id") + 1).alias("day_number"), F.explode(text.signatures(C("text"))).alias("s")).select("day_number", C("s.value").alias("value"))
     pairs = views.table(spark, sf, "part").select(C("p_partkey").alias("qa_id"), F.concat(F.lit("$"), (C("p_size") % 50).cast("string"), F.lit("M")).alias("value"), (C("p_partkey") % 800).alias("last_day"))
     return evals.freshest_mentions(found, pairs).select("qa_id", C("day_number").cast("long").alias("day_number"), "value")
 
