@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.plan_rows import most_rows
-from tidelog.operators import evals
+from tidelog.operators import evals, signals
 
 
 def test_values_of_many_days_and_pairs_do_not_multiply(spark):
@@ -13,3 +13,26 @@ def test_values_of_many_days_and_pairs_do_not_multiply(spark):
     assert most_rows(found) <= 2000
     rows = {r.qa_id: (r.day_number, r.value) for r in found.collect()}
     assert rows == {q: (1000, "v") for q in range(990)}
+
+
+def drift(spark, entries, queries, shared=2):
+    e = spark.createDataFrame(entries, "entry_id long, text string")
+    q = spark.createDataFrame([(x,) for x in queries], "query string")
+    return signals.drifting_entries(e, q, q, shared=shared, least_log=0)
+
+
+def test_entries_and_queries_of_common_words_do_not_multiply(spark):
+    entries = [(i, f"click topic{i % 2} own{i}") for i in range(400)]
+    queries = [f"click topic0 asked{i}" for i in range(400)] + [f"topic1 other{i}" for i in range(400)]
+    found = drift(spark, entries, queries)
+    assert most_rows(found) <= 5000
+    assert sorted(r.entry_id for r in found.collect()) == [i for i in range(400) if i % 2]
+
+
+def test_drift_counts_shared_words_as_entries_repeat_them(spark):
+    entries = [(1, "apple apple"), (2, "apple pear"), (3, "apple plum"), (4, "none here"), (5, ""), (6, "plum fig fig"), (7, "apple pear plum")]
+    queries = ["apple pear", "apple pear", "plum", "fig grape", None]
+    held = [{"apple", "pear"}, {"plum"}, {"fig", "grape"}]
+    for shared in (1, 2, 3):
+        wanted = [i for i, t in entries if all(sum(w in q for w in t.split()) < shared for q in held)]
+        assert sorted(r.entry_id for r in drift(spark, entries, queries, shared).collect()) == wanted, shared
