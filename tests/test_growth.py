@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tests.plan_rows import most_rows
-from tidelog.operators import evals, signals
+from tidelog.functions import text
+from tidelog.operators import evals, retrieval, signals
 
 
 def test_values_of_many_days_and_pairs_do_not_multiply(spark):
@@ -36,3 +37,26 @@ def test_drift_counts_shared_words_as_entries_repeat_them(spark):
     for shared in (1, 2, 3):
         wanted = [i for i, t in entries if all(sum(w in q for w in t.split()) < shared for q in held)]
         assert sorted(r.entry_id for r in drift(spark, entries, queries, shared).collect()) == wanted, shared
+
+
+def test_catalog_copies_do_not_multiply(spark):
+    entries = spark.range(600).select(F.col("id").alias("uri"), F.concat(F.lit("blue "), F.element_at(F.array(*map(F.lit, ("ring", "bolt", "bolt ring"))), (F.col("id") % 3 + 1).cast("int"))).alias("text"))
+    queries = spark.range(300).select(F.col("id").alias("query_id"), F.lit("ring blue ring").alias("text"))
+    found = retrieval.catalog_hits(queries, entries, text.catalog_tokens, 4)
+    assert most_rows(found) <= 300 * 4
+    assert {r.query_id: [x.uri for x in found.where(f"query_id = {r.query_id}").orderBy(F.col("score").desc(), "uri").collect()] for r in queries.limit(2).collect()} == {0: [0, 2, 3, 5], 1: [0, 2, 3, 5]}
+
+
+def test_catalog_hits_are_the_best_of_all_scores(spark):
+    words = ("red", "blue", "ring", "bolt", "plate")
+    texts = [(i, " ".join(words[(i * k) % 5] for k in range(1, i % 4 + 1)), "x" if i % 7 == 0 else None) for i in range(60)] + [(60, None, None), (61, "", None)]
+    entries = spark.createDataFrame(texts, "uri long, text string, redirect_to string")
+    queries = entries.where("uri % 3 = 0").select(F.col("uri").alias("query_id"), "text")
+    wanted = set()
+    for q, t, _ in texts:
+        if q % 3 or not t:
+            continue
+        asked = t.split()
+        scored = [(-round(sum(w in e.split() for w in asked) / len(asked), 9), u) for u, e, gone in texts if e and not gone]
+        wanted |= {(q, u, -s) for s, u in sorted(x for x in scored if x[0])[:4]}
+    assert {(r.query_id, r.uri, r.score) for r in retrieval.catalog_hits(queries, entries, text.catalog_tokens, 4).collect()} == wanted
