@@ -90,7 +90,10 @@ R29 = sql(
 
 
 def a10_completions(spark, sf):
-    work = rollup.weekly_work(views.daily(spark, sf), spark.createDataFrame([], "period string"), F.lit("2099-01-01").cast("date"))
+    notes = views.daily(spark, sf)
+    # On the day after the last note's week every week is closed.
+    last = notes.agg(F.max("mem_date").alias("day")).select(F.date_add(F.date_trunc("week", "day").cast("date"), 7).alias("as_of"))
+    work = rollup.weekly_work(notes, spark.createDataFrame([], "period string"), last.scalar())
     done = work.select("period", F.concat(F.lit("Summary of "), "period").alias("text"), F.when(F.substring("period", -1, 1) == "3", "timeout").alias("error"))
     return rollup.applied_completions(work, done).select("period", "n_days", "text")
 
