@@ -57,3 +57,24 @@ def test_recall_on_the_given_vectors(spark):
     wanted = {(r.query_id, r.uri) for r in rollup_queries.r1_nearest(spark, folder).collect()}
     found = {(r.query_id, r.uri) for r in search_queries.r1_approximate(spark, folder).collect()}
     assert len(found & wanted) >= 0.9 * len(wanted)
+
+
+def test_exact_search_holds_tiles_not_all_scores():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    queries, rows = rng.normal(size=(4096, 8)), rng.normal(size=(10_000, 8)).round(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(rows), pa.list_(pa.float64()))], ["uri", "vector"])
+    tracemalloc.start()
+    (found,) = retrieval.best_rows([batch], list(range(4096)), queries, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All scores of the batch would be 328 MB.
+    assert peak < 80e6
+    got = found.to_pandas()
+    for q in (0, 700, 4095):
+        score = np.add.accumulate(rows * queries[q], axis=1)[:, -1]
+        assert got[got.query_id == q].uri.tolist() == sorted(range(10_000), key=lambda i: (-score[i], i))[:5]
