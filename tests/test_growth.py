@@ -60,3 +60,25 @@ def test_catalog_hits_are_the_best_of_all_scores(spark):
         scored = [(-round(sum(w in e.split() for w in asked) / len(asked), 9), u) for u, e, gone in texts if e and not gone]
         wanted |= {(q, u, -s) for s, u in sorted(x for x in scored if x[0])[:4]}
     assert {(r.query_id, r.uri, r.score) for r in retrieval.catalog_hits(queries, entries, text.catalog_tokens, 4).collect()} == wanted
+
+
+def test_days_of_arcs_need_no_window_and_no_broadcast(spark):
+    rows = [(1, "project", 1, 40, 9), (2, "incident", 6, 30, 13), (3, "project", 6, 7, 6), (4, "project", 5, 130, None), (5, "project", 4, 3, 4), (6, None, 3, 25, 14)]
+    arcs = spark.createDataFrame(rows, "arc_id int, type string, start_day int, end_day int, pinned_day int")
+    found = evals.arc_days(arcs, "2024-01-01")
+    wanted = set()
+    for arc, kind, start, end, pin in rows:
+        k, n, first = 2 if end - start + 1 < 15 else 3 if end - start + 1 < 100 else 5, 0, True
+        for day in range(start, end + 1):
+            counts = kind == "incident" or (day - 1) % 7 < 5
+            if day in (start, end, pin):
+                wanted.add((arc, day))
+                n, first = (0, False) if counts else (n, first)
+            elif counts:
+                n += 1
+                if (n - 1 if first else n) % k == 0:
+                    wanted.add((arc, day))
+    assert {(r.arc_id, r.day_number) for r in found.collect()} == wanted
+    days = spark.range(1, 200).select(F.col("id").alias("day_number"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") - 1).cast("int")).alias("day_date"))
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert "Broadcast" not in evals.gap_days(days, found)._jdf.queryExecution().executedPlan().toString()

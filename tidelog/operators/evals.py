@@ -263,20 +263,24 @@ def arc_days(arcs: DataFrame, epoch: str) -> DataFrame:
     5 by the arc's length; incidents also count weekends."""
     length = C("end_day") - C("start_day") + 1
     every = F.when(length < 15, 2).when(length < 100, 3).otherwise(5)
-    each = arcs.select("arc_id", "type", "start_day", "end_day", "pinned_day", every.alias("k"), F.explode(F.sequence("start_day", "end_day")).alias("day_number"))
-    each = each.withColumn("pinned", (C("day_number") == C("start_day")) | (C("day_number") == C("end_day")) | (C("day_number") == C("pinned_day")))
-    counts = (F.weekday(F.date_add(F.lit(epoch).cast("date"), C("day_number") - 1)) < 5) | (C("type") == "incident")
-    order = Window.partitionBy("arc_id").orderBy("day_number")
-    walked = each.withColumn("counts", counts).withColumn("stretch", F.sum((C("pinned") & C("counts")).cast("int")).over(order))
-    n = F.sum((~C("pinned") & C("counts")).cast("int")).over(Window.partitionBy("arc_id", "stretch").orderBy("day_number"))
-    walked = walked.withColumn("n", n)
-    chosen = C("pinned") | (C("counts") & F.when(C("stretch") == 0, (C("n") - 1) % C("k") == 0).otherwise(C("n") % C("k") == 0))
-    return walked.where(chosen).select("arc_id", "day_number")
+    # Days that count up to a day, from the Monday of the epoch's week; an arc is one row, so nothing is sorted.
+    offset = lambda day: F.weekday(F.lit(epoch).cast("date")) + day - 1
+    until = lambda day: F.when(C("type") == "incident", day).otherwise(F.floor(offset(day) / 7) * 5 + F.least(F.pmod(offset(day), F.lit(7)), F.lit(4)) + 1)
+    counts = lambda day: F.coalesce(C("type") == "incident", F.lit(False)) | (F.pmod(offset(day), F.lit(7)) < 5)
+    pins = F.filter(F.array("start_day", "end_day", F.coalesce("pinned_day", "start_day")), counts)
+    each = arcs.where(C("start_day") <= C("end_day")).select("arc_id", "type", "start_day", "end_day", "pinned_day", every.alias("k"), pins.alias("pins"), F.explode(F.sequence("start_day", "end_day")).alias("day_number"))
+    pinned = (C("day_number") == C("start_day")) | (C("day_number") == C("end_day")) | F.coalesce(C("day_number") == C("pinned_day"), F.lit(False))
+    last = F.array_max(F.filter("pins", lambda p: (p >= C("start_day")) & (p <= C("day_number"))))
+    n = until(C("day_number")) - until(F.coalesce(last, C("start_day") - 1))
+    chosen = pinned | (counts(C("day_number")) & F.when(last.isNull(), (n - 1) % C("k") == 0).otherwise(n % C("k") == 0))
+    return each.where(chosen).select("arc_id", "day_number")
 
 
 def gap_days(days: DataFrame, active: DataFrame, per_week: int = 5) -> DataFrame:
     """Weekdays of days(day_number, day_date) to fill so that each week reaches its target."""
-    weekdays = days.where(F.weekday("day_date") < 5).join(active.select("day_number", F.lit(1).alias("active")).distinct(), "day_number", "left").withColumn("week", F.trunc("day_date", "week"))
+    # Spark takes the days of arcs for no more than the arcs and would broadcast them through the driver.
+    filled = active.select("day_number", F.lit(1).alias("active")).distinct().hint("merge")
+    weekdays = days.where(F.weekday("day_date") < 5).join(filled, "day_number", "left").withColumn("week", F.trunc("day_date", "week"))
     of_week = Window.partitionBy("week")
     needed = F.greatest(F.lit(0), F.least(F.lit(per_week), F.count("*").over(of_week)) - F.count("active").over(of_week))
     empty = weekdays.withColumn("needed", needed).where("active IS NULL AND needed > 0")
