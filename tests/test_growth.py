@@ -82,3 +82,20 @@ def test_days_of_arcs_need_no_window_and_no_broadcast(spark):
     days = spark.range(1, 200).select(F.col("id").alias("day_number"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") - 1).cast("int")).alias("day_date"))
     assert "Window" not in found._jdf.queryExecution().toString()
     assert "Broadcast" not in evals.gap_days(days, found)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_chunks_that_are_shown_get_texts(spark):
+    rows = [(q, f"u{u}", c, float(10 * u + c)) for q in range(3) for u in range(6) for c in range(3)]
+    bare = spark.createDataFrame(rows, "query_id long, uri string, chunk_id int, score double").withColumns({"first_line": F.col("chunk_id") * 10, "last_line": F.col("chunk_id") * 10 + 9})
+    asked = []
+
+    def with_text(shown):
+        asked.append(shown.count())
+        return shown.withColumn("text", F.concat("uri", F.lit("."), F.col("chunk_id").cast("string")))
+
+    found = retrieval.document_hits(bare, 2, 2, "|", with_text)
+    assert asked == [3 * 3]
+    wanted = {(q, u, t, n) for q in range(3) for u, t, n in (("u5", "u5.1|u5.2", 2), ("u4", "u4.2", 1))}
+    assert {(r.query_id, r.uri, r.text, r.n_sections) for r in found.collect()} == wanted
+    given = bare.withColumn("text", F.concat("uri", F.lit("."), F.col("chunk_id").cast("string")))
+    assert {(r.query_id, r.uri, r.text, r.n_sections) for r in retrieval.document_hits(given, 2, 2, "|").collect()} == wanted
