@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidelog.streaming.windows import DayCounts, gaps_of_windows, hits_of_windows
+
 C = F.col
 
 
@@ -36,14 +38,15 @@ def rolling_hits(hits: DataFrame, folder: str, checkpoint: str, days: int = 30,
     """Hits and different queries of each uri in windows of `days` days that move by one day. Rows later than
     `late` are dropped.
 
-    Both numbers are exact. Hits are first counted by day, uri and query; only these counts, one for
-    each query of a day however often it hit, are copied to the windows that the day is in, where each
-    query is put together and then counted."""
-    by_day = hits.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("day"), "uri", "query").agg(F.count("*").alias("n"))
-    by_query = by_day.groupBy(F.window("day", f"{days} days", "1 day").alias("window"), "uri", "query").agg(F.sum("n").alias("n"))
-    by_uri = by_query.groupBy("window", "uri").agg(F.sum("n").alias("n_hits"), F.count("*").alias("n_queries"))
-    rows = by_uri.select(C("window.start").alias("start"), C("window.end").alias("end"), "uri", "n_hits", "n_queries")
-    return _trigger(rows.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint), once, "1 minute").start()
+    Both numbers are exact. What is kept is one row for each day, uri and query, however often it hit; a
+    window that closes is counted from these rows (DayCounts)."""
+    one = hits.where("ts IS NOT NULL").select("ts", "uri", "query")
+    counts = DayCounts(f"{checkpoint}/days", ("uri", "query"), {"n": ("long", F.count("*"), F.sum("n"))}, late)
+
+    def closed(rows: DataFrame, first: int, last: int) -> DataFrame:
+        return hits_of_windows(rows, days, first, last)
+
+    return _trigger(one.writeStream.foreachBatch(counts.closing(folder, days, closed)).option("checkpointLocation", checkpoint), once, "1 minute").start()
 
 
 def ingested_days(days: DataFrame, ingest, last: Column, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -57,11 +60,16 @@ def ingested_days(days: DataFrame, ingest, last: Column, checkpoint: str, once:
 
 def rolling_gaps(log: DataFrame, folder: str, checkpoint: str, days: int = 30, late: str = "1 day", once: bool = False) -> StreamingQuery:
     """How often each query of log(ts, query, scores) was asked, and its mean best score, in windows of
-    `days` days that move by one day. Rows later than `late` are dropped."""
+    `days` days that move by one day. Rows later than `late` are dropped. One row is kept for each day and
+    query; a window that closes is summed from these rows (DayCounts)."""
     best = F.coalesce(F.array_max("scores"), F.lit(0.0))
-    windows = log.withWatermark("ts", late).groupBy(F.window("ts", f"{days} days", "1 day"), F.lower(F.trim("query")).alias("query")).agg(F.count("*").alias("n"), F.avg(best).alias("mean_best"))
-    rows = windows.select(C("window.start").alias("start"), "query", "n", "mean_best")
-    return _trigger(rows.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint), once, "1 minute").start()
+    one = log.where("ts IS NOT NULL").select("ts", F.lower(F.trim("query")).alias("query"), best.alias("best"))
+    counts = DayCounts(f"{checkpoint}/days", ("query",), {"n": ("long", F.count("*"), F.sum("n")), "best": ("double", F.sum("best"), F.sum("best"))}, late)
+
+    def closed(rows: DataFrame, first: int, last: int) -> DataFrame:
+        return gaps_of_windows(rows, days, first, last)
+
+    return _trigger(one.writeStream.foreachBatch(counts.closing(folder, days, closed)).option("checkpointLocation", checkpoint), once, "1 minute").start()
 
 
 def signal_pass(log: DataFrame, collect, checkpoint: str) -> StreamingQuery:
