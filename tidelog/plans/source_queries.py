@@ -288,24 +288,29 @@ X5 = sql("v_hits", "WITH w AS (SELECT CAST(ts AS DATE) - CAST(k AS INT) AS start
 
 
 def x1_watched_notes(spark, sf):
-    """Notes that come as files in two turns; each batch is written twice as after a failure, and changed
-    notes come again. The second turn finds the state from its folder."""
+    """Notes that come in two turns, some as files of their own and the others in bundles; each batch is written
+    twice as after a failure, and changed notes come again. The second turn finds the state from its folder."""
     folder = scratch(spark)
     d = views.daily(spark, sf).select("uri", "text")
+    # One note in 64, by its uri.
+    single = C("text").isNotNull() & (F.substring(F.md5("uri"), -2, 2) < "04")
 
     def notes():
         return VersionedTable(spark, f"{folder}/notes", "uri string, text string, modified timestamp", "uri", "modified")
 
     def upsert(batch, batch_id):
-        own = batch.select(F.regexp_extract("text", r"\A([^\n]*)\n", 1).alias("uri"), F.regexp_replace("text", r"\A[^\n]*\n", "").alias("text"), "modified")
+        file = C("uri").contains("/files/")
+        uri = F.when(file, F.regexp_extract("text", r"\A([^\n]*)\n", 1)).otherwise(C("uri"))
+        own = batch.select(uri.alias("uri"), F.when(file, F.regexp_replace("text", r"\A[^\n]*\n", "")).otherwise(C("text")).alias("text"), "modified")
         for _ in range(2):
             notes().write(own, batch_id)
 
     changed = d.where(F.md5("uri") < "4").withColumn("text", F.concat("text", F.lit(" again")))
     for turn in (d, changed):
-        # One file a note, as a folder of notes has; the first line is the note's name.
-        turn.select(F.concat("uri", F.lit("\n"), "text").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(f"{folder}/in")
-        jobs.watched_notes(spark, f"{folder}/in", upsert, f"{folder}/checkpoint", once=True).awaitTermination()
+        # In a file of its own, the first line is the note's name.
+        turn.where(single).select(F.concat("uri", F.lit("\n"), "text").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(f"{folder}/files")
+        turn.where(~single).write.mode("append").json(f"{folder}/bundles")
+        jobs.watched_notes(spark, f"{folder}/files", upsert, f"{folder}/checkpoint", once=True, bundles=f"{folder}/bundles").awaitTermination()
     notes().compact()
     return notes().read().select("uri", F.sha2(F.btrim("text", F.lit("\n")), 256).alias("text_sha256"))
 

@@ -19,12 +19,18 @@ def _trigger(writer, once: bool, every: str):
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
 
 
-def watched_notes(spark: SparkSession, folder: str, upsert, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Hands each batch of new or changed note files to upsert(batch, batch_id): uri, text.
+def watched_notes(spark: SparkSession, folder: str, upsert, checkpoint: str, once: bool = False, bundles: str | None = None) -> StreamingQuery:
+    """Hands each batch of new or changed notes to upsert(batch, batch_id): uri, text, modified.
 
-    Batches that are run again after a failure carry the same id and rows."""
+    A file in the folder is a note, and its path the uri. A file in the folder `bundles` has many, as JSON lines of
+    uri and text: a file costs as much as some hundred notes. Batches that are run again after a failure carry the
+    same id and rows."""
     files = spark.readStream.text(folder, wholetext=True, recursiveFileLookup=True)
-    notes = files.select(F.col("_metadata.file_path").alias("uri"), C("value").alias("text"), C("_metadata.file_modification_time").alias("modified"))
+    modified = F.col("_metadata.file_modification_time").alias("modified")
+    notes = files.select(F.col("_metadata.file_path").alias("uri"), C("value").alias("text"), modified)
+    if bundles is not None:
+        many = spark.readStream.schema("uri string, text string").json(bundles, recursiveFileLookup=True)
+        notes = notes.unionByName(many.select("uri", "text", modified))
     return _trigger(notes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint), once, "2 seconds").start()
 
 
