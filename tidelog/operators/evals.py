@@ -363,13 +363,15 @@ def audit(pairs: DataFrame, days: DataFrame, epoch: str) -> DataFrame:
     held = F.array_sort(F.collect_list(F.when(C("text").isNotNull(), F.struct("day_number", F.concat(F.lit("\n"), date, F.lit("\n"), "text").alias("t")))))
     blobs = found.groupBy("qa_id").agg(F.sum(C("text").isNull().cast("int")).alias("n_missing"), F.array_join(F.transform(held, lambda r: r["t"]), "").alias("blob"))
     joined = pairs.join(blobs, "qa_id", "left").withColumns({"blob": F.coalesce("blob", F.lit("")), "n_missing": F.coalesce("n_missing", F.lit(0))})
-    there, words = C("blob") != "", F.array_distinct(text.passage_words(C("answer")))
+    # Words of both sides are made once a row, and only where a day's text is there.
+    there = C("blob") != ""
+    joined = joined.withColumns({"words": F.when(there, text.distinct_passage_words(C("answer"))), "held": F.when(there, text.distinct_passage_words(C("blob")))})
     codes = {
         "empty days": F.size("relevant_days") == 0,
         "missing day": C("n_missing") > 0,
         "missing value": there & F.exists(F.transform(text.signatures(C("answer")), lambda s: s["value"]), lambda v: ~F.contains("blob", v)),
         "missing entity": there & F.exists(text.proper_nouns(C("question")), lambda v: ~F.contains("blob", v)),
-        "no common word": there & (F.size(words) > 0) & ~F.arrays_overlap(words, text.passage_words(C("blob"))),
+        "no common word": there & (F.size("words") > 0) & ~F.arrays_overlap("words", "held"),
     }
     return joined.select("qa_id", F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in codes.items()))).alias("codes"))
 
